@@ -22,46 +22,54 @@ _LONG = 64
 
 
 class RankQueue:
-    """Positions by merge rank. Three levels of 64-bit words tell which ranks have any; find-first-set walks down from the top.
+    """Positions by merge rank. Two levels of 256-bit words tell which ranks have any; find-first-set walks down from the top.
 
-    An entry isn't removed when its pair goes: the reader skips those that are stale."""
+    A bucket is a position, or a heap of them. An entry isn't removed when its pair goes: the reader skips those that are stale."""
 
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.top, self.middle, self.low = 0, [0] * 64, [0] * 4096
+    def __init__(self, ranks: int) -> None:
+        self.buckets: dict[int, int | list[int]] = {}
+        self.top, self.low = 0, [0] * (ranks // 256 + 1)
+        self.bits = [1 << k for k in range(256)]
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            bucket = self.buckets[rank] = []
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.middle[rank >> 12] |= 1 << (rank >> 6 & 63)
-            self.top |= 1 << (rank >> 12)
-        heappush(bucket, position)
+        buckets = self.buckets
+        if rank in buckets:
+            if type(bucket := buckets[rank]) is int:
+                buckets[rank] = [bucket, position] if bucket < position else [position, bucket]
+            else:
+                heappush(bucket, position)
+            return
+        buckets[rank] = position
+        a = rank >> 8
+        if not self.low[a]:
+            self.top |= 1 << a
+        self.low[a] |= self.bits[rank & 255]
 
     def pop(self) -> tuple[int, int]:
         """The least rank and its leftmost position; (-1, -1) if there is none."""
-        if not self.top:
+        top = self.top
+        if not top:
             return -1, -1
-        a = (self.top & -self.top).bit_length() - 1
-        word = self.middle[a]
-        b = a << 6 | (word & -word).bit_length() - 1
-        word = self.low[b]
-        rank = b << 6 | (word & -word).bit_length() - 1
+        a = (top & -top).bit_length() - 1
+        word = self.low[a]
+        bit = word & -word
+        rank = a << 8 | bit.bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[b] &= ~(1 << (rank & 63))
-            if not self.low[b]:
-                self.middle[a] &= ~(1 << (b & 63))
-                if not self.middle[a]:
-                    self.top &= ~(1 << a)
+        if type(bucket) is list:
+            position = heappop(bucket)
+            if bucket:
+                return rank, position
+        else:
+            position = bucket
+        del self.buckets[rank]
+        if word == bit:
+            self.top = top ^ (1 << a)
+        self.low[a] = word ^ bit
         return rank, position
 
 
 class Codec:
-    """Ranks of a vocabulary of up to 2**18 tokens, whose single bytes are all tokens."""
+    """Ranks of a vocabulary in which every single byte is a token."""
 
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as lines:
@@ -70,7 +78,7 @@ class Codec:
         self.tokens = {b: a for a, b in self.ranks.items()}
         self.names = {b: str(b) for b in self.tokens}
         self.pattern = regex.compile(pattern)
-        self.queue = RankQueue()
+        self.queue = RankQueue(max(self.tokens))
         self.recent: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
 
@@ -84,13 +92,13 @@ class Codec:
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
         rank = [-1] * n
-        queue = self.queue
+        get, push, pop = ranks.get, self.queue.push, self.queue.pop
         for i in range(n - 1):
-            if (r := ranks.get(piece[i : i + 2])) is not None:
+            if (r := get(piece[i : i + 2])) is not None:
                 rank[i] = r
-                queue.push(r, i)
+                push(r, i)
         while True:
-            r, i = queue.pop()
+            r, i = pop()
             if r < 0:
                 break
             if rank[i] != r:
@@ -100,15 +108,15 @@ class Codec:
             rank[j] = rank[i] = -1
             if k < n:
                 before[k] = i
-                if (new := ranks.get(piece[i : after[k]])) is not None:
+                if (new := get(piece[i : after[k]])) is not None:
                     rank[i] = new
-                    queue.push(new, i)
+                    push(new, i)
             h = before[i]
             if h >= 0:
-                new = ranks.get(piece[h:k])
+                new = get(piece[h:k])
                 rank[h] = -1 if new is None else new
                 if new is not None:
-                    queue.push(new, h)
+                    push(new, h)
         ids = []
         i = 0
         while i < n:
