@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, licenses, minhash, mixing, quality, urls
+from quern.llm import bpe, licenses, lines, minhash, mixing, pages, quality, urls, vectors
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (quality.op1_quality_rules, mixing.op3_mixing, licenses.op4_license_scans, bpe.op6_byte_bpe, urls.op8_url_filters, minhash.op9_minhash)}
+    return {f.__name__: f for f in (quality.op1_quality_rules, mixing.op3_mixing, licenses.op4_license_scans, bpe.op6_byte_bpe, urls.op8_url_filters, minhash.op9_minhash, vectors.op2_cover_tree, pages.op7_html, lines.op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE_SQL, "op8_url_filters": urls.ORACLE_SQL, "op9_minhash": minhash.ORACLE_SQL}
+    return {"op3_mixing": mixing.ORACLE_SQL, "op8_url_filters": urls.ORACLE_SQL, "op9_minhash": minhash.ORACLE_SQL, "op2_cover_tree": vectors.ORACLE_SQL}
