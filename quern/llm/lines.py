@@ -19,12 +19,13 @@ _LOW = (1 << 55) - 1
 
 
 def words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """The words of a line in lower case: what stands between blanks."""
+    return F.array_remove(F.split(F.lower(line), " "), "")
 
 
 def rarity(docs: DataFrame) -> Column:
     """A constant array: for each counter of words, the class of its frequency over all texts."""
-    counted = docs.select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''").groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("k")).count()
+    counted = docs.select(F.explode(words(F.translate("text", "\n", " "))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("k")).count()
     levels = ["0"] * COUNTERS
     for k, level in counted.select("k", F.floor(F.log2(F.col("count") + 1) * 2).cast("int")).collect():
         levels[k] = str(level)
@@ -33,65 +34,72 @@ def rarity(docs: DataFrame) -> Column:
 
 def ranked(line: Column, levels: Column) -> Column:
     """The distinct words of a line, rarest first: numbers of a class of frequency and 55 bits of hash."""
-    hashes = F.transform(words(line), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(F.element_at(levels, (F.pmod(h, F.lit(COUNTERS)) + 1).cast("int")).cast("long"), 55).bitwiseOR(h.bitwiseAND(F.lit(_LOW))))))
+    hashes = F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long"), 55).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def shared_docs(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents in ids (doc_id, at most once), by a broadcast if these are few."""
-    few = ids.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-
-
 def matches(pairs: DataFrame, docs: DataFrame, levels: Column, similarity: float) -> DataFrame:
     """Of candidate pairs (x earlier than y), the y lines whose whole sets reach the similarity: doc_id, line_no."""
     pairs = materialize(pairs)
-    ends = materialize(pairs.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line_no")).union(pairs.select("yd", "yl")).distinct())
-    lines = numbered(shared_docs(docs, ends.select("doc_id").distinct())).join(ends, ["doc_id", "line_no"], "left_semi")
-    sets = materialize(lines.select("doc_id", "line_no", ranked(F.col("line"), levels).alias("set")))
+    ends = pairs.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line_no")).union(pairs.select("yd", "yl"))
+    wanted = materialize(ends.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted")))
+    few = wanted.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
+    lines = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", F.explode("wanted").alias("line_no"), F.split("text", "\n").alias("all")).select("doc_id", "line_no", F.get("all", F.col("line_no")).alias("line"))
+    sets = materialize(lines.where("line IS NOT NULL").select("doc_id", "line_no", ranked(F.col("line"), levels).alias("set")))
     both = pairs.join(sets.toDF("yd", "yl", "ys"), ["yd", "yl"]).join(sets.toDF("xd", "xl", "xs"), ["xd", "xl"])
     shared = F.size(F.array_intersect("xs", "ys"))
     return both.where(shared >= F.lit(similarity) * (F.size("xs") + F.size("ys") - shared) - F.lit(1e-9)).select(F.col("yd").alias("doc_id"), F.col("yl").alias("line_no")).distinct()
 
 
+def possible(x: str, y: str, similarity: float) -> Column:
+    """Length, positional and bitmap filter for two entries of one word; no pair at the similarity fails them.
+
+    The bitmaps hold the parity of 64 groups of words, so the sets differ in as many words at least as the bitmaps in bits."""
+    xn, yn, xp, yp = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.p"), F.col(f"{y}.p")
+    least = F.ceil(F.lit(similarity / (1 + similarity)) * (xn + yn) - F.lit(1e-9))
+    lengths = (xn >= F.lit(similarity) * yn - F.lit(1e-9)) & (yn >= F.lit(similarity) * xn - F.lit(1e-9))
+    places = F.least(xp, yp) + 1 + F.least(xn - xp, yn - yp) - 1 >= least
+    return lengths & places & (F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) <= xn + yn - 2 * least)
+
+
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, line_no of the lines that match an earlier one, by doc_id and place in the text; docs: doc_id, text.
 
     Lines of equal sets meet by their hash and stand for one another. Of the others, each word among a line's rarest (the prefix in
     which two matching lines must share one) has a bucket. All lines of a bucket are first compared with its earliest of about their
     length, which settles groups of copies; lines still without a match are then compared with all earlier lines of their buckets."""
+    docs = docs.where("doc_id IS NOT NULL")
     levels = rarity(docs)
     size = F.size("set")
-    lines = numbered(docs.where("doc_id IS NOT NULL")).select("doc_id", "line_no", ranked(F.col("line"), levels).alias("set")).where(size >= min_words)
-    prefix = F.slice("set", 1, F.greatest(F.lit(0), (size - F.ceil(F.lit(similarity) * size - F.lit(1e-9)) + 1).cast("int")))
-    # Lines in which not a single word may differ need no bucket.
-    lines = materialize(lines.select("doc_id", "line_no", size.alias("n"), F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), "set").alias("k2"), F.when(F.ceil(F.lit(similarity) * size - F.lit(1e-9)) < size, prefix).alias("prefix")))
-    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"))
-    labelled = materialize(lines.select("doc_id", "line_no", "k1", "k2").join(firsts, ["k1", "k2"]).select("doc_id", "line_no", ((F.col("doc_id") == F.col("f.doc_id")) & (F.col("line_no") == F.col("f.line_no"))).alias("is_first")))
-    repeats = labelled.where("NOT is_first").select("doc_id", "line_no")
-
-    entries = lines.where("prefix IS NOT NULL").select("doc_id", "line_no", "n", "prefix").join(repeats, ["doc_id", "line_no"], "left_anti").select("doc_id", "line_no", "n", F.posexplode("prefix").alias("p", "word"))
+    lines = numbered(docs).select("doc_id", "line_no", ranked(F.col("line"), levels).alias("set")).where(size >= min_words)
+    least = F.ceil(F.lit(similarity) * size - F.lit(1e-9))
+    # Lines in which not a single word may differ need no bucket. Words of a prefix are 32 bits of hash: equal ones of different words only add candidates.
+    prefix = F.when(least < size, F.transform(F.slice("set", 1, (size - least + 1).cast("int")), lambda h: F.hash(h)))
+    bits = F.aggregate("set", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+    lines = materialize(lines.select("doc_id", "line_no", F.xxhash64("set").alias("k"), F.struct(size.alias("n"), bits.alias("bits"), prefix.alias("prefix")).alias("line")))
+    firsts = materialize(lines.groupBy("k").agg(F.min_by(F.struct("doc_id", "line_no", "line"), F.struct("doc_id", "line_no")).alias("f"), F.count("*").alias("c")))
+    heads = firsts.where("c > 1").select("k", F.col("f.doc_id").alias("xd"), F.col("f.line_no").alias("xl"))
+    repeats = materialize(lines.select("k", "doc_id", "line_no").join(heads, "k").where("doc_id <> xd OR line_no <> xl").select("doc_id", "line_no"))
+
+    entries = firsts.select("f.doc_id", "f.line_no", "f.line.n", "f.line.bits", F.posexplode("f.line.prefix").alias("p", "word"))
     common = entries.groupBy("word").agg(F.count("*").alias("c")).where("c > 1").select("word")
-    entries = materialize(entries.join(common, "word", "left_semi").select("word", "doc_id", "line_no", "n", "p"))
+    entries = materialize(entries.join(common, "word", "left_semi").select("word", "doc_id", "line_no", "n", "bits", "p"))
 
-    length = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(1 / similarity)))
-    heads = entries.groupBy("word", length.alias("len")).agg(F.min(F.struct("doc_id", "line_no")).alias("h"), F.count("*").alias("c")).where("c > 1")
-    stars = entries.withColumn("len", length).join(heads, ["word", "len"]).select(F.col("h.doc_id").alias("xd"), F.col("h.line_no").alias("xl"), F.col("doc_id").alias("yd"), F.col("line_no").alias("yl")).where("xd <> yd OR xl <> yl").distinct()
+    length = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(1 / similarity))).alias("len")
+    heads = entries.groupBy("word", length).agg(F.min(F.struct("doc_id", "line_no", "n", "bits", "p")).alias("h"), F.count("*").alias("c")).where("c > 1").select("word", "len", "h.*")
+    pair = (F.col("x.doc_id").alias("xd"), F.col("x.line_no").alias("xl"), F.col("y.doc_id").alias("yd"), F.col("y.line_no").alias("yl"))
+    earlier = (F.col("x.doc_id") < F.col("y.doc_id")) | ((F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.line_no") < F.col("y.line_no")))
+    stars = entries.select("*", length).alias("y").join(heads.alias("x"), (F.col("x.word") == F.col("y.word")) & (F.col("x.len") == F.col("y.len")) & earlier & possible("x", "y", similarity)).select(*pair).distinct()
     stars = materialize(stars)
     settled = materialize(matches(stars, docs, levels, similarity))
 
-    x, y = entries.alias("x"), entries.join(settled, ["doc_id", "line_no"], "left_anti").alias("y")
-    earlier = (F.col("x.doc_id") < F.col("y.doc_id")) | ((F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.line_no") < F.col("y.line_no")))
-    lengths = (F.col("x.n") >= F.lit(similarity) * F.col("y.n") - F.lit(1e-9)) & (F.col("y.n") >= F.lit(similarity) * F.col("x.n") - F.lit(1e-9))
-    least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - F.lit(1e-9))
-    places = F.least(F.col("x.p"), F.col("y.p")) + F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p")) >= least
-    rest = x.join(y, (F.col("x.word") == F.col("y.word")) & earlier & lengths & places).select(F.col("x.doc_id").alias("xd"), F.col("x.line_no").alias("xl"), F.col("y.doc_id").alias("yd"), F.col("y.line_no").alias("yl")).distinct()
-    rest = rest.join(stars, ["xd", "xl", "yd", "yl"], "left_anti")
-    return repeats.union(settled).union(matches(rest, docs, levels, similarity))
+    rest = entries.join(settled, ["doc_id", "line_no"], "left_anti").alias("y")
+    pairs = entries.alias("x").join(rest, (F.col("x.word") == F.col("y.word")) & earlier & possible("x", "y", similarity)).select(*pair).distinct()
+    return repeats.union(settled).union(matches(pairs.join(stars, ["xd", "xl", "yd", "yl"], "left_anti"), docs, levels, similarity))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
@@ -99,7 +107,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     The order of lines is that of doc_id, then of the text. Null texts stay null; a null doc_id keeps its text; empty lines, and those with
     fewer than min_words distinct words, stay. Rows that repeat a doc_id count as one document with the text of each, and each loses the lines
-    removed from any. Words are compared in lower case."""
+    removed from any. Words are what stands between blanks, in lower case."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     gone = materialize(removed_lines(docs, similarity, min_words).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed")))
     counts = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()
