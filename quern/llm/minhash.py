@@ -24,6 +24,8 @@ MISS = 1e-6
 THRESHOLD_PCT = 75
 #: Up to so many ids are broadcast (16 MB); beyond it, tables meet by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Rounds with further pivots in buckets of several components, and the pairs a member across components that end them.
+ROUNDS, FEW = 8, 4
 _SEEDS = mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
 
 
@@ -148,8 +150,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (doc_id is the component's).
 
     Texts of equal words are linked by their key and stand for one another. Of the others, each bucket of equal bands first compares all
-    with its least id; components of those links follow; then buckets that still hold several components compare across these, and only
-    across: links inside a component don't change it. No bucket is cut, and none is collected into one task.
+    with its least id. While buckets hold several components of the links found, all members outside the component of another pivot are
+    compared with it, for at most ROUNDS rounds or until FEW pairs a member are left; then all pairs across components are compared, and
+    only across: links inside a component don't change it. No bucket is cut, and none is collected into one task.
     Null and empty texts: 0 shingles, a component of their own. Repeated rows with one doc_id give that many equal rows; a null doc_id links
     with nothing and is kept. Other columns are not read."""
     sigs = materialize(signatures(df, id_col, text_col))
@@ -163,14 +166,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     stars = materialize(members.where("id <> a").select("a", F.col("id").alias("b")).distinct())
     links = materialize(confirmed(survivors(stars, own, threshold_pct, miss), texts, threshold_pct))
-    found = components(links)
-    grouped = members.join(found, members["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = grouped.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    open_ = materialize(grouped.join(mixed, "key", "left_semi"))
-    x, y = open_.alias("x"), open_.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = confirmed(survivors(across.join(stars, ["a", "b"], "left_anti"), own, threshold_pct, miss), texts, threshold_pct)
-    found = materialize(components(links.union(more)))
+    tested, last, rounds = stars, False, 0
+    while not last:
+        found = components(links)
+        grouped = members.join(found, members["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        sizes = grouped.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("c")).where("c > 1")
+        sizes = materialize(sizes.select("key", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("across")))
+        n, across = sizes.agg(F.sum("n"), F.sum("across")).first()
+        if not n:
+            break
+        last = across <= FEW * n or rounds == ROUNDS
+        open_ = materialize(grouped.join(sizes.select("key"), "key", "left_semi"))
+        if last:
+            x, y = open_.alias("x"), open_.alias("y")
+            met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        else:
+            pivots = open_.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(rounds))).alias("pivot"))
+            met = open_.join(pivots, "key").where("component <> pivot.component").select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
+        met = materialize(met.distinct().join(tested, ["a", "b"], "left_anti"))
+        links = materialize(links.union(confirmed(survivors(met, own, threshold_pct, miss), texts, threshold_pct)))
+        tested, rounds = tested.union(met), rounds + 1
+    found = materialize(components(links))
     out = sigs.select("doc_id", "n_shingles", "text_key").join(firsts, "text_key", "left").join(found, F.col("first_id") == F.col("node"), "left")
     component = F.coalesce("component", "first_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
