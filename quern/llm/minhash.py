@@ -24,8 +24,9 @@ MISS = 1e-6
 THRESHOLD_PCT = 75
 #: Up to so many ids are broadcast (16 MB); beyond it, tables meet by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Rounds with further pivots in buckets of several components, and the pairs a member across components that end them.
-ROUNDS, FEW = 8, 4
+#: All of a bucket meet its least id, and in buckets of more than LARGE also PIVOTS others, drawn by hash. Buckets that still hold several
+#: components draw anew for at most ROUNDS rounds, until pairs across components are FEW a member; then these pairs are compared, all of them.
+LARGE, PIVOTS, ROUNDS, FEW = 16, 5, 2, 4
 _SEEDS = mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
 
 
@@ -150,9 +151,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (doc_id is the component's).
 
     Texts of equal words are linked by their key and stand for one another. Of the others, each bucket of equal bands first compares all
-    with its least id. While buckets hold several components of the links found, all members outside the component of another pivot are
-    compared with it, for at most ROUNDS rounds or until FEW pairs a member are left; then all pairs across components are compared, and
-    only across: links inside a component don't change it. No bucket is cut, and none is collected into one task.
+    with its pivots, then across the components that it still holds, and only across: links inside a component don't change it.
+    No bucket is cut, and none is collected into one task.
     Null and empty texts: 0 shingles, a component of their own. Repeated rows with one doc_id give that many equal rows; a null doc_id links
     with nothing and is kept. Other columns are not read."""
     sigs = materialize(signatures(df, id_col, text_col))
@@ -160,16 +160,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = materialize(sigs.select("doc_id", "signature").join(firsts.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi"))
     band = lambda k: F.xxhash64(F.lit(k), F.substring("signature", 2 * ROWS * k + 1, 2 * ROWS))
     members = own.select(F.col("doc_id").alias("id"), F.explode(F.array(*map(band, range(BANDS)))).alias("key"))
-    buckets = members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("most")).where("a < most").select("key", "a")
+    others = F.array(*(F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(PIVOTS)))
+    buckets = members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("most"), others.alias("others"), F.count("*").alias("n")).where("a < most")
+    buckets = buckets.select("key", F.when(F.col("n") > LARGE, F.array_distinct(F.concat(F.array("a"), "others"))).otherwise(F.array("a")).alias("pivots"))
     members = materialize(members.join(buckets, "key"))
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    stars = materialize(members.where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    stars = members.select("id", F.explode("pivots").alias("pivot")).where("id <> pivot")
+    stars = materialize(stars.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
+    members = members.select("key", "id")
     links = materialize(confirmed(survivors(stars, own, threshold_pct, miss), texts, threshold_pct))
     tested, last, rounds = stars, False, 0
     while not last:
         found = components(links)
-        grouped = members.join(found, members["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        grouped = materialize(members.join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component")))
         sizes = grouped.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("c")).where("c > 1")
         sizes = materialize(sizes.select("key", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("across")))
         n, across = sizes.agg(F.sum("n"), F.sum("across")).first()
@@ -177,11 +181,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             break
         last = across <= FEW * n or rounds == ROUNDS
         open_ = materialize(grouped.join(sizes.select("key"), "key", "left_semi"))
+        members = open_.select("key", "id")
         if last:
             x, y = open_.alias("x"), open_.alias("y")
             met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         else:
-            pivots = open_.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(rounds))).alias("pivot"))
+            drawn = F.array(*(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(PIVOTS * (rounds + 1) + k))) for k in range(PIVOTS)))
+            pivots = open_.groupBy("key").agg(F.array_distinct(drawn).alias("pivots")).select("key", F.explode("pivots").alias("pivot"))
             met = open_.join(pivots, "key").where("component <> pivot.component").select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
         met = materialize(met.distinct().join(tested, ["a", "b"], "left_anti"))
         links = materialize(links.union(confirmed(survivors(met, own, threshold_pct, miss), texts, threshold_pct)))
