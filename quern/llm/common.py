@@ -127,16 +127,16 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn, each two aggregations and joins; every round is a table in the shared folder.
     Rows of a node are summed up by partial aggregation, so a node with very many edges is no problem."""
     pairs = materialize(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct())
+    state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     while True:
         both = pairs.union(pairs.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m")
-        large = both.join(least, "a").where("b > a").selectExpr("b AS a", "m AS b")
-        large = large.where("a <> b").distinct()
+        # What comes of a pair (a, b), a > b, at b's star is (a, least of b); it is smaller than a, so the second step needs no further check.
+        large = pairs.join(least.withColumnRenamed("a", "b"), "b").select("a", F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").selectExpr("b AS a", "m AS b").union(least.select("a", "m")).where("a <> b").distinct()
-        small = materialize(small)
-        state = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state(small) == state(pairs):
-            break
+        small = materialize(large.join(least, "a").selectExpr("b AS a", "m AS b").union(least.select("a", "m")).where("a <> b").distinct())
+        before, state = state, small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         pairs = small
+        if state == before:
+            break
     return pairs.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.col("m").alias("component")).union(pairs.select("b", "b").distinct())

@@ -24,9 +24,9 @@ MISS = 1e-6
 THRESHOLD_PCT = 75
 #: Up to so many ids are broadcast (16 MB); beyond it, tables meet by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: All of a bucket meet its least id, and in buckets of more than LARGE also PIVOTS others, drawn by hash. Buckets that still hold several
-#: components draw anew for at most ROUNDS rounds, until pairs across components are FEW a member; then these pairs are compared, all of them.
-LARGE, PIVOTS, ROUNDS, FEW = 16, 5, 2, 4
+#: All of a bucket meet its least id. Buckets that still hold several components draw PIVOTS others by hash, for at most ROUNDS rounds, or until
+#: pairs across components are FEW a member; then these pairs are compared, all of them.
+PIVOTS, ROUNDS, FEW = 4, 1, 4
 _SEEDS = mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
 
 
@@ -160,14 +160,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = materialize(sigs.select("doc_id", "signature").join(firsts.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi"))
     band = lambda k: F.xxhash64(F.lit(k), F.substring("signature", 2 * ROWS * k + 1, 2 * ROWS))
     members = own.select(F.col("doc_id").alias("id"), F.explode(F.array(*map(band, range(BANDS)))).alias("key"))
-    others = F.array(*(F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(PIVOTS)))
-    buckets = members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("most"), others.alias("others"), F.count("*").alias("n")).where("a < most")
-    buckets = buckets.select("key", F.when(F.col("n") > LARGE, F.array_distinct(F.concat(F.array("a"), "others"))).otherwise(F.array("a")).alias("pivots"))
+    buckets = members.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot < most").select("key", "pivot")
     members = materialize(members.join(buckets, "key"))
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    stars = members.select("id", F.explode("pivots").alias("pivot")).where("id <> pivot")
-    stars = materialize(stars.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
+    stars = materialize(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
     members = members.select("key", "id")
     links = materialize(confirmed(survivors(stars, own, threshold_pct, miss), texts, threshold_pct))
     tested, last, rounds = stars, False, 0
@@ -186,7 +183,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             x, y = open_.alias("x"), open_.alias("y")
             met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         else:
-            drawn = F.array(*(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(PIVOTS * (rounds + 1) + k))) for k in range(PIVOTS)))
+            drawn = F.array(*(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(PIVOTS * rounds + k))) for k in range(PIVOTS)))
             pivots = open_.groupBy("key").agg(F.array_distinct(drawn).alias("pivots")).select("key", F.explode("pivots").alias("pivot"))
             met = open_.join(pivots, "key").where("component <> pivot.component").select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
         met = materialize(met.distinct().join(tested, ["a", "b"], "left_anti"))
