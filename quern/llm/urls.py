@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,8 +94,10 @@ def judge(rules: DigestArray, hosts: list[str], paths: list[str], default: str)
 
 def publish(spark: SparkSession, data: bytes) -> str:
     """Put data into the shared folder, for every executor to fetch; the name under which SparkFiles has it."""
-    name = f"urls-{hashlib.sha256(data).hexdigest()[:24]}.bin"
-    jvm, path = spark.sparkContext._jvm, f"{scratch_dir(spark)}/{name}"
+    folder = scratch_dir(spark)
+    # The file server of a session takes a name once only.
+    name = f"urls-{folder.rpartition('-')[2]}.bin"
+    jvm, path = spark.sparkContext._jvm, f"{folder}/{name}"
     target = jvm.org.apache.hadoop.fs.Path(path)
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out = files.create(target, True)
