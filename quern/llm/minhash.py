@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from math import comb
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import components, joined_bytes, lower_ascii, map_texts, materialize, mix64, window_hashes, word_hashes, word_spans
@@ -24,9 +25,10 @@ MISS = 1e-6
 THRESHOLD_PCT = 75
 #: Up to so many ids are broadcast (16 MB); beyond it, tables meet by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: All of a bucket meet its least id. Buckets that still hold several components draw PIVOTS others by hash, for at most ROUNDS rounds, or until
-#: pairs across components are FEW a member; then these pairs are compared, all of them.
-PIVOTS, ROUNDS, FEW = 4, 1, 4
+#: The first batch compared: one bit of each place, as so many numbers of 64 bits, inside the join of a bucket.
+SKETCH = [f"p{k}" for k in range(HASHES // 64)]
+#: Texts of buckets that stay open also get a bitmap: the parity of 1,024 groups of shingles.
+BITMAP = [f"b{k}" for k in range(16)]
 _SEEDS = mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
 
 
@@ -59,7 +61,7 @@ def signature(shingles: np.ndarray) -> bytes:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, text_key (128 bits of the words in their order) and signature; both null without words."""
+    """doc_id, n_shingles, text_key (128 bits of the words in their order), signature, and its SKETCH; null without words (sketch: 0)."""
 
     def rows(ids: pa.Array, texts: pa.Array) -> dict:
         sets = shingle_hashes(texts)
@@ -72,25 +74,59 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
             place = np.arange(1, b - a + 1, dtype=np.uint64)
             keys.append(b"".join(int(mix64(hashes[a:b] + place * np.uint64(m)).sum()).to_bytes(8, "little") for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)) if b > a else None)
-        return {"doc_id": ids, "n_shingles": [len(x) for x in sets], "text_key": pa.array(keys, pa.binary()), "signature": pa.array([signature(x) if len(x) else None for x in sets], pa.binary())}
+        signed = [signature(x) if len(x) else None for x in sets]
+        places = np.frombuffer(b"".join(x or bytes(2 * HASHES) for x in signed), np.uint16).reshape(-1, HASHES)
+        sketch = np.packbits((places & 1).astype(np.uint8), axis=1).view(np.int64)
+        out = {"doc_id": ids, "n_shingles": [len(x) for x in sets], "text_key": pa.array(keys, pa.binary()), "signature": pa.array(signed, pa.binary())}
+        return out | {c: sketch[:, k] for k, c in enumerate(SKETCH)}
 
-    return map_texts(df, id_col, text_col, "doc_id long, n_shingles long, text_key binary, signature binary", rows)
+    return map_texts(df, id_col, text_col, "doc_id long, n_shingles long, text_key binary, signature binary, " + ", ".join(f"{c} long" for c in SKETCH), rows)
+
+
+def posterior(n: int, equal: int, t: float) -> float:
+    """The posterior probability, under a uniform prior, that places are equal with probability t at least when `equal` of n are.
+
+    The probability is distributed as Beta(equal + 1, n - equal + 1); it reaches t as often as at most `equal` of n + 1 draws of probability t succeed."""
+    return sum(comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m) for m in range(equal + 1))
+
+
+def possible(x: str, y: str, threshold_pct: int, miss: float) -> Column:
+    """Whether two rows of n and SKETCH may reach the threshold: by their sizes, which is exact, and by the posterior bound on their equal bits.
+
+    Bits of a place are equal with probability (1 + similarity) / 2."""
+    least = next(m for m in range(HASHES + 1) if posterior(HASHES, m, (1 + threshold_pct / 100) / 2) >= miss)
+    return (100 * F.least(f"{x}.n", f"{y}.n") >= threshold_pct * F.greatest(f"{x}.n", f"{y}.n")) & (differing(x, y, SKETCH) <= HASHES - least)
+
+
+def differing(x: str, y: str, columns: list[str]) -> Column:
+    """In how many bits the columns of two rows differ."""
+    return reduce(add, (F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in columns))
+
+
+def overlapping(x: str, y: str, threshold_pct: int) -> Column:
+    """An exact bound for two rows of n and BITMAP: sets differ in as many shingles at least as their bitmaps in bits."""
+    return (100 + threshold_pct) * differing(x, y, BITMAP) <= (100 - threshold_pct) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    odd = np.bincount((shingles & np.uint64(64 * len(BITMAP) - 1)).astype(np.int64), minlength=64 * len(BITMAP)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """id and BITMAP of texts (id, text)."""
+
+    def rows(ids: pa.Array, part: pa.Array) -> dict:
+        bits = np.stack([bitmap(x) for x in shingle_hashes(part)])
+        return {"id": ids} | {c: bits[:, k] for k, c in enumerate(BITMAP)}
+
+    return map_texts(texts, "id", "text", "id long, " + ", ".join(f"{c} long" for c in BITMAP), rows)
 
 
 @cache
 def least_matches(threshold_pct: int, miss: float) -> np.ndarray:
-    """For 1 to HASHES // BATCH batches: the fewest equal places with which a pair stays.
-
-    With a uniform prior, m equal places of n leave the similarity distributed as Beta(m + 1, n - m + 1);
-    it reaches t with the probability that at most m of n + 1 independent draws of probability t succeed."""
-    t, out = threshold_pct / 100, []
-    for n in range(BATCH, HASHES + 1, BATCH):
-        reached, m = 0.0, -1
-        while reached < miss:
-            m += 1
-            reached += comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
-        out.append(m)
-    return np.array(out)
+    """For 1 to HASHES // BATCH batches: the fewest equal places with which a pair stays."""
+    return np.array([next(m for m in range(n + 1) if posterior(n, m, threshold_pct / 100) >= miss) for n in range(BATCH, HASHES + 1, BATCH)])
 
 
 def plausible(a: np.ndarray, b: np.ndarray, threshold_pct: int, miss: float) -> np.ndarray:
@@ -119,10 +155,10 @@ def survivors(pairs: DataFrame, sigs: DataFrame, threshold_pct: int, miss: float
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def only(df: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
-    """df joined (left_semi or left_anti) with ids (column id); ids are counted, and broadcast if they are at most BROADCAST_IDS."""
+def only(df: DataFrame, key: str, ids: DataFrame, how: str, id_col: str = "id") -> DataFrame:
+    """df joined (left_semi or left_anti) with ids (column id_col); ids are counted, and broadcast if they are at most BROADCAST_IDS."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, F.col(key) == F.col("id"), how)
+    return df.join(F.broadcast(ids) if few else ids, F.col(key) == F.col(id_col), how)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, threshold_pct: int) -> DataFrame:
@@ -151,44 +187,38 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (doc_id is the component's).
 
     Texts of equal words are linked by their key and stand for one another. Of the others, each bucket of equal bands first compares all
-    with its pivots, then across the components that it still holds, and only across: links inside a component don't change it.
+    with its least id. Texts of buckets that still hold several components get bitmaps of their sets, which bound how much two have in common,
+    and are compared across the components, and only across: links inside a component don't change it.
     No bucket is cut, and none is collected into one task.
     Null and empty texts: 0 shingles, a component of their own. Repeated rows with one doc_id give that many equal rows; a null doc_id links
     with nothing and is kept. Other columns are not read."""
     sigs = materialize(signatures(df, id_col, text_col))
     firsts = materialize(sigs.where("signature IS NOT NULL AND doc_id IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("first_id")))
-    own = materialize(sigs.select("doc_id", "signature").join(firsts.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi"))
-    band = lambda k: F.xxhash64(F.lit(k), F.substring("signature", 2 * ROWS * k + 1, 2 * ROWS))
-    members = own.select(F.col("doc_id").alias("id"), F.explode(F.array(*map(band, range(BANDS)))).alias("key"))
-    buckets = members.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot < most").select("key", "pivot")
-    members = materialize(members.join(buckets, "key"))
+    own = materialize(sigs.join(firsts.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "text_key"]).drop("text_key"))
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-
-    stars = materialize(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    members = members.select("key", "id")
-    links = materialize(confirmed(survivors(stars, own, threshold_pct, miss), texts, threshold_pct))
-    tested, last, rounds = stars, False, 0
-    while not last:
-        found = components(links)
-        grouped = materialize(members.join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component")))
-        sizes = grouped.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("c")).where("c > 1")
-        sizes = materialize(sizes.select("key", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("across")))
-        n, across = sizes.agg(F.sum("n"), F.sum("across")).first()
-        if not n:
-            break
-        last = across <= FEW * n or rounds == ROUNDS
-        open_ = materialize(grouped.join(sizes.select("key"), "key", "left_semi"))
-        members = open_.select("key", "id")
-        if last:
-            x, y = open_.alias("x"), open_.alias("y")
-            met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        else:
-            drawn = F.array(*(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(PIVOTS * rounds + k))) for k in range(PIVOTS)))
-            pivots = open_.groupBy("key").agg(F.array_distinct(drawn).alias("pivots")).select("key", F.explode("pivots").alias("pivot"))
-            met = open_.join(pivots, "key").where("component <> pivot.component").select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
-        met = materialize(met.distinct().join(tested, ["a", "b"], "left_anti"))
-        links = materialize(links.union(confirmed(survivors(met, own, threshold_pct, miss), texts, threshold_pct)))
-        tested, rounds = tested.union(met), rounds + 1
+    band = lambda k: F.xxhash64(F.lit(k), F.substring("signature", 2 * ROWS * k + 1, 2 * ROWS))
+    keys = F.explode(F.array(*map(band, range(BANDS)))).alias("key")
+    sketch = [F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("n"), *SKETCH]
+
+    near = (F.col("x.key") == F.col("y.key")) & possible("x", "y", threshold_pct, miss)
+    pair = (F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    confirm = lambda pairs: confirmed(survivors(pairs, own, threshold_pct, miss), texts, threshold_pct)
+
+    buckets = own.select("doc_id", keys).groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last")
+    buckets = buckets.join(own.select(*sketch), F.col("pivot") == F.col("id")).select("key", "id", "n", *SKETCH).alias("x")
+    tested = materialize(own.select(*sketch, keys).alias("y").join(buckets, near & (F.col("x.id") < F.col("y.id"))).select(*pair).distinct())
+    links = materialize(confirm(tested))
+
+    grouped = own.join(components(links), F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id"))
+    grouped = materialize(grouped.select("signature", "component", *sketch)).select("id", "n", *SKETCH, "component", keys)
+    open_ = grouped.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("last")).where("least < last").select("key")
+    members = materialize(grouped.join(open_, "key", "left_semi"))
+    open_texts = only(texts, "id", materialize(members.select(F.col("id").alias("open_id")).distinct()), "left_semi", "open_id")
+    members = materialize(members.join(bitmaps(open_texts), "id"))
+    near = near & overlapping("x", "y", threshold_pct)
+    across = members.alias("x").join(members.alias("y"), near & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))).select(*pair).distinct()
+    across = materialize(across.join(tested, ["a", "b"], "left_anti"))
+    links = materialize(links.union(confirm(across)))
     found = materialize(components(links))
     out = sigs.select("doc_id", "n_shingles", "text_key").join(firsts, "text_key", "left").join(found, F.col("first_id") == F.col("node"), "left")
     component = F.coalesce("component", "first_id", "doc_id")
