@@ -202,3 +202,12 @@ def test_pipeline(spark):
         assert kept.columns == docs.columns
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
     assert corpus_pipeline.run(spark, SMALL).count() == kept.count() > 0
+
+
+def test_bitmaps_bound_differences():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 40, 900, 5000):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate((x[n // 8 :], rng.integers(0, 1 << 63, n // 9, dtype=np.uint64))))
+        apart = sum(int(v & (1 << 64) - 1).bit_count() for v in (minhash.bitmap(x) ^ minhash.bitmap(y)).tolist())
+        assert apart <= len(np.setxor1d(x, y))
