@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from functools import cache
 from heapq import heappop, heappush
 
@@ -19,6 +20,8 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 #: A task keeps the ids of up to twice so many short chunks of text; it only saves time.
 CACHED = 200_000
 _LONG = 64
+#: A blank beside other white space.
+_WIDE = re.compile(r" (?:\s|(?<=\s ))")
 
 
 class RankQueue:
@@ -45,6 +48,22 @@ class RankQueue:
             self.top |= 1 << a
         self.low[a] |= self.bits[rank & 255]
 
+    def fill(self, ranks: list[int]) -> None:
+        """Push the ranks, from left to right, that aren't -1. A place waits outside while the one to its left has a rank that goes first."""
+        buckets, low, bits = self.buckets, self.low, self.bits
+        left = -1
+        for position, rank in enumerate(ranks):
+            if rank >= 0 and not 0 <= left <= rank:
+                if rank in buckets:
+                    self.push(rank, position)
+                else:
+                    buckets[rank] = position
+                    a = rank >> 8
+                    if not low[a]:
+                        self.top |= 1 << a
+                    low[a] |= bits[rank & 255]
+            left = rank
+
     def pop(self) -> tuple[int, int]:
         """The least rank and its leftmost position; (-1, -1) if there is none."""
         top = self.top
@@ -91,31 +110,42 @@ class Codec:
         # Part i is piece[i:after[i]]; before[i] starts the part in front of it. rank[i] is that of part i with the next, -1 if it is none or has gone.
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        rank = [-1] * n
-        get, push, pop = ranks.get, self.queue.push, self.queue.pop
-        for i in range(n - 1):
-            if (r := get(piece[i : i + 2])) is not None:
-                rank[i] = r
-                push(r, i)
-        while True:
-            r, i = pop()
-            if r < 0:
-                break
+        rank = [ranks.get(piece[i : i + 2], -1) for i in range(n - 1)]
+        rank.append(-1)
+        # The loop pops the queue in place, which is most of the time of short pieces; it leaves the queue empty.
+        get, queue, push = ranks.get, self.queue, self.queue.push
+        buckets, low = queue.buckets, queue.low
+        queue.fill(rank)
+        while top := queue.top:
+            a = (top & -top).bit_length() - 1
+            word = low[a]
+            bit = word & -word
+            r = a << 8 | bit.bit_length() - 1
+            bucket = buckets[r]
+            i = bucket if type(bucket) is int else heappop(bucket)
+            if i is bucket or not bucket:
+                del buckets[r]
+                low[a] = word = word ^ bit
+                if not word:
+                    queue.top = top & (top - 1)
             if rank[i] != r:
                 continue
             j = after[i]
             k = after[i] = after[j]
-            rank[j] = rank[i] = -1
+            gone, rank[j] = rank[j], -1
             if k < n:
                 before[k] = i
-                if (new := get(piece[i : after[k]])) is not None:
-                    rank[i] = new
+                if 0 <= gone <= rank[k]:
+                    push(rank[k], k)  # it may have waited for the pair that has gone
+                rank[i] = new = get(piece[i : after[k]], -1)
+                if new >= 0:
                     push(new, i)
+            else:
+                rank[i] = -1
             h = before[i]
             if h >= 0:
-                new = get(piece[h:k])
-                rank[h] = -1 if new is None else new
-                if new is not None:
+                rank[h] = new = get(piece[h:k], -1)
+                if new >= 0:
                     push(new, h)
         ids = []
         i = 0
@@ -134,26 +164,33 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text.
 
-        No match of the pattern crosses the place before a single blank, so texts are split there and ids of short chunks are kept for the next time."""
-        if "  " in text:
+        No match of the pattern crosses the place before a blank between other characters, so texts whose blanks stand so are split there and
+        ids of short chunks are kept for the next time."""
+        if _WIDE.search(text):
             return self.chunk(text)
         first, *rest = text.split(" ")
         out = self.chunk(first)
-        recent, older = self.recent, self.older
         for word in rest:
-            ids = recent.get(word)
-            if ids is None:
-                ids = older.get(word)
-                if ids is None:
-                    ids = self.chunk(" " + word)
-                if len(word) <= _LONG:
-                    if len(recent) >= CACHED:
-                        self.older, self.recent = recent, {}
-                        recent, older = self.recent, self.older
-                    recent[word] = ids
-            out += ids
+            ids = self.recent.get(word)
+            out += self.word(word) if ids is None else ids
         return out
 
+    def word(self, word: str) -> list[int]:
+        """The ids of a blank and a word. Those of its first match are kept too: the same word with other marks behind it starts with them."""
+        if (ids := self.older.get(word)) is None:
+            first, *rest = self.pattern.findall(" " + word)
+            if rest and len(first) > 1:
+                ids = self.recent.get(first[1:]) or self.word(first[1:])
+            else:
+                ids = self.merge(first.encode())
+            for piece in rest:
+                ids = ids + self.merge(piece.encode())
+        if len(word) <= _LONG:
+            if len(self.recent) >= CACHED:
+                self.older, self.recent = self.recent, {}
+            self.recent[word] = ids
+        return ids
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
