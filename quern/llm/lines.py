@@ -24,22 +24,26 @@ def words(line: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """A constant array: for each counter of words, the class of its frequency over all texts."""
-    counted = docs.select(F.explode(words(F.translate("text", "\n", " "))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("k")).count()
-    levels = ["0"] * COUNTERS
-    for k, level in counted.select("k", F.floor(F.log2(F.col("count") + 1) * 2).cast("int")).collect():
-        levels[k] = str(level)
-    return F.split(F.lit(",".join(levels)), ",").cast("array<tinyint>")
+    """For each counter of words, the class of its frequency over all texts: an array, as a scalar subquery over a table of one row.
 
+    The counters number COUNTERS at any size of the input; the plans that use them don't hold them."""
+    counted = docs.select(F.explode_outer(words(F.translate("text", "\n", " "))).alias("w")).where("w IS NOT NULL").groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("k")).count()
+    every = docs.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("k"), F.lit(0).cast("long").alias("count"))
+    classes = counted.union(every).groupBy("k").agg(F.floor(F.log2(F.sum("count") + 1) * 2).cast("tinyint").alias("level"))
+    return materialize(classes.agg(F.sort_array(F.collect_list(F.struct("k", "level"))).getField("level").alias("levels"))).scalar()
 
-def ranked(line: Column, levels: Column) -> Column:
-    """The distinct words of a line, rarest first: numbers of a class of frequency and 55 bits of hash."""
+
+def ranked(line: Column) -> Column:
+    """The distinct words of a line, rarest first: numbers of a class of frequency (from the column levels) and 55 bits of hash."""
     hashes = F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long"), 55).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get("levels", F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long"), 55).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def numbered_sets(docs: DataFrame, levels: Column) -> DataFrame:
+    """doc_id, line_no, set (ranked words) of each line. Sets are made before they become rows, and
+    exploded as "outer": filters on the rows, or on the size of the array, would make them again. Null texts give one row of nulls."""
+    sets = docs.withColumn("levels", levels).select("doc_id", F.transform(F.split("text", "\n"), ranked).alias("sets"))
+    return sets.select("doc_id", F.posexplode_outer("sets").alias("line_no", "set"))
 
 
 def matches(pairs: DataFrame, docs: DataFrame, levels: Column, similarity: float) -> DataFrame:
@@ -48,8 +52,9 @@ def matches(pairs: DataFrame, docs: DataFrame, levels: Column, similarity: float
     ends = pairs.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line_no")).union(pairs.select("yd", "yl"))
     wanted = materialize(ends.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted")))
     few = wanted.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
-    lines = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", F.explode("wanted").alias("line_no"), F.split("text", "\n").alias("all")).select("doc_id", "line_no", F.get("all", F.col("line_no")).alias("line"))
-    sets = materialize(lines.where("line IS NOT NULL").select("doc_id", "line_no", ranked(F.col("line"), levels).alias("set")))
+    found = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "wanted", F.split("text", "\n").alias("all"))
+    lines = found.select("doc_id", F.explode_outer(F.transform("wanted", lambda k: F.struct(k.alias("line_no"), F.get("all", k).alias("line")))).alias("at")).select("doc_id", "at.*")
+    sets = materialize(lines.where("line IS NOT NULL").withColumn("levels", levels).select("doc_id", "line_no", ranked(F.col("line")).alias("set")))
     both = pairs.join(sets.toDF("yd", "yl", "ys"), ["yd", "yl"]).join(sets.toDF("xd", "xl", "xs"), ["xd", "xl"])
     shared = F.size(F.array_intersect("xs", "ys"))
     return both.where(shared >= F.lit(similarity) * (F.size("xs") + F.size("ys") - shared) - F.lit(1e-9)).select(F.col("yd").alias("doc_id"), F.col("yl").alias("line_no")).distinct()
@@ -75,7 +80,7 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
     docs = docs.where("doc_id IS NOT NULL")
     levels = rarity(docs)
     size = F.size("set")
-    lines = numbered(docs).select("doc_id", "line_no", ranked(F.col("line"), levels).alias("set")).where(size >= min_words)
+    lines = numbered_sets(docs, levels).where(size >= min_words)
     least = F.ceil(F.lit(similarity) * size - F.lit(1e-9))
     # Lines in which not a single word may differ need no bucket. Words of a prefix are 32 bits of hash: equal ones of different words only add candidates.
     prefix = F.when(least < size, F.transform(F.slice("set", 1, (size - least + 1).cast("int")), lambda h: F.hash(h)))
