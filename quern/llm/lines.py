@@ -82,8 +82,9 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
     size = F.size("set")
     lines = numbered_sets(docs, levels).where(size >= min_words)
     least = F.ceil(F.lit(similarity) * size - F.lit(1e-9))
-    # Lines in which not a single word may differ need no bucket. Words of a prefix are 32 bits of hash: equal ones of different words only add candidates.
-    prefix = F.when(least < size, F.transform(F.slice("set", 1, (size - least + 1).cast("int")), lambda h: F.hash(h)))
+    # A line's closest other set is that of one word more. Lines for which even that is too far match equal sets only and need no bucket.
+    # Words of a prefix are 32 bits of hash: equal ones of different words only add candidates.
+    prefix = F.when(size >= F.lit(similarity) * (size + 1) - F.lit(1e-9), F.transform(F.slice("set", 1, (size - least + 1).cast("int")), lambda h: F.hash(h)))
     bits = F.aggregate("set", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
     lines = materialize(lines.select("doc_id", "line_no", F.xxhash64("set").alias("k"), F.struct(size.alias("n"), bits.alias("bits"), prefix.alias("prefix")).alias("line")))
     firsts = materialize(lines.groupBy("k").agg(F.min_by(F.struct("doc_id", "line_no", "line"), F.struct("doc_id", "line_no")).alias("f"), F.count("*").alias("c")))

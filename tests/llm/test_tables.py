@@ -141,6 +141,21 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_short_lines(spark):
+    """Lines of 5 to 12 words and parts of them: at 0.9, one of 9 words matches one of the same and another word; other similarities too."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for d in range(80):
+        base = [f"b{rng.integers(0, 6)}_{k}" for k in range(12)]
+        text = [" ".join(base[:n] + ([f"x{rng.integers(0, 99)}"] if rng.random() < 0.5 else [])) for n in rng.integers(5, 12, 5)]
+        rows.append((d, "\n".join(text), "s"))
+    nine = " ".join(f"w{k}" for k in range(9))
+    rows += [(100, nine, "s"), (101, f"{nine} w9", "s"), (102, " ".join(f"v{k}" for k in range(10)), "s"), (103, " ".join(f"v{k}" for k in range(9)), "s")]
+    for similarity in (0.9, 0.8):
+        got = {(r.row.doc_id, k) for r in lines.dedup_lines(frame(spark, rows), similarity=similarity).collect() for k in r.removed}
+        assert got == brute_removed(rows, similarity) and {(101, 0), (103, 0)} <= got
+
+
 def test_pii(spark):
     text = "Mr John Smith wrote to ann.lee7@mail.example.com from 10.20.30.40, +1 (771) 555-1655, card 4539578763621486, id 4539578763621487.\nMrs Smith, token = \"0641917ea4e9feb9cda83477b57ac2654884f485\" ann.lee7@mail.example.com"
     rows = [(1, text, "s"), (2, "plain words only", "s"), (3, None, "s"), (4, "", "s"), (5, "x ann.lee7@mail.example.com y", "s")]
