@@ -9,17 +9,30 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import materialize
 
-#: Lines match at this Jaccard similarity of their sets of words; lines with fewer words than MIN_WORDS are left alone.
+#: Lines match at this Jaccard similarity of their sets of words; callers of dedup_lines that don't say otherwise leave lines with fewer words than MIN_WORDS alone.
 SIMILARITY, MIN_WORDS = 0.9, 5
+#: The query and the stage take every line with a word.
+EVERY = 1
 #: Counters of word frequency; words share one by hash. Their number is fixed, so they can be a constant of the plan at any input size.
 COUNTERS = 1 << 16
 #: Up to so many documents' lists of lines are broadcast, if they have at most 16 times as many lines; beyond it, tables meet by a shuffle.
 BROADCAST_DOCS = 250_000
 _LOW = (1 << 55) - 1
+# White space other than blanks and line feeds, and characters of scripts that write without blanks.
+_GAPS = r"\t\x0B-\r\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+_UNSPACED = r"[\u0E00-\u0EFF\u0F00-\u0FFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}]"
+# One quick look for either: a few ranges that have them all, and some more.
+_RARE = r"[\t\x0B-\r\x1C-\x1F\x85\xA0\u0E00-\u17FF\u2000-\u205F\u3000-\x{3FFFF}]"
+
+
+def plain(text: Column) -> Column:
+    """text with a blank for other white space but line feeds, and blanks around tokens where a script has none: each character with its follower, a run's last one alone."""
+    spaced = F.regexp_replace(F.regexp_replace(text, f"[{_GAPS}]", " "), f"({_UNSPACED})(?=({_UNSPACED})?)", " $1$2 ")
+    return F.when(text.rlike(_RARE), spaced).otherwise(text)
 
 
 def words(line: Column) -> Column:
-    """The words of a line in lower case: what stands between blanks."""
+    """The words of a line that plain() has made, in lower case: what stands between blanks."""
     return F.array_remove(F.split(F.lower(line), " "), "")
 
 
@@ -27,7 +40,7 @@ def rarity(docs: DataFrame) -> Column:
     """For each counter of words, the class of its frequency over all texts: an array, as a scalar subquery over a table of one row.
 
     The counters number COUNTERS at any size of the input; the plans that use them don't hold them."""
-    counted = docs.select(F.explode_outer(words(F.translate("text", "\n", " "))).alias("w")).where("w IS NOT NULL").groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("k")).count()
+    counted = docs.select(F.explode_outer(words(F.translate(plain(F.col("text")), "\n", " "))).alias("w")).where("w IS NOT NULL").groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("k")).count()
     every = docs.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("k"), F.lit(0).cast("long").alias("count"))
     classes = counted.union(every).groupBy("k").agg(F.floor(F.log2(F.sum("count") + 1) * 2).cast("tinyint").alias("level"))
     return materialize(classes.agg(F.sort_array(F.collect_list(F.struct("k", "level"))).getField("level").alias("levels"))).scalar()
@@ -42,7 +55,7 @@ def ranked(line: Column) -> Column:
 def numbered_sets(docs: DataFrame, levels: Column) -> DataFrame:
     """doc_id, line_no, set (ranked words) of each line. Sets are made before they become rows, and
     exploded as "outer": filters on the rows, or on the size of the array, would make them again. Null texts give one row of nulls."""
-    sets = docs.withColumn("levels", levels).select("doc_id", F.transform(F.split("text", "\n"), ranked).alias("sets"))
+    sets = docs.withColumn("levels", levels).select("doc_id", F.transform(F.split(plain(F.col("text")), "\n"), ranked).alias("sets"))
     return sets.select("doc_id", F.posexplode_outer("sets").alias("line_no", "set"))
 
 
@@ -52,7 +65,7 @@ def matches(pairs: DataFrame, docs: DataFrame, levels: Column, similarity: float
     ends = pairs.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line_no")).union(pairs.select("yd", "yl"))
     wanted = materialize(ends.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted")))
     few = wanted.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
-    found = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "wanted", F.split("text", "\n").alias("all"))
+    found = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "wanted", F.split(plain(F.col("text")), "\n").alias("all"))
     lines = found.select("doc_id", F.explode_outer(F.transform("wanted", lambda k: F.struct(k.alias("line_no"), F.get("all", k).alias("line")))).alias("at")).select("doc_id", "at.*")
     sets = materialize(lines.where("line IS NOT NULL").withColumn("levels", levels).select("doc_id", "line_no", ranked(F.col("line")).alias("set")))
     both = pairs.join(sets.toDF("yd", "yl", "ys"), ["yd", "yl"]).join(sets.toDF("xd", "xl", "xs"), ["xd", "xl"])
@@ -113,7 +126,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     The order of lines is that of doc_id, then of the text. Null texts stay null; a null doc_id keeps its text; empty lines, and those with
     fewer than min_words distinct words, stay. Rows that repeat a doc_id count as one document with the text of each, and each loses the lines
-    removed from any. Words are what stands between blanks, in lower case."""
+    removed from any. Words are what stands between white space, in lower case; of scripts without blanks, pairs of characters."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     gone = materialize(removed_lines(docs, similarity, min_words).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed")))
     counts = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()
@@ -127,12 +140,12 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_removed, removed (numbers of lines, from 0), and the SHA-256 digest of the text left."""
-    rows = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_words=EVERY)
     return rows.select("row.doc_id", F.size("removed").cast("long").alias("n_removed"), "removed", F.sha2("row.text", 256).alias("text_sha256"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without the lines removed; those without a word left, copies of earlier ones, go. The columns of docs."""
     columns = docs.columns
-    rows = dedup_lines(docs).where((F.size("removed") == 0) | F.col("row.text").rlike(r"[^\x20\x09-\x0D]")).select("row.*")
+    rows = dedup_lines(docs, min_words=EVERY).where((F.size("removed") == 0) | F.col("row.text").rlike(r"[^\x20\x09-\x0D]")).select("row.*")
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*columns) if "n_chars" in columns else rows

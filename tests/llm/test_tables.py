@@ -156,6 +156,17 @@ def test_line_dedup_short_lines(spark):
         assert got == brute_removed(rows, similarity) and {(101, 0), (103, 0)} <= got
 
 
+def test_line_dedup_takes_every_line_with_a_word(spark, tmp_path):
+    chinese = "这是一个没有空格的句子它在两篇文档中都出现而且足够长所以应该被当作重复的行删除"
+    tabs = "\t".join(f"t{k}" for k in range(20))
+    rows = [(1, f"Les.\n\n \t\n{chinese}\n{tabs}", "s"), (2, f"les.\n\n \t\n{chinese}啊\n{tabs}\u3000t20", "s"), (3, "Les. deux\n这是另一个完全不同的句子", "s"), (4, "deux les.\r", "s"), (5, None, "s")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.removed for r in lines.op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: [], 2: [0, 3, 4], 3: [], 4: [0], 5: []}
+    left = {r.doc_id: r.text for r in lines.stage(spark, frame(spark, rows), "").collect()}
+    assert left == {1: rows[0][1], 3: rows[2][1], 5: None}
+
+
 def test_pii(spark):
     text = "Mr John Smith wrote to ann.lee7@mail.example.com from 10.20.30.40, +1 (771) 555-1655, card 4539578763621486, id 4539578763621487.\nMrs Smith, token = \"0641917ea4e9feb9cda83477b57ac2654884f485\" ann.lee7@mail.example.com"
     rows = [(1, text, "s"), (2, "plain words only", "s"), (3, None, "s"), (4, "", "s"), (5, "x ann.lee7@mail.example.com y", "s")]
