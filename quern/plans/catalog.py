@@ -355,12 +355,7 @@ def build_tree(spark, d):
 
 @query("SELECT user_id, epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS bucket, count(*) AS n FROM events GROUP BY ALL")
 def stream_events_windowed(spark, d):
-    """The counters of rate_limit_tumbling, from a stream over the files of events, in complete mode to the end of what is there."""
-    import uuid
-
-    name = f"counts_{uuid.uuid4().hex}"
+    """The counters of rate_limit_tumbling, from a stream over the files of events, to the end of what is there, by a table in the shared folder."""
     files = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "*").parquet(f"{d}/events*.parquet")
-    counted = streams.rate_counts(files.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")).drop("limited")
-    run = counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    folder = streams.scratch(spark)
+    return streams.drain_counts(spark, files.withColumn("ts", F.col("ts").cast("timestamp")), f"{folder}/table", f"{folder}/state")

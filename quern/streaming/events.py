@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,3 +25,22 @@ def drain(spark: SparkSession, source: DataFrame, path: str, checkpoint: str, mo
     query = source.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name below the shared folder of the cluster (spark.checkpoint.dir); a folder in the warehouse where it is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/quern-stream-{uuid.uuid4().hex}"
+
+
+def drain_counts(spark: SparkSession, events: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """user_id, bucket, n of a stream of events, to the end of what is there, from a Parquet table that executors write.
+
+    Each batch's counts go to a folder of its number, which a repeated batch overwrites, and are added up when the table is read. No window is
+    held open, so an event counts however late it comes, and nothing is dropped. A restart goes on from the checkpoint."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        rate_counts(batch).drop("limited").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).groupBy("user_id", "bucket").agg(F.sum("n").alias("n"))

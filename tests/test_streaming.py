@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from quern.plans import catalog
 from quern.sources.tables import table
 from quern.streaming import events
 from tests.compare import SMALL
@@ -11,3 +12,20 @@ def test_stream_equals_batch(spark, tmp_path):
     out = events.drain(spark, kept, str(tmp_path / "out"), str(tmp_path / "state"))
     assert out.count() == table(spark, SMALL, "events").where("event_type = 'error'").count()
     assert events.drain(spark, kept, str(tmp_path / "out"), str(tmp_path / "state")).count() == out.count()
+
+
+def test_windows_are_read_from_a_table_of_the_shared_folder(spark):
+    """Not from the driver's memory."""
+    files = catalog.stream_events_windowed(spark, SMALL).inputFiles()
+    assert files and all(spark.conf.get("spark.checkpoint.dir") in f for f in files)
+
+
+def test_counts_add_up_over_batches(spark, tmp_path):
+    """Events that come days late, and a restart without new ones."""
+    rows = table(spark, SMALL, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    late = F.col("event_id") % 2 == 0
+    for part in (rows.where(~late), rows.where(late), rows.limit(0)):
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        out = events.drain_counts(spark, source, str(tmp_path / "out"), str(tmp_path / "state"))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, events.rate_counts(rows).drop("limited").collect()))
