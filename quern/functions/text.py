@@ -1,10 +1,30 @@
-"""Column expressions over text: trigrams, hashes, slugs, routing, numbering."""
+"""Column expressions over text: trigrams, hashes, slugs, routing, cleaning, numbering."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The characters that Unicode counts as white space, for a class of a Java regular expression.
+SPACE = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+# Words and parts of words that send a query to deep retrieval, in Chinese and English.
+DEEP_WORDS = (
+    "对比 相比 区别 差异 为什么 为何 原因 依据 条款 规定 影响 关系 如何 怎样 怎么 列出 总结 归纳 多少 哪些 哪个 是否 能否 可否 需要 流程 申请 步骤 手续 标准 政策 要求 增长 变化 趋势 吗 呢 "
+    "compare versus why reason differ difference according clause impact relationship summar trend change between process require policy step should"
+).split()
+#: Short words that must stand alone, or before white space.
+DEEP_FORMS = (r"\bvs\b", rf"how[{SPACE}]", rf"list[{SPACE}]")
+DEEP_LENGTH = 10
+# Mathematical symbols of a formula line.
+MATH = "∑∫√∞≤≥≠≈≅∀∃∈∉⊂⊆⊃∪∩∂∇∆∏≡∝⊥∠⇒⇔↦∮∭∬"
+
+
+def stripped(text: Column) -> Column:
+    """text without white space of any kind at its ends."""
+    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+
 
 def trigrams(text: Column) -> Column:
     """The set of trigrams: words of letters and digits in lower case, two blanks before and one after each."""
@@ -22,7 +42,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 def content_sha(text: Column) -> Column:
     """SHA-256 of the text without white space at its ends."""
-    return F.sha2(F.regexp_replace(text, r"^\s+|\s+$", ""), 256)
+    return F.sha2(stripped(text), 256)
 
 
 def slug(text: Column, length: int = 40) -> Column:
@@ -32,10 +52,8 @@ def slug(text: Column, length: int = 40) -> Column:
 
 def is_deep(query: Column) -> Column:
     """Whether a query goes to deep retrieval: ten characters or more, a question mark, or a word that asks for reasoning."""
-    # Words that ask for reasoning.
-    words = r"(?i)\b(?:why|how|compare|difference|between|explain|summari[sz]e|relationship|versus|vs)\b"
-    bare = F.regexp_replace(query, r"^\s+|\s+$", "")
-    return (F.length(bare) >= 10) | F.regexp_like(bare, F.lit(words)) | F.regexp_like(bare, F.lit("[?？]"))
+    bare = stripped(query)
+    return (F.length(bare) >= DEEP_LENGTH) | F.regexp_like(bare, F.lit("(?i)" + "|".join((*DEEP_WORDS, *DEEP_FORMS)))) | F.regexp_like(bare, F.lit("[?？]"))
 
 
 def token_estimate(text: Column) -> Column:
@@ -43,7 +61,78 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long")
 
 
+def entity_name(name: Column, length: int = 100) -> Column:
+    """A name with blanks for quotes, backslashes and line ends, without white space at its ends, cut at length; empty for null."""
+    return F.substring(stripped(F.regexp_replace(F.coalesce(name, F.lit("")), r"[\\'\"\n\r]", " ")), 1, length)
+
+
+def plain_markdown(text: Column) -> Column:
+    """Markdown without page markers, heading marks and images, with single blanks."""
+    without = F.regexp_replace(text, r"(?i)<!--[ \t]*page[ \t]+[0-9]+[ \t]*-->", " ")
+    without = F.regexp_replace(F.regexp_replace(without, rf"(?m)^#{{1,6}}[{SPACE}]+", ""), r"!\[[^\]]*\]\([^)]*\)", " ")
+    return stripped(F.regexp_replace(without, rf"[{SPACE}]+", " "))
+
+
+def vector_literal(vector: Column) -> Column:
+    """A vector as text: its numbers with six decimals, joined by commas, in brackets."""
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: F.format_string("%.6f", x.cast("double"))), ","), F.lit("]"))
+
+
+def parsed_vector(literal: Column) -> Column:
+    """The numbers of a vector literal."""
+    parts = F.split(F.regexp_replace(literal, rf"[\[\]{SPACE}]", ""), ",")
+    return F.transform(F.filter(parts, lambda x: x != ""), lambda x: x.try_cast("double"))
+
+
+def json_part(answer: Column, opening: str, closing: str) -> Column:
+    """What stands between the outermost brackets of an answer, with them; empty without both. Fences of code around it don't matter."""
+    start = F.locate(opening, answer)
+    back = F.locate(closing, F.reverse(answer))
+    return F.when((start > 0) & (back > 0) & (F.length(answer) - back + 1 > start), F.substring(answer, start, F.length(answer) - back - start + 2)).otherwise(F.lit(""))
+
+
+def is_formula(line: Column) -> Column:
+    """Whether a line is a formula: three mathematical symbols at least, and over a fifth of its characters."""
+    bare = stripped(line)
+    found = F.length(bare) - F.length(F.translate(bare, MATH, ""))
+    return F.coalesce((found >= 3) & (found > 0.2 * F.length(bare)), F.lit(False))
+
+
+def heading_level(size: Column, body: Column, bold: Column, text: Column) -> Column:
+    """1 for type half as large again as the body's, 2 for a quarter larger or bold lines under 40 characters, else null."""
+    return F.when(size >= 1.5 * body, 1).when((size >= 1.25 * body) | (bold & (F.length(text) < 40)), 2)
+
+
+def figure_marker(caption: Column, ref: Column, length: int = 360) -> Column:
+    """An image in Markdown with a caption of one line, cut at length with an ellipsis; wide brackets stand for brackets in it."""
+    one = stripped(F.regexp_replace(F.coalesce(caption, F.lit("")), rf"[{SPACE}]+", " "))
+    short = F.when(F.length(one) > length, F.concat(F.regexp_replace(F.substring(one, 1, length), rf"[{SPACE}]+$", ""), F.lit("\u2026"))).otherwise(one)
+    return F.concat(F.lit("!["), F.translate(short, "[]", "\uff3b\uff3b"), F.lit("]("), ref, F.lit(")"))
+
+
+def timecode(seconds: Column) -> Column:
+    """Minutes and seconds, each of two digits at least."""
+    whole = F.floor(seconds).cast("long")
+    return F.concat(F.lpad((whole / 60).cast("long").cast("string"), 2, "0"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))
+
+
+def html_escaped(text: Column) -> Column:
+    """text with references for the characters that HTML reserves, and line breaks as elements."""
+    pairs = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\n", "<br>"))
+    return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), pairs, text)
+
+
+def password_classes(password: Column) -> Column:
+    """How many of upper case, lower case, digits and marks (all of ASCII) a password has."""
+    # The marks that count.
+    forms = ("[A-Z]", "[a-z]", "[0-9]", r"[!@#$%^&*()\-_=+\[\]{};:,.<>?/|]")
+    return reduce(lambda a, b: a + b, (F.regexp_like(password, F.lit(p)).cast("int") for p in forms))
+
+
 def numbering_depth(title: Column) -> Column:
-    """Depth of a numbered heading: 2.1.3 is 3; chapters and appendices are 1; else null."""
-    dotted = F.regexp_extract(title, r"^(\d+(?:\.\d+)*)\.?\s", 1)
-    return F.when(dotted != "", F.size(F.split(dotted, r"\."))).when(F.regexp_like(title, F.lit(r"(?i)^(?:chapter|appendix)\b")), 1).cast("long")
+    """Depth of a numbered heading: 2.1.3 is 3; chapters, appendices and Roman numerals are 1; bullets and other titles have none."""
+    bare = stripped(title)
+    dotted = F.regexp_extract(bare, rf"^(\d+(?:\.\d+)*)[.)]?[{SPACE}]+[^{SPACE}]", 1)
+    chapter = F.regexp_like(bare, F.lit("(?iU)^(?:(?:chapter|appendix|附录|章)\\b|第[一二三四五六七八九十百\\d]+[章节]\\b)"))
+    roman = F.regexp_like(bare, F.lit(rf"^[IVXLC]+[.)][{SPACE}]+[^{SPACE}]"))
+    return F.when(dotted != "", F.size(F.split(dotted, r"\."))).when(chapter | roman, 1).cast("long")

@@ -1,15 +1,34 @@
-"""Graphs as tables of edges: expansion by hops, connected components."""
+"""Graphs as tables of edges: merging, expansion by hops, connected components, bypassing of nodes, export."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.text import entity_name
+from quern.sources.tables import materialize
+
+# The types of entities and relations that come without one.
+ENTITY, RELATED = "Entity", "相关"
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
 
 
+def merged_nodes(nodes: DataFrame) -> DataFrame:
+    """name, etype: each entity once, by its cleaned name, with the type seen last (nodes: name, etype, at); blank names go, blank types are Entity."""
+    rows = nodes.select(entity_name(F.col("name")).alias("name"), F.coalesce(F.nullif(entity_name(F.col("etype"), 40), F.lit("")), F.lit(ENTITY)).alias("etype"), "at")
+    return rows.where("name <> ''").groupBy("name").agg(F.max_by("etype", F.struct("at", "etype")).alias("etype"))
+
+
+def merged_edges(edges: DataFrame) -> DataFrame:
+    """src, type, dst: each relation once, by the cleaned names of both ends and of its type."""
+    ends = [entity_name(F.col(c)).alias(c) for c in ("src", "dst")]
+    rows = edges.select(ends[0], F.coalesce(F.nullif(entity_name(F.col("type"), 60), F.lit("")), F.lit(RELATED)).alias("type"), ends[1])
+    return rows.where("src <> '' AND dst <> ''").distinct()
+
+
 def multihop(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     """seed, node, hop: each node within hops of a seed (column seed), by its least distance."""
     both = undirected(edges)
@@ -20,25 +39,49 @@ def multihop(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     return reached.groupBy("seed", "node").agg(F.min("hop").alias("hop"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint of df in the folder that the cluster names; in the warehouse where none is named."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.sql.warehouse.dir"))
-    return df.checkpoint()
+def stars_only(pairs: DataFrame) -> bool:
+    """Whether every node a of the pairs (a, b) has one b, which is nobody's a: each component is then a star around its least node."""
+    ends = pairs.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("low")).union(pairs.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("low").alias("low")).where("up > 1 OR up = 1 AND low = 1").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node): labels spread over edges and jump to labels of labels, until none changes."""
-    both = undirected(edges)
-    both = cut(both)
-    labels = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("component"))
-    while True:
-        spread = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("near"))
-        new = labels.join(spread, F.col("node") == F.col("src"), "left").select("node", F.least("component", "near").alias("component"))
-        jump = new.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = cut(new.join(jump, "component", "left").select("node", F.least("component", "next").alias("component")))
-        total = F.sum(F.col("component").cast("decimal(38,0)"))
-        if new.agg(total).first() == labels.agg(total).first():
-            return new
-        labels = new
+def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """node, component (its least node) of edges between numbers or strings; a node that only has an edge to itself, or to null, doesn't appear.
+
+    Large-star and small-star steps in turn, each an aggregation and a join; every round is a table in the shared folder. Rows of a node are
+    summed up by partial aggregation, so a node with very many edges is no problem. It ends when only stars are left, which is checked exactly."""
+    a, b = F.col(src), F.col(dst)
+    pairs = materialize(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
+    while not stars_only(pairs):
+        both = pairs.union(pairs.select("b", "a"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m")
+        # What comes of a pair (a, b), a > b, at b's star is (a, least of b); it is smaller than a, so the second step needs no further check.
+        large = pairs.join(least.withColumnRenamed("a", "b"), "b").select("a", F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        pairs = materialize(large.join(least, "a").selectExpr("b AS a", "m AS b").union(least.select("a", "m")).where("a <> b").distinct())
+    return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(pairs.select("b", "b").distinct())
+
+
+def bypass(edges: DataFrame, glue: DataFrame, rounds: int = 50) -> DataFrame:
+    """Edges (src, dst) around nodes that only pass on (glue: node): p to g to s becomes p to s, until no edge ends at one, or for so many rounds.
+
+    Edges from a node to itself go; glue without a way in, or out, loses its edges."""
+    edges = materialize(edges.where("src <> dst").select("src", "dst").distinct())
+    names = glue.select(F.col("node").alias("g")).distinct()
+    for _ in range(rounds):
+        into = edges.join(names, F.col("dst") == F.col("g"), "left_semi")
+        if into.isEmpty():
+            break
+        onward = edges.join(names, F.col("src") == F.col("g"), "left_semi").select(F.col("src").alias("via"), F.col("dst").alias("next"))
+        through = into.join(onward, F.col("dst") == F.col("via")).select("src", F.col("next").alias("dst")).where("src <> dst")
+        edges = materialize(edges.join(names, F.col("dst") == F.col("g"), "left_anti").union(through).distinct())
+    for end in ("src", "dst"):
+        edges = edges.join(names, F.col(end) == F.col("g"), "left_anti")
+    return edges
+
+
+def export(nodes: DataFrame, edges: DataFrame, limit: int = 300) -> DataFrame:
+    """For drawing: at most so many nodes, by name, and edges, as rows kind, name, type, other."""
+    first = nodes.orderBy("name", "etype").limit(limit).select(F.lit("node").alias("kind"), "name", F.col("etype").alias("type"), F.lit(None).cast("string").alias("other"))
+    links = edges.orderBy("src", "type", "dst").limit(limit).select(F.lit("edge").alias("kind"), F.col("src").alias("name"), "type", F.col("dst").alias("other"))
+    return first.union(links)

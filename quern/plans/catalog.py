@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import chunking, graph, incremental, intervals, platform, recall
-from quern.sources.tables import table
+from quern.sources.tables import scratch_dir, table
 from quern.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -357,5 +357,5 @@ def build_tree(spark, d):
 def stream_events_windowed(spark, d):
     """The counters of rate_limit_tumbling, from a stream over the files of events, to the end of what is there, by a table in the shared folder."""
     files = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "*").parquet(f"{d}/events*.parquet")
-    folder = streams.scratch(spark)
+    folder = scratch_dir(spark)
     return streams.drain_counts(spark, files.withColumn("ts", F.col("ts").cast("timestamp")), f"{folder}/table", f"{folder}/state")

@@ -1,7 +1,9 @@
-"""Loaders of tables in Parquet."""
+"""Loaders of tables in Parquet, and scratch tables in the folder that the cluster shares."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
@@ -12,3 +14,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     zoneless = [f.name for f in df.schema if isinstance(f.dataType, TimestampNTZType)]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder name below the shared folder of the cluster (spark.checkpoint.dir); a folder in the warehouse where it is unset.
+
+    All of a session lie in one folder of its application, which the driver deletes when it ends."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    own = f"{base.rstrip('/')}/quern-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(own)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write df once to a table in the shared folder and read it back: the plan's lineage ends there, and lost executors don't matter."""
+    spark = df.sparkSession
+    path = scratch_dir(spark)
+    df.write.parquet(path, compression="zstd")
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,12 +25,6 @@ def drain(spark: SparkSession, source: DataFrame, path: str, checkpoint: str, mo
     return spark.read.parquet(path)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name below the shared folder of the cluster (spark.checkpoint.dir); a folder in the warehouse where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/quern-stream-{uuid.uuid4().hex}"
-
-
 def drain_counts(spark: SparkSession, events: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """user_id, bucket, n of a stream of events, to the end of what is there, from a Parquet table that executors write.
 
