@@ -1,14 +1,15 @@
-"""What the operators of this subpackage share: scratch tables, Arrow batches, word arrays and connected components."""
+"""What the operators of this subpackage share: Arrow batches, words and their hashes."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 #: Code points that separate words: blank and tab to carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -18,20 +19,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name below the shared folder of the cluster (spark.checkpoint.dir); a folder in the warehouse where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df once to a table in the shared folder and read it back: the plan's lineage ends there, and lost executors don't matter."""
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    df.write.parquet(path, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts have about SLICE_BYTES bytes together."""
     offsets = np.frombuffer(batch.column(column).buffers()[1], np.int32)[batch.column(column).offset :]
@@ -52,13 +39,6 @@ def joined_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 _IS_SPACE = np.isin(np.arange(256), np.frombuffer(SPACES, np.uint8))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
-def lower_ascii(data: np.ndarray) -> np.ndarray:
-    """A-Z of the bytes to a-z."""
-    return _LOWER[data]
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,23 +56,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """_BASE and its inverse modulo 2**64, each to the powers 0 to n - 1 at least."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 2 * SLICE_BYTES)
-        _POWERS[:] = [np.cumprod(np.array([1] + [b] * (size - 1), np.uint64), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _POWERS
+def text_words(texts: pa.Array, lower: bool = False) -> list[list[bytes]]:
+    """The words of each text as UTF-8 bytes, A-Z in lower case if asked; none for nulls. Words stand between the code points of SPACES."""
+    return [(x.lower() if lower else x).split() if x else [] for x in texts.cast(pa.binary()).to_pylist()]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, wherever the word stands: differences of prefix sums of a polynomial."""
-    power, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def word_hashes(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts, one after the other, and where each text's words start, with the end."""
+    starts = np.zeros(len(words) + 1, np.int64)
+    np.cumsum([len(x) for x in words], out=starts[1:])
+    return np.fromiter(map(xxh64_intdigest, chain.from_iterable(words)), np.uint64, int(starts[-1])), starts
 
 
 def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -119,24 +94,3 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str, rows: Call
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[k] for k in names)], names)
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """The connected components of edges (a long, b long): node, component, its smallest node; nodes without an edge don't appear.
-
-    Large-star and small-star steps in turn, each two aggregations and joins; every round is a table in the shared folder.
-    Rows of a node are summed up by partial aggregation, so a node with very many edges is no problem."""
-    pairs = materialize(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct())
-    state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    while True:
-        both = pairs.union(pairs.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m")
-        # What comes of a pair (a, b), a > b, at b's star is (a, least of b); it is smaller than a, so the second step needs no further check.
-        large = pairs.join(least.withColumnRenamed("a", "b"), "b").select("a", F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = materialize(large.join(least, "a").selectExpr("b AS a", "m AS b").union(least.select("a", "m")).where("a <> b").distinct())
-        before, state = state, small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        pairs = small
-        if state == before:
-            break
-    return pairs.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.col("m").alias("component")).union(pairs.select("b", "b").distinct())

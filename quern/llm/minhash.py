@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache, reduce
+from hashlib import sha256
 from math import comb
 from operator import add
 
@@ -12,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import components, joined_bytes, lower_ascii, map_texts, materialize, mix64, window_hashes, word_hashes, word_spans
+from quern.llm.common import map_texts, mix64, text_words, window_hashes, word_hashes
+from quern.operators.graph import components
+from quern.sources.tables import materialize
 
 SHINGLE = 5
 #: A pair at similarity 0.75 shares no band with probability (1 - 0.75**4)**32, about 5 in a million.
@@ -25,6 +28,8 @@ MISS = 1e-6
 THRESHOLD_PCT = 75
 #: Up to so many ids are broadcast (16 MB); beyond it, tables meet by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Texts of an open bucket that one task compares with the others of the bucket.
+BLOCK = 4096
 #: The first batch compared: one bit of each place, as so many numbers of 64 bits, inside the join of a bucket.
 SKETCH = [f"p{k}" for k in range(HASHES // 64)]
 #: Texts of buckets that stay open also get a bitmap: the parity of 1,024 groups of shingles.
@@ -32,13 +37,9 @@ BITMAP = [f"b{k}" for k in range(16)]
 _SEEDS = mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
 
 
-def shingle_hashes(texts: pa.Array) -> list[np.ndarray]:
+def shingle_hashes(words: list[list[bytes]]) -> list[np.ndarray]:
     """The distinct shingles of each text as sorted 64-bit hashes: SHINGLE words each, all words if there are fewer; none without words."""
-    data, at = joined_bytes(texts)
-    data = lower_ascii(data)
-    starts, ends = word_spans(data)
-    hashes = word_hashes(data, starts, ends)
-    first = np.searchsorted(starts, at)
+    hashes, first = word_hashes(words)
     windows = window_hashes(hashes, SHINGLE)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
@@ -49,6 +50,10 @@ def shingle_hashes(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def text_shingles(texts: pa.Array) -> list[np.ndarray]:
+    return shingle_hashes(text_words(texts, lower=True))
+
+
 def signature(shingles: np.ndarray) -> bytes:
     """HASHES minima, 16 bits of each."""
     least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
@@ -61,19 +66,12 @@ def signature(shingles: np.ndarray) -> bytes:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, text_key (128 bits of the words in their order), signature, and its SKETCH; null without words (sketch: 0)."""
+    """doc_id, n_shingles, text_key (the SHA-256 digest of the words in their order), signature, and its SKETCH; null without words (sketch: 0)."""
 
     def rows(ids: pa.Array, texts: pa.Array) -> dict:
-        sets = shingle_hashes(texts)
-        data, at = joined_bytes(texts)
-        data = lower_ascii(data)
-        starts, ends = word_spans(data)
-        hashes = word_hashes(data, starts, ends)
-        first = np.searchsorted(starts, at)
-        keys = []
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-            place = np.arange(1, b - a + 1, dtype=np.uint64)
-            keys.append(b"".join(int(mix64(hashes[a:b] + place * np.uint64(m)).sum()).to_bytes(8, "little") for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)) if b > a else None)
+        words = text_words(texts, lower=True)
+        sets = shingle_hashes(words)
+        keys = [sha256(b" ".join(x)).digest() if x else None for x in words]
         signed = [signature(x) if len(x) else None for x in sets]
         places = np.frombuffer(b"".join(x or bytes(2 * HASHES) for x in signed), np.uint16).reshape(-1, HASHES)
         sketch = np.packbits((places & 1).astype(np.uint8), axis=1).view(np.int64)
@@ -117,7 +115,7 @@ def bitmaps(texts: DataFrame) -> DataFrame:
     """id and BITMAP of texts (id, text)."""
 
     def rows(ids: pa.Array, part: pa.Array) -> dict:
-        bits = np.stack([bitmap(x) for x in shingle_hashes(part)])
+        bits = np.stack([bitmap(x) for x in text_shingles(part)])
         return {"id": ids} | {c: bits[:, k] for k, c in enumerate(BITMAP)}
 
     return map_texts(texts, "id", "text", "id long, " + ", ".join(f"{c} long" for c in BITMAP), rows)
@@ -174,8 +172,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, threshold_pct: int) -> DataFra
             last: tuple = (None, None)
             for a, x, y in zip(batch.column("a").to_pylist(), batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
                 if last[0] != a:
-                    last = (a, shingle_hashes(pa.array([x], pa.string()))[0])
-                other = shingle_hashes(pa.array([y], pa.string()))[0]
+                    last = (a, text_shingles(pa.array([x], pa.string()))[0])
+                other = text_shingles(pa.array([y], pa.string()))[0]
                 shared = len(np.intersect1d(last[1], other, assume_unique=True))
                 keep.append(100 * shared >= threshold_pct * (len(last[1]) + len(other) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -190,8 +188,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     with its least id. Texts of buckets that still hold several components get bitmaps of their sets, which bound how much two have in common,
     and are compared across the components, and only across: links inside a component don't change it.
     No bucket is cut, and none is collected into one task.
-    Null and empty texts: 0 shingles, a component of their own. Repeated rows with one doc_id give that many equal rows; a null doc_id links
-    with nothing and is kept. Other columns are not read."""
+    Null and empty texts: 0 shingles, a component of their own. Repeated rows with one doc_id give that many equal rows; different texts of
+    one doc_id are linked like others, and share its component. A null doc_id links with nothing: no component, and kept. An empty table
+    gives an empty one. Other columns are not read."""
     sigs = materialize(signatures(df, id_col, text_col))
     firsts = materialize(sigs.where("signature IS NOT NULL AND doc_id IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("first_id")))
     own = materialize(sigs.join(firsts.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "text_key"]).drop("text_key"))
@@ -209,19 +208,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tested = materialize(own.select(*sketch, keys).alias("y").join(buckets, near & (F.col("x.id") < F.col("y.id"))).select(*pair).distinct())
     links = materialize(confirm(tested))
 
-    grouped = own.join(components(links), F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id"))
+    grouped = own.join(components(links, "a", "b"), F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id"))
     grouped = materialize(grouped.select("signature", "component", *sketch)).select("id", "n", *SKETCH, "component", keys)
-    open_ = grouped.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("last")).where("least < last").select("key")
-    members = materialize(grouped.join(open_, "key", "left_semi"))
+    # A bucket of c texts is dealt out to as many tasks as it has blocks: x stands in one of them, y in all.
+    open_ = grouped.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("last"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("least < last").select("key", "blocks")
+    members = materialize(grouped.join(open_, "key"))
     open_texts = only(texts, "id", materialize(members.select(F.col("id").alias("open_id")).distinct()), "left_semi", "open_id")
-    members = materialize(members.join(bitmaps(open_texts), "id"))
-    near = near & overlapping("x", "y", threshold_pct)
-    across = members.alias("x").join(members.alias("y"), near & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))).select(*pair).distinct()
+    members = materialize(members.join(bitmaps(open_texts).dropDuplicates(["id"]), "id"))
+    x = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("x")
+    y = members.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("y")
+    near = near & (F.col("x.block") == F.col("y.block")) & overlapping("x", "y", threshold_pct)
+    across = x.join(y, near & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))).select(*pair).distinct()
     across = materialize(across.join(tested, ["a", "b"], "left_anti"))
     links = materialize(links.union(confirm(across)))
-    found = materialize(components(links))
+    found = materialize(components(links, "a", "b"))
     out = sigs.select("doc_id", "n_shingles", "text_key").join(firsts, "text_key", "left").join(found, F.col("first_id") == F.col("node"), "left")
-    component = F.coalesce("component", "first_id", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
@@ -230,7 +232,7 @@ def op9_minhash(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component; the columns of docs."""
+    """One document of each component; the columns of docs. Null texts and null ids stay; rows that repeat a kept doc_id stay; an empty table gives an empty one."""
     gone = materialize(near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("id")).distinct())
     return only(docs, "doc_id", gone, "left_anti")
 
