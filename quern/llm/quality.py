@@ -10,15 +10,23 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from quern.llm.common import SPACES, joined_bytes, map_texts, mix64, text_slices, window_hashes, word_hashes, word_spans
+from quern.llm.common import SPACES, joined_bytes, map_texts, mix64, text_slices, text_words, window_hashes, word_hashes
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, n_failed_lines long, n_kept_words long"
 #: A line ends well with one of these, or with one of them before closing quotes or brackets; so does one in which a sentence ends.
 ENDINGS = tuple(".!?:;…。！？؟") + tuple(a + b for a in ".!?…" for b in "\"'”’»)]")
 SEPARATORS = "|»›·•→"
 SYMBOLS = b"#*$%&<>|"
-#: Phrases of page furniture; a line of few words that has one is boilerplate.
-BOILERPLATE = re.compile("cookie|javascript|privacy policy|terms of (?:use|service)|all rights reserved|subscribe to|sign (?:in|up)|log ?in|click here|read more|lorem ipsum|follow us|share this|back to top", re.I)
+# Phrases of page furniture in English, German, French and Spanish, in lower case; a line of few words that has one is boilerplate.
+FURNITURE = (
+    "cookie", "javascript", "lorem ipsum",
+    "privacy policy", "terms of use", "terms of service", "all rights reserved", "subscribe to", "sign in", "sign up", "log in", "login", "click here", "read more", "follow us", "share this", "back to top",
+    "datenschutzerkl\u00e4rung", "impressum", "nutzungsbedingungen", "alle rechte vorbehalten", "newsletter abonnieren", "jetzt anmelden", "hier klicken", "weiterlesen", "folgen sie uns", "nach oben",
+    "politique de confidentialit\u00e9", "mentions l\u00e9gales", "conditions d'utilisation", "tous droits r\u00e9serv\u00e9s", "abonnez-vous", "se connecter", "cliquez ici", "lire la suite", "suivez-nous", "haut de page",
+    "pol\u00edtica de privacidad", "aviso legal", "t\u00e9rminos de uso", "todos los derechos reservados", "suscr\u00edbete", "iniciar sesi\u00f3n", "haga clic aqu\u00ed", "leer m\u00e1s", "s\u00edguenos", "volver arriba",
+)
+#: At word ends, so that no other word is taken for one of them; forms like cookies count.
+BOILERPLATE = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, FURNITURE))})(?:s|n|es)?(?!\w)")
 _SENTENCE = re.compile(r"\w[.!?][\"')\]]? +\w")
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -38,7 +46,7 @@ def line_fails(line: str) -> str | None:
         return "symbols"
     if n >= 5 and (bare.isupper() or bare.count("!!") * 3 > n):
         return "shouting"
-    if n <= 20 and BOILERPLATE.search(bare):
+    if n <= 20 and BOILERPLATE.search(bare.lower()):
         return "boilerplate"
     if n >= 3 and not bare.endswith(ENDINGS) and not _SENTENCE.search(bare):
         return "punctuation"
@@ -80,12 +88,12 @@ def repeated_words(hashes: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarr
 def judge_texts(ids: pa.Array, texts: pa.Array, min_words: int, max_repeat_pct: int, max_lost: float) -> dict:
     """The columns of SCHEMA, and text, for some documents."""
     data, at = joined_bytes(texts)
-    starts, ends = word_spans(data)
-    doc = np.searchsorted(at, starts, "right") - 1
+    hashes, first = word_hashes(text_words(texts))
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
     n_docs = len(at) - 1
-    n_words = np.bincount(doc, minlength=n_docs)
+    n_words = np.diff(first)
     total = lambda mask: np.add.reduceat(mask.astype(np.int64), at[:-1])
-    repeat = repeated_words(word_hashes(data, starts, ends), doc, n_docs)
+    repeat = repeated_words(hashes, doc, n_docs)
     judged, dups = [], []
     for text in texts.to_pylist():
         judged.append(judge_lines(text or ""))
@@ -108,7 +116,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_clean(df: DataFrame, text_col: str = "text", chars_col: str = "n_chars", min_words: int = 50, max_repeat_pct: int = 50, max_lost: float = 0.3) -> DataFrame:
-    """The rows of df that quality_rules keeps, with all columns of df; text_col has only the lines kept, and chars_col, if there, their code points."""
+    """The rows of df that quality_rules keeps, with all columns of df; text_col has only the lines kept, and chars_col, if there, their code points, in its own type."""
     columns, types = df.columns, df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +124,9 @@ def keep_clean(df: DataFrame, text_col: str = "text", chars_col: str = "n_chars"
             for first, last in text_slices(batch, text_col):
                 part = batch.slice(first, last - first)
                 out = judge_texts(part.column(text_col), part.column(text_col), min_words, max_repeat_pct, max_lost)
-                new = {text_col: out["text"], chars_col: pc.utf8_length(out["text"]).cast(pa.int64())}
+                new = {text_col: out["text"]}
+                if chars_col in columns:
+                    new[chars_col] = pc.utf8_length(out["text"]).cast(part.column(chars_col).type)
                 yield pa.RecordBatch.from_arrays([new.get(c, part.column(c)) for c in columns], columns).filter(pa.array(out["kept"]))
 
     return df.mapInArrow(run, types)
@@ -127,5 +137,5 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents kept, without the lines that fail; the columns of docs."""
+    """The documents kept, without the lines that fail; the columns of docs. Null and empty texts are rejected; an empty table gives an empty one."""
     return keep_clean(docs)
