@@ -2,136 +2,166 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import log
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize
+from quern.sources.tables import materialize
 
 #: Lines match at this Jaccard similarity of their sets of words; callers of dedup_lines that don't say otherwise leave lines with fewer words than MIN_WORDS alone.
 SIMILARITY, MIN_WORDS = 0.9, 5
 #: The query and the stage take every line with a word.
 EVERY = 1
-#: Counters of word frequency; words share one by hash. Their number is fixed, so they can be a constant of the plan at any input size.
+#: Counters of word frequency; words share one by hash. Their number is a power of two and fixed at any input size: 512 KB.
 COUNTERS = 1 << 16
-#: Up to so many documents' lists of lines are broadcast, if they have at most 16 times as many lines; beyond it, tables meet by a shuffle.
+#: A word in the prefixes of more lines than this is frequent: its lines are first compared with a few of their own, by so many salts.
+FREQUENT, SALTS = 64, 64
+#: Up to so many documents' lists of lines are broadcast, if they have at most 16 times as many lines: 64 bytes a document and 4 a line are 32 MB. Beyond it, tables meet by a shuffle.
 BROADCAST_DOCS = 250_000
-_LOW = (1 << 55) - 1
+#: What names a line: the document's id, a hash of its text, and the line's number in it. Lines are ordered so.
+LINE = ["doc_id", "text_key", "line_no"]
 # White space other than blanks and line feeds, and characters of scripts that write without blanks.
 _GAPS = r"\t\x0B-\r\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _UNSPACED = r"[\u0E00-\u0EFF\u0F00-\u0FFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}]"
-# One quick look for either: a few ranges that have them all, and some more.
-_RARE = r"[\t\x0B-\r\x1C-\x1F\x85\xA0\u0E00-\u17FF\u2000-\u205F\u3000-\x{3FFFF}]"
+# Texts of these characters alone have neither; of a text of ASCII, it is enough that it has none of a few control characters.
+_USUAL = r"\A[ -~\n\u00A1-\u0DFF]*+\z"
+_CONTROLS = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 
 
 def plain(text: Column) -> Column:
     """text with a blank for other white space but line feeds, and blanks around tokens where a script has none: each character with its follower, a run's last one alone."""
     spaced = F.regexp_replace(F.regexp_replace(text, f"[{_GAPS}]", " "), f"({_UNSPACED})(?=({_UNSPACED})?)", " $1$2 ")
-    return F.when(text.rlike(_RARE), spaced).otherwise(text)
+    odd = reduce(or_, (F.contains(text, F.lit(c)) for c in _CONTROLS))
+    return F.when(F.when(F.length(text) == F.octet_length(text), ~odd).otherwise(text.rlike(_USUAL)), text).otherwise(spaced)
 
 
 def words(line: Column) -> Column:
-    """The words of a line that plain() has made, in lower case: what stands between blanks."""
-    return F.array_remove(F.split(F.lower(line), " "), "")
+    """What stands between the blanks of a line that plain() has made, already in lower case."""
+    return F.array_remove(F.split(line, " "), "")
+
+
+def counter(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(F.lit(COUNTERS - 1))
 
 
 def rarity(docs: DataFrame) -> Column:
-    """For each counter of words, the class of its frequency over all texts: an array, as a scalar subquery over a table of one row.
+    """For each counter of words, the class of its frequency over all texts, in the bits above 55: an array, as a scalar subquery over a table of one row.
 
     The counters number COUNTERS at any size of the input; the plans that use them don't hold them."""
-    counted = docs.select(F.explode_outer(words(F.translate(plain(F.col("text")), "\n", " "))).alias("w")).where("w IS NOT NULL").groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("k")).count()
+    text = F.replace(F.lower(plain(F.col("text"))), F.lit("\n"), F.lit(" "))
+    counted = docs.select(F.explode_outer(F.split(text, " ")).alias("w")).where("w <> ''").groupBy(counter(F.col("w")).alias("k")).count()
     every = docs.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("k"), F.lit(0).cast("long").alias("count"))
-    classes = counted.union(every).groupBy("k").agg(F.floor(F.log2(F.sum("count") + 1) * 2).cast("tinyint").alias("level"))
+    classes = counted.union(every).groupBy("k").agg(F.shiftleft(F.floor(F.log2(F.sum("count") + 1) * 2), 55).alias("level"))
     return materialize(classes.agg(F.sort_array(F.collect_list(F.struct("k", "level"))).getField("level").alias("levels"))).scalar()
 
 
 def ranked(line: Column) -> Column:
     """The distinct words of a line, rarest first: numbers of a class of frequency (from the column levels) and 55 bits of hash."""
-    hashes = F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get("levels", F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long"), 55).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))))
+    return F.sort_array(F.array_distinct(F.transform(words(line), lambda w: F.get("levels", counter(w)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 9)))))
 
 
 def numbered_sets(docs: DataFrame, levels: Column) -> DataFrame:
-    """doc_id, line_no, set (ranked words) of each line. Sets are made before they become rows, and
-    exploded as "outer": filters on the rows, or on the size of the array, would make them again. Null texts give one row of nulls."""
-    sets = docs.withColumn("levels", levels).select("doc_id", F.transform(F.split(plain(F.col("text")), "\n"), ranked).alias("sets"))
-    return sets.select("doc_id", F.posexplode_outer("sets").alias("line_no", "set"))
+    """LINE and set (ranked words) of each line. Exploded as "outer", as filters on the rows would make the sets again; null texts give one row of nulls."""
+    lines = docs.select("doc_id", "text_key", F.posexplode_outer(F.split(F.lower(plain(F.col("text"))), "\n")).alias("line_no", "line"))
+    return lines.withColumn("levels", levels).select(*LINE, ranked(F.col("line")).alias("set"))
+
 
+def ends(pairs: DataFrame, side: str) -> list[Column]:
+    return [F.col(f"{side}.{c}").alias(c) for c in LINE]
 
-def matches(pairs: DataFrame, docs: DataFrame, levels: Column, similarity: float) -> DataFrame:
-    """Of candidate pairs (x earlier than y), the y lines whose whole sets reach the similarity: doc_id, line_no."""
+
+def matches(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Of candidate pairs (structs x and y of LINE, x earlier than y), the y lines whose whole sets of words reach the similarity: LINE."""
     pairs = materialize(pairs)
-    ends = pairs.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line_no")).union(pairs.select("yd", "yl"))
-    wanted = materialize(ends.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted")))
-    few = wanted.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
-    found = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "wanted", F.split(plain(F.col("text")), "\n").alias("all"))
-    lines = found.select("doc_id", F.explode_outer(F.transform("wanted", lambda k: F.struct(k.alias("line_no"), F.get("all", k).alias("line")))).alias("at")).select("doc_id", "at.*")
-    sets = materialize(lines.where("line IS NOT NULL").withColumn("levels", levels).select("doc_id", "line_no", ranked(F.col("line")).alias("set")))
-    both = pairs.join(sets.toDF("yd", "yl", "ys"), ["yd", "yl"]).join(sets.toDF("xd", "xl", "xs"), ["xd", "xl"])
+    wanted = materialize(pairs.select(*ends(pairs, "x")).union(pairs.select(*ends(pairs, "y"))).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("wanted")))
+    found = docs.join(broadcast_few(wanted, "wanted"), ["doc_id", "text_key"]).select("doc_id", "text_key", "wanted", F.split(F.lower(plain(F.col("text"))), "\n").alias("all"))
+    lines = found.select("doc_id", "text_key", F.explode_outer(F.transform("wanted", lambda k: F.struct(k.alias("line_no"), F.get("all", k).alias("line")))).alias("at")).select("doc_id", "text_key", "at.*")
+    sets = materialize(lines.where("line IS NOT NULL").select(*LINE, F.array_distinct(words(F.col("line"))).alias("set")).distinct())
+    both = pairs.join(sets.select(F.struct(*LINE).alias("y"), F.col("set").alias("ys")), "y").join(sets.select(F.struct(*LINE).alias("x"), F.col("set").alias("xs")), "x")
     shared = F.size(F.array_intersect("xs", "ys"))
-    return both.where(shared >= F.lit(similarity) * (F.size("xs") + F.size("ys") - shared) - F.lit(1e-9)).select(F.col("yd").alias("doc_id"), F.col("yl").alias("line_no")).distinct()
+    return both.where(shared >= F.lit(similarity) * (F.size("xs") + F.size("ys") - shared) - F.lit(1e-9)).select("y.*").distinct()
+
 
+def broadcast_few(table: DataFrame, lists: str) -> DataFrame:
+    """A written table of lists of lines by document, marked for a broadcast if it is small enough (BROADCAST_DOCS)."""
+    docs, lines = table.agg(F.count("*"), F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()
+    return F.broadcast(table) if docs <= BROADCAST_DOCS and lines <= 16 * BROADCAST_DOCS else table
 
-def possible(x: str, y: str, similarity: float) -> Column:
-    """Length, positional and bitmap filter for two entries of one word; no pair at the similarity fails them.
+
+def possible(similarity: float) -> Column:
+    """Whether entries x and y of one word may match: x is earlier, and they pass the length, positional and bitmap filter; no pair at the similarity fails them.
 
     The bitmaps hold the parity of 64 groups of words, so the sets differ in as many words at least as the bitmaps in bits."""
-    xn, yn, xp, yp = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.p"), F.col(f"{y}.p")
+    xn, yn, xp, yp = F.col("x.n"), F.col("y.n"), F.col("x.p"), F.col("y.p")
     least = F.ceil(F.lit(similarity / (1 + similarity)) * (xn + yn) - F.lit(1e-9))
     lengths = (xn >= F.lit(similarity) * yn - F.lit(1e-9)) & (yn >= F.lit(similarity) * xn - F.lit(1e-9))
     places = F.least(xp, yp) + 1 + F.least(xn - xp, yn - yp) - 1 >= least
-    return lengths & places & (F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) <= xn + yn - 2 * least)
+    return lengths & places & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= xn + yn - 2 * least) & (F.col("x.line") < F.col("y.line"))
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, line_no of the lines that match an earlier one, by doc_id and place in the text; docs: doc_id, text.
+    """LINE of the lines that match an earlier one, in the order of LINE; docs: doc_id, text_key, text.
 
-    Lines of equal sets meet by their hash and stand for one another. Of the others, each word among a line's rarest (the prefix in
-    which two matching lines must share one) has a bucket. All lines of a bucket are first compared with its earliest of about their
-    length, which settles groups of copies; lines still without a match are then compared with all earlier lines of their buckets."""
+    Lines of equal sets meet by 128 bits of hash and stand for one another. Of the others, each word among a line's rarest (the prefix in
+    which two matching lines must share one) has a bucket. In buckets of frequent words, lines are first compared with the earliest of
+    their salt and of about their length, which settles groups of copies; lines still without a match are then compared with all earlier
+    lines of their buckets. No bucket is collected."""
     docs = docs.where("doc_id IS NOT NULL")
     levels = rarity(docs)
     size = F.size("set")
-    lines = numbered_sets(docs, levels).where(size >= min_words)
     least = F.ceil(F.lit(similarity) * size - F.lit(1e-9))
     # A line's closest other set is that of one word more. Lines for which even that is too far match equal sets only and need no bucket.
     # Words of a prefix are 32 bits of hash: equal ones of different words only add candidates.
     prefix = F.when(size >= F.lit(similarity) * (size + 1) - F.lit(1e-9), F.transform(F.slice("set", 1, (size - least + 1).cast("int")), lambda h: F.hash(h)))
     bits = F.aggregate("set", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
-    lines = materialize(lines.select("doc_id", "line_no", F.xxhash64("set").alias("k"), F.struct(size.alias("n"), bits.alias("bits"), prefix.alias("prefix")).alias("line")))
-    firsts = materialize(lines.groupBy("k").agg(F.min_by(F.struct("doc_id", "line_no", "line"), F.struct("doc_id", "line_no")).alias("f"), F.count("*").alias("c")))
-    heads = firsts.where("c > 1").select("k", F.col("f.doc_id").alias("xd"), F.col("f.line_no").alias("xl"))
-    repeats = materialize(lines.select("k", "doc_id", "line_no").join(heads, "k").where("doc_id <> xd OR line_no <> xl").select("doc_id", "line_no"))
-
-    entries = firsts.select("f.doc_id", "f.line_no", "f.line.n", "f.line.bits", F.posexplode("f.line.prefix").alias("p", "word"))
-    common = entries.groupBy("word").agg(F.count("*").alias("c")).where("c > 1").select("word")
-    entries = materialize(entries.join(common, "word", "left_semi").select("word", "doc_id", "line_no", "n", "bits", "p"))
-
-    length = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(1 / similarity))).alias("len")
-    heads = entries.groupBy("word", length).agg(F.min(F.struct("doc_id", "line_no", "n", "bits", "p")).alias("h"), F.count("*").alias("c")).where("c > 1").select("word", "len", "h.*")
-    pair = (F.col("x.doc_id").alias("xd"), F.col("x.line_no").alias("xl"), F.col("y.doc_id").alias("yd"), F.col("y.line_no").alias("yl"))
-    earlier = (F.col("x.doc_id") < F.col("y.doc_id")) | ((F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.line_no") < F.col("y.line_no")))
-    stars = entries.select("*", length).alias("y").join(heads.alias("x"), (F.col("x.word") == F.col("y.word")) & (F.col("x.len") == F.col("y.len")) & earlier & possible("x", "y", similarity)).select(*pair).distinct()
-    stars = materialize(stars)
-    settled = materialize(matches(stars, docs, levels, similarity))
-
-    rest = entries.join(settled, ["doc_id", "line_no"], "left_anti").alias("y")
-    pairs = entries.alias("x").join(rest, (F.col("x.word") == F.col("y.word")) & earlier & possible("x", "y", similarity)).select(*pair).distinct()
-    return repeats.union(settled).union(matches(pairs.join(stars, ["xd", "xl", "yd", "yl"], "left_anti"), docs, levels, similarity))
+    lines = numbered_sets(docs, levels).select(*LINE, F.xxhash64("set").alias("k"), F.xxhash64(F.lit(1), "set").alias("k2"), size.alias("n"), bits.alias("bits"), prefix.alias("prefix"))
+    lines = materialize(lines).where(F.col("n") >= min_words)
+
+    # The earliest line of each set that occurs again: first the least doc_id, then the earliest line in it.
+    again = lines.groupBy("k", "k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("c")).where("c > 1").drop("c")
+    heads = lines.join(again, ["k", "k2", "doc_id"]).groupBy("k", "k2", "doc_id").agg(F.min(F.struct("text_key", "line_no", "n", "bits", "prefix")).alias("h"))
+    heads = materialize(heads.select("k", "k2", F.struct("doc_id", "h.text_key", "h.line_no").alias("line"), "h.n", "h.bits", "h.prefix"))
+    lines = lines.select("k", "k2", F.struct(*LINE).alias("line"), "n", "bits", "prefix")
+    repeats = lines.join(heads.select("k", "k2", F.col("line").alias("head")), ["k", "k2"]).where("head <> line").select("line.*")
+    firsts = lines.join(heads, ["k", "k2"], "left_anti").unionByName(heads)
+
+    entries = materialize(firsts.select("line", "n", "bits", F.posexplode("prefix").alias("p", "word")))
+    frequent = materialize(entries.groupBy("word").count().where(F.col("count") > FREQUENT).select("word"))
+    # Lines of a length class differ by no more than the similarity allows.
+    length = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(1 / similarity))).alias("length")
+    hot = materialize(entries.join(frequent, "word", "left_semi").select("*", length, F.pmod(F.xxhash64("line"), F.lit(SALTS)).alias("salt")))
+    bucket = ["word", "length", "salt"]
+    earliest = hot.groupBy(*bucket).agg(F.min(F.struct("line", "n", "bits", "p")).alias("h"), F.count("*").alias("c")).where("c > 1").select(*bucket, "h.*")
+    stars = hot.alias("y").join(earliest.alias("x"), bucket).where(possible(similarity)).select(F.col("x.line").alias("x"), F.col("y.line").alias("y")).distinct()
+    settled = materialize(matches(stars, docs, similarity))
+    settled_lines = settled.select(F.struct(*LINE).alias("line"))
+
+    together = (F.col("x.word") == F.col("y.word")) & possible(similarity)
+    others = entries.join(frequent, "word", "left_anti")
+    pairs = others.alias("x").join(others.alias("y"), together).select(F.col("x.line").alias("x"), F.col("y.line").alias("y"))
+    pairs = pairs.union(hot.alias("x").join(hot.join(settled_lines, "line", "left_anti").alias("y"), together).select(F.col("x.line").alias("x"), F.col("y.line").alias("y"))).distinct()
+    return repeats.union(settled).union(matches(pairs.join(settled_lines.toDF("y"), "y", "left_anti"), docs, similarity))
+
+
+def keyed(text: Column) -> Column:
+    """The hash that tells apart rows of one doc_id."""
+    return F.coalesce(F.xxhash64(text), F.lit(0))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of df with all their columns, text_col without the lines removed, as the struct row, and the array removed of their numbers, from 0.
 
-    The order of lines is that of doc_id, then of the text. Null texts stay null; a null doc_id keeps its text; empty lines, and those with
-    fewer than min_words distinct words, stay. Rows that repeat a doc_id count as one document with the text of each, and each loses the lines
-    removed from any. Words are what stands between white space, in lower case; of scripts without blanks, pairs of characters."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    gone = materialize(removed_lines(docs, similarity, min_words).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed")))
-    counts = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()
-    few = counts[0] <= BROADCAST_DOCS and counts[1] <= 16 * BROADCAST_DOCS
-    rows = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("gone_id")).join((F.broadcast(gone) if few else gone).withColumnRenamed("doc_id", "gone_id"), "gone_id", "left")
+    The order of lines is that of doc_id, then of the place in the text; between different texts of one doc_id, that of a hash of the text.
+    Rows of one doc_id and one text are one document: each comes back with the same lines. Null texts stay null; a null doc_id keeps its text;
+    empty lines, and those with fewer than min_words distinct words, stay. An empty table gives an empty one. Words are what stands between
+    white space, in lower case; of scripts without blanks, pairs of characters. Very long texts are split into lines like others."""
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", keyed(F.col("text")))
+    gone = materialize(removed_lines(docs, similarity, min_words).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line_no")).alias("removed")))
+    gone = broadcast_few(gone, "removed").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "removed")
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("gone_id"), keyed(F.col(text_col).cast("string")).alias("gone_key")).join(gone, ["gone_id", "gone_key"], "left")
     text = F.col("row").getField(text_col)
     left = F.array_join(F.filter(F.split(text, "\n"), lambda _, k: ~F.array_contains("removed", k)), "\n")
     row = F.col("row").withField(f"`{text_col}`", F.when(F.col("removed").isNull(), text).otherwise(left))
@@ -145,7 +175,9 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the lines removed; those without a word left, copies of earlier ones, go. The columns of docs."""
+    """The documents without the lines removed; those without a word left, copies of earlier ones, go. The columns of docs.
+
+    Nulls, empty tables and repeated rows as in dedup_lines: null texts and null ids stay."""
     columns = docs.columns
     rows = dedup_lines(docs, min_words=EVERY).where((F.size("removed") == 0) | F.col("row.text").rlike(r"[^\x20\x09-\x0D]")).select("row.*")
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*columns) if "n_chars" in columns else rows
+    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns) if "n_chars" in columns else rows
