@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize
+from quern.sources.tables import materialize
 
 # Forms of entities, as Java regular expressions.
 EMAIL = r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
@@ -15,20 +18,35 @@ IP = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\
 CARD = r"(?<![\p{L}\p{N}.-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\p{L}\p{N}])"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 SECRET = r"(?i:(?<=\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?))(?=[A-Za-z_/+-]*\d)[A-Za-z0-9_/+-]{12,}|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,})"
-MALE = r"Mr|Herr|M|Monsieur|Sr|Señor|г-н|господин"
-FEMALE = r"Mrs|Ms|Miss|Frau|Mme|Madame|Mlle|Sra|Señora|г-жа|госпожа"
-NEUTRAL = r"Dr|Prof"
-NAME = rf"(?<=(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? )\p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?"
 FORMS = {"email": EMAIL, "phone": PHONE, "ssn": SSN, "ip": IP, "card": CARD, "iban": IBAN, "secret": SECRET}
 ENTITY = "|".join(f"(?:{x})" for x in FORMS.values())
 #: What a text must have for any of the forms to occur.
 HINT = r"[\d@]"
-# Given names by gender, and syllables of family names, by script.
-GIVEN = {("latin", "m"): "Adam Boris David Emil Felix Georg Hugo Ivan Jonas Karl Lukas Martin Noel Oskar Paul Robin Simon Tomas Victor Walter", ("latin", "f"): "Anna Berta Clara Diana Elena Flora Greta Helena Irene Julia Klara Laura Maria Nora Olivia Paula Rosa Sofia Teresa Vera", ("cyrillic", "m"): "Иван Пётр Олег Игорь Павел Антон Борис Виктор Денис Кирилл", ("cyrillic", "f"): "Анна Мария Ольга Елена Нина Вера Дарья Ирина Софья Юлия"}
-SYLLABLES = {"latin": "ba be bi bo da de di do fa fe fi fo ga ge gi go ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to va ve vi vo za zo".split(), "cyrillic": "ба бе би бо да де ди до ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си со та те ти то".split()}
-_LOWER, _UPPER, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdef"
-_CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
-BROADCAST_DOCS = 200_000
+# Titles by gender; n: either.
+TITLES = {"m": "Mr Herr Monsieur Sr Señor г-н господин κύριος".split(), "f": "Mrs Ms Miss Frau Mme Madame Mlle Sra Señora г-жа госпожа κυρία".split(), "n": ["Dr", "Prof"]}
+# Titles that follow a Chinese or Japanese name, by gender, and the most common Chinese family names.
+SUFFIXES = {"m": ["先生", "氏"], "f": ["女士", "小姐", "太太"], "n": ["さん", "様", "教授", "博士"]}
+FAMILY_HAN = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文"
+_WORD = r"\p{Lu}[\p{L}'’-]+"
+TITLED = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(sum(TITLES.values(), []))})\.?|M\.) {_WORD}(?: {_WORD})?"
+_AFTER = "|".join(sum(SUFFIXES.values(), []))
+TITLED_HAN = rf"(?:[{FAMILY_HAN}]\p{{IsHan}}{{0,2}}?|(?<!\p{{IsHan}})\p{{IsHan}}{{1,4}}?)(?:{_AFTER})"
+# Syllables and endings of made-up names by script, characters of given names by gender, letters by script.
+SYLLABLES = {
+    "latin": "ba be bi bo da de di do fa fe fi fo ga ge gi go ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to va ve vi vo za zo".split(),
+    "cyrillic": "ба бе би бо да де ди до ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си со та те ти то".split(),
+    "greek": "βα βε βι βο δα δε δι δο κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο ρα ρε ρι ρο σα σε σι σο τα τε τι το".split(),
+}
+ENDINGS = {("latin", "m"): "n r s k l m".split(), ("latin", "f"): "a ia na la ra".split(), ("cyrillic", "m"): "н р к л м".split(), ("cyrillic", "f"): "а ия на ла".split(), ("greek", "m"): "ς ρος νος λης".split(), ("greek", "f"): "α ια νη λα".split()}
+GIVEN_HAN = {"m": "伟强军勇磊涛明超刚辉鹏斌", "f": "芳娜敏静丽娟艳霞玲婷雪慧"}
+LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+#: Characters of scripts without case that give way to others of the script: Han, Hiragana, Katakana, Hangul.
+CASELESS = {"Han": "天地山水火木土石田日月星云雨风雪花草林海河江湖泉", "Hiragana": "あいうえおかきくけこさしすせそたちつてとなにぬねの", "Katakana": "アイウエオカキクケコサシスセソタチツテトナニヌネノ", "Hangul": "가나다라마바사아자차카타파하고노도로모보소오조초"}
+_HEX = "abcdef"
+#: From this attempt on, surrogates grow by some characters, so there is always one left.
+GROWS = 4
+#: The entities of so many texts, of so many characters with their surrogates, are broadcast: 64 MB at most; beyond it, they meet the texts by a shuffle.
+BROADCAST_TEXTS, BROADCAST_CHARS = 200_000, 16_000_000
 
 
 def luhn(number: Column) -> Column:
@@ -48,28 +66,66 @@ def kind_of(entity: Column) -> Column:
     return kind.when(whole(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?"), "iban").otherwise("secret")
 
 
-def pick(alphabet: str, h: Column) -> Column:
-    return F.substr(F.lit(alphabet), (F.pmod(h, F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
+def named_parts(titled: Column) -> Column:
+    """The names in a match of TITLED or TITLED_HAN, as an array of (kind, entity): a family name, or a given name and a family name, or a whole Han name.
+
+    A given name has a kind for each gender; where the title doesn't tell, its ending does."""
+    han = titled.rlike(r"\p{IsHan}|さん")
+    after = F.regexp_extract(titled, rf"({_AFTER})$", 1)
+    name = F.regexp_replace(titled, rf"(?:{_AFTER})$", "")
+    gender_han = F.when(after.isin(SUFFIXES["f"]), "f").otherwise("m")
+    title, first, last = F.regexp_extract(titled, r"^([^ .]+)", 1), F.get(F.split(titled, " "), F.lit(1)), F.get(F.split(titled, " "), F.lit(2))
+    gender = F.when(title.isin(TITLES["f"]), "f").when(title.isin(TITLES["n"]) & first.rlike("[aаяαηe]$"), "f").otherwise("m")
+    entity = lambda kind, x: F.struct(kind.alias("kind"), x.alias("entity"))
+    alone = F.array(entity(F.lit("family"), first))
+    both = F.array(entity(F.concat(F.lit("given-"), gender), first), entity(F.lit("family"), last))
+    return F.when(han, F.array(entity(F.concat(F.lit("han-"), gender_han), name))).otherwise(F.when(last.isNull(), alone).otherwise(both))
+
+
+def is_name(kind: Column) -> Column:
+    return kind.rlike("^(?:family|given-|han-)")
+
+
+def pick(alphabet: str | list[str], h: Column) -> Column:
+    place = (F.pmod(h, F.lit(len(alphabet))) + 1).cast("int")
+    return F.substr(F.lit(alphabet), place, F.lit(1)) if isinstance(alphabet, str) else F.element_at(F.array(*map(F.lit, alphabet)), place)
 
 
 def reshaped(entity: Column, seed: Column, hexadecimal: Column | None = None) -> Column:
-    """Each digit and letter gives way to another of its kind (case, script); all else stays."""
+    """Each digit and letter gives way to another of its kind (case, script); all else stays. Letters of scripts that aren't listed become Latin ones."""
 
     def one(c: Column, i: Column) -> Column:
         h = F.xxhash64(seed, i)
-        lower = pick(_LOWER, h) if hexadecimal is None else F.when(hexadecimal, pick(_HEX, h)).otherwise(pick(_LOWER, h))
-        out = F.when(c.rlike(r"^\d$"), F.pmod(h, F.lit(10)).cast("string")).when(c.rlike("^[A-Z]$"), pick(_UPPER, h)).when(c.rlike("^[a-z]$"), lower)
-        out = out.when(c.rlike(r"^\p{IsCyrillic}$"), F.when(c.rlike(r"^\p{Lu}$"), F.upper(pick(_CYRILLIC, h))).otherwise(pick(_CYRILLIC, h)))
-        return out.when(c.rlike(r"^\p{Lu}$"), pick(_UPPER, h)).when(c.rlike(r"^\p{L}$"), pick(_LOWER, h)).otherwise(c)
+        lower = pick(LETTERS["latin"], h) if hexadecimal is None else F.when(hexadecimal, pick(_HEX, h)).otherwise(pick(LETTERS["latin"], h))
+        out = F.when(c.rlike(r"^\d$"), F.pmod(h, F.lit(10)).cast("string")).when(c.rlike("^[A-Z]$"), F.upper(pick(LETTERS["latin"], h))).when(c.rlike("^[a-z]$"), lower)
+        for script in ("cyrillic", "greek"):
+            out = out.when(c.rlike(rf"^\p{{Is{script.title()}}}$"), F.when(c.rlike(r"^\p{Lu}$"), F.upper(pick(LETTERS[script], h))).otherwise(pick(LETTERS[script], h)))
+        for script, letters in CASELESS.items():
+            out = out.when(c.rlike(rf"^\p{{Is{script}}}$"), pick(letters, h))
+        return out.when(c.rlike(r"^\p{Lu}$"), F.upper(pick(LETTERS["latin"], h))).when(c.rlike(r"^\p{L}$"), pick(LETTERS["latin"], h)).otherwise(c)
 
     return F.array_join(F.transform(F.split(entity, ""), one), "")
 
 
+def made_up(entity: Column, seed: Column, syllables: Column, gender: str | None) -> Column:
+    """A name of so many syllables in the entity's script and case, with a gender's ending for given names."""
+
+    def of(script: str) -> Column:
+        body = F.array_join(F.transform(F.sequence(F.lit(1), syllables), lambda i: pick(SYLLABLES[script], F.xxhash64(seed, i))), "")
+        return F.concat(body, pick(ENDINGS[script, gender], F.xxhash64(seed, F.lit("ending")))) if gender else body
+
+    made = F.initcap(F.when(entity.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(entity.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin")))
+    return F.when(entity == F.upper(entity), F.upper(made)).otherwise(made)
+
+
 def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
-    """The replacement of an entity of a type; another attempt gives another one. The same key gives the same replacements."""
+    """The replacement of an entity of a type; another attempt gives another one, and from GROWS on a longer one. The same key gives the same replacements."""
     seed = F.sha2(F.concat_ws("|", F.lit(key), kind, entity, attempt.cast("string")), 256)
+    more = F.greatest(attempt - GROWS + 1, F.lit(0))
+    # Hexadecimal digits, so many that the space grows 65,536 times with each attempt.
+    tail = F.substring(seed, F.lit(1), F.least(4 * more, F.lit(64)))
     at = F.regexp_extract(entity, r"^(.*)\.[^.]*$", 1)
-    email = F.concat(reshaped(at, seed), F.regexp_extract(entity, r"(\.[^.]*)$", 1))
+    email = F.concat(tail, reshaped(at, seed), F.regexp_extract(entity, r"(\.[^.]*)$", 1))
     country = F.regexp_extract(entity, r"^(\+\d{1,3}(?=[ .(-]))", 1)
     # Digits from 2 to 9 stay such, so area codes stay valid.
     phone = F.concat(country, F.array_join(F.transform(F.split(F.substr(entity, F.length(country) + 1), ""), lambda c, i: F.when(c.rlike("^[2-9]$"), (F.pmod(F.xxhash64(seed, i), F.lit(8)) + 2).cast("string")).when(c.rlike("^[01]$"), F.pmod(F.xxhash64(seed, i), F.lit(10)).cast("string")).otherwise(c)), ""))
@@ -77,80 +133,84 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
     body = F.concat(F.substr(entity, F.lit(1), F.lit(1)), reshaped(F.substr(entity, F.lit(2), F.length(entity) - 2), seed))
     card = F.concat(body, F.pmod(10 - luhn(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string"))
     iban = F.concat(F.substr(entity, F.lit(1), F.lit(2)), reshaped(F.substr(entity, F.lit(3)), seed))
-    secret = reshaped(entity, seed, entity.rlike("^[0-9a-f]+$"))
-    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind == "ssn", reshaped(entity, seed)).otherwise(secret)
+    secret = F.concat(reshaped(entity, seed, entity.rlike("^[0-9a-f]+$")), tail)
+    number = lambda x: F.concat(x, F.when(more > 0, F.concat(F.lit("-"), F.conv(F.substring(seed, 1, 12), 16, 10))).otherwise(F.lit("")))
+    out = F.when(kind == "email", email).when(kind == "phone", number(phone)).when(kind == "ip", number(ip)).when(kind == "card", number(card)).when(kind == "iban", number(iban)).when(kind == "ssn", number(reshaped(entity, seed)))
+    long = F.lit(3) + more
+    out = out.when(kind == "family", made_up(entity, seed, long, None)).when(kind == "given-f", made_up(entity, seed, long - 1, "f")).when(kind == "given-m", made_up(entity, seed, long - 1, "m"))
+    han = lambda letters: F.concat(pick(FAMILY_HAN, F.xxhash64(seed)), F.array_join(F.transform(F.slice(F.split(entity, ""), F.lit(2), F.length(entity)), lambda _, i: pick(letters, F.xxhash64(seed, i))), ""), F.array_join(F.transform(F.slice(F.split(tail, ""), F.lit(1), 2 * more), lambda c, i: pick(letters, F.xxhash64(seed, F.lit("more"), i))), ""))
+    return out.when(kind == "han-f", han(GIVEN_HAN["f"])).when(kind == "han-m", han(GIVEN_HAN["m"])).otherwise(secret)
 
 
 def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """entity, new for distinct entities (kind, entity); no two have one surrogate, and no surrogate is itself an entity.
+    """kind, entity, new for distinct entities (kind, entity); no two have one surrogate, and no surrogate is itself an entity.
 
-    Of entities that drew one surrogate, the first keeps it; the others draw again, and all are checked anew."""
+    Of entities that drew one surrogate, the first keeps it; the others draw again, and all are checked anew. Surrogates of later draws are
+    longer, so it ends even where every form of an entity's length is taken."""
     draw = lambda t: t.withColumn("new", surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), key))
     table = materialize(draw(entities.withColumn("attempt", F.lit(0))))
+    entity = F.struct("kind", "entity")
     while True:
-        kept = table.groupBy("new").agg(F.min("entity").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("new", "keeper")
+        kept = table.groupBy("new").agg(F.min(entity).alias("keeper"), F.count("*").alias("n")).where("n > 1").select("new", "keeper")
         taken = table.select(F.col("entity").alias("new"))
-        clash = table.join(kept, "new").where("entity <> keeper").select("entity").union(table.join(taken, "new", "left_semi").select("entity")).distinct()
+        clash = table.join(kept, "new").where(entity != F.col("keeper")).select("kind", "entity").union(table.join(taken, "new", "left_semi").select("kind", "entity")).distinct()
         clash = materialize(clash)
         if clash.isEmpty():
-            return table.select("entity", "new")
-        again = table.join(clash, "entity", "left_semi").select("kind", "entity", F.col("attempt") + 1).toDF("kind", "entity", "attempt")
-        table = materialize(table.join(clash, "entity", "left_anti").unionByName(draw(again)))
-
-
-def name_surrogate(name: Column, title: Column, key: str) -> Column:
-    """A given and a family name, or a family name alone, for a name after a title; each word has its own replacement wherever it stands."""
-    cyrillic = name.rlike(r"\p{IsCyrillic}")
-    female = title.rlike(rf"^(?:{FEMALE})\b") | title.rlike(rf"^(?:{NEUTRAL})\b") & name.rlike(r"^\p{L}+[aаяe] ")
-
-    def family(w: Column, script: str) -> Column:
-        seed = F.sha2(F.concat_ws("|", F.lit(key), F.lit("family"), F.lower(w)), 256)
-        parts = F.array(*map(F.lit, SYLLABLES[script]))
-        # Eight syllables are more than enough to keep two names from having one surrogate.
-        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.element_at(parts, (F.pmod(F.xxhash64(seed, i), F.lit(len(SYLLABLES[script]))) + 1).cast("int"))), ""))
-
-    def given(w: Column, script: str, gender: str) -> Column:
-        names = GIVEN[script, gender].split()
-        seed = F.sha2(F.concat_ws("|", F.lit(key), F.lit("given"), F.lower(w)), 256)
-        return F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.xxhash64(seed), F.lit(len(names))) + 1).cast("int"))
+            return table.select("kind", "entity", "new")
+        again = table.join(clash, ["kind", "entity"], "left_semi").select("kind", "entity", F.col("attempt") + 1).toDF("kind", "entity", "attempt")
+        table = materialize(table.join(clash, ["kind", "entity"], "left_anti").unionByName(draw(again)))
 
-    def whole(script: str) -> Column:
-        first, last = F.substring_index(name, " ", 1), F.substring_index(name, " ", -1)
-        return F.when(name.contains(" "), F.concat(F.when(female, given(first, script, "f")).otherwise(given(first, script, "m")), F.lit(" "), family(last, script))).otherwise(family(last, script))
 
-    made = F.when(cyrillic, whole("cyrillic")).otherwise(whole("latin"))
-    return F.when(name == F.upper(name), F.upper(made)).otherwise(made)
+def interleaved(text: Column, form: Column, found: Column) -> Column:
+    """text with each match of form replaced by its entry in the map news, if it has one; found: the matches."""
+    parts = F.split(text, form)
+    return F.array_join(F.transform(parts, lambda part, i: F.concat(part, F.when(i < F.size(found), F.coalesce(F.element_at("news", F.get(found, i)), F.get(found, i))).otherwise(F.lit("")))), "")
 
 
-def interleaved(text: Column, form: str, replace) -> Column:
-    """text with each match of form replaced by replace(match, what stands before it)."""
-    parts, found = F.split(text, form), F.regexp_extract_all(text, F.lit(form), F.lit(0))
-    return F.array_join(F.transform(parts, lambda part, i: F.concat(part, F.when(i < F.size(found), replace(F.get(found, i), part)).otherwise(F.lit("")))), "")
+def mention(entity: Column, kind: Column) -> Column:
+    """A regular expression for an entity's mentions in a text: whole words; Han names of one character only before a title."""
+    word = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), entity, F.lit(r"(?![\p{L}\p{N}])"))
+    return F.when(kind.startswith("han-"), F.when(F.length(entity) > 1, entity).otherwise(F.concat(entity, F.lit(f"(?={_AFTER})")))).otherwise(word)
 
 
 def replace_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "surrogates") -> DataFrame:
     """One row per input row: doc_id, n_entities, text with surrogates.
 
     Entities are emails, phone and social security numbers, IPv4 addresses, cards (by Luhn check), IBANs, keys after a telling word, and names
-    after a title. One entity has one surrogate in all texts, and two have two: the table of distinct entities is checked for collisions,
-    and the surrogates reach their documents by a join on doc_id. Null texts stay null, with no entity; rows of one doc_id are treated alike;
-    of a row without doc_id, only names are replaced. Texts without entities come back unchanged. Other columns are not read."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    matches = docs.where(F.col("text").rlike(HINT)).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)))).alias("entity"))
-    matches = materialize(matches.withColumn("kind", kind_of(F.col("entity"))).where("kind IS NOT NULL AND doc_id IS NOT NULL").distinct())
+    next to a title; where a titled name stands, its words are also replaced wherever else they stand in that text. One entity has one
+    surrogate in all texts, and two have two: the table of distinct entities, of names too, is checked for collisions. Each word of a name is
+    an entity, and each mention counts.
+    The surrogates reach the texts by two 64-bit hashes of the text, so rows that repeat an id or a text, and those without an id, are treated
+    like others. Null texts stay null, with no entity; texts without entities come back unchanged; an empty table gives an empty one.
+    Very long texts are read whole. Other columns are not read."""
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit("text"), "text")})
+    text = F.col("text")
+    titles = reduce(or_, (F.contains(text, F.lit(f"{t}{end}")) for t in sum(TITLES.values(), ["M"]) for end in ((". ",) if t == "M" else (" ", ". "))))
+    suffixes = reduce(or_, (F.contains(text, F.lit(t)) for t in sum(SUFFIXES.values(), [])))
+    all_of = lambda form: F.array_distinct(F.regexp_extract_all("text", F.lit(form), F.lit(0)))
+    # One row per text with arrays, before any filter, which would run the expressions twice.
+    found = materialize(docs.select("h1", "h2", F.when(text.rlike(HINT), all_of(ENTITY)).alias("plain"), F.when(titles, all_of(TITLED)).alias("titled"), F.when(suffixes, all_of(TITLED_HAN)).alias("han")))
+    plain = found.select("h1", "h2", F.explode("plain").alias("entity")).withColumn("kind", kind_of(F.col("entity"))).where("kind IS NOT NULL")
+    titled = found.select("h1", "h2", F.explode("titled").alias("titled")).union(found.select("h1", "h2", F.explode("han")))
+    names = titled.select("h1", "h2", F.explode(named_parts(F.col("titled"))).alias("x")).select("h1", "h2", "x.entity", "x.kind")
+    matches = materialize(plain.union(names).distinct())
     table = distinct_surrogates(matches.select("kind", "entity").distinct(), key)
-    maps = matches.join(table, "entity").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("entity", "new"))).alias("news"))
-    maps = materialize(maps)
-    few = maps.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
-    rows = docs.join(F.broadcast(maps) if few else maps, "doc_id", "left")
-    new = lambda e: F.element_at("news", e)
-    title = lambda part: F.regexp_extract(part, r"([\p{L}-]+)\.? $", 1)
-    has_name = F.col("text").rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}\p{{L}}")
-    matched = F.when(F.col("news").isNotNull(), F.size(F.filter(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)), lambda e: new(e).isNotNull()))).otherwise(0)
-    names = F.when(has_name, F.size(F.regexp_extract_all("text", F.lit(NAME), F.lit(0)))).otherwise(0)
-    rows = rows.withColumn("n_entities", F.coalesce(matched + names, F.lit(0)).cast("long"))
-    rows = rows.withColumn("text", F.when(F.col("news").isNotNull(), interleaved(F.col("text"), ENTITY, lambda e, _: F.coalesce(new(e), e))).otherwise(F.col("text")))
-    return rows.select("doc_id", "n_entities", F.when(has_name, interleaved(F.col("text"), NAME, lambda e, part: name_surrogate(e, title(part), key))).otherwise(F.col("text")).alias("text"))
+    # A word that is a given name and a family name in one text has the first one's surrogate there.
+    pairs = matches.join(table, ["kind", "entity"]).groupBy("h1", "h2", "entity").agg(F.min_by(F.struct("kind", "new"), "kind").alias("first"))
+    form = F.sort_array(F.collect_set(F.when(is_name(F.col("first.kind")), F.struct((-F.length("entity")).alias("n"), mention(F.col("entity"), F.col("first.kind")).alias("form")))))
+    chars = F.sum(F.length("entity") + F.length("first.new"))
+    maps = materialize(pairs.groupBy("h1", "h2").agg(F.map_from_entries(F.collect_list(F.struct("entity", "first.new"))).alias("news"), F.nullif(F.array_join(F.transform(form, lambda x: x["form"]), "|"), F.lit("")).alias("form"), chars.alias("chars")))
+    n, size = maps.agg(F.count("*"), F.coalesce(F.sum("chars"), F.lit(0))).first()
+    maps = maps.drop("chars")
+    rows = docs.join(F.broadcast(maps) if n <= BROADCAST_TEXTS and size <= BROADCAST_CHARS else maps, ["h1", "h2"], "left")
+    known = F.col("news").isNotNull()
+    rows = rows.withColumn("found", F.when(known, F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))))
+    n_plain = F.when(known, F.size(F.filter("found", lambda e: F.map_contains_key("news", e)))).otherwise(0)
+    rows = rows.select("doc_id", "news", "form", n_plain.alias("n_plain"), F.when(known, interleaved(text, F.lit(ENTITY), F.col("found"))).otherwise(text).alias("text"))
+    rows = rows.withColumn("mentions", F.when(F.col("form").isNotNull(), F.regexp_extract_all("text", F.col("form"), F.lit(0))))
+    replaced = F.when(F.col("form").isNotNull(), interleaved(text, F.col("form"), F.col("mentions"))).otherwise(text)
+    n_names = F.when(F.col("form").isNotNull(), F.size("mentions")).otherwise(0)
+    return rows.select("doc_id", F.when(text.isNull(), 0).otherwise(F.col("n_plain") + n_names).cast("long").alias("n_entities"), replaced.alias("text"))
 
 
 def op5_pii_surrogates(spark, sf_dir: str) -> DataFrame:
