@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from quern.llm.common import map_texts
 
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expression string"
+SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expression string, freedom double"
 # The phrases of the contract, and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 # Further phrases of public licence notices, and their labels.
@@ -34,6 +34,8 @@ NOTICES = {
 }
 # SPDX identifiers, lower-cased, without -only, -or-later and +.
 IDENTIFIERS = {"mit": "mit", "apache-2.0": "apache-2", "cc-by-nc-4.0": "cc-by-nc", "gpl-2.0": "gpl-2", "gpl-3.0": "gpl-3", "lgpl-2.1": "lgpl", "lgpl-3.0": "lgpl", "agpl-3.0": "agpl", "mpl-2.0": "mpl", "bsd-2-clause": "bsd", "bsd-3-clause": "bsd", "cc-by-4.0": "cc-by", "cc-by-sa-4.0": "cc-by-sa", "cc-by-nd-4.0": "cc-by-nd", "cc0-1.0": "public-domain", "unlicense": "public-domain"}
+# How free a licence leaves who uses the text, from 1 (no duty) to 0; an order of our own, for choosing where an expression leaves a choice.
+FREEDOM = {"public-domain": 1.0, "mit": 0.9, "bsd": 0.9, "apache-2": 0.9, "cc-by": 0.8, "mpl": 0.6, "lgpl": 0.5, "cc-by-sa": 0.4, "gpl": 0.3, "gpl-2": 0.3, "gpl-3": 0.3, "agpl": 0.2, "cc-by-nd": 0.1, "cc-by-nc": 0.1, "proprietary": 0.0}
 TAG = "spdx license identifier"
 _TAGGED = re.compile(r"spdx-license-identifier:[ \t]*([^\n]*)", re.I | re.A)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+", re.A)
@@ -47,12 +49,16 @@ def lower_az(text: str) -> str:
 
 
 def to_postfix(expression: str) -> list[str] | None:
-    """Shunting-yard: the names and operators of a licence expression in postfix order, lower-cased; None if it isn't well-formed."""
+    """Shunting-yard: the names and operators of a licence expression in postfix order, lower-cased; None if it isn't well-formed.
+
+    The expression ends where a name, or an opening bracket, follows a name: what comes then is other text."""
     out: list[str] = []
     stack: list[str] = []
     operand = False
     for token in _TOKEN.findall(expression):
-        token = lower_az(token)
+        token = lower_az(token).rstrip(".:")
+        if not token:
+            continue
         if token in _PRECEDENCE or token == ")":
             if not operand:
                 return None
@@ -66,7 +72,7 @@ def to_postfix(expression: str) -> list[str] | None:
                 stack.append(token)
                 operand = False
         elif operand:
-            return None
+            break
         elif token == "(":
             stack.append(token)
         else:
@@ -77,21 +83,33 @@ def to_postfix(expression: str) -> list[str] | None:
     return out + stack[::-1]
 
 
-def label_of(name: str) -> str:
-    """The label of a licence's name in an expression."""
-    return IDENTIFIERS.get(re.sub(r"(-only|-or-later|\+)$", "", name), name)
+def label_of(name: str) -> str | None:
+    """The label of a licence's name in an expression; None for names that aren't identifiers."""
+    return IDENTIFIERS.get(re.sub(r"(-only|-or-later|\+)$", "", name))
 
 
-def choices(postfix: list[str]) -> frozenset[frozenset[str]]:
-    """The licence sets any of which satisfies the expression: or joins the choices, and combines them, an exception after with adds no licence."""
-    stack: list[frozenset[frozenset[str]]] = []
+def evaluate(postfix: list[str]) -> tuple[float, frozenset[str]] | None:
+    """How free an expression leaves its user, and the labels that then apply; None if it names no known licence.
+
+    and: the duties of both, so the lesser freedom and all labels. or: the side that leaves more freedom (of two as free, the one with fewer
+    labels, then the first by name). with: an exception leaves the licence as it is. A name that isn't known leaves no choice for it: beside
+    or, the other side applies; beside and, the other side's labels apply without any freedom."""
+    stack: list[tuple[float, frozenset[str]] | None] = []
     for token in postfix:
         if token not in _PRECEDENCE:
-            stack.append(frozenset([frozenset([label_of(token)])]))
+            label = label_of(token)
+            stack.append(None if label is None else (FREEDOM[label], frozenset([label])))
             continue
         b, a = stack.pop(), stack.pop()
-        # Sets of more names than a notice has are merged, so that nested expressions stay small.
-        stack.append(a | b if token == "or" else a if token == "with" else frozenset(x | y for x in a for y in b) if len(a) * len(b) <= 256 else frozenset([frozenset().union(*a, *b)]))
+        if token == "with":
+            stack.append(a)
+        elif a is None or b is None:
+            known = a or b
+            stack.append(known if token == "or" or known is None else (0.0, known[1]))
+        elif token == "and":
+            stack.append((min(a[0], b[0]), a[1] | b[1]))
+        else:
+            stack.append(min(a, b, key=lambda x: (-x[0], len(x[1]), sorted(x[1]))))
     return stack[0]
 
 
@@ -121,23 +139,30 @@ def scan(text: str) -> tuple:
         else:
             own.add(label)
     notices = len(own)
+    freedom = [FREEDOM[x] for x in base | own]
+    certain = False
     if tagged:
         for m in _TAGGED.finditer(text):
-            if (postfix := to_postfix(m[1].split("*/")[0])) is not None:
+            if (postfix := to_postfix(m[1].split("*/")[0])) is not None and (found := evaluate(postfix)) is not None:
                 expressions.append(" ".join(postfix))
-                own |= {x for choice in choices(postfix) for x in choice}
-    at = sorted(line.count(" ", 0, place) for place, _ in starts)
-    score = 1.0 if expressions else 1.0 - 0.5 ** (len(at) + notices)
-    return len(words), len(at), at[0] if at else None, at[-1] if at else None, ",".join(sorted(base)), ",".join(sorted(base | own)), score, "; ".join(expressions) or None
+                freedom.append(found[0])
+                own |= found[1]
+                certain = certain or all(x in _PRECEDENCE or label_of(x) for x in postfix)
+    places = sorted(place for place, _ in starts)
+    at = [line.count(" ", 0, places[0]), line.count(" ", 0, places[-1])] if places else [None, None]
+    score = 1.0 if certain else 1.0 - 0.5 ** (len(places) + notices + len(expressions))
+    return len(words), len(places), *at, ",".join(sorted(base)), ",".join(sorted(base | own)), score, "; ".join(expressions) or None, min(freedom, default=None)
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: words, places of base phrases, labels, score, and the postfix form of tagged expressions.
+    """One row per input row: words, places of base phrases, labels, score, the postfix form of tagged expressions, and freedom (the least of all notices and expressions, null without any).
 
-    Null texts are empty: no word, no label, score 0. score is 1 with a well-formed tagged expression, else 1 - 2**-n for n places and notices.
-    Repeated rows are scanned alone; other columns are not read. A tag whose expression isn't well-formed adds no label."""
+    Tagged expressions are evaluated: MIT OR GPL-2.0 gives the label mit, MIT AND GPL-2.0 gives both and less freedom. Only known identifiers give labels.
+    score is 1 with a tagged expression of known names only, else 1 - 2**-n for n places, notices and expressions.
+    Null texts are empty: no word, no label, score 0. Repeated rows are scanned alone; other columns are not read. A tag whose expression
+    isn't well-formed adds no label. Long texts and lines are read once: the work grows with their length."""
     names = [x.split()[0] for x in SCHEMA.split(",")][1:]
-    types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string()]
+    types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string(), pa.float64()]
 
     def rows(ids: pa.Array, texts: pa.Array) -> dict:
         found = zip(*(scan(x or "") for x in texts.to_pylist()))
