@@ -7,16 +7,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import components, materialize
+from quern.operators.graph import components
+from quern.sources.tables import materialize
 
 COSINE = 0.98
 #: Vectors of a cell are dealt out to blocks of about this size; a task holds two blocks.
-BLOCK = 1024
-#: Pivots are a sample of one in PIVOT_SHARE vectors, of at most MAX_PIVOTS in expectation (26 MB at 64 dimensions); all vectors go to cells.
-PIVOT_SHARE, MAX_PIVOTS = 512, 100_000
+BLOCK = 4096
+#: Pivots are a sample of one in PIVOT_SHARE vectors, of at most PIVOT_VALUES numbers in expectation (64 MB in double precision); all vectors go to cells.
+PIVOT_SHARE, PIVOT_VALUES = 4096, 8_000_000
+#: Matrices of distances are made in tiles of at most so many numbers (32 MB).
+TILE = 4_000_000
 #: Distances closer to a bound than this are computed in full.
 MARGIN = 1e-9
 LEAF = 32
@@ -96,16 +100,19 @@ class Links:
             left, right = a.children or [a], b.children or [b]
             ra, rb = np.array([n.radius for n in left]), np.array([n.radius for n in right])
             ca, cb = np.array([n.members[0] for n in left]), np.array([n.members[0] for n in right])
-            d = np.sqrt(np.maximum(0.0, 2 - 2 * (self.x[ca] @ self.y[cb].T)))
-            slack = ra[:, None] + rb[None, :]
-            open_ = d - slack <= self.reach + MARGIN
-            if twin:
-                open_ = np.triu(open_)
-            for i, j in zip(*(k.tolist() for k in np.nonzero(open_))):
-                if d[i, j] + slack[i, j] <= self.reach - MARGIN and not (twin and i == j):
-                    self.all_link(left[i].members, right[j].members, False)
-                else:
-                    todo.append((left[i], right[j], twin and i == j))
+            step = max(1, TILE // len(cb))
+            for at in range(0, len(ca), step):
+                d = np.sqrt(np.maximum(0.0, 2 - 2 * (self.x[ca[at : at + step]] @ self.y[cb].T)))
+                slack = ra[at : at + step, None] + rb[None, :]
+                open_ = d - slack <= self.reach + MARGIN
+                if twin:
+                    open_ = np.triu(open_, at)
+                for i, j in zip(*(k.tolist() for k in np.nonzero(open_))):
+                    own = twin and at + i == j
+                    if d[i, j] + slack[i, j] <= self.reach - MARGIN and not own:
+                        self.all_link(left[at + i].members, right[j].members, False)
+                    else:
+                        todo.append((left[at + i], right[j], own))
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -154,37 +161,42 @@ def block_links(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
     return pd.DataFrame({"vec_id": ids[some], "n_links": n[some], "root_id": root[some]})
 
 
-def assign_cells(pivots: dict, cosine: float):
-    """Home cell (the nearest pivot of the label) of each vector, and the lower cells it visits: those whose border is within reach."""
+def assign_cells(pivots: Broadcast, cosine: float):
+    """pivots: a matrix of unit vectors for each space. Home cell (the nearest pivot of the label) of each vector, and the lower cells it visits: those whose border is within reach."""
     reach = float(np.sqrt(2 - 2 * cosine))
-    units = {k: (np.array(ids), unit(v)) for k, (ids, v) in pivots.items()}
+
+    def cells(x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+        home, visits = np.zeros(len(x), np.int64), []
+        step = max(1, TILE // len(p))
+        for at in range(0, len(x), step):
+            d2 = np.maximum(0.0, 2 - 2 * (x[at : at + step] @ p.T))
+            own = d2.argmin(axis=1)
+            apart = np.sqrt(np.maximum(0.0, 2 - 2 * (p[own] @ p.T)))
+            # A vector on the other side of the border between two pivots is at least (d2 - own d2) / (2 * their distance) away.
+            border = d2 - d2[np.arange(len(own)), own][:, None] <= 2 * apart * (reach + MARGIN) + MARGIN
+            home[at : at + step] = own
+            visits += [np.flatnonzero(border[i, :h]).tolist() for i, h in enumerate(own)]
+        return home, visits
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for key, part in rows.groupby("space", sort=False):
-                cells, home, visits = units.get(key), np.zeros(len(part), np.int64), [[] for _ in range(len(part))]
-                if cells is not None:
-                    x, p = unit(part.embedding), cells[1]
-                    d2 = np.maximum(0.0, 2 - 2 * (x @ p.T))
-                    home = d2.argmin(axis=1)
-                    apart = np.sqrt(np.maximum(0.0, 2 - 2 * (p @ p.T)))[home]
-                    # A vector on the other side of the border between two pivots is at least (d2 - own d2) / (2 * their distance) away.
-                    border = d2 - d2[np.arange(len(x)), home][:, None] <= 2 * apart * (reach + MARGIN) + MARGIN
-                    visits = [np.flatnonzero(border[i, :h]).tolist() for i, h in enumerate(home)]
+                p = pivots.value.get(key)
+                home, visits = cells(unit(part.embedding), p) if p is not None else (0, [[] for _ in range(len(part))])
                 out.append(part.assign(cell=home, visits=visits))
             yield pd.concat(out)[["space", "vec_id", "copies", "embedding", "cell", "visits"]] if out else pd.DataFrame({c: [] for c in ("space", "vec_id", "copies", "embedding", "cell", "visits")})
 
     return run
 
 
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, block_size: int = BLOCK, pivot_share: int = PIVOT_SHARE) -> DataFrame:
     """One row per input row: vec_id, n_links (other vectors of its label at that cosine or above), component_id, kept (vec_id is the component's).
 
     Equal vectors of a label are compared once and counted as often as they occur. Every vector has a home cell, that of the nearest pivot,
     and visits those lower cells in which a vector within reach can live, so each pair meets in one cell. Cells are dealt out to blocks.
     A null label or id, a null, empty or zero vector, or one with a null or non-finite component links with nothing; vectors of different
-    lengths don't link. Repeated rows count as further vectors. Other columns are not read."""
+    lengths don't link. Repeated rows count as further vectors. An empty table gives an empty one. Other columns are not read."""
     values = F.col("embedding")
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).alias("label"))
     sound = F.forall(values, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(values, lambda v: v != 0)
@@ -192,18 +204,14 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     space = F.concat_ws(":", F.size("embedding").cast("string"), F.col("label").cast("string"))
     distinct = rows.where("sound").withColumn("space", space).groupBy("space", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
     distinct = materialize(distinct)
-    n = distinct.count()
-    chance = min(1 / PIVOT_SHARE, MAX_PIVOTS / max(n, 1))
-    sample = distinct.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(chance * (1 << 30)))
-    pivots: dict = {}
-    for r in sample.select("space", "vec_id", "embedding").orderBy("vec_id").limit(2 * MAX_PIVOTS).toLocalIterator():
-        ids, vectors = pivots.setdefault(r["space"], ([], []))
-        ids.append(r["vec_id"])
-        vectors.append(r["embedding"])
+    n, longest = distinct.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    chance = min(1 / pivot_share, PIVOT_VALUES / longest / max(n, 1))
+    sample = distinct.where(F.pmod(F.xxhash64("vec_id", "space"), F.lit(1 << 30)) < int(chance * (1 << 30))).select("space", "vec_id", "embedding").toPandas().sort_values("vec_id", kind="stable")
+    pivots = df.sparkSession.sparkContext.broadcast({k: unit(part.embedding) for k, part in sample.groupby("space")})
     placed = materialize(distinct.select("space", "vec_id", "copies", "embedding").mapInPandas(assign_cells(pivots, cosine), "space string, vec_id long, copies long, embedding array<double>, cell long, visits array<long>"))
     counts = placed.groupBy("space", "cell").agg(F.count("*").alias("residents"))
     guests = placed.select("space", F.explode("visits").alias("cell")).groupBy("space", "cell").agg(F.count("*").alias("guests"))
-    blocks = lambda c: F.ceil(F.coalesce(F.col(c), F.lit(0)) / BLOCK).cast("int")
+    blocks = lambda c: F.ceil(F.coalesce(F.col(c), F.lit(0)) / block_size).cast("int")
     sizes = counts.join(guests, ["space", "cell"], "left").select("space", "cell", blocks("residents").alias("nb"), blocks("guests").alias("nv"))
     block = lambda c: F.pmod(F.xxhash64("vec_id"), F.col(c)).cast("int")
     home = placed.join(sizes, ["space", "cell"]).withColumn("own", block("nb"))
@@ -218,7 +226,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     tasks = home.union(away).select("space", "cell", "t.i", "t.j", "t.kind", "t.side", ((F.col("t.i") == F.col("t.j")) & (F.col("t.kind") == 0)).cast("int").alias("twin"), "vec_id", "copies", "embedding")
     found = materialize(tasks.groupBy("space", "cell", "i", "j", "kind").applyInPandas(lambda rows: block_links(rows, cosine), "vec_id long, n_links long, root_id long"))
     linked = found.groupBy("vec_id").agg(F.sum("n_links").alias("others"))
-    group = components(found.select(F.col("vec_id").alias("a"), F.col("root_id").alias("b")))
+    group = components(found, "vec_id", "root_id")
     firsts = distinct.select("space", "embedding", F.col("vec_id").alias("first_id"), "copies")
     out = rows.withColumn("space", F.when(F.col("sound"), space)).join(firsts, ["space", "embedding"], "left")
     out = out.join(linked.withColumnRenamed("vec_id", "first_id"), "first_id", "left").join(group.withColumnRenamed("node", "first_id"), "first_id", "left")
