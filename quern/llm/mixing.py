@@ -7,65 +7,79 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quern.llm.common import WORD
+from quern.sources.tables import materialize
 
 
 def n_words(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def numbered_sources(sizes: DataFrame) -> DataFrame:
+    """sizes with n, from 0: the place of each source by code point, null last. No task sees all sources: each counts its range of a sort."""
+    ordered = materialize(sizes.orderBy(F.col("source").isNull(), F.col("source")).withColumn("place", F.monotonically_increasing_id()))
+    part = F.shiftright("place", 33)
+    # One row for each partition of the sort.
+    parts = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("rows"))
+    parts = parts.select("part", F.coalesce(F.sum("rows").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return ordered.join(F.broadcast(parts), part == F.col("part")).withColumn("n", F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).drop("place", "part", "before")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget_pct: int = 150, max_repeat: int = 2) -> DataFrame:
     """source, source_size, weight, target of each row of sizes (source, source_size).
 
-    The weights go round the sources by code point, null last. A target is least(max_repeat * source_size, level * weight); the level
-    is the one at which the targets add up to budget_pct of all sizes, which is where handing on the excess by weight ends.
-    All windows run over one row per source. An empty table gives an empty result; a source without words has target 0."""
-    everything = W.partitionBy(F.lit(0))
-    by_name = everything.orderBy(F.col("source").isNull(), F.col("source"))
-    listed = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
-    listed = listed.withColumn("cap", F.lit(max_repeat) * F.col("source_size"))
-    # Sources in the order in which a rising level meets their caps; those before the first with level <= cap / weight stay at their caps;
-    # of the levels that fit, that one is the greatest.
-    before = everything.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source")).rowsBetween(W.unboundedPreceding, -1)
-    listed = listed.withColumn("budget", F.sum("source_size").over(everything) * budget_pct / F.lit(100.0))
-    listed = listed.withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))))
-    listed = listed.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
-    return listed.select("source", "source_size", "weight", F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double"))).alias("target"))
-
-
-def rated(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], budget_pct: int, max_repeat: int, seed: str) -> DataFrame:
-    """row (all columns of df), doc_id, size, source_size, target, copies. The rows of df are not shuffled when the sources are few."""
-    docs = df.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"))
-    targets = source_targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget_pct, max_repeat)
+    The weights go round the sources by code point, null last. A target is least(max_repeat * source_size, level * weight). The level starts
+    at the budget over all weights; sources that it takes above their cap stop there, and the rest is shared anew by the weights of the others,
+    until none is above. An empty table gives an empty result; a source without words has target 0."""
+    listed = numbered_sources(sizes).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("n") % len(weights) + 1).cast("int"))).drop("n")
+    listed = materialize(listed.withColumn("cap", F.lit(max_repeat) * F.col("source_size")))
+    budget = (listed.agg(F.sum("source_size")).first()[0] or 0) * budget_pct / 100.0
+    level, stopped = 0.0, -1
+    while True:
+        above = F.lit(level) * F.col("weight") > F.col("cap")
+        n, caps, open_ = listed.agg(F.count_if(above), F.coalesce(F.sum(F.when(above, F.col("cap"))), F.lit(0)), F.sum(F.when(~above, F.col("weight")))).first()
+        if n == stopped or not open_:
+            break
+        level, stopped = (budget - caps) / open_, n
+    return listed.select("source", "source_size", "weight", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight")).alias("target"))
+
+
+def rated(docs: DataFrame, weights: tuple[int, ...], budget_pct: int, max_repeat: int, seed: str) -> DataFrame:
+    """docs (doc_id, source, size and others) with source_size, target and copies. The rows of docs are not shuffled when the sources are few."""
+    targets = materialize(source_targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget_pct, max_repeat))
     joined = docs.alias("d").join(spread(targets), F.col("d.source").eqNullSafe(F.col("t.source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     copies = (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
-    return joined.select("row", "doc_id", "size", "source_size", "target", copies.alias("copies"))
+    return joined.select("d.*", "source_size", "target", copies.alias("copies"))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), budget_pct: int = 150, max_repeat: int = 2, seed: str = "mix") -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, copies, taken = copies * size.
 
     copies is floor(rate) plus one if the hash of seed and id, as a number from 0 to 1, is below the rate's fraction; rate is target / source_size.
-    Sources are summed up by partial aggregation (a source can hold most rows).
+    The draws are independent, so a source's taken words lie about its target with a standard deviation of sqrt(f (1 - f)) times the root of
+    the sum of its squared sizes, f the fraction: a few per cent of the target from some thousand documents on, more for few or very uneven ones.
+    Texts are read once, for a table of ids and sizes. Sources are summed up by partial aggregation (a source can hold most rows).
     Null texts have size 0; null sources are one source; repeated ids get the same draw; a source of size 0 has rate 0. Other columns are not returned."""
-    return rated(df, id_col, text_col, source_col, weights, budget_pct, max_repeat, seed).drop("row").withColumn("taken", F.col("copies") * F.col("size"))
+    docs = materialize(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_col).alias("size")))
+    return rated(docs, weights, budget_pct, max_repeat, seed).drop("source").withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def take(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), budget_pct: int = 150, max_repeat: int = 2, seed: str = "mix") -> DataFrame:
     """The rows of df, each as often as mix takes it, with the columns of df."""
-    rows = rated(df, id_col, text_col, source_col, weights, budget_pct, max_repeat, seed).where("copies > 0")
+    docs = df.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"))
+    rows = rated(docs, weights, budget_pct, max_repeat, seed).where("copies > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
-#: Up to so many sources, their targets are broadcast; beyond it, they are joined by a shuffle.
+#: Up to so many sources, their targets are broadcast, if names have at most 256 characters on average: 6 MB. Beyond it, they are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 
 
 def spread(targets: DataFrame) -> DataFrame:
-    """The targets for a join: broadcast if there are at most BROADCAST_SOURCES sources, which is counted first."""
-    few = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    return F.broadcast(targets.alias("t")) if few else targets.alias("t")
+    """The targets for a join: broadcast if they are few and their names short, which is counted first."""
+    n, chars = targets.agg(F.count("*"), F.coalesce(F.sum(F.length("source")), F.lit(0))).first()
+    return F.broadcast(targets.alias("t")) if n <= BROADCAST_SOURCES and chars <= 256 * BROADCAST_SOURCES else targets.alias("t")
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
@@ -73,7 +87,7 @@ def op3_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; the columns of docs."""
+    """Each document as often as the mix takes it; the columns of docs. Null texts have no words, null sources are one source, an empty table gives an empty one."""
     return take(docs)
 
 
