@@ -5,19 +5,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import scratch_dir
+from quern.sources.tables import materialize, scratch_dir
 
 SCHEMA = "page_id long, host string, path string, rule string, verdict string"
 # The rules of the contract.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-#: A rule set is built on the driver; beyond so many rules, split it and apply the parts one after the other.
-MAX_RULES = 20_000_000
+#: Rules of up to so many characters, and so many rules, go to every executor as one file (some 64 MB at most); more are dealt out to shards, whose arrays meet the urls' candidates by a shuffle.
+FILE_CHARS, FILE_RULES = 40_000_000, 1_000_000
+#: Rules of a shard, about.
+SHARD_RULES = 500_000
 
 
 def host_and_path(url: str) -> tuple[Column, Column]:
@@ -27,26 +30,22 @@ def host_and_path(url: str) -> tuple[Column, Column]:
 
 
 class DigestArray:
-    """Layout of the file: count and number of path lengths, the path lengths, sorted digests, offsets of the strings, verdicts (1: block), the strings."""
+    """Sorted digests, offsets of the strings, verdicts (1: block), the strings; as a file, behind the number of rules."""
 
     @staticmethod
     def pack(rules: dict[str, str]) -> bytes:
         """The file for rules (host and path, with the slash between: block or allow)."""
         keys = sorted((xxhash.xxh64_intdigest(k), k.encode(), v) for k, v in rules.items())
-        lengths = sorted({len(k) - k.index("/") for k in rules})
         ends = np.cumsum([0, *(len(k) for _, k, _ in keys)], dtype=np.uint64)
-        numbers = np.array([len(keys), len(lengths), *lengths, *(h for h, _, _ in keys)], np.uint64)
+        numbers = np.array([len(keys), *(h for h, _, _ in keys)], np.uint64)
         return numbers.tobytes() + ends.tobytes() + bytes(v == "block" for _, _, v in keys) + b"".join(k for _, k, _ in keys)
 
-    def __init__(self, path: str) -> None:
-        data = np.memmap(path, np.uint8, "r")
-        n, m = (int(x) for x in data[:16].view(np.uint64))
-        self.lengths = [int(x) for x in data[16 : 16 + 8 * m].view(np.uint64)]
-        at = 16 + 8 * m
-        self.keys = data[at : at + 8 * n].view(np.uint64)
-        self.ends = data[at + 8 * n : at + 16 * n + 8].view(np.uint64)
-        self.blocks = data[at + 16 * n + 8 : at + 17 * n + 8]
-        self.text = data[at + 17 * n + 8 :]
+    def __init__(self, data: np.ndarray) -> None:
+        n = int(data[:8].view(np.uint64)[0])
+        self.keys = data[8 : 8 + 8 * n].view(np.uint64)
+        self.ends = data[8 + 8 * n : 16 + 16 * n].view(np.uint64)
+        self.blocks = data[16 + 16 * n : 16 + 17 * n]
+        self.text = data[16 + 17 * n :]
 
     def find(self, names: list[str]) -> np.ndarray:
         """The place of each name in the array, -1 if it isn't there; strings of equal digests are compared in full."""
@@ -67,36 +66,34 @@ class DigestArray:
         return self.text[int(self.ends[k]) : int(self.ends[k + 1])].tobytes().decode()
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> Iterator[str]:
-    """The rules that could fit: the host and what follows each dot of it, with the path's starts of the lengths that rules have."""
-    while True:
+def candidates(host: str, path: str, lengths: list[int], labels: int) -> Iterator[str]:
+    """The rules that could fit, the longest first: the ends of the host of up to so many labels, with the path's starts of the lengths that rules have (longest first)."""
+    parts = host.rsplit(".", labels)
+    # Beyond that many labels, the host as a whole is no rule's either.
+    ends = parts[-labels:] if len(parts) > labels else parts
+    for k in range(len(ends)):
+        end = ".".join(ends[k:])
         for n in lengths:
             if n <= len(path):
-                yield host + path[:n]
-        _, dot, host = host.partition(".")
-        if not dot:
-            return
+                yield end + path[:n]
 
 
-def judge(rules: DigestArray, hosts: list[str], paths: list[str], default: str) -> tuple[list[str | None], list[str]]:
-    """The longest rule of each host and path, and the verdict. Of rules as long, the first by code point."""
-    names = [list(candidates(h, p, rules.lengths)) for h, p in zip(hosts, paths)]
-    places = rules.find([x for own in names for x in own])
-    found, verdicts, at = [], [], 0
+def best(names: list[list[str]], places: np.ndarray) -> list[tuple[str | None, int]]:
+    """For each url's candidates, the longest rule found and its place; of rules as long, the first by code point."""
+    out, at = [], 0
     for own in names:
         hits = [(-len(x), x, k) for x, k in zip(own, places[at : at + len(own)].tolist()) if k >= 0]
         at += len(own)
         _, name, k = min(hits, default=(0, None, -1))
-        found.append(name)
-        verdicts.append(default if k < 0 else "block" if rules.blocks[k] else "allow")
-    return found, verdicts
+        out.append((name, k))
+    return out
 
 
 def publish(spark: SparkSession, data: bytes) -> str:
     """Put data into the shared folder, for every executor to fetch; the name under which SparkFiles has it."""
     folder = scratch_dir(spark)
     # The file server of a session takes a name once only.
-    name = f"urls-{folder.rpartition('-')[2]}.bin"
+    name = f"urls-{folder.rpartition('/')[2]}.bin"
     jvm, path = spark.sparkContext._jvm, f"{folder}/{name}"
     target = jvm.org.apache.hadoop.fs.Path(path)
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -107,25 +104,67 @@ def publish(spark: SparkSession, data: bytes) -> str:
     return name
 
 
-def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: dict[str, str] | None = None, default: str = "allow") -> DataFrame:
+def shape(rules: DataFrame) -> tuple[int, int, list[int], int]:
+    """Of rules (rule, verdict): how many, their characters, the lengths of their paths (longest first), and the most labels of a host. Path lengths are few: no url is longer than some thousand characters."""
+    slash = F.instr("rule", "/")
+    sizes = rules.agg(F.count("*"), F.coalesce(F.sum(F.length("rule")), F.lit(0)), F.collect_set((F.length("rule") - slash + 1).cast("int")), F.coalesce(F.max(F.regexp_count(F.substring_index("rule", "/", 1), F.lit(r"\."))), F.lit(0))).first()
+    return sizes[0], sizes[1], sorted(sizes[2], reverse=True), sizes[3] + 1
+
+
+def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: dict[str, str] | DataFrame | None = None, default: str = "allow", file_rules: int = FILE_RULES) -> DataFrame:
     """One row per input row: page_id, host, path, rule (null if none fits) and verdict (default without a rule).
 
-    A rule is a host and a path's start, such as net/ or example.com/de/; it fits that host and its subdomains. Null urls have an empty host and path.
-    Repeated rows are judged alone; other columns are not read; no rules: every url gets the default."""
-    rules = RULES if rules is None else rules
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    name = publish(df.sparkSession, DigestArray.pack(rules))
+    A rule is a host and a path's start, such as net/ or example.com/de/; it fits that host and its subdomains. rules is a dict, or a table of
+    any size (rule, verdict: block or allow; a rule given twice blocks if either does; rules without a slash are left out).
+    Null urls have an empty host and path. Repeated rows are judged alone; an empty table gives an empty one; other columns are not read;
+    no rules: every url gets the default. Of a long host only as many labels are tried as the longest rule has."""
+    spark = df.sparkSession
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(list((RULES if rules is None else rules).items()), "rule string, verdict string")
+    rules = materialize(rules.where("instr(rule, '/') > 0").groupBy("rule").agg(F.max("verdict").alias("verdict")))
+    count, chars, lengths, labels = shape(rules)
+    host, path = host_and_path(url_col)
+    pages = df.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    if count <= file_rules and chars <= FILE_CHARS:
+        return mapped(pages, dict(map(tuple, rules.toLocalIterator())), lengths, labels, default)
+    return sharded(pages, rules, -(-count // SHARD_RULES), lengths, labels, default)
+
+
+def mapped(pages: DataFrame, rules: dict[str, str], lengths: list[int], labels: int, default: str) -> DataFrame:
+    """pages (page_id, host, path) with rule and verdict, by one file of rules that every executor maps into memory."""
+    name = publish(pages.sparkSession, DigestArray.pack(rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = DigestArray(SparkFiles.get(name))
+        array = DigestArray(np.memmap(SparkFiles.get(name), np.uint8, "r"))
         for batch in batches:
             hosts, paths = batch.column("host"), batch.column("path")
-            found, verdicts = judge(array, hosts.to_pylist(), paths.to_pylist(), default)
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), hosts, paths, pa.array(found, pa.string()), pa.array(verdicts, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
+            names = [list(candidates(h, p, lengths, labels)) for h, p in zip(hosts.to_pylist(), paths.to_pylist())]
+            found = best(names, array.find([x for own in names for x in own]))
+            verdicts = [default if k < 0 else "block" if array.blocks[k] else "allow" for _, k in found]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), hosts, paths, pa.array([x for x, _ in found], pa.string()), pa.array(verdicts, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
-    host, path = host_and_path(url_col)
-    return df.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).mapInArrow(run, SCHEMA)
+    return pages.mapInArrow(run, SCHEMA)
+
+
+def sharded(pages: DataFrame, rules: DataFrame, shards: int, lengths: list[int], labels: int, default: str) -> DataFrame:
+    """The same for rules of any number: each shard's task makes the array of its rules and probes it with the distinct candidates that fall to it."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()):
+                names = list(candidates(h, p, lengths, labels))
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(names), pa.string()), pa.array([p] * len(names), pa.string()), pa.array(names, pa.string())], ["host", "path", "rule"])
+
+    def probe(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        array = DigestArray(np.frombuffer(DigestArray.pack(dict(zip(own.rule, own.verdict))), np.uint8))
+        places = array.find(asked.rule.tolist())
+        return pd.DataFrame({"rule": asked.rule[places >= 0], "verdict": ["block" if array.blocks[k] else "allow" for k in places[places >= 0]]})
+
+    urls = materialize(pages.select("host", "path").distinct().mapInArrow(spread, "host string, path string, rule string"))
+    shard = F.pmod(F.xxhash64("rule"), F.lit(shards)).alias("shard")
+    hits = urls.select("rule").distinct().groupBy(shard).cogroup(rules.groupBy(shard)).applyInPandas(probe, "rule string, verdict string")
+    judged = urls.join(hits, "rule").groupBy("host", "path").agg(F.min_by(F.struct("rule", "verdict"), F.struct(-F.length("rule"), "rule")).alias("hit"))
+    return pages.join(judged, ["host", "path"], "left").select("page_id", "host", "path", "hit.rule", F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
 
 
 def op8_url_filters(spark, sf_dir: str) -> DataFrame:
