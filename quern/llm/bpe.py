@@ -204,12 +204,11 @@ def codec(path: str, pattern: str) -> Codec:
 def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_tokens, and SHA-256 digests of the ids (decimal, joined by commas) and of the bytes decoded from them.
 
-    with_ids adds ids (array of int) and decoded (string). path is where each executor finds the file of ranks.
+    with_ids adds ids (array of int) and decoded (string). path is where each executor finds the file of ranks; where it isn't given, each looks it up itself.
     Null texts are empty: no token, the digests of nothing. Repeated rows are encoded alone; other columns are not read."""
-    path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
 
     def rows(ids: pa.Array, texts: pa.Array) -> dict:
-        own = codec(path, pattern)
+        own = codec(path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN)
         out = {"doc_id": ids, "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
         for text in texts.to_pylist():
             got = own.encode(text or "")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from quern.llm import bpe, licenses, lines, minhash, mixing, pages, pii, quality, urls, vectors
 
-
 QUERIES = (quality.op1_quality_rules, vectors.op2_cover_tree, mixing.op3_mixing, licenses.op4_license_scans, pii.op5_pii_surrogates, bpe.op6_byte_bpe, pages.op7_html, urls.op8_url_filters, minhash.op9_minhash, lines.op10_line_dedup)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,6 +1,7 @@
 """Operators over whole tables against SQL or brute-force versions, and their edge cases."""
 
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 
 import corpus_pipeline
 from quern.llm import lines, minhash, mixing, pages, pii, queries, urls, vectors
+from quern.llm.common import word_hashes
 from tests.compare import SMALL, assert_same
 
 DOCS = "doc_id long, text string, source string, id string, size int, key string"
@@ -39,6 +41,30 @@ def test_mixing_targets_refill_after_caps(spark):
     assert sum(got.values()) == pytest.approx(1.5 * 2010)
 
 
+def test_mixing_comes_near_its_targets(spark):
+    """Taken words lie within four standard deviations of the target, and no document exceeds twice its size."""
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet")
+    sizes = defaultdict(list)
+    for r in mixing.mix(rows).collect():
+        assert 0 <= r.taken <= 2 * r.size
+        sizes[r.source_size, r.target].append((r.size, r.taken))
+    for (size, target), docs in sizes.items():
+        f = target / size % 1 if size else 0
+        assert abs(sum(t for _, t in docs) - target) <= 4 * (f * (1 - f) * sum(s * s for s, _ in docs)) ** 0.5 + 1e-6
+
+
+def test_urls_by_shards(spark):
+    """Rules as a table, in shards, give what the file gives; long hosts and urls too."""
+    rows = [(k, f"http://{h}.example.{t}/{p}/x") for k, (h, t, p) in enumerate((h, t, p) for h in ("a", "b.c") for t in ("net", "com", "org") for p in ("en", "de", "fr"))]
+    rows += [(100, "http://" + "a." * 20_000 + "example.net/en/" + "y" * 50_000), (101, None), (102, "x"), (0, rows[0][1])]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    table = spark.createDataFrame([*urls.RULES.items(), ("a.example.com/", "allow"), ("a.example.com/", "block"), ("no slash", "block")], "rule string, verdict string")
+    whole, parts = (sorted(map(tuple, urls.filter_urls(df, rules=table, file_rules=n).collect()), key=str) for n in (urls.FILE_RULES, 0))
+    assert whole == parts and len(whole) == len(rows)
+    got = {r[0]: (r[3], r[4]) for r in whole}
+    assert got[100] == ("example.net/en/", "allow") and got[3] == ("a.example.com/", "block") and got[101] == (None, "allow")
+
+
 def test_urls(spark):
     cases = [("https://A.Example.NET/en/x?y", "a.example.net", "/en/x", "example.net/en/", "allow"), ("http://x.net", "x.net", "", None, "allow"), ("http://x.net/?q", "x.net", "/", "net/", "block"), ("http://notexample.com/de/", "notexample.com", "/de/", None, "allow"), ("http://example.com/de/a#b", "example.com", "/de/a", "example.com/de/", "block"), ("no scheme", "", "", None, "allow"), (None, "", "", None, "allow")]
     df = spark.createDataFrame([(k, c[0], "h", "p") for k, c in enumerate(cases)], "page_id long, url string, host string, path string")
@@ -50,12 +76,25 @@ def test_urls(spark):
 
 def test_minhash_edges(spark):
     long = " ".join(f"w{k}" for k in range(3000))
-    rows = [(1, None, "s"), (2, "", "s"), (3, "a b", "s"), (4, "A  b", "s"), (5, "a b c", "s"), (6, long, "s"), (7, long + " end", "s"), (8, long, "s"), (8, long, "s"), (None, "a b", "s")]
+    rows = [(1, None, "s"), (2, "", "s"), (3, "a b", "s"), (4, "A  b", "s"), (5, "a b c", "s"), (6, long, "s"), (7, long + " end", "s"), (8, long, "s"), (8, long, "s"), (None, "a b", "s"), (9, "a b c", "s"), (9, "q", "s")]
     got = [tuple(r) for r in minhash.near_duplicates(frame(spark, rows)).collect()]
-    assert sorted(got, key=str) == sorted([(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 3, False), (5, 1, 5, True), (6, 2996, 6, True), (7, 2997, 6, False), (8, 2996, 6, False), (8, 2996, 6, False), (None, 1, 3, True)], key=str)
+    assert sorted(got, key=str) == sorted([(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 3, False), (5, 1, 5, True), (6, 2996, 6, True), (7, 2997, 6, False), (8, 2996, 6, False), (8, 2996, 6, False), (None, 1, None, True), (9, 1, 5, False), (9, 1, 5, False)], key=str)
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_word_hashes_differ():
+    """Words on which a polynomial hash modulo 2**64 fails, whatever its base."""
+    bits = [bin(k).count("1") % 2 for k in range(2048)]
+    a, b = (bytes(97 + (x ^ y) for x in bits) for y in (0, 1))
+    hashes, starts = word_hashes([[a], [b], []])
+    assert hashes[0] != hashes[1] and starts.tolist() == [0, 1, 2, 2]
+
+
+def test_minhash_deals_out_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    test_minhash_groups_of_variants(spark)
+
+
 def test_minhash_groups_of_variants(spark):
     """Variants of one text of which most don't link with the least id: components equal those of all pairs."""
     rng = np.random.default_rng(5)
@@ -110,6 +149,26 @@ def test_cover_tree_links_equal_all_pairs():
         assert (links.nx + links.ny == mask @ w).all()
 
 
+def test_cover_tree_in_cells_and_blocks(spark, monkeypatch):
+    """Many cells of small blocks and tiles find what all pairs have; repeated rows count."""
+    monkeypatch.setattr(vectors, "TILE", 64)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 6))
+    x = vectors.unit(np.concatenate([x, x.repeat(4, axis=0) + rng.normal(size=(240, 6)) * 0.06]))
+    ids = [*range(300), 5, 6]
+    x = np.concatenate([x, x[5:7]])
+    label = np.array([k % 2 for k in ids])
+    df = spark.createDataFrame([(k, v.tolist(), int(g)) for k, v, g in zip(ids, x, label)], "vec_id long, embedding array<double>, label int")
+    link = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
+    least = np.arange(300)
+    for a, b in zip(*np.nonzero(link)):
+        a, b = ids[a], ids[b]
+        least[least == max(least[a], least[b])] = min(least[a], least[b])
+    got = vectors.near_vectors(df, block_size=16, pivot_share=8).collect()
+    want = sorted((k, int(link[i].sum()) - 1, int(least[k]), bool(least[k] == k)) for i, k in enumerate(ids))
+    assert sorted(map(tuple, got)) == want
+
+
 def brute_removed(rows, similarity=0.9):
     seen, gone = [], set()
     for d, t in sorted((d, t) for d, t, _ in rows if d is not None and t is not None):
@@ -167,6 +226,21 @@ def test_line_dedup_takes_every_line_with_a_word(spark, tmp_path):
     assert left == {1: rows[0][1], 3: rows[2][1], 5: None}
 
 
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    long = " ".join(f"l{k}" for k in range(60_000))
+    rows = [(1, "one line that is copied\nanother one", "s"), (2, "one line that is copied", "s"), (2, "a line found nowhere else", "s"), (2, "a line found nowhere else", "t"), (3, long, "s"), (4, f"{long} more", "s"), (None, "another one", "s")]
+    got = lines.dedup_lines(frame(spark, rows), min_words=1).collect()
+    assert sorted((r.row.doc_id, r.removed) for r in got if r.row.doc_id) == [(1, []), (2, []), (2, []), (2, [0]), (3, []), (4, [0])]
+    assert {r.row.text for r in got if r.row.doc_id == 2} == {"", "a line found nowhere else"}
+    assert lines.stage(spark, frame(spark, []), "").count() == 0
+
+
+def test_line_dedup_of_large_buckets(spark, monkeypatch):
+    """Groups of near copies above the bound of a frequent word."""
+    monkeypatch.setattr(lines, "FREQUENT", 3)
+    test_line_dedup(spark)
+
+
 def test_pii(spark):
     text = "Mr John Smith wrote to ann.lee7@mail.example.com from 10.20.30.40, +1 (771) 555-1655, card 4539578763621486, id 4539578763621487.\nMrs Smith, token = \"0641917ea4e9feb9cda83477b57ac2654884f485\" ann.lee7@mail.example.com"
     rows = [(1, text, "s"), (2, "plain words only", "s"), (3, None, "s"), (4, "", "s"), (5, "x ann.lee7@mail.example.com y", "s")]
@@ -174,7 +248,7 @@ def test_pii(spark):
     out = got[1].text
     for secret in ("John", "Smith", "ann.lee7@mail.example.com", "10.20.30.40", "771) 555-1655", "4539578763621486", "0641917ea4e9"):
         assert secret not in out
-    assert "4539578763621487" in out and got[1].n_entities == 8
+    assert "4539578763621487" in out and got[1].n_entities == 9
     mails = re.findall(r"\S+@\S+", out)
     assert len(mails) == 2 and mails[0].rstrip(",") == mails[1] == got[5].text.split()[1]
     card = re.search(r"card (\d{16})", out)[1]
@@ -184,9 +258,51 @@ def test_pii(spark):
 
 
 def test_pii_surrogates_are_distinct(spark):
-    rows = [("ip", f"10.0.{k // 250}.{k % 250}") for k in range(2000)] + [("email", f"a{k % 10}@b.de") for k in range(10)]
+    """Also where every entity of a length is taken: all one-letter mails, all names of one syllable."""
+    rows = [("ip", f"10.0.{k // 250}.{k % 250}") for k in range(600)] + [("email", f"{a}@{b}.de") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    rows += [(f"given-{g}", f"John{k}") for k in range(200) for g in "mf"] + [("family", f"Smith{k}") for k in range(200)] + [("han-m", x) for x in pii.FAMILY_HAN]
     table = pii.distinct_surrogates(spark.createDataFrame(rows, "kind string, entity string"), "key").collect()
-    assert len({r.new for r in table}) == len(rows) and not {r.new for r in table} & {e for _, e in rows}
+    assert len({r.new for r in table}) == len(table) == len(rows) and not {r.new for r in table} & {e for _, e in rows}
+    assert all(r.new.endswith(("a", "A")) for r in table if r.kind == "given-f") and not any(r.new.endswith("a") for r in table if r.kind == "given-m")
+
+
+def test_pii_names(spark):
+    """Distinct people stay distinct, later mentions go too, scripts and genders stay, ids don't matter."""
+    people = " ".join(f"Mr {g} Smith." for g in ("John", "Peter", "Paul", "Adam", "Carl", "Emil", "Otto", "Hugo", "Ivan", "Karl"))
+    rows = [(1, people, "s"), (1, "Mrs Anna Jones met Mr John Smith. Smith and Anna left.", "s"), (None, "Frau Müller: mueller@post.de", "s"), (None, "Frau Müller: mueller@post.de", "s"), (2, "王小明先生到了。王小明走了。田中さん", "s"), (3, "γιώργος@ταχυδρομείο.gr г-н Иван Петров", "s"), (4, "No title: John Smith", "s"), (5, "x " * 100_000 + "Dr Who", "s")]
+    got = [(r.doc_id, r.n_entities, r.text) for r in pii.replace_pii(frame(spark, rows)).collect()]
+    texts = sorted(got, key=lambda r: rows.index(next(x for x in rows if x[0] == r[0] and len(x[1]) > 0 and x[1].count(" ") == r[2].count(" "))))
+    names = re.findall(r"Mr (\S+) (\S+)\.", next(t for d, _, t in got if d == 1 and t.startswith("Mr")))
+    assert len(set(names)) == 10 and len({f for _, f in names}) == 1
+    second = next((n, t) for d, n, t in got if d == 1 and t.startswith("Mrs"))
+    m = re.fullmatch(r"Mrs (\S+) (\S+) met Mr (\S+) (\S+)\. (\S+) and (\S+) left\.", second[1])
+    assert second[0] == 6 and m[1] == m[6] and m[4] == m[5] == names[0][1] and m[3] == names[0][0] and m[1].endswith("a") and not set(m.groups()) & set("Anna Jones John Smith".split())
+    none = [t for d, _, t in got if d is None]
+    assert len(none) == 2 and len(set(none)) == 1 and "mueller" not in none[0] and "Müller" not in none[0]
+    han = next(t for d, _, t in got if d == 2)
+    m = re.fullmatch(r"(..\S)先生到了。(..\S)走了。(\S\S)さん", han)
+    assert m[1] == m[2] != "王小明" and m[3] != "田中"
+    greek = next(t for d, _, t in got if d == 3)
+    assert re.match(r"[α-ωά-ώς]+@[α-ωά-ώς]+\.gr г-н [А-Я][а-я]+ [А-Я][а-я]+$", greek) and "Иван" not in greek
+    assert next(r for r in got if r[0] == 4) == (4, 0, "No title: John Smith")
+    assert "Who" not in next(t for d, _, t in got if d == 5) and len(texts) == len(rows)
+    assert pii.replace_pii(frame(spark, [])).count() == 0
+
+
+def test_pii_equals_brute_force(spark):
+    """On the whole table: a text's entities, found one form after the other, give way each to one and the same surrogate, and nothing else changes."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = {r.doc_id: r for r in pii.replace_pii(docs).collect()}
+    seen: dict[str, str] = {}
+    mail = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+")
+    for r in docs.collect():
+        old, new = mail.split(r.text), mail.split(got[r.doc_id].text)
+        assert len(old) == len(new)
+        for a, b in zip(mail.findall(r.text), mail.findall(got[r.doc_id].text)):
+            assert a != b and seen.setdefault(a, b) == b
+        if not got[r.doc_id].n_entities:
+            assert got[r.doc_id].text == r.text and not mail.search(r.text)
+    assert len(set(seen.values())) == len(seen) > 0
 
 
 PAGE = """<html><head><title>t</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a>Menu</a></li></ul></nav><div class="ad">Buy</div>
@@ -205,19 +321,57 @@ def test_pages(spark):
     assert pages.extract_pages(df.limit(0)).count() == 0
 
 
-def test_repeated_runs_equal_windows():
-    rng = np.random.default_rng(4)
-    streams = [[str(w) for w in rng.integers(0, 3, rng.integers(0, 60))] for _ in range(12)]
+def test_markup():
+    text = lambda html: "\n".join(t for o, t in pages.judged(html))
+    assert text('<article><header><h1>Title</h1></header><div class="content has-sidebar"><p>a</p></div><div class="social-history">b</div><div class="post-comments">c</div><footer>d</footer></article>') == "Title\na\nb"
+    assert text('<header><h1>Site</h1></header><main><p>a<nav>n</nav></main><div id="cookie-notice">x</div>') == "a"
+    assert text("<p>1 &lt; 2 <b\n>x</p>") == "1 < 2 x"
+    for part in ("<b ", "<div>", "</i>", "<!", "<script ", "<a '", '<a "', "<p>x</b>"):
+        start = time.time()
+        pages.judged(part * (1_000_000 // len(part)))
+        assert time.time() - start < 6, part
+
+
+def brute_text(page, host):
+    """The text of a page's parts, by windows over all pages (parts by page) of its host."""
     where = defaultdict(set)
-    for p, s in enumerate(streams):
-        for k in range(len(s) - pages.RUN + 1):
-            where[tuple(s[k : k + pages.RUN])].add(p)
-    for s, mask in zip(streams, pages.repeated(streams)):
-        want = np.zeros(len(s), bool)
-        for k in range(len(s) - pages.RUN + 1):
-            if len(where[tuple(s[k : k + pages.RUN])]) >= pages.MIN_PAGES:
-                want[k : k + pages.RUN] = True
-        assert (mask == want).all()
+    for k, parts in host.items():
+        words = [w for o, t in parts if o for w in t.split(" ")]
+        for i in range(len(words) - pages.RUN + 1):
+            where[tuple(words[i : i + pages.RUN])].add(k)
+    words = [w for o, t in host[page] if o for w in t.split(" ")]
+    mask = [False] * len(words)
+    for i in range(len(words) - pages.RUN + 1):
+        if len(where[tuple(words[i : i + pages.RUN])]) >= pages.MIN_PAGES:
+            mask[i : i + pages.RUN] = [True] * pages.RUN
+    return pages.main_text(host[page], np.array(mask, bool))
+
+
+def test_pages_equal_brute_force(spark):
+    """Pages without an article, in groups of four pages: each run is judged by all pages of its host."""
+    rng = np.random.default_rng(8)
+    shared = [" ".join(f"s{j}_{k}" for k in range(rng.integers(6, 30))) for j in range(6)]
+    rows = []
+    for k in range(40):
+        parts = [shared[j] if rng.random() < 0.3 else " ".join(f"w{w}" for w in rng.integers(0, 4, rng.integers(1, 20))) for j in rng.integers(0, 6, 5)]
+        rows.append((k, f"http://h{k % 2}/{k}", "".join(f"<div>{p}</div>" for p in parts)))
+    rows.append((0, rows[0][1], rows[0][2]))
+    hosts = [{k: pages.judged(html) for k, _, html in rows if k % 2 == side} for side in (0, 1)]
+    got = pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), group_pages=4).collect()
+    assert sorted((r.page_id, r.text, r.n_chars) for r in got) == sorted((k, t, len(t)) for k, t in ((k, brute_text(k, hosts[k % 2])) for k, _, _ in rows))
+    assert any(r.text != "\n".join(t for _, t in hosts[r.page_id % 2][r.page_id]) for r in got)
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 50, 200):
+        words = rng.integers(0, 3, n)
+        order, common = pages.suffix_array(words)
+        suffixes = sorted(range(n), key=lambda k: words[k:].tolist())
+        assert order.tolist() == suffixes
+        for i in range(1, n):
+            a, b = words[order[i - 1] :].tolist(), words[order[i] :].tolist()
+            assert common[i] == next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
 def test_pipeline(spark):

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import time
 from collections import Counter
 
 import public_tokenizers
@@ -55,7 +56,32 @@ def test_quality_stage_keeps_columns(spark):
     assert quality.stage(spark, docs.limit(0), SMALL).count() == 0
 
 
+def test_quality_verdict_equals_brute_force(spark):
+    """Lines one by one, then the share of words lost; and the text of what is kept."""
+    rows = documents(spark)
+    got = quality.quality_rules(frame(spark, rows), with_text=True).collect()
+    want = Counter()
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        bad = [quality.line_fails(x) is not None for x in lines]
+        words = [len(quality._WORD.findall(x)) for x in lines]
+        kept = [x for x, b in zip(lines, bad) if not b]
+        left = sum(w for w, b in zip(words, bad) if not b)
+        want[d, sum(words), sum(w > 0 for w in words), sum(bad), left, "\n".join(kept)] += 1
+    assert Counter((r.doc_id, r.n_words, r.n_lines, r.n_failed_lines, r.n_kept_words, r.text) for r in got) == want
+    assert all(r.kept == (not r.base_failed and r.n_words - r.n_kept_words <= 0.3 * r.n_words) for r in got)
+
+
+def test_quality_stage_takes_clashing_columns(spark):
+    text = "A plain sentence ends here with some more words of it. " * 10
+    docs = spark.createDataFrame([(1, text, 5, True), (2, None, None, None)], "doc_id long, text string, n_chars int, kept boolean")
+    assert [tuple(r) for r in quality.keep_clean(docs, max_repeat_pct=100).collect()] == [(1, text, len(text), True)]
+
+
 def test_line_rules():
+    for line in ("Wir verwenden Cookies auf dieser Seite.", "Alle Rechte vorbehalten.", "Politique de confidentialit\u00e9 ici.", "Todos los derechos reservados."):
+        assert quality.line_fails(line) == "boilerplate"
+    assert quality.line_fails("The cookier sat down.") is None
     assert quality.line_fails("Home | About | Contact") == "navigation"
     assert quality.line_fails("We use cookies here.") == "boilerplate"
     assert quality.line_fails("READ THIS NOW OR ELSE!!") == "shouting"
@@ -123,6 +149,21 @@ def test_license_base_places(spark):
 def test_license_expressions():
     assert licenses.to_postfix("MIT OR Apache-2.0 AND GPL-2.0") == ["mit", "apache-2.0", "gpl-2.0", "and", "or"]
     assert licenses.to_postfix("(MIT OR Apache-2.0) AND X WITH Y") == ["mit", "apache-2.0", "or", "x", "y", "with", "and"]
-    for wrong in ("", "MIT OR", "(MIT", "MIT)", "AND MIT", "MIT Apache-2.0", "()"):
+    for wrong in ("", "MIT OR", "(MIT", "MIT)", "AND MIT", "()"):
         assert licenses.to_postfix(wrong) is None
-    assert licenses.choices(licenses.to_postfix("(MIT OR Apache-2.0) AND GPL-2.0-only")) == frozenset({frozenset({"mit", "gpl-2"}), frozenset({"apache-2", "gpl-2"})})
+    assert licenses.to_postfix("MIT. More text (here)") == ["mit"]
+    value = lambda x: licenses.evaluate(licenses.to_postfix(x))
+    assert value("MIT OR GPL-2.0") == (0.9, {"mit"}) and value("MIT AND GPL-2.0-only") == (0.3, {"mit", "gpl-2"})
+    assert value("(MIT OR Apache-2.0) AND GPL-2.0+") == (0.3, {"apache-2", "gpl-2"}) and value("GPL-2.0 WITH Classpath-exception-2.0 OR own") == (0.3, {"gpl-2"})
+    assert value("whatever") is None and value("MIT AND whatever") == (0.0, {"mit"})
+
+
+def test_license_tags():
+    labels = lambda t: licenses.scan(t)[5:]
+    assert labels("SPDX-License-Identifier: MIT.") == ("mit", 1.0, "mit", 0.9)
+    assert labels("SPDX-License-Identifier: whatever") == ("", 0.0, None, None)
+    assert labels("SPDX-License-Identifier: MIT OR GPL-2.0") != labels("SPDX-License-Identifier: MIT AND GPL-2.0")
+    start = time.time()
+    assert licenses.scan("SPDX-License-Identifier: " + " OR ".join(f"n{k}" for k in range(100_000)) + " OR MIT")[5] == "mit"
+    assert licenses.scan("SPDX-License-Identifier: " + "(" * 300_000)[5] == ""
+    assert time.time() - start < 5
