@@ -17,8 +17,6 @@ SIMILARITY, MIN_WORDS = 0.9, 5
 EVERY = 1
 #: Counters of word frequency; words share one by hash. Their number is a power of two and fixed at any input size: 512 KB.
 COUNTERS = 1 << 16
-#: A word in the prefixes of more lines than this is frequent: its lines are first compared with a few of their own, by so many salts.
-FREQUENT, SALTS = 64, 64
 #: Up to so many documents' lists of lines are broadcast, if they have at most 16 times as many lines: 64 bytes a document and 4 a line are 32 MB. Beyond it, tables meet by a shuffle.
 BROADCAST_DOCS = 250_000
 #: What names a line: the document's id, a hash of its text, and the line's number in it. Lines are ordered so.
@@ -106,9 +104,9 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
     """LINE of the lines that match an earlier one, in the order of LINE; docs: doc_id, text_key, text.
 
     Lines of equal sets meet by 128 bits of hash and stand for one another. Of the others, each word among a line's rarest (the prefix in
-    which two matching lines must share one) has a bucket. In buckets of frequent words, lines are first compared with the earliest of
-    their salt and of about their length, which settles groups of copies; lines still without a match are then compared with all earlier
-    lines of their buckets. No bucket is collected."""
+    which two matching lines must share one) has a bucket. All lines of a bucket are first compared with its earliest of about their
+    length, which settles groups of copies; lines still without a match are then compared with all earlier lines of their buckets.
+    No bucket is collected."""
     docs = docs.where("doc_id IS NOT NULL")
     levels = rarity(docs)
     size = F.size("set")
@@ -128,22 +126,21 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
     repeats = lines.join(heads.select("k", "k2", F.col("line").alias("head")), ["k", "k2"]).where("head <> line").select("line.*")
     firsts = lines.join(heads, ["k", "k2"], "left_anti").unionByName(heads)
 
-    entries = materialize(firsts.select("line", "n", "bits", F.posexplode("prefix").alias("p", "word")))
-    frequent = materialize(entries.groupBy("word").count().where(F.col("count") > FREQUENT).select("word"))
+    entries = firsts.select("line", "n", "bits", F.posexplode("prefix").alias("p", "word"))
+    common = entries.groupBy("word").agg(F.count("*").alias("c")).where("c > 1").select("word")
+    entries = materialize(entries.join(common, "word", "left_semi"))
+
     # Lines of a length class differ by no more than the similarity allows.
     length = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(1 / similarity))).alias("length")
-    hot = materialize(entries.join(frequent, "word", "left_semi").select("*", length, F.pmod(F.xxhash64("line"), F.lit(SALTS)).alias("salt")))
-    bucket = ["word", "length", "salt"]
-    earliest = hot.groupBy(*bucket).agg(F.min(F.struct("line", "n", "bits", "p")).alias("h"), F.count("*").alias("c")).where("c > 1").select(*bucket, "h.*")
-    stars = hot.alias("y").join(earliest.alias("x"), bucket).where(possible(similarity)).select(F.col("x.line").alias("x"), F.col("y.line").alias("y")).distinct()
+    earliest = entries.groupBy("word", length).agg(F.min(F.struct("line", "n", "bits", "p")).alias("h"), F.count("*").alias("c")).where("c > 1").select("word", "length", "h.*")
+    pair = (F.col("x.line").alias("x"), F.col("y.line").alias("y"))
+    stars = entries.select("*", length).alias("y").join(earliest.alias("x"), (F.col("x.word") == F.col("y.word")) & (F.col("x.length") == F.col("y.length")) & possible(similarity))
+    stars = materialize(stars.select(*pair).distinct())
     settled = materialize(matches(stars, docs, similarity))
-    settled_lines = settled.select(F.struct(*LINE).alias("line"))
 
-    together = (F.col("x.word") == F.col("y.word")) & possible(similarity)
-    others = entries.join(frequent, "word", "left_anti")
-    pairs = others.alias("x").join(others.alias("y"), together).select(F.col("x.line").alias("x"), F.col("y.line").alias("y"))
-    pairs = pairs.union(hot.alias("x").join(hot.join(settled_lines, "line", "left_anti").alias("y"), together).select(F.col("x.line").alias("x"), F.col("y.line").alias("y"))).distinct()
-    return repeats.union(settled).union(matches(pairs.join(settled_lines.toDF("y"), "y", "left_anti"), docs, similarity))
+    rest = entries.join(settled.select(F.struct(*LINE).alias("line")), "line", "left_anti").alias("y")
+    pairs = entries.alias("x").join(rest, (F.col("x.word") == F.col("y.word")) & possible(similarity)).select(*pair).distinct()
+    return repeats.union(settled).union(matches(pairs.join(stars, ["x", "y"], "left_anti"), docs, similarity))
 
 
 def keyed(text: Column) -> Column:

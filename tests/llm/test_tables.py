@@ -235,12 +235,6 @@ def test_line_dedup_tells_rows_of_one_id_apart(spark):
     assert lines.stage(spark, frame(spark, []), "").count() == 0
 
 
-def test_line_dedup_of_large_buckets(spark, monkeypatch):
-    """Groups of near copies above the bound of a frequent word."""
-    monkeypatch.setattr(lines, "FREQUENT", 3)
-    test_line_dedup(spark)
-
-
 def test_pii(spark):
     text = "Mr John Smith wrote to ann.lee7@mail.example.com from 10.20.30.40, +1 (771) 555-1655, card 4539578763621486, id 4539578763621487.\nMrs Smith, token = \"0641917ea4e9feb9cda83477b57ac2654884f485\" ann.lee7@mail.example.com"
     rows = [(1, text, "s"), (2, "plain words only", "s"), (3, None, "s"), (4, "", "s"), (5, "x ann.lee7@mail.example.com y", "s")]
