@@ -2,19 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.functions.text import similarity, trigrams
+
+
+def health(bases: DataFrame, sources: DataFrame, chunks: DataFrame, graphs: DataFrame, wikis: DataFrame) -> DataFrame:
+    """For each base (kb): its sources, failed ones, chunks and embedded ones, a score, and the issues by name, joined by commas.
+
+    100 less 40 for failed sources, 25 for chunks without a vector, and 10 each for a missing graph and a missing wiki, 0 at least; a base without
+    sources has no other issue. sources: kb, status; chunks: kb, embedded (boolean); graphs and wikis: kb of those that have one."""
+    of_sources = sources.groupBy("kb").agg(F.count("*").alias("n_sources"), F.count_if(F.col("status") == "failed").alias("n_failed"))
+    of_chunks = chunks.groupBy("kb").agg(F.count("*").alias("n_chunks"), F.count_if("embedded").alias("n_embedded"))
+    has = lambda df, c: df.select("kb").distinct().withColumn(c, F.lit(True))
+    rows = bases.select("kb").distinct().join(of_sources, "kb", "left").join(of_chunks, "kb", "left").join(has(graphs, "graph"), "kb", "left").join(has(wikis, "wiki"), "kb", "left")
+    rows = rows.fillna(0, ["n_sources", "n_failed", "n_chunks", "n_embedded"]).fillna(False, ["graph", "wiki"])
+    some = F.col("n_sources") > 0
+    found = {"no_sources": (~some, 0), "failed_sources": (F.col("n_failed") > 0, 40), "unembedded": (F.col("n_embedded") < F.col("n_chunks"), 25), "no_graph": (some & ~F.col("graph"), 10), "no_wiki": (some & ~F.col("wiki"), 10)}
+    lost = reduce(lambda a, b: a + b, (F.when(test, cost).otherwise(0) for test, cost in found.values()))
+    issues = F.array_join(F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, (test, _) in found.items()))), ",")
+    return rows.select("kb", "n_sources", "n_failed", "n_chunks", "n_embedded", F.greatest(F.lit(0), F.lit(100) - lost).cast("long").alias("score"), issues.alias("issues"))
+
 
-def health(docs: DataFrame, embedded: DataFrame, by: str = "kb") -> DataFrame:
-    """Counts of each base's documents, failed (blank) and embedded ones; 100 less 40 for failures and 25 for gaps, and the issues by name."""
-    rows = docs.join(embedded.select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("has")).distinct(), "doc_id", "left")
-    counts = rows.groupBy(by).agg(F.count("*").alias("n_docs"), F.count_if(F.length(F.trim("text")) < 100).alias("n_failed"), F.count("has").alias("n_embedded"))
-    failed, gaps = F.col("n_failed") > 0, F.col("n_embedded") < F.col("n_docs")
-    score = F.lit(100) - F.when(failed, 40).otherwise(0) - F.when(gaps, 25).otherwise(0)
-    issues = F.array_join(F.array_compact(F.array(F.when(failed, F.lit("failed_sources")), F.when(gaps, F.lit("missing_embeddings")))), ",")
-    return counts.withColumn("score", score.cast("long")).withColumn("issues", issues)
+def metrics(requests: DataFrame) -> DataFrame:
+    """method, status, n and seconds of requests (method, status, duration)."""
+    return requests.groupBy("method", "status").agg(F.count("*").alias("n"), F.round(F.sum("duration"), 6).alias("seconds"))
+
+
+def matching(df: DataFrame, query: str, *columns: str) -> DataFrame:
+    """Rows of which one of the columns contains the query, in any case; a blank query is no condition."""
+    needle = query.strip().lower()
+    return df.where(reduce(lambda a, b: a | b, (F.contains(F.lower(c), F.lit(needle)) for c in columns))) if needle else df
 
 
 def visible(bases: DataFrame, members: DataFrame) -> DataFrame:
@@ -58,3 +80,13 @@ def ndcg(ranking: DataFrame, relevance: DataFrame, k: int = 10) -> DataFrame:
     ideal = F.aggregate(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(k)).cast("int") - 1), F.lit(0.0), lambda s, i: s + gain(i))
     rows = wanted.join(found, "query_id", "left").withColumn("ideal", ideal)
     return rows.select("query_id", (F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).alias("ndcg"), (F.coalesce("hits", F.lit(0)) / F.col("n")).alias("recall"))
+
+
+def memories_recalled(memories: DataFrame, asked: DataFrame, n: int = 5, threshold: float = 0.05) -> DataFrame:
+    """user_id, query_id, id, score: for each question (user_id, query_id, query) the n most similar memories (user_id, id, content) of the same user, never of others: above the threshold, or that contain the question; ties by id."""
+    own = memories.select("user_id", "id", F.lower("content").alias("c"), trigrams(F.col("content")).alias("m"))
+    q = asked.where("trim(query) <> ''").select("user_id", "query_id", F.lower("query").alias("q"), trigrams(F.col("query")).alias("g"))
+    scored = own.join(q, "user_id").select("user_id", "query_id", "id", F.round(similarity(F.col("m"), F.col("g")), 10).alias("s"), F.contains("c", F.col("q")).alias("holds"))
+    order = W.partitionBy("user_id", "query_id").orderBy(F.col("s").desc(), "id")
+    best = scored.where((F.col("s") > threshold) | F.col("holds")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return best.select("user_id", "query_id", "id", F.round("s", 4).alias("score"))

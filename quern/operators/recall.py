@@ -2,51 +2,116 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import ahocorasick
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.functions.text import trigrams
-from quern.functions.vectors import cosine, normalized
+from quern.functions.text import stripped, trigrams
+from quern.functions.vectors import normalized
+from quern.operators.graph import multihop
+from quern.sources.tables import small
 
 RRF_K = 60
+#: Vectors and queries are compared in blocks of so many, as products of matrices of 8 MB at most.
+VECTOR_BLOCK, QUERY_BLOCK = 4096, 256
+#: Scores are compared to so many places, so equal vectors tie wherever they stand.
+PLACES = 10
 
 
 def top(df: DataFrame, n: int, score: str, tie: str, by: str = "query_id") -> DataFrame:
     """The n best rows of each query, ranked from 0; ties by id. Spark cuts the rank in each task before it shuffles."""
     order = W.partitionBy(by).orderBy(F.col(score).desc(), F.col(tie))
-    return df.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < n)
+    best = df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return best.withColumn("rank", F.col("rank") - 1)
+
+
+def asked(queries: DataFrame) -> DataFrame:
+    """query_id and query without white space at its ends; blank queries ask for nothing."""
+    return queries.select("query_id", stripped(F.col("query")).alias("query")).where("query <> ''")
 
 
 def trigram_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """query_id, doc_id, score of all pairs that share a trigram: an equi-join of inverted lists, no product of tables."""
+    """query_id, doc_id, score of all pairs that share a trigram: the queries' trigrams are broadcast if they are small enough, so documents' trigrams stay where they are made."""
     q = queries.select("query_id", F.explode(trigrams(F.col("query"))).alias("gram"))
     q = q.join(q.groupBy("query_id").agg(F.count("*").alias("q_size")), "query_id")
     grams = docs.select("doc_id", trigrams(F.col("text")).alias("grams"))
     d = grams.select("doc_id", F.size("grams").alias("d_size"), F.explode("grams").alias("gram"))
-    shared = d.join(q, "gram").groupBy("query_id", "doc_id", "q_size", "d_size").agg(F.count("*").alias("n"))
+    shared = d.join(small(q), "gram").groupBy("query_id", "doc_id", "q_size", "d_size").agg(F.count("*").alias("n"))
     return shared.select("query_id", "doc_id", (F.col("n") / (F.col("q_size") + F.col("d_size") - F.col("n"))).alias("score"))
 
 
 def lexical_recall(queries: DataFrame, docs: DataFrame, n: int = 20, threshold: float = 0.05) -> DataFrame:
-    """The n documents of the highest trigram similarity: those above the threshold, or that contain the query in any case."""
-    holds = docs.join(queries, F.contains(F.lower("text"), F.lower("query"))).select("query_id", "doc_id", F.lit(True).alias("holds"))
-    scored = trigram_scores(queries, docs).join(holds, ["query_id", "doc_id"], "left").where((F.col("score") > threshold) | F.col("holds"))
-    return top(scored.select("query_id", "doc_id", "score"), n, "score", "doc_id")
+    """The n documents of the highest trigram similarity: those above the threshold, or that contain the query in any case (at score 0 without a shared trigram)."""
+    queries = asked(queries)
+    holds = docs.join(small(queries), F.contains(F.lower("text"), F.lower("query"))).select("query_id", "doc_id", F.lit(True).alias("holds"))
+    scored = trigram_scores(queries, docs).join(holds, ["query_id", "doc_id"], "full").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return top(scored.where((F.col("score") > threshold) | F.col("holds")).select("query_id", "doc_id", "score"), n, "score", "doc_id")
+
+
+def packs(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (id, vector, same) of sound vectors as blocks: ids, same, the unit vectors as bytes in double precision, and their length."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, part in batch.groupby(batch.vector.map(len)):
+                for at in range(0, len(part), size):
+                    own = part.iloc[at : at + size].sort_values("id")
+                    x = np.stack(own.vector.to_list()).astype(np.float64)
+                    norm = np.linalg.norm(x, axis=1)
+                    fine = np.isfinite(norm) & (norm > 0)
+                    unit = x[fine] / norm[fine, None]
+                    yield pd.DataFrame({"ids": [own.id.to_numpy()[fine]], "same": [own.same.to_numpy()[fine].tolist()], "unit": [unit.tobytes()], "dim": [dim]})
+
+    return rows.where("vector IS NOT NULL AND size(vector) > 0").mapInPandas(run, "ids array<long>, same array<string>, unit binary, dim long")
+
+
+def vector_recall(queries: DataFrame, vectors: DataFrame, n: int = 10, same: tuple[str, str] | None = None) -> DataFrame:
+    """The n vectors of the highest cosine for each query (query_id, q): query_id, vec_id, score, rank. Every vector is compared, in blocks.
+
+    same: a column of the queries and one of the vectors that must be equal. Null, empty and zero vectors, and those with a number that isn't
+    finite, are nobody's hit; vectors of other lengths aren't either. Each pair of blocks keeps its n best for each query."""
+    key = lambda c: F.col(c).cast("string").alias("same") if c else F.lit("").alias("same")
+    q = packs(queries.select(F.col("query_id").alias("id"), F.col("q").cast("array<double>").alias("vector"), key(same and same[0])), QUERY_BLOCK)
+    v = packs(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), key(same and same[1])), VECTOR_BLOCK)
+    pairs = v.join(small(q.toDF("q_ids", "q_same", "q_unit", "q_dim")), F.col("dim") == F.col("q_dim"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                scores = np.round(np.frombuffer(r.unit).reshape(-1, r.dim) @ np.frombuffer(r.q_unit).reshape(-1, r.dim).T, PLACES)
+                if same:
+                    scores = np.where(np.array(r.same)[:, None] == np.array(r.q_same)[None, :], scores, -np.inf)
+                ids, (rows, columns) = np.array(r.ids, np.int64), scores.shape
+                least = np.partition(scores, max(0, rows - n), axis=0)[max(0, rows - n)] if rows else np.zeros(columns)
+                fits = (scores >= least) & np.isfinite(scores)
+                for k in np.flatnonzero(fits.sum(axis=0) > n):  # ties: the least ids, as rows of a block are in their order
+                    hit = np.flatnonzero(fits[:, k])
+                    fits[hit[np.argsort(-scores[hit, k], kind="stable")[n:]], k] = False
+                i, j = np.nonzero(fits)
+                yield pd.DataFrame({"query_id": np.array(r.q_ids, np.int64)[j], "vec_id": ids[i], "score": scores[i, j]})
+
+    return top(pairs.mapInPandas(run, "query_id long, vec_id long, score double"), n, "score", "vec_id")
 
 
-def vector_recall(queries: DataFrame, vectors: DataFrame, n: int = 10, on: Column | None = None) -> DataFrame:
-    """The n vectors of the highest cosine for each query (query_id, q); on: a further condition. Every vector is compared."""
-    pairs = vectors.join(queries, on) if on is not None else vectors.crossJoin(queries)
-    return top(pairs.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score")).where("score IS NOT NULL"), n, "score", "vec_id")
+def rrf(paths: list[DataFrame], key: str) -> DataFrame:
+    """Reciprocal rank fusion: the sum of 1 / (60 + rank), ranks from 0, over rankings (query_id, key, rank); first_path is the first that has the row."""
+    rows = reduce(DataFrame.unionByName, (p.select("query_id", key, "rank", F.lit(k).alias("path")) for k, p in enumerate(paths)))
+    return rows.groupBy("query_id", key).agg(F.sum(1.0 / (F.lit(RRF_K) + F.col("rank"))).alias("rrf"), F.count("*").alias("n_paths"), F.min("path").alias("first_path"))
 
 
-def rrf(paths: list[DataFrame], key: str) -> DataFrame:
-    """Reciprocal rank fusion: the sum of 1 / (60 + rank), ranks from 0, over rankings (query_id, key, rank)."""
-    rows = reduce(DataFrame.unionByName, (p.select("query_id", key, "rank") for p in paths))
-    return rows.groupBy("query_id", key).agg(F.sum(1.0 / (F.lit(RRF_K) + F.col("rank"))).alias("rrf"), F.count("*").alias("n_paths"))
+def first_seen(paths: list[DataFrame], key: str, n: int) -> DataFrame:
+    """The union of rankings in the order of paths, then ranks; a row found again doesn't count: query_id, key, path, rank, the first n of each query."""
+    rows = reduce(DataFrame.unionByName, (p.select("query_id", key, F.lit(k).alias("path"), F.col("rank").alias("at")) for k, p in enumerate(paths)))
+    once = rows.groupBy("query_id", key).agg(F.min(F.struct("path", "at")).alias("first")).select("query_id", key, "first.*")
+    order = W.partitionBy("query_id").orderBy("path", "at", key)
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).withColumn("rank", F.col("rank") - 1).drop("at")
 
 
 def hybrid(lexical: DataFrame, vector: DataFrame, n: int = 10) -> DataFrame:
@@ -70,6 +135,90 @@ def feedback_recall(queries: DataFrame, vectors: DataFrame, n: int = 10, weight:
     return vector_recall(moved, vectors, n)
 
 
+def clusters(vectors: DataFrame, k: int, rounds: int = 10) -> tuple[DataFrame, np.ndarray]:
+    """k-means by cosine: vec_id, cluster of all vectors, and the unit centres after so many rounds.
+
+    The first centres are the vectors of least hash. Tasks assign their vectors and add them up by cluster; the driver has the k centres only,
+    which are k times the vectors' length in numbers. A cluster that no vector is nearest to keeps its centre."""
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("v IS NOT NULL")
+    first = rows.orderBy(F.xxhash64(F.lit(42), "vec_id"), "vec_id").limit(k).toPandas()
+    unit = lambda x: x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
+    centres = unit(np.stack(first.v.to_list()).astype(np.float64))
+
+    def nearest(batch: pd.DataFrame, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = unit(np.stack(batch.v.to_list()).astype(np.float64))
+        return x, (x @ c.T).argmax(axis=1)
+
+    def sums(c: np.ndarray):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    x, own = nearest(batch, c)
+                    total = np.zeros((len(c), x.shape[1]))
+                    np.add.at(total, own, x)
+                    yield pd.DataFrame({"cluster": np.arange(len(c)), "n": np.bincount(own, minlength=len(c)), "total": list(total)})
+
+        return run
+
+    for _ in range(rounds):
+        parts = rows.mapInPandas(sums(centres), "cluster long, n long, total array<double>").where("n > 0")
+        added = parts.select("cluster", F.posexplode("total").alias("pos", "x")).groupBy("cluster", "pos").agg(F.sum("x").alias("x")).toPandas().pivot(index="cluster", columns="pos", values="x")
+        centres = centres.copy()
+        centres[added.index] = added.to_numpy()
+        centres = unit(centres)
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"vec_id": batch.vec_id, "cluster": nearest(batch, centres)[1]})
+
+    return rows.mapInPandas(label, "vec_id long, cluster long"), centres
+
+
+def semantic_recall(queries: DataFrame, centres: DataFrame, members: DataFrame, n: int = 12, nearest: int = 3, first: int = 8) -> DataFrame:
+    """For each query the first members (by vec_id) of the clusters whose centres (vec_id, embedding) are nearest: query_id, vec_id, rank, in the order of clusters, then of members; members: cluster, vec_id."""
+    near = vector_recall(queries, centres, nearest).select("query_id", F.col("vec_id").alias("cluster"), F.col("rank").alias("near"))
+    order = W.partitionBy("cluster").orderBy("vec_id")
+    few = members.select("cluster", "vec_id", F.row_number().over(order).alias("place")).where(F.col("place") <= first)
+    rows = near.join(small(few), "cluster")
+    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("near", "place", "vec_id"))).where(F.col("rank") <= n)
+    return ranked.select("query_id", "vec_id", (F.col("rank") - 1).alias("rank"))
+
+
+def contained(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """doc_id, name of all names (column name, in lower case) that a text contains in any case. An automaton of all names reads each text once.
+
+    The names go to every task, if small() would broadcast them; beyond, the texts are compared with the names one by one."""
+    texts, names = docs.select("doc_id", F.lower("text").alias("text")).where("text IS NOT NULL"), names.select("name").where("name <> ''").distinct()
+    if small(names) is names:
+        return texts.join(names, F.contains("text", "name")).select("doc_id", "name")
+    listed = [r[0] for r in names.toLocalIterator()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ahocorasick.Automaton()
+        for name in listed:
+            found.add_word(name, name)
+        found.make_automaton()
+        for batch in batches:
+            pairs = [(d, name) for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for name in sorted({x for _, x in found.iter(text)})]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.string())], ["doc_id", "name"])
+
+    if not listed:
+        return texts.join(names, F.lit(False)).select("doc_id", "name")
+    return texts.mapInArrow(run, "doc_id long, name string")
+
+
+def graph_recall(seeds: DataFrame, edges: DataFrame, docs: DataFrame, hops: int = 2, names: int = 40, n: int = 12) -> DataFrame:
+    """Documents by how many names of a query's neighbourhood in a graph they contain: query_id, doc_id, hits, rank.
+
+    seeds: query_id, seed. Of the nodes within hops, the first names by distance, then name, are sought."""
+    near = multihop(seeds.select("seed").distinct(), edges, hops).join(seeds, "seed").groupBy("query_id", "node").agg(F.min("hop").alias("hop"))
+    order = W.partitionBy("query_id").orderBy("hop", "node")
+    sought = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= names).select("query_id", F.lower("node").alias("name")).distinct()
+    hits = contained(docs, sought).join(small(sought), "name").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"))
+    return top(hits, n, "hits", "doc_id")
+
+
 def soft_threshold(df: DataFrame, least: float, by: str = "query_id") -> DataFrame:
     """Rows at or above a score; all rows of a query of which none is."""
     best = F.max("score").over(W.partitionBy(by))

@@ -2,38 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import chunking, graph, incremental, intervals, platform, recall
-from quern.sources.tables import scratch_dir, table
+from quern.operators import graph, incremental, intervals, platform, recall
+from quern.plans.registry import QUERIES, SQL, query  # noqa: F401
+from quern.sources.tables import materialize, scratch_dir, small, table
 from quern.streaming import events as streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def texts(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text", "source", "lang")
 
 
 def benchmark(spark, d) -> DataFrame:
-    """The query set: the first five items of benchmark."""
-    return table(spark, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    """The query set: all items of benchmark."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def vectors(spark, d) -> DataFrame:
@@ -50,7 +35,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 GRAMS = r"""
-  q_words AS (SELECT item_id AS query_id, text AS query, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS w FROM benchmark WHERE item_id < 5),
+  q_words AS (SELECT item_id AS query_id, text AS query, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS w FROM benchmark),
   q_grams AS (SELECT DISTINCT query_id, substr('  ' || w || ' ', i::INT, 3) AS gram FROM (SELECT query_id, w, unnest(range(1, length(w) + 2)) AS i FROM q_words)),
   d_words AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS w FROM documents),
   d_grams AS (SELECT DISTINCT doc_id, substr('  ' || w || ' ', i::INT, 3) AS gram FROM (SELECT doc_id, w, unnest(range(1, length(w) + 2)) AS i FROM d_words)),
@@ -58,14 +43,15 @@ GRAMS = r"""
   trigram AS (
     SELECT query_id, doc_id, m / (q.n + d.n - m)::DOUBLE AS score
     FROM (SELECT query_id, doc_id, count(*) AS m FROM q_grams JOIN d_grams USING (gram) GROUP BY ALL) JOIN q_size q USING (query_id) JOIN d_size d USING (doc_id)),
+  holds AS (SELECT item_id AS query_id, doc_id FROM documents JOIN benchmark ON contains(lower(documents.text), lower(trim(benchmark.text, e' \\t\\n\\r')))),
+  found AS (SELECT query_id, doc_id, coalesce(score, 0) AS score FROM (SELECT * FROM trigram WHERE score > 0.05) FULL JOIN holds USING (query_id, doc_id)),
   lexical AS (
-    SELECT * FROM (
-      SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank
-      FROM trigram JOIN documents USING (doc_id) JOIN benchmark ON item_id = query_id WHERE score > 0.05 OR contains(lower(documents.text), lower(benchmark.text))) WHERE rank < 20)"""
+    SELECT query_id, doc_id, coalesce(t.score, 0) AS score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(t.score, 0) DESC, doc_id) - 1 AS rank
+    FROM found LEFT JOIN trigram t USING (query_id, doc_id) QUALIFY rank < 30)"""
 COSINES = """
   base AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
   asked AS (SELECT vec_id AS query_id, e AS q, label AS q_label FROM base WHERE vec_id % 50 = 0),
-  scored AS (SELECT query_id, vec_id, label, q_label, list_cosine_similarity(e, q) AS score FROM base, asked),
+  scored AS (SELECT query_id, vec_id, label, q_label, round(list_cosine_similarity(e, q), 10) AS score FROM base, asked),
   nearest AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM scored)"""
 
 
@@ -74,7 +60,7 @@ def trigram_similarity_topk(spark, d):
     return rounded(recall.top(recall.trigram_scores(benchmark(spark, d), texts(spark, d)), 10, "score", "doc_id"), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"WITH {GRAMS} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM lexical")
+@query(f"WITH {GRAMS} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM lexical WHERE rank < 20")
 def lexical_recall(spark, d):
     return rounded(recall.lexical_recall(benchmark(spark, d), texts(spark, d)), "score").withColumn("rank", F.col("rank").cast("long"))
 
@@ -86,22 +72,27 @@ def vector_topk(spark, d):
 
 @query(f"WITH {COSINES}, own AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM scored WHERE label = q_label) SELECT query_id, vec_id, round(score, 6) AS score, rank FROM own WHERE rank < 10")
 def vector_topk_filtered(spark, d):
-    hits = recall.vector_recall(vector_queries(spark, d), vectors(spark, d), on=F.col("label") == F.col("q_label"))
+    hits = recall.vector_recall(vector_queries(spark, d), vectors(spark, d), same=("q_label", "label"))
     return rounded(hits, "score").withColumn("rank", F.col("rank").cast("long"))
 
 
 LINKED = f"""{GRAMS}, {COSINES},
-  vec AS (SELECT query_id / 50 AS query_id, vec_id AS doc_id, score, rank FROM nearest WHERE rank < 20 AND query_id < 250)"""
+  vec AS (SELECT query_id // 50 AS query_id, vec_id AS doc_id, score, rank FROM nearest JOIN benchmark ON item_id = query_id // 50 WHERE rank < 30)"""
+
+
+def item_vectors(spark, d) -> DataFrame:
+    """The vectors of the query set of benchmark: item k has the vector 50 k, if there is one (a link made up for the test tables; a document has the vector of its id)."""
+    own = vector_queries(spark, d).select((F.col("query_id") / 50).cast("long").alias("query_id"), "q")
+    return own.join(benchmark(spark, d).select("query_id"), "query_id", "left_semi")
 
 
-def linked_vector_hits(spark, d) -> DataFrame:
-    """Vector recall for the query set of benchmark: item k has the vector 50 k, a document the vector of its id (links made up for the test tables)."""
-    asked = vector_queries(spark, d).where("query_id < 250")
-    return recall.vector_recall(asked, vectors(spark, d), 20).select((F.col("query_id") / 50).cast("long").alias("query_id"), F.col("vec_id").alias("doc_id"), "score", "rank")
+def linked_vector_hits(spark, d, n: int = 20) -> DataFrame:
+    """Vector recall for the query set of benchmark, by document."""
+    return recall.vector_recall(item_vectors(spark, d), vectors(spark, d), n).withColumnRenamed("vec_id", "doc_id")
 
 
 @query(f"""WITH {LINKED}, fused AS (
-  SELECT query_id, doc_id, round(greatest(coalesce(l.score, 0), coalesce(v.score, 0)), 4) AS score FROM lexical l FULL JOIN (SELECT query_id::BIGINT AS query_id, doc_id, score FROM vec) v USING (query_id, doc_id)),
+  SELECT query_id, doc_id, round(greatest(coalesce(l.score, 0), coalesce(v.score, 0)), 4) AS score FROM (SELECT * FROM lexical WHERE rank < 20) l FULL JOIN (SELECT query_id::BIGINT AS query_id, doc_id, score FROM vec WHERE rank < 20) v USING (query_id, doc_id)),
   best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM fused)
 SELECT query_id, doc_id, score, rank, source FROM best JOIN documents USING (doc_id) WHERE rank < 10""")
 def hybrid_fast(spark, d):
@@ -109,20 +100,40 @@ def hybrid_fast(spark, d):
     return hits.join(texts(spark, d).select("doc_id", "source"), "doc_id").select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"), "source")
 
 
-RRF = f"{LINKED}, paths AS (SELECT query_id::BIGINT AS query_id, doc_id, rank FROM lexical UNION ALL SELECT query_id::BIGINT, doc_id, rank FROM vec)"
+RRF = f"{LINKED}, paths AS (SELECT query_id::BIGINT AS query_id, doc_id, rank, 0 AS path FROM lexical UNION ALL SELECT query_id::BIGINT, doc_id, rank, 1 FROM vec)"
 
 
-@query(f"WITH {RRF} SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS rrf, count(*) AS n_paths FROM paths GROUP BY ALL")
+@query(f"WITH {RRF} SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS rrf, count(*) AS n_paths, min(path) AS first_path FROM paths WHERE rank < 20 GROUP BY ALL")
 def rrf_fusion(spark, d):
     return rounded(recall.rrf([recall.lexical_recall(benchmark(spark, d), texts(spark, d)), linked_vector_hits(spark, d)], "doc_id"), "rrf")
 
 
-@query(f"""WITH {RRF}, routed AS (SELECT query_id, source, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS rrf FROM paths JOIN documents USING (doc_id) GROUP BY ALL)
-SELECT query_id, source, rrf FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, source) AS n FROM routed) WHERE n <= 4""")
+def thirty(spark, d) -> list[DataFrame]:
+    """30 lexical and 30 vector hits of each query of benchmark, written once."""
+    return [materialize(recall.lexical_recall(benchmark(spark, d), texts(spark, d), 30)), materialize(linked_vector_hits(spark, d, 30))]
+
+
+def routed(spark, d, hits: list[DataFrame]) -> DataFrame:
+    """query_id, source, rrf, rank: the four best sources by the fusion of hits."""
+    fused = recall.rrf(hits, "doc_id")
+    by_source = fused.join(texts(spark, d).select("doc_id", "source"), "doc_id").groupBy("query_id", "source").agg(F.round(F.sum("rrf"), 6).alias("rrf"))
+    return recall.top(by_source, 4, "rrf", "source")
+
+
+ROUTED = """routed AS (
+  SELECT * FROM (SELECT query_id, source, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS rrf FROM paths JOIN documents USING (doc_id) GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, source) <= 4)"""
+
+
+@query(f"WITH {RRF}, {ROUTED} SELECT query_id, source, rrf FROM routed")
 def cross_doc_routing(spark, d):
-    fused = recall.rrf([recall.lexical_recall(benchmark(spark, d), texts(spark, d)), linked_vector_hits(spark, d)], "doc_id")
-    routed = fused.join(texts(spark, d).select("doc_id", "source"), "doc_id").groupBy("query_id", "source").agg(F.round(F.sum("rrf"), 6).alias("rrf"))
-    return recall.top(routed, 4, "rrf", "source").drop("rank")
+    return routed(spark, d, thirty(spark, d)).drop("rank")
+
+
+@query(f"WITH {RRF} SELECT query_id, doc_id, path, n - 1 AS rank FROM (SELECT query_id, doc_id, path, row_number() OVER (PARTITION BY query_id ORDER BY path, pos) AS n FROM (SELECT query_id, doc_id, min(path) AS path, arg_min(rank, path) AS pos FROM paths WHERE rank < 20 GROUP BY ALL)) WHERE n <= 6")
+def multi_kb_search(spark, d):
+    """Lexical hits, then vector hits that aren't among them, the first six of each query."""
+    return recall.first_seen([recall.lexical_recall(benchmark(spark, d), texts(spark, d)), linked_vector_hits(spark, d)], "doc_id", 6)
 
 
 @query(f"""WITH {COSINES}, seeds AS (SELECT query_id, vec_id FROM nearest WHERE rank < 5),
@@ -130,20 +141,36 @@ def cross_doc_routing(spark, d):
   parts AS (SELECT query_id, unnest(u) AS x, unnest(range(len(u))) AS pos FROM seeds JOIN units USING (vec_id)),
   means AS (SELECT query_id, list(m ORDER BY pos) AS c FROM (SELECT query_id, pos, avg(x) AS m FROM parts GROUP BY ALL) GROUP BY query_id),
   moved AS (SELECT means.query_id, list_transform(list_zip(u, c), lambda z: z[1] + 0.75 * z[2]) AS q FROM means JOIN units ON vec_id = means.query_id),
-  again AS (SELECT query_id, vec_id, list_cosine_similarity(e, q::DOUBLE[]) AS score FROM base, moved)
+  again AS (SELECT query_id, vec_id, round(list_cosine_similarity(e, q::DOUBLE[]), 10) AS score FROM base, moved)
 SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM again) WHERE rank < 10""")
 def rocchio_prf(spark, d):
     return rounded(recall.feedback_recall(vector_queries(spark, d), vectors(spark, d)), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"""WITH {COSINES}, units AS (SELECT label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM base),
-  parts AS (SELECT label, unnest(u) AS x, unnest(range(len(u))) AS pos FROM units),
-  means AS (SELECT label, list(m ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS m FROM parts GROUP BY ALL) GROUP BY label),
-  close AS (SELECT query_id, label, list_cosine_similarity(q, c) AS s FROM asked, means)
-SELECT query_id, label, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, label) AS n FROM close) WHERE n <= 3""")
+SEMANTIC = """units AS (SELECT label, vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM base),
+  label_parts AS (SELECT label, unnest(u) AS x, unnest(range(len(u))) AS pos FROM units),
+  label_means AS (SELECT label, list(m ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS m FROM label_parts GROUP BY ALL) GROUP BY label),
+  close AS (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q, c), 10) DESC, label) AS near FROM asked, label_means QUALIFY near <= 3),
+  members AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM base QUALIFY place <= 8),
+  semantic AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY near, place, vec_id) - 1 AS rank FROM close JOIN members USING (label) QUALIFY rank < 12)"""
+
+
+def by_label(spark, d, queries: DataFrame) -> DataFrame:
+    """Semantic recall with the labels as clusters."""
+    centres = recall.centroids(vectors(spark, d).select("label", "vec_id"), vectors(spark, d), by="label").select(F.col("label").alias("vec_id"), F.col("centroid").alias("embedding"))
+    return recall.semantic_recall(queries, centres, vectors(spark, d).select(F.col("label").alias("cluster"), "vec_id"))
+
+
+@query(f"WITH {COSINES}, {SEMANTIC} SELECT query_id, vec_id, rank FROM semantic")
 def semantic_recall(spark, d):
-    clusters = recall.centroids(vectors(spark, d).select("label", "vec_id"), vectors(spark, d), by="label").select(F.col("label").alias("vec_id"), F.col("centroid").alias("embedding"))
-    return rounded(recall.vector_recall(vector_queries(spark, d), clusters, 3), "score").select("query_id", F.col("vec_id").alias("label"), "score")
+    return by_label(spark, d, vector_queries(spark, d))
+
+
+@query()
+def semantic_clusters(spark, d):
+    """k-means over all vectors, with k of a tenth of them, from 2 to 12; tests compare it with numpy."""
+    own = vectors(spark, d)
+    return recall.clusters(own, max(2, min(12, own.count() // 10)))[0]
 
 
 @query(f"WITH {COSINES}, best AS (SELECT query_id, vec_id, score, max(score) OVER (PARTITION BY query_id) AS b FROM nearest WHERE rank BETWEEN 1 AND 10) SELECT query_id, vec_id, round(score, 6) AS score FROM best WHERE score >= 0.4 OR b < 0.4")
@@ -152,46 +179,80 @@ def soft_threshold(spark, d):
     return rounded(recall.soft_threshold(hits, 0.4).drop("rank"), "score")
 
 
-@query(r"""SELECT conv_id, turn, length(trim(text, e' \t\n\r')) >= 10 OR regexp_matches(text, '(?i)\b(?:why|how|compare|difference|between|explain|summari[sz]e|relationship|versus|vs)\b') OR regexp_matches(text, '[?？]') AS deep,
-  greatest(1, length(text) // 4) AS tokens FROM conversations""")
+@query(r"""SELECT conv_id, turn, length(t) >= 10 OR regexp_matches(t, '(?i)对比|相比|区别|差异|为什么|为何|原因|依据|条款|规定|影响|关系|如何|怎样|怎么|列出|总结|归纳|多少|哪些|哪个|是否|能否|可否|需要|流程|申请|步骤|手续|标准|政策|要求|增长|变化|趋势|吗|呢|compare|versus|\bvs\b|why|reason|differ|difference|according|clause|impact|relationship|how\s|summar|list\s|trend|change|between|process|require|policy|step|should') OR regexp_matches(t, '[?？]') AS deep,
+  greatest(1, length(text) // 4) AS tokens FROM (SELECT *, trim(text, e' \t\n\r') AS t FROM conversations)""")
 def route_classify(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.is_deep(F.col("text")).alias("deep"), T.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("""WITH edges AS (SELECT DISTINCT 's' || l_suppkey AS src, 'o' || l_orderkey AS dst FROM lineitem WHERE l_returnflag = 'R'),
-  both_ AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
-  one AS (SELECT DISTINCT a.src AS seed, a.dst AS node, 1 AS hop FROM both_ a WHERE a.src IN ('s1', 's2', 's3')),
-  two AS (SELECT DISTINCT seed, b.dst AS node, 2 AS hop FROM one JOIN both_ b ON b.src = node),
-  zero AS (SELECT 's' || unnest([1, 2, 3]) AS seed, seed AS node, 0 AS hop)
-SELECT seed, node, min(hop)::BIGINT AS hop FROM (SELECT * FROM zero UNION ALL SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY ALL""")
+EDGES = """edges AS (SELECT DISTINCT 's' || l_suppkey AS src, 'o' || l_orderkey AS dst FROM lineitem),
+  both_ AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"""
+
+
+def supply(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("o"), "l_orderkey").alias("dst"))
+
+
+@query(f"""WITH {EDGES}, seeds AS (SELECT 's' || s_suppkey AS seed FROM supplier WHERE s_suppkey % 50 = 0),
+  one AS (SELECT DISTINCT seed, dst AS node FROM seeds JOIN both_ ON src = seed), two AS (SELECT DISTINCT seed, dst AS node FROM one JOIN both_ ON src = node)
+SELECT seed, node, min(hop)::BIGINT AS hop FROM (SELECT seed, seed AS node, 0 AS hop FROM seeds UNION ALL SELECT seed, node, 1 FROM one UNION ALL SELECT seed, node, 2 FROM two) GROUP BY ALL""")
 def graph_multihop(spark, d):
-    lines = table(spark, d, "lineitem").where("l_returnflag = 'R'")
-    edges = lines.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("o"), "l_orderkey").alias("dst")).distinct()
-    return graph.multihop(spark.createDataFrame([("s1",), ("s2",), ("s3",)], "seed string"), edges)
+    seeds = table(spark, d, "supplier").where("s_suppkey % 50 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("seed"))
+    return graph.multihop(seeds, supply(spark, d).distinct())
 
 
-@query("""WITH RECURSIVE edges AS (SELECT DISTINCT l_orderkey AS a, -l_partkey AS b FROM lineitem WHERE l_discount = 0.1 AND l_quantity <= 3),
-  both_ AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
-  reach AS (SELECT DISTINCT a, a AS b FROM both_ UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON e.a = r.b)
-SELECT a AS node, min(b) AS component FROM reach GROUP BY a""")
+@query()
 def connected_components(spark, d):
-    lines = table(spark, d, "lineitem").where("l_discount = 0.1 AND l_quantity <= 3")
-    return graph.components(lines.select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey")).alias("dst")).distinct())
+    """Of all orders and suppliers by lines; tests compare it with union and find."""
+    return graph.components(supply(spark, d).distinct())
+
+
+@query("""WITH first AS (SELECT item_id, string_split(lower(text), ' ')[1:6] AS w FROM benchmark),
+  edges AS (SELECT DISTINCT w[i] AS src, w[i + 1] AS dst FROM first, range(1, 6) r(i) WHERE w[i] <> '' AND w[i + 1] <> ''),
+  both_ AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+  seeds AS (SELECT item_id AS query_id, w[1] AS seed FROM first WHERE w[1] <> ''),
+  near AS (SELECT query_id, node, min(hop) AS hop FROM (
+    SELECT query_id, seed AS node, 0 AS hop FROM seeds UNION ALL SELECT query_id, dst, 1 FROM seeds JOIN both_ ON src = seed
+    UNION ALL SELECT query_id, b.dst, 2 FROM seeds JOIN both_ a ON a.src = seed JOIN both_ b ON b.src = a.dst) GROUP BY ALL),
+  sought AS (SELECT query_id, node FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hop, node) <= 40),
+  held AS (SELECT doc_id, node FROM documents JOIN (SELECT DISTINCT node FROM sought) ON contains(lower(text), node)),
+  hits AS (SELECT query_id, doc_id, count(*) AS hits FROM held JOIN sought USING (node) GROUP BY ALL)
+SELECT query_id, doc_id, hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) - 1 AS rank FROM hits QUALIFY rank < 12""")
+def graph_recall(spark, d):
+    """Neighbouring words of the benchmark's beginnings as a graph; from a query's first word to documents that contain what is near it."""
+    return word_graph_hits(spark, d)
+
+
+def word_graph_hits(spark, d) -> DataFrame:
+    words = benchmark(spark, d).select("query_id", F.slice(F.split(F.lower("query"), " "), 1, 6).alias("w"))
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct(F.get("w", i).alias("src"), F.get("w", i + 1).alias("dst")))
+    edges = words.select(F.explode(pairs).alias("e")).select("e.*").where("src <> '' AND dst <> ''").distinct()
+    seeds = words.select("query_id", F.get("w", F.lit(0)).alias("seed")).where("seed <> ''")
+    return recall.graph_recall(seeds, edges, texts(spark, d))
 
 
 @query("SELECT d.doc_id, count(*) AS hits, min(item_id) AS first_item FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text)) GROUP BY d.doc_id")
 def entity_containment(spark, d):
     items = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("name"))
-    found = texts(spark, d).join(items, F.contains(F.lower("text"), F.col("name")))
+    found = recall.contained(texts(spark, d), items).join(small(items), "name")
     return found.groupBy("doc_id").agg(F.count("*").alias("hits"), F.min("item_id").alias("first_item"))
 
 
-@query("""SELECT source AS kb, count(*) AS n_docs, count(*) FILTER (length(trim(text)) < 100) AS n_failed, count(vec_id) AS n_embedded,
-  (100 - CASE WHEN count(*) FILTER (length(trim(text)) < 100) > 0 THEN 40 ELSE 0 END - CASE WHEN count(vec_id) < count(*) THEN 25 ELSE 0 END)::BIGINT AS score,
-  concat_ws(',', CASE WHEN count(*) FILTER (length(trim(text)) < 100) > 0 THEN 'failed_sources' END, CASE WHEN count(vec_id) < count(*) THEN 'missing_embeddings' END) AS issues
-FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY source""")
+@query("""WITH bases AS (SELECT DISTINCT source AS kb FROM documents UNION ALL SELECT 'empty'),
+  rows AS (SELECT source AS kb, CASE WHEN length(trim(text)) < 100 THEN 'failed' ELSE 'parsed' END AS status, vec_id IS NOT NULL AS embedded FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+  counts AS (SELECT kb, count(*) AS n_sources, count(*) FILTER (status = 'failed') AS n_failed, count(*) FILTER (embedded) AS n_embedded FROM rows GROUP BY kb),
+  all_ AS (SELECT kb, coalesce(n_sources, 0) AS n_sources, coalesce(n_failed, 0) AS n_failed, coalesce(n_embedded, 0) AS n_embedded, kb >= 'src3' AS graph, kb >= 'src7' AS wiki FROM bases LEFT JOIN counts USING (kb))
+SELECT kb, n_sources, n_failed, n_sources AS n_chunks, n_embedded,
+  greatest(0, 100 - CASE WHEN n_failed > 0 THEN 40 ELSE 0 END - CASE WHEN n_embedded < n_sources THEN 25 ELSE 0 END - CASE WHEN n_sources > 0 AND NOT graph THEN 10 ELSE 0 END - CASE WHEN n_sources > 0 AND NOT wiki THEN 10 ELSE 0 END)::BIGINT AS score,
+  concat_ws(',', CASE WHEN n_sources = 0 THEN 'no_sources' END, CASE WHEN n_failed > 0 THEN 'failed_sources' END, CASE WHEN n_embedded < n_sources THEN 'unembedded' END, CASE WHEN n_sources > 0 AND NOT graph THEN 'no_graph' END, CASE WHEN n_sources > 0 AND NOT wiki THEN 'no_wiki' END) AS issues
+FROM all_""")
 def health_score(spark, d):
-    return platform.health(texts(spark, d).withColumnRenamed("source", "kb"), vectors(spark, d))
+    """Sources as bases; short documents as failed ones; some bases have a graph, and a wiki."""
+    docs = texts(spark, d).withColumnRenamed("source", "kb")
+    bases = docs.select("kb").distinct().union(spark.createDataFrame([("empty",)], "kb string"))
+    status = F.when(F.length(F.trim("text")) < 100, "failed").otherwise("parsed")
+    chunks = docs.join(vectors(spark, d), F.col("vec_id") == F.col("doc_id"), "left").select("kb", F.col("vec_id").isNotNull().alias("embedded"))
+    return platform.health(bases, docs.select("kb", status.alias("status")), chunks, bases.where("kb >= 'src3'"), bases.where("kb >= 'src7'"))
 
 
 @query("SELECT sha256(trim(text, e' \\t\\n\\r')) AS sha, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1")
@@ -296,7 +357,7 @@ SELECT a.user_id AS key, a.event_id AS a_id, b.event_id AS b_id FROM e a JOIN e
 def overlap_join(spark, d):
     rows = table(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", F.unix_timestamp("ts").alias("s"), "event_type")
     side = lambda kind, x: rows.where(F.col("event_type") == kind).select("key", F.col("event_id").alias(f"{x}_id"), F.col("s").alias(f"{x}_start"), (F.col("s") + 600).alias(f"{x}_end"))
-    return intervals.overlaps(side("purchase", "a"), side("error", "b"), "key")
+    return intervals.overlaps(side("purchase", "a"), side("error", "b"), "key", 600)
 
 
 @query("""WITH nodes AS (SELECT conv_id AS key, turn AS node, turn % 3 AS depth, turn AS start, turn + 3 AS "end" FROM conversations), points AS (SELECT conv_id AS key, turn AS point, turn + 1 AS pos FROM conversations)
@@ -304,7 +365,7 @@ SELECT key, point, arg_min(node, (-depth, node)) AS node, max(depth) AS depth FR
 def deepest_node_range_join(spark, d):
     turns = table(spark, d, "conversations").select(F.col("conv_id").alias("key"), "turn")
     nodes = turns.select("key", F.col("turn").alias("node"), (F.col("turn") % 3).alias("depth"), F.col("turn").alias("start"), (F.col("turn") + 3).alias("end"))
-    return intervals.deepest(turns.select("key", F.col("turn").alias("point"), (F.col("turn") + 1).alias("pos")), nodes, "key")
+    return intervals.deepest(turns.select("key", F.col("turn").alias("point"), (F.col("turn") + 1).alias("pos")), nodes, "key", 4)
 
 
 @query("""SELECT user_id, count(*) AS n, first_page, least(first_page + 15, n_pages)::BIGINT AS last_page FROM (
@@ -343,19 +404,12 @@ def memory_window(spark, d):
     return before.where("rank < 5")
 
 
-@query()
-def chunk_text(spark, d):
-    return chunking.chunk_table(texts(spark, d))
-
-
-@query()
-def build_tree(spark, d):
-    return chunking.tree_table(texts(spark, d))
-
-
 @query("SELECT user_id, epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS bucket, count(*) AS n FROM events GROUP BY ALL")
 def stream_events_windowed(spark, d):
     """The counters of rate_limit_tumbling, from a stream over the files of events, to the end of what is there, by a table in the shared folder."""
     files = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "*").parquet(f"{d}/events*.parquet")
     folder = scratch_dir(spark)
     return streams.drain_counts(spark, files.withColumn("ts", F.col("ts").cast("timestamp")), f"{folder}/table", f"{folder}/state")
+
+
+from quern.plans import documents, retrieval, services  # noqa: E402, F401  (they add their queries)

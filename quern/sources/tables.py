@@ -34,3 +34,19 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch_dir(spark)
     df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: What is broadcast takes at most so many bytes by the count of small().
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for a broadcast if its rows take at most BROADCAST_BYTES: 16 a column, and what strings, binaries and arrays hold. It is counted first; beyond, df as it is."""
+    width = F.lit(16 * len(df.columns))
+    for f in df.schema:
+        if f.dataType.typeName() in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
+        elif f.dataType.typeName() == "array":
+            width = width + F.coalesce(16 * F.size(f"`{f.name}`"), F.lit(0))
+    total = df.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df

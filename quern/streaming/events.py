@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.chunking import chunk_table
+
 
 def rate_counts(events: DataFrame, window: str = "1 hour", limit: int = 3) -> DataFrame:
     """user_id, bucket (epoch seconds of the window's start), n, limited: events of a user in each fixed window."""
@@ -36,3 +41,56 @@ def drain_counts(spark: SparkSession, events: DataFrame, path: str, checkpoint:
 
     events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path).groupBy("user_id", "bucket").agg(F.sum("n").alias("n"))
+
+
+def runs(rows: DataFrame, key: str, at: str, idle: int | None, cap: int) -> DataFrame:
+    """key, start, last, n: each key's rows in order, cut where one comes idle seconds or more after the last (if given), or cap seconds or more after the first.
+
+    Where a run starts depends on the one before, so a key's rows go by one after the other: each task reads its rows sorted by key and
+    time, batch by batch, and holds one run at a time. at: seconds."""
+    ordered = rows.select(F.col(key).cast("long").alias("key"), F.col(at).cast("long").alias("at")).repartition("key").sortWithinPartitions("key", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list[int] | None = None
+        for batch in batches:
+            done = []
+            for k, t in zip(batch.column("key").to_pylist(), batch.column("at").to_pylist()):
+                if now is not None and now[0] == k and t < now[1] + cap and (idle is None or t < now[2] + idle):
+                    now[2], now[3] = t, now[3] + 1
+                else:
+                    if now is not None:
+                        done.append(now)
+                    now = [k, t, t, 1]
+            yield as_batch(done)
+        if now is not None:
+            yield as_batch([now])
+
+    def as_batch(done: list[list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*done)] if done else [pa.array([], pa.int64())] * 4, ["key", "start", "last", "n"])
+
+    return ordered.where("key IS NOT NULL AND at IS NOT NULL").mapInArrow(run, "key long, start long, last long, n long")
+
+
+def sessions(events: DataFrame, idle: int = 7 * 86_400, cap: int = 30 * 86_400) -> DataFrame:
+    """user_id, start, end, n: a session ends when nothing has come for idle seconds, and cap seconds after it began at the latest."""
+    found = runs(events.withColumn("s", F.unix_timestamp("ts")), "user_id", "s", idle, cap)
+    return found.select(F.col("key").alias("user_id"), "start", F.least(F.col("last") + idle, F.col("start") + cap).alias("end"), "n")
+
+
+def lockouts(failures: DataFrame, threshold: int = 5, window: int = 900) -> DataFrame:
+    """user_id, start, n, locked_until: failures counted for window seconds from the first; with threshold or more of them, the user is locked for as long from the last one on (else null)."""
+    found = runs(failures.withColumn("s", F.unix_timestamp("ts")), "user_id", "s", None, window)
+    return found.select(F.col("key").alias("user_id"), "start", "n", F.when(F.col("n") >= threshold, F.col("last") + window).alias("locked_until"))
+
+
+def ingest(docs: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """The chunks of a stream of documents (doc_id, text), to the end of what is there: doc_id, ord, content and others, as chunk_table gives them.
+
+    Each batch goes to a folder of its number, which a repeated batch overwrites, so its chunks are there once; a restart goes on after the last
+    whole batch, by the checkpoint."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        chunk_table(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    docs.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return docs.sparkSession.read.parquet(path).drop("batch")
