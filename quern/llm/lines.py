@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from math import log
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,16 +22,15 @@ LINE = ["doc_id", "text_key", "line_no"]
 # White space other than blanks and line feeds, and characters of scripts that write without blanks.
 _GAPS = r"\t\x0B-\r\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _UNSPACED = r"[\u0E00-\u0EFF\u0F00-\u0FFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}]"
-# Texts of these characters alone have neither; of a text of ASCII, it is enough that it has none of a few control characters.
+# Texts of these characters alone have neither; nearly all texts are of the first kind, whose test is the cheaper one.
+_ASCII = r"[^ -~\n]"
 _USUAL = r"\A[ -~\n\u00A1-\u0DFF]*+\z"
-_CONTROLS = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 
 
 def plain(text: Column) -> Column:
     """text with a blank for other white space but line feeds, and blanks around tokens where a script has none: each character with its follower, a run's last one alone."""
     spaced = F.regexp_replace(F.regexp_replace(text, f"[{_GAPS}]", " "), f"({_UNSPACED})(?=({_UNSPACED})?)", " $1$2 ")
-    odd = reduce(or_, (F.contains(text, F.lit(c)) for c in _CONTROLS))
-    return F.when(F.when(F.length(text) == F.octet_length(text), ~odd).otherwise(text.rlike(_USUAL)), text).otherwise(spaced)
+    return F.when(~text.rlike(_ASCII) | text.rlike(_USUAL), text).otherwise(spaced)
 
 
 def words(line: Column) -> Column:
@@ -41,30 +38,29 @@ def words(line: Column) -> Column:
     return F.array_remove(F.split(line, " "), "")
 
 
-def counter(word: Column) -> Column:
-    return F.hash(word).bitwiseAND(F.lit(COUNTERS - 1))
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """LINE and words, the hashes of the distinct words, of each line, written once. Exploded as "outer", as filters on the rows would split the texts again; null texts give one row of nulls."""
+    lines = docs.select("doc_id", "text_key", F.posexplode_outer(F.split(F.lower(plain(F.col("text"))), "\n")).alias("line_no", "line"))
+    return materialize(lines.select(*LINE, F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w))).alias("words")))
+
+
+def counter(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
 
 
-def rarity(docs: DataFrame) -> Column:
-    """For each counter of words, the class of its frequency over all texts, in the bits above 55: an array, as a scalar subquery over a table of one row.
+def rarity(lines: DataFrame) -> Column:
+    """For each counter of words, the class of the number of lines that have them, in the bits above 55: an array, as a scalar subquery over a table of one row.
 
     The counters number COUNTERS at any size of the input; the plans that use them don't hold them."""
-    text = F.replace(F.lower(plain(F.col("text"))), F.lit("\n"), F.lit(" "))
-    counted = docs.select(F.explode_outer(F.split(text, " ")).alias("w")).where("w <> ''").groupBy(counter(F.col("w")).alias("k")).count()
-    every = docs.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("k"), F.lit(0).cast("long").alias("count"))
+    counted = lines.select(F.explode("words").alias("h")).groupBy(counter(F.col("h")).alias("k")).count()
+    every = lines.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("k"), F.lit(0).cast("long").alias("count"))
     classes = counted.union(every).groupBy("k").agg(F.shiftleft(F.floor(F.log2(F.sum("count") + 1) * 2), 55).alias("level"))
     return materialize(classes.agg(F.sort_array(F.collect_list(F.struct("k", "level"))).getField("level").alias("levels"))).scalar()
 
 
-def ranked(line: Column) -> Column:
-    """The distinct words of a line, rarest first: numbers of a class of frequency (from the column levels) and 55 bits of hash."""
-    return F.sort_array(F.array_distinct(F.transform(words(line), lambda w: F.get("levels", counter(w)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 9)))))
-
-
-def numbered_sets(docs: DataFrame, levels: Column) -> DataFrame:
-    """LINE and set (ranked words) of each line. Exploded as "outer", as filters on the rows would make the sets again; null texts give one row of nulls."""
-    lines = docs.select("doc_id", "text_key", F.posexplode_outer(F.split(F.lower(plain(F.col("text"))), "\n")).alias("line_no", "line"))
-    return lines.withColumn("levels", levels).select(*LINE, ranked(F.col("line")).alias("set"))
+def ranked(levels: Column) -> Column:
+    """The words of a line, rarest first: numbers of a class of frequency and 55 bits of hash."""
+    return F.sort_array(F.transform("words", lambda h: F.coalesce(F.get(levels, counter(h)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 9))))
 
 
 def ends(pairs: DataFrame, side: str) -> list[Column]:
@@ -108,14 +104,16 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
     length, which settles groups of copies; lines still without a match are then compared with all earlier lines of their buckets.
     No bucket is collected."""
     docs = docs.where("doc_id IS NOT NULL")
-    levels = rarity(docs)
+    hashed = hashed_lines(docs)
+    levels = rarity(hashed)
     size = F.size("set")
     least = F.ceil(F.lit(similarity) * size - F.lit(1e-9))
     # A line's closest other set is that of one word more. Lines for which even that is too far match equal sets only and need no bucket.
     # Words of a prefix are 32 bits of hash: equal ones of different words only add candidates.
     prefix = F.when(size >= F.lit(similarity) * (size + 1) - F.lit(1e-9), F.transform(F.slice("set", 1, (size - least + 1).cast("int")), lambda h: F.hash(h)))
     bits = F.aggregate("set", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
-    lines = numbered_sets(docs, levels).select(*LINE, F.xxhash64("set").alias("k"), F.xxhash64(F.lit(1), "set").alias("k2"), size.alias("n"), bits.alias("bits"), prefix.alias("prefix"))
+    sets = hashed.withColumn("levels", levels).select(*LINE, ranked(F.col("levels")).alias("set"))
+    lines = sets.select(*LINE, F.xxhash64("set").alias("k"), F.xxhash64(F.lit(1), "set").alias("k2"), size.alias("n"), bits.alias("bits"), prefix.alias("prefix"))
     lines = materialize(lines).where(F.col("n") >= min_words)
 
     # The earliest line of each set that occurs again: first the least doc_id, then the earliest line in it.
