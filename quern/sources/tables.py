@@ -28,14 +28,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{own}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df once to a table in the shared folder and read it back: the plan's lineage ends there, and lost executors don't matter."""
+def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write df once to a table in the shared folder and read it back: the plan's lineage ends there, and lost executors don't matter.
+
+    path is a folder name of scratch_dir, for callers that discard the table before the session ends."""
     spark = df.sparkSession
-    path = scratch_dir(spark)
+    path = path or scratch_dir(spark)
     df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of materialize that no plan reads any more, all that came of it being written."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 #: What is broadcast takes at most so many bytes by the count of small().
 BROADCAST_BYTES = 32 << 20
 

@@ -1,11 +1,12 @@
 """Operators that SQL doesn't express, against brute force, and edge cases."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import graph, merging, recall
 from quern.plans import catalog
-from quern.sources.tables import small, table
+from quern.sources.tables import discard, materialize, scratch_dir, small, table
 from tests.compare import SMALL
 
 
@@ -105,3 +106,15 @@ def test_merges_with_nulls(spark):
     got = merging.consolidated(rows, changes, rows.select("id"))
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, "y", "event"), (2, "b", "event"), (None, "c", None), (14, "new", "fact")]))
     assert merging.consolidated(rows.limit(0), changes.limit(0), rows.select("id")).count() == 0
+
+
+def test_discarded_tables_are_gone(spark):
+    """A table written from a discarded one stays; the discarded one can't be read again, and a second call does nothing."""
+    path = scratch_dir(spark)
+    first = materialize(spark.range(5).toDF("id"), path)
+    second = materialize(first.selectExpr("id + 1 AS id"))
+    discard(spark, path)
+    discard(spark, path)
+    assert second.count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
