@@ -7,7 +7,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.sources.tables import materialize
+from quern.sources.tables import discard, materialize, scratch_dir
 
 #: Lines match at this Jaccard similarity of their sets of words; callers of dedup_lines that don't say otherwise leave lines with fewer words than MIN_WORDS alone.
 SIMILARITY, MIN_WORDS = 0.9, 5
@@ -38,10 +38,10 @@ def words(line: Column) -> Column:
     return F.array_remove(F.split(line, " "), "")
 
 
-def hashed_lines(docs: DataFrame) -> DataFrame:
-    """LINE and words, the hashes of the distinct words, of each line, written once. Exploded as "outer", as filters on the rows would split the texts again; null texts give one row of nulls."""
+def hashed_lines(docs: DataFrame, path: str) -> DataFrame:
+    """LINE and words, the hashes of the distinct words, of each line, written once to path. Exploded as "outer", as filters on the rows would split the texts again; null texts give one row of nulls."""
     lines = docs.select("doc_id", "text_key", F.posexplode_outer(F.split(F.lower(plain(F.col("text"))), "\n")).alias("line_no", "line"))
-    return materialize(lines.select(*LINE, F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w))).alias("words")))
+    return materialize(lines.select(*LINE, F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w))).alias("words")), path)
 
 
 def counter(h: Column) -> Column:
@@ -104,7 +104,8 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
     length, which settles groups of copies; lines still without a match are then compared with all earlier lines of their buckets.
     No bucket is collected."""
     docs = docs.where("doc_id IS NOT NULL")
-    hashed = hashed_lines(docs)
+    path = scratch_dir(docs.sparkSession)
+    hashed = hashed_lines(docs, path)
     levels = rarity(hashed)
     size = F.size("set")
     least = F.ceil(F.lit(similarity) * size - F.lit(1e-9))
@@ -115,6 +116,7 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
     sets = hashed.withColumn("levels", levels).select(*LINE, ranked(F.col("levels")).alias("set"))
     lines = sets.select(*LINE, F.xxhash64("set").alias("k"), F.xxhash64(F.lit(1), "set").alias("k2"), size.alias("n"), bits.alias("bits"), prefix.alias("prefix"))
     lines = materialize(lines).where(F.col("n") >= min_words)
+    discard(docs.sparkSession, path)
 
     # The earliest line of each set that occurs again: first the least doc_id, then the earliest line in it.
     again = lines.groupBy("k", "k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("c")).where("c > 1").drop("c")
