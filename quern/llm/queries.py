@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, licenses, lines, minhash, mixing, pages, pii, quality, urls, vectors
+from quern.llm import bpe, licenses, lines, manifest, minhash, mixing, pages, pii, quality, tokens, urls, vectors, whitening
 
-QUERIES = (quality.op1_quality_rules, vectors.op2_cover_tree, mixing.op3_mixing, licenses.op4_license_scans, pii.op5_pii_surrogates, bpe.op6_byte_bpe, pages.op7_html, urls.op8_url_filters, minhash.op9_minhash, lines.op10_line_dedup)
+QUERIES = (quality.op1_quality_rules, vectors.op2_cover_tree, mixing.op3_mixing, licenses.op4_license_scans, pii.op5_pii_surrogates, bpe.op6_byte_bpe, pages.op7_html, urls.op8_url_filters, minhash.op9_minhash, lines.op10_line_dedup,
+           tokens.op11_token_files, whitening.op12_whitening, manifest.op13_merkle_manifest)
 
 
 def queries() -> dict:
