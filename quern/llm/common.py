@@ -19,12 +19,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
 
 
-def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch whose texts have about SLICE_BYTES bytes together."""
+def text_slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of a batch whose texts have about size bytes together."""
     offsets = np.frombuffer(batch.column(column).buffers()[1], np.int32)[batch.column(column).offset :]
     first, n = 0, batch.num_rows
     while first < n:
-        last = int(np.searchsorted(offsets[: n + 1], offsets[first] + SLICE_BYTES, "right")) - 1
+        last = int(np.searchsorted(offsets[: n + 1], offsets[first] + size, "right")) - 1
         last = min(n, max(first + 1, last))
         yield first, last
         first = last

@@ -1,28 +1,32 @@
-"""Token ids as binary files: a static range asymmetric numeral system codes blocks of whole documents, each on its own, by one table of frequencies.
+"""Token ids as binary files: a static range asymmetric numeral system codes blocks of whole documents, each on its own, by the file's table of frequencies.
 
-A file is its header, blocks and an index of blocks. A block has a directory of documents, the states of all lanes at checkpoints and a stream of
+A file is its table, blocks and an index of blocks. A block has a directory of documents, the states of all lanes at checkpoints and a stream of
 32-bit words that the lanes share. Ids are dealt out to the lanes in turn; a decoder may start at any checkpoint, and all checkpoints of a block are
 decoded side by side. CRC-32 sums stand behind each block and for each stretch between checkpoints."""
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-from quern.llm.common import text_slices
+from quern.llm.common import SLICE_BYTES, text_slices
 from quern.sources.tables import materialize, scratch_dir
 
 #: The vocabulary file, and the id behind each document.
@@ -33,10 +37,12 @@ SCALE = 20
 LOW = np.uint64(1 << 31)
 #: A block ends with the document that brings it to so many ids. It has at most LANES lanes, and a checkpoint every EVERY steps of all lanes.
 BLOCK_IDS, LANES, EVERY = 1 << 20, 1024, 256
-#: A file has about so many ids, fewer where that would leave cores idle.
-FILE_IDS = 1 << 25
-#: Ids of so many words are kept by a worker, in two generations; longer words aren't.
-CACHED, LONG = 1 << 17, 48
+#: A file ends with the document that brings it to so many ids, which its task holds (64 MB), or with its task's range.
+FILE_IDS = 1 << 24
+#: Ids of so many words, and of as many pieces of words, are kept by a worker, in two generations; longer ones aren't. Together some 200 MB at most.
+CACHED, LONG = 1 << 18, 48
+#: Up to this character, upper and lower case, composition and classes are the same in every version of Unicode.
+LATIN = "\u012f"
 MAGIC = b"QIDS0001"
 _BLOCK = "<IQIIQ"  # lanes, ids, documents, checkpoints, words
 _INDEX = "<QQQQ"  # offset, bytes, ids, documents
@@ -163,38 +169,78 @@ class Words:
     """The ids of words by the tokenizers library, kept for words that come again.
 
     The vocabulary's rules never join what stands on either side of ASCII white space: its pattern has no white space, and neither composition
-    nor lower case looks across it. So a text's ids are those of its words, one after the other."""
+    nor lower case looks across it. So a text's ids are those of its words, one after the other. Words of printable characters up to LATIN are
+    in composed form as they are; they are put into lower case, matched by the vocabulary's own pattern, and each match goes to the library's
+    model at once, once for all words that have it. Other words go through the whole library, and all do if the vocabulary has other rules."""
 
     def __init__(self, path: str, special: bool) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
-        self.size = self.tokenizer.get_vocab_size()
+        rules = json.loads(self.tokenizer.to_str())
+        self.marked = [t["content"] for t in rules["added_tokens"]] if special else []
+        steps = [x["type"] for part in ("normalizer", "pre_tokenizer") for x in (rules[part] or {}).get("normalizers") or (rules[part] or {}).get("pretokenizers") or []]
+        known = steps == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
+        self.pattern = regex.compile(rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]) if known else None
+        self.model, self.signs = self.tokenizer.model, {}
+        if known:
+            level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            for c in map(chr, range(33, ord(LATIN) + 1)):
+                self.signs.update(zip(c.encode(), level.pre_tokenize_str(c)[0][0], strict=True))
         self.recent: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        """The ids of each text, as 32-bit numbers; none for nulls."""
-        split = [x.split() if x else [] for x in texts]
-        own = {w: self.recent.get(w) for w in set().union(*split)}
-        new = []
-        for word, ids in own.items():
-            if ids is None:
-                if (ids := self.older.get(word)) is None:
-                    new.append(word)
-                else:
-                    own[word] = self.recent[word] = ids
-        for word, got in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            own[word] = ids = np.array(got.ids, "<u4").tobytes()
-            if len(word) <= LONG:
-                self.recent[word] = ids
+        self.pieces: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
+        self.new = 0
+
+    def piece(self, piece: str) -> bytes:
+        """The ids of a match of the pattern."""
+        if (ids := self.pieces.get(piece)) is None:
+            if (ids := self.older_pieces.get(piece)) is None:
+                signs = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.signs)
+                ids = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+                self.new += 1
+            if len(piece) <= LONG:
+                if len(self.pieces) >= CACHED:
+                    self.older_pieces, self.pieces = self.pieces, {}
+                self.pieces[piece] = ids
+        return ids
+
+    def word(self, word: bytes) -> bytes:
+        """The ids of a word that isn't at hand. It is kept if its pieces were known, that is, not at its first sight: most new words never come again."""
+        if (ids := self.older.get(word)) is None:
+            plain, self.new = word.decode(), 0
+            if plain.isalpha() and self.pattern and (plain.isascii() or max(plain) <= LATIN):
+                ids = self.piece(plain.lower())
+            elif self.pattern and plain.isprintable() and plain and max(plain) <= LATIN and not any(x in plain for x in self.marked):
+                ids = b"".join(map(self.piece, self.pattern.findall(plain.lower())))
+            else:
+                ids = array("I", self.tokenizer.encode(plain, add_special_tokens=False).ids).tobytes()
+            if self.new or len(word) > LONG:
+                return ids
         if len(self.recent) >= CACHED:
             self.older, self.recent = self.recent, {}
-        return [np.frombuffer(b"".join(map(own.__getitem__, words)), "<u4") for words in split]
+        self.recent[word] = ids
+        return ids
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, as 32-bit numbers, and where each text's start, with the end; none for nulls.
+
+        Each word of the texts is looked up once; its ids are then put wherever it stands."""
+        lists = pc.ascii_split_whitespace(texts)
+        found = lists.flatten().dictionary_encode()
+        recent = self.recent
+        own = [recent.get(w) or self.word(w) for w in found.dictionary.cast(pa.binary()).to_pylist()]
+        flat, n = np.frombuffer(b"".join(own), np.uint32), np.fromiter(map(len, own), np.int64, len(own)) // 4
+        at = found.indices.to_numpy(zero_copy_only=False)
+        counts = n[at]
+        ends = np.append(0, np.cumsum(counts))
+        ids = flat[np.repeat((np.cumsum(n) - n)[at] - ends[:-1], counts) + np.arange(ends[-1])]
+        return ids, ends[np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))]
 
 
 @cache
 def words(path: str, special: bool) -> Words:
-    """One for a worker; it keeps at most 2 * CACHED words and those of a slice."""
+    """One for a worker."""
     return Words(path, special)
 
 
@@ -202,110 +248,113 @@ def encoded(batches: Iterator[pa.RecordBatch], vocabulary: str | None, end: int,
     """doc_id and ids, with the end id, of each row of batches (doc_id, text)."""
     own = words(vocabulary or public_tokenizers.path(VOCABULARY), special)
     for batch in batches:
-        for first, last in text_slices(batch, "text"):
+        for first, last in text_slices(batch, "text", 16 * SLICE_BYTES):
             part = batch.slice(first, last - first)
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), own.encode(part.column("text").cast(pa.binary()).to_pylist()), strict=True):
-                yield doc_id, np.append(ids, np.uint32(end))
-
-
-def counted(docs: DataFrame, vocabulary: str | None, end: int, special: bool) -> np.ndarray:
-    """How often each id occurs in docs (doc_id, text): tasks count, the driver gets a number for each id of the vocabulary."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for _, ids in encoded(batches, vocabulary, end, special):
-            part = np.bincount(ids, minlength=len(total))
-            part[: len(total)] += total
-            total = part
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
-
-    rows = docs.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(int(rows.id.max()) + 1 if len(rows) else 0, np.int64)
-    out[rows.id] = rows.n
-    return out
+            ids, at = own.encode(part.column("text"))
+            for k, doc_id in enumerate(part.column("doc_id").to_pylist()):
+                yield doc_id, np.append(ids[at[k] : at[k + 1]], np.uint32(end))
+
+
+class File:
+    """A file of ids being written: documents are gathered up to FILE_IDS, then their frequencies are the table that all blocks of the file share."""
+
+    def __init__(self, folder: str, file_no: int) -> None:
+        self.folder, self.file_no, self.part_no = folder, file_no, 0
+        self.docs: list[tuple[int | None, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[tuple]:
+        self.docs.append((doc_id, ids))
+        self.size += len(ids)
+        if self.size >= FILE_IDS:
+            yield from self.write()
+
+    def write(self) -> Iterator[tuple]:
+        """Write what is gathered; rows of the index. Nothing gathered makes no file."""
+        if not self.docs:
+            return
+        counts = np.zeros(0, np.int64)
+        for k in range(0, len(self.docs), 4096):
+            part = np.bincount(np.concatenate([x for _, x in self.docs[k : k + 4096]]), minlength=len(counts))
+            part[: len(counts)] += counts
+            counts = part
+        frequencies = normalized(counts)
+        coder, name, index, own, size = Coder(frequencies), f"ids-{self.file_no:06d}-{self.part_no:04d}-{uuid.uuid4().hex}", [], [], 0
+        store, at = place(self.folder)
+        with store.open_output_stream(f"{at}/{name}") as out:
+            table = zlib.compress(frequencies.astype("<u4").tobytes(), 1)
+            out.write(MAGIC + struct.pack("<II", len(table), zlib.crc32(table)) + table)
+            for k, (doc_id, ids) in enumerate(self.docs):
+                own.append((doc_id, ids))
+                size += len(ids)
+                if size >= BLOCK_IDS or k == len(self.docs) - 1:
+                    data = packed(coder, own)
+                    index.append((out.tell(), len(data), size, len(own)))
+                    out.write(data)
+                    own, size = [], 0
+            out.write(b"".join(struct.pack(_INDEX, *x) for x in index) + struct.pack("<Q", len(index)) + MAGIC)
+        yield from ((name, self.file_no, self.part_no, k, *x) for k, x in enumerate(index))
+        self.docs, self.size, self.part_no = [], 0, self.part_no + 1
 
 
 def write_ids(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end: int = END, special: bool = False) -> DataFrame:
     """Encode every text of df and write its ids to files in folder, in ascending id_col, null first; rows of one id by a hash of the text.
 
-    Returns the index, a table of one row for each block: file, file_no, block_no, offset, bytes, ids, docs, start (ids of all blocks before). Each
-    try of a task writes a file of its own name, and only files of the index count, so lost executors leave files that nothing reads at worst.
-    Texts are read twice, for the frequencies and for the files, and tokenized both times, as their ids take more room than they. Null and empty
+    Returns the index, a table of one row for each block: file, file_no, part_no, block_no, offset, bytes, ids, docs, start (ids of all blocks before).
+    Texts are sorted by ranges of ids and read once; a task holds the ids of one file, whose frequencies its blocks share. Each try of a task
+    writes files of its own name, and only those of the index count, so lost executors leave files that nothing reads at worst. Null and empty
     texts have the end id alone; a very long text is one block; an empty table gives an empty index. vocabulary: where each executor finds the
     file. special: whether strings of special tokens in a text count as those; else they are text. Other columns of df aren't read."""
-    spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    frequencies = normalized(counts := counted(docs, vocabulary, end, special))
+    key = F.xxhash64("text")
     store, at = place(folder)
     store.create_dir(at, recursive=True)
-    with store.open_output_stream(f"{at}/frequencies") as out:
-        out.write(frequencies.astype("<u4").tobytes())
-    total = int(counts.sum())
-    files = max(1, -(-total // FILE_IDS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (1 << 18))))
-    key = F.xxhash64("text")
-    ordered = docs.repartitionByRange(files, "doc_id", key).sortWithinPartitions("doc_id", key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, docs, size, index = Coder(frequencies), [], 0, []
-        file_no, name, own = TaskContext.get().partitionId(), "", None
-
-        def flush() -> None:
-            data = packed(coder, docs)
-            index.append((own.tell(), len(data), size, len(docs)))
-            own.write(data)
-            docs.clear()
-
+        file, index = File(folder, TaskContext.get().partitionId()), []
         for doc_id, ids in encoded(batches, vocabulary, end, special):
-            if own is None:
-                name = f"ids-{file_no:06d}-{uuid.uuid4().hex}"
-                own = place(folder)[0].open_output_stream(f"{place(folder)[1]}/{name}")
-                own.write(MAGIC + struct.pack("<I", zlib.crc32(frequencies.astype("<u4").tobytes())))
-            docs.append((doc_id, ids))
-            size += len(ids)
-            if size >= BLOCK_IDS:
-                flush()
-                size = 0
-        if docs:
-            flush()
-        if own is not None:
-            own.write(b"".join(struct.pack(_INDEX, *x) for x in index) + struct.pack("<Q", len(index)) + MAGIC)
-            own.close()
-        columns = [pa.array([name] * len(index), pa.string()), pa.array([file_no] * len(index), pa.int32()), pa.array(range(len(index)), pa.int32())]
-        columns += [pa.array([x[k] for x in index], pa.int64()) for k in range(4)]
-        yield pa.RecordBatch.from_arrays(columns, ["file", "file_no", "block_no", "offset", "bytes", "ids", "docs"])
-
-    blocks = materialize(ordered.mapInArrow(run, "file string, file_no int, block_no int, offset long, bytes long, ids long, docs long"))
-    # One row for each file, then for each block of a file.
+            index += file.add(doc_id, ids)
+        index += file.write()
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in index], kind) for k, kind in enumerate(kinds)], names)
+
+    names = ["file", "file_no", "part_no", "block_no", "offset", "bytes", "ids", "docs"]
+    ordered = docs.repartitionByRange("doc_id", key).sortWithinPartitions("doc_id", key)
+    blocks = materialize(ordered.mapInArrow(run, "file string, file_no int, part_no int, block_no int, offset long, bytes long, ids long, docs long"))
+    # One row for each task that wrote, then for each block of a task.
     before = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     firsts = blocks.groupBy("file_no").agg(F.sum("ids").alias("ids")).select("file_no", before(W.orderBy("file_no")).alias("first"))
-    placed = blocks.join(firsts, "file_no").withColumn("start", F.col("first") + before(W.partitionBy("file_no").orderBy("block_no"))).drop("first")
+    placed = blocks.join(firsts, "file_no").withColumn("start", F.col("first") + before(W.partitionBy("file_no").orderBy("part_no", "block_no"))).drop("first")
     return materialize(placed)
 
 
-@cache
-def coder_of(folder: str) -> Coder:
+@lru_cache(8)
+def coder_of(folder: str, file: str) -> Coder:
+    """The coder of a file's table; a worker keeps a few."""
     store, at = place(folder)
-    with store.open_input_file(f"{at}/frequencies") as f:
-        return Coder(np.frombuffer(f.read(), "<u4").astype(np.int64))
+    with store.open_input_file(f"{at}/{file}") as f:
+        head = f.read(len(MAGIC) + 8)
+        size, check = struct.unpack("<II", head[len(MAGIC) :])
+        table = f.read(size)
+    if head[: len(MAGIC)] != MAGIC or zlib.crc32(table) != check:
+        raise ValueError("a file's table of frequencies doesn't fit its checksum")
+    return Coder(np.frombuffer(zlib.decompress(table), "<u4").astype(np.int64))
 
 
 def read_ids(index: DataFrame, folder: str, with_ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and, if asked, ids of each document in the files of an index of write_ids.
 
-    Tasks take blocks, whatever file they lie in; one that doesn't fit its sums, or whose file has other frequencies, raises ValueError.
+    Tasks take blocks, whatever file they lie in; one that doesn't fit its sums, or whose file's table doesn't, raises ValueError.
     ids_crc32 is of the ids as 32-bit numbers, least byte first. An empty index gives an empty table."""
     names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, (store, at) = coder_of(folder), place(folder)
+        store, at = place(folder)
         for batch in batches:
             for r in batch.to_pylist():
                 with store.open_input_file(f"{at}/{r['file']}") as f:
-                    if f.read(len(MAGIC) + 4) != MAGIC + struct.pack("<I", zlib.crc32(coder.frequencies.astype("<u4").tobytes())):
-                        raise ValueError("a file's frequencies aren't those of the folder")
                     f.seek(r["offset"])
-                    doc_ids, nulls, lengths, ids, _ = unpacked(coder, f.read(r["bytes"]))
+                    doc_ids, nulls, lengths, ids, _ = unpacked(coder_of(folder, r["file"]), f.read(r["bytes"]))
                 ends = np.cumsum(lengths)
                 parts = ids.astype("<u4")
                 sums = [zlib.crc32(parts[e - n : e]) for e, n in zip(ends, lengths, strict=True)]
@@ -314,7 +363,7 @@ def read_ids(index: DataFrame, folder: str, with_ids: bool = True) -> DataFrame:
                     columns.append(pa.LargeListArray.from_arrays(np.append(0, ends), pa.array(ids.astype(np.int32))).cast(pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    # A block is a few MB of work, so each goes to a task of its own as far as there are cores.
+    # A block is a few MB of work, so each goes to a task of its own as far as there are partitions.
     dealt = index.select("file", "offset", "bytes", "start").repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file", "offset")
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
