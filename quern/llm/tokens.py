@@ -256,17 +256,17 @@ def encoded(batches: Iterator[pa.RecordBatch], vocabulary: str | None, end: int,
 
 
 class File:
-    """A file of ids being written: documents are gathered up to FILE_IDS, then their frequencies are the table that all blocks of the file share."""
+    """A file of ids being written: documents are gathered up to file_ids, then their frequencies are the table that all blocks of the file share."""
 
-    def __init__(self, folder: str, file_no: int) -> None:
-        self.folder, self.file_no, self.part_no = folder, file_no, 0
+    def __init__(self, folder: str, file_no: int, file_ids: int, block_ids: int) -> None:
+        self.folder, self.file_no, self.part_no, self.file_ids, self.block_ids = folder, file_no, 0, file_ids, block_ids
         self.docs: list[tuple[int | None, np.ndarray]] = []
         self.size = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[tuple]:
         self.docs.append((doc_id, ids))
         self.size += len(ids)
-        if self.size >= FILE_IDS:
+        if self.size >= self.file_ids:
             yield from self.write()
 
     def write(self) -> Iterator[tuple]:
@@ -287,7 +287,7 @@ class File:
             for k, (doc_id, ids) in enumerate(self.docs):
                 own.append((doc_id, ids))
                 size += len(ids)
-                if size >= BLOCK_IDS or k == len(self.docs) - 1:
+                if size >= self.block_ids or k == len(self.docs) - 1:
                     data = packed(coder, own)
                     index.append((out.tell(), len(data), size, len(own)))
                     out.write(data)
@@ -297,7 +297,7 @@ class File:
         self.docs, self.size, self.part_no = [], 0, self.part_no + 1
 
 
-def write_ids(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end: int = END, special: bool = False) -> DataFrame:
+def write_ids(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end: int = END, special: bool = False, file_ids: int = FILE_IDS, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Encode every text of df and write its ids to files in folder, in ascending id_col, null first; rows of one id by a hash of the text.
 
     Returns the index, a table of one row for each block: file, file_no, part_no, block_no, offset, bytes, ids, docs, start (ids of all blocks before).
@@ -311,7 +311,7 @@ def write_ids(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str
     store.create_dir(at, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, index = File(folder, TaskContext.get().partitionId()), []
+        file, index = File(folder, TaskContext.get().partitionId(), file_ids, block_ids), []
         for doc_id, ids in encoded(batches, vocabulary, end, special):
             index += file.add(doc_id, ids)
         index += file.write()

@@ -82,14 +82,12 @@ TEXTS = ["", None, "a b", "Ünï  CÖDÉ é x y", "tab\tnew\nline\x0bv\x0cf
          "don't WE'LL 'S's 123,456 $%&*()", "#" * 300, "x" * 5000, "😀👍🏽 \x00 ﻿", "word " * 40_000, " ", "\n\n"]
 
 
-def test_op11_edges(spark, tmp_path, monkeypatch):
+def test_op11_edges(spark, tmp_path):
     """Texts of all kinds, null and repeated ids, extra columns, an empty table; blocks of a few ids in several files; files that stand alone."""
-    monkeypatch.setattr(tokens, "BLOCK_IDS", 50)
-    monkeypatch.setattr(tokens, "FILE_IDS", 150)
     rows = [(k, t, "x", 1) for k, t in enumerate(TEXTS)] + [(None, "null id", "x", 1), (None, "a b", "x", 1), (-5, "less", "x", 1), (3, TEXTS[3], "x", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string, start int").repartition(3)
     folder = str(tmp_path / "own")
-    index = tokens.write_ids(df, folder)
+    index = tokens.write_ids(df, folder, file_ids=150, block_ids=50)
     got = tokens.read_ids(index, folder).orderBy("start").collect()
     ordered = sorted(((d is not None, d or 0), i, d, t) for i, (d, t, *_) in enumerate(rows))
     want = expected_ids([(d, t) for *_, d, t in ordered])
