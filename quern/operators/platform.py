@@ -72,13 +72,12 @@ def impressions(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.count("*").alias("n_shown"), shown.alias("shown"))
 
 
-def ndcg(ranking: DataFrame, relevance: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, ndcg, recall at k of a ranking (query_id, doc_id, rank from 0) against relevance (query_id, doc_id)."""
+def ndcg(found: DataFrame, wanted: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, ndcg, recall at k, from the relevant hits (query_id, rank from 0) and the number of what is relevant to each query (query_id, n): pairs of queries and relevant documents aren't made."""
     gain = lambda rank: 1.0 / F.log2(rank + 2.0)
-    found = ranking.where(F.col("rank") < k).join(relevance, ["query_id", "doc_id"]).groupBy("query_id").agg(F.sum(gain(F.col("rank"))).alias("dcg"), F.count("*").alias("hits"))
-    wanted = relevance.distinct().groupBy("query_id").agg(F.count("*").alias("n"))
+    hits = found.where(F.col("rank") < k).groupBy("query_id").agg(F.sum(gain(F.col("rank"))).alias("dcg"), F.count("*").alias("hits"))
     ideal = F.aggregate(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(k)).cast("int") - 1), F.lit(0.0), lambda s, i: s + gain(i))
-    rows = wanted.join(found, "query_id", "left").withColumn("ideal", ideal)
+    rows = wanted.where("n > 0").join(hits, "query_id", "left").withColumn("ideal", ideal)
     return rows.select("query_id", (F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).alias("ndcg"), (F.coalesce("hits", F.lit(0)) / F.col("n")).alias("recall"))
 
 

@@ -5,18 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import ahocorasick
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.functions.text import stripped, trigrams
+from quern.functions.text import stripped
 from quern.functions.vectors import normalized
 from quern.operators.graph import multihop
-from quern.sources.tables import small
+from quern.operators.lexical import best_matches, contained
+from quern.sources import tables
+from quern.sources.tables import materialize, small, weight
 
 RRF_K = 60
 #: Vectors and queries are compared in blocks of so many, as products of matrices of 8 MB at most.
@@ -37,60 +37,55 @@ def asked(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", stripped(F.col("query")).alias("query")).where("query <> ''")
 
 
-def trigram_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """query_id, doc_id, score of all pairs that share a trigram: the queries' trigrams are broadcast if they are small enough, so documents' trigrams stay where they are made."""
-    q = queries.select("query_id", F.explode(trigrams(F.col("query"))).alias("gram"))
-    q = q.join(q.groupBy("query_id").agg(F.count("*").alias("q_size")), "query_id")
-    grams = docs.select("doc_id", trigrams(F.col("text")).alias("grams"))
-    d = grams.select("doc_id", F.size("grams").alias("d_size"), F.explode("grams").alias("gram"))
-    shared = d.join(small(q), "gram").groupBy("query_id", "doc_id", "q_size", "d_size").agg(F.count("*").alias("n"))
-    return shared.select("query_id", "doc_id", (F.col("n") / (F.col("q_size") + F.col("d_size") - F.col("n"))).alias("score"))
+def trigram_recall(queries: DataFrame, docs: DataFrame, n: int = 10) -> DataFrame:
+    """The n documents of the highest trigram similarity among those that share a trigram: query_id, doc_id, score, rank."""
+    return top(best_matches(queries, docs, n), n, "score", "doc_id")
 
 
 def lexical_recall(queries: DataFrame, docs: DataFrame, n: int = 20, threshold: float = 0.05) -> DataFrame:
     """The n documents of the highest trigram similarity: those above the threshold, or that contain the query in any case (at score 0 without a shared trigram)."""
-    queries = asked(queries)
-    holds = docs.join(small(queries), F.contains(F.lower("text"), F.lower("query"))).select("query_id", "doc_id", F.lit(True).alias("holds"))
-    scored = trigram_scores(queries, docs).join(holds, ["query_id", "doc_id"], "full").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return top(scored.where((F.col("score") > threshold) | F.col("holds")).select("query_id", "doc_id", "score"), n, "score", "doc_id")
+    return top(best_matches(asked(queries), docs, n, threshold, contained=True), n, "score", "doc_id")
 
 
 def packs(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (id, vector, same) of sound vectors as blocks: ids, same, the unit vectors as bytes in double precision, and their length."""
+    """Rows (id, vector, same) of sound vectors as blocks of one same and one length: ids, the unit vectors as bytes in double precision, their length, and same."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for dim, part in batch.groupby(batch.vector.map(len)):
+            for (same, dim), part in batch.groupby([batch.same, batch.vector.map(len)]):
                 for at in range(0, len(part), size):
                     own = part.iloc[at : at + size].sort_values("id")
                     x = np.stack(own.vector.to_list()).astype(np.float64)
                     norm = np.linalg.norm(x, axis=1)
                     fine = np.isfinite(norm) & (norm > 0)
                     unit = x[fine] / norm[fine, None]
-                    yield pd.DataFrame({"ids": [own.id.to_numpy()[fine]], "same": [own.same.to_numpy()[fine].tolist()], "unit": [unit.tobytes()], "dim": [dim]})
+                    yield pd.DataFrame({"ids": [own.id.to_numpy()[fine]], "same": [same], "unit": [unit.tobytes()], "dim": [dim]})
 
-    return rows.where("vector IS NOT NULL AND size(vector) > 0").mapInPandas(run, "ids array<long>, same array<string>, unit binary, dim long")
+    return rows.where("vector IS NOT NULL AND size(vector) > 0 AND same IS NOT NULL").mapInPandas(run, "ids array<long>, same string, unit binary, dim long")
 
 
 def vector_recall(queries: DataFrame, vectors: DataFrame, n: int = 10, same: tuple[str, str] | None = None) -> DataFrame:
     """The n vectors of the highest cosine for each query (query_id, q): query_id, vec_id, score, rank. Every vector is compared, in blocks.
 
-    same: a column of the queries and one of the vectors that must be equal. Null, empty and zero vectors, and those with a number that isn't
-    finite, are nobody's hit; vectors of other lengths aren't either. Each pair of blocks keeps its n best for each query."""
+    same: a column of the queries and one of the vectors that must be equal; blocks are made by it, so others don't meet. Null, empty and zero vectors, and
+    those with a number that isn't finite, are nobody's hit; vectors of other lengths aren't either. The blocks of queries are dealt out by number to
+    shards of at most BROADCAST_BYTES, each broadcast to all blocks of vectors, which are never shuffled. Each pair of blocks keeps its n best for each query."""
     key = lambda c: F.col(c).cast("string").alias("same") if c else F.lit("").alias("same")
-    q = packs(queries.select(F.col("query_id").alias("id"), F.col("q").cast("array<double>").alias("vector"), key(same and same[0])), QUERY_BLOCK)
+    q = packs(queries.select(F.col("query_id").alias("id"), F.col("q").cast("array<double>").alias("vector"), key(same and same[0])), QUERY_BLOCK).toDF("q_ids", "q_same", "q_unit", "q_dim")
     v = packs(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), key(same and same[1])), VECTOR_BLOCK)
-    pairs = v.join(small(q.toDF("q_ids", "q_same", "q_unit", "q_dim")), F.col("dim") == F.col("q_dim"))
+    parts = -(-weight(q) // tables.BROADCAST_BYTES)
+    if parts > 1:
+        q = materialize(q)
+    shards = [q.where(F.pmod(F.xxhash64("q_ids"), F.lit(parts)) == k) for k in range(parts)] if parts > 1 else [q]
+    pairs = reduce(DataFrame.union, (v.join(F.broadcast(x), (F.col("dim") == F.col("q_dim")) & (F.col("same") == F.col("q_same"))) for x in shards))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
                 scores = np.round(np.frombuffer(r.unit).reshape(-1, r.dim) @ np.frombuffer(r.q_unit).reshape(-1, r.dim).T, PLACES)
-                if same:
-                    scores = np.where(np.array(r.same)[:, None] == np.array(r.q_same)[None, :], scores, -np.inf)
                 ids, (rows, columns) = np.array(r.ids, np.int64), scores.shape
                 least = np.partition(scores, max(0, rows - n), axis=0)[max(0, rows - n)] if rows else np.zeros(columns)
-                fits = (scores >= least) & np.isfinite(scores)
+                fits = scores >= least
                 for k in np.flatnonzero(fits.sum(axis=0) > n):  # ties: the least ids, as rows of a block are in their order
                     hit = np.flatnonzero(fits[:, k])
                     fits[hit[np.argsort(-scores[hit, k], kind="stable")[n:]], k] = False
@@ -136,12 +131,20 @@ def feedback_recall(queries: DataFrame, vectors: DataFrame, n: int = 10, weight:
 
 
 def clusters(vectors: DataFrame, k: int, rounds: int = 10) -> tuple[DataFrame, np.ndarray]:
-    """k-means by cosine: vec_id, cluster of all vectors, and the unit centres after so many rounds.
-
-    The first centres are the vectors of least hash. Tasks assign their vectors and add them up by cluster; the driver has the k centres only,
-    which are k times the vectors' length in numbers. A cluster that no vector is nearest to keeps its centre."""
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("v IS NOT NULL")
+    """k-means by cosine: vec_id, cluster of all sound vectors, and the unit centres after so many rounds.
+
+    Null, empty and zero vectors, those with a null or a number that isn't finite, and those of another length than most (of several, the
+    longest) are in no cluster; an empty table has no cluster and no centre. The first centres are the vectors of least hash. Tasks assign their
+    vectors and add them up by cluster; the driver has the k centres only, which are k times the vectors' length in numbers. A cluster that no
+    vector is nearest to keeps its centre."""
+    v = F.col("v")
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    sound = rows.where(F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists(v, lambda x: x != 0))
+    length = sound.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).agg(F.max_by("d", F.struct("n", "d"))).first()[0]
+    rows = sound.where(F.size("v") == F.lit(length))
     first = rows.orderBy(F.xxhash64(F.lit(42), "vec_id"), "vec_id").limit(k).toPandas()
+    if not len(first):
+        return rows.select("vec_id", F.lit(0).cast("long").alias("cluster")), np.zeros((0, 0))
     unit = lambda x: x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
     centres = unit(np.stack(first.v.to_list()).astype(np.float64))
 
@@ -185,36 +188,13 @@ def semantic_recall(queries: DataFrame, centres: DataFrame, members: DataFrame,
     return ranked.select("query_id", "vec_id", (F.col("rank") - 1).alias("rank"))
 
 
-def contained(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """doc_id, name of all names (column name, in lower case) that a text contains in any case. An automaton of all names reads each text once.
-
-    The names go to every task, if small() would broadcast them; beyond, the texts are compared with the names one by one."""
-    texts, names = docs.select("doc_id", F.lower("text").alias("text")).where("text IS NOT NULL"), names.select("name").where("name <> ''").distinct()
-    if small(names) is names:
-        return texts.join(names, F.contains("text", "name")).select("doc_id", "name")
-    listed = [r[0] for r in names.toLocalIterator()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = ahocorasick.Automaton()
-        for name in listed:
-            found.add_word(name, name)
-        found.make_automaton()
-        for batch in batches:
-            pairs = [(d, name) for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for name in sorted({x for _, x in found.iter(text)})]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.string())], ["doc_id", "name"])
-
-    if not listed:
-        return texts.join(names, F.lit(False)).select("doc_id", "name")
-    return texts.mapInArrow(run, "doc_id long, name string")
-
-
 def graph_recall(seeds: DataFrame, edges: DataFrame, docs: DataFrame, hops: int = 2, names: int = 40, n: int = 12) -> DataFrame:
     """Documents by how many names of a query's neighbourhood in a graph they contain: query_id, doc_id, hits, rank.
 
     seeds: query_id, seed. Of the nodes within hops, the first names by distance, then name, are sought."""
     near = multihop(seeds.select("seed").distinct(), edges, hops).join(seeds, "seed").groupBy("query_id", "node").agg(F.min("hop").alias("hop"))
     order = W.partitionBy("query_id").orderBy("hop", "node")
-    sought = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= names).select("query_id", F.lower("node").alias("name")).distinct()
+    sought = materialize(near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= names).select("query_id", F.lower("node").alias("name")).distinct())
     hits = contained(docs, sought).join(small(sought), "name").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"))
     return top(hits, n, "hits", "doc_id")
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import graph, incremental, intervals, platform, recall
+from quern.operators import graph, incremental, intervals, lexical, platform, recall
 from quern.plans.registry import QUERIES, SQL, query  # noqa: F401
 from quern.sources.tables import materialize, scratch_dir, small, table
 from quern.streaming import events as streams
@@ -57,7 +57,7 @@ COSINES = """
 
 @query(f"WITH {GRAMS} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM trigram) WHERE rank < 10")
 def trigram_similarity_topk(spark, d):
-    return rounded(recall.top(recall.trigram_scores(benchmark(spark, d), texts(spark, d)), 10, "score", "doc_id"), "score").withColumn("rank", F.col("rank").cast("long"))
+    return rounded(recall.trigram_recall(benchmark(spark, d), texts(spark, d)), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"WITH {GRAMS} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM lexical WHERE rank < 20")
@@ -207,8 +207,8 @@ def connected_components(spark, d):
     return graph.components(supply(spark, d).distinct())
 
 
-@query("""WITH first AS (SELECT item_id, string_split(lower(text), ' ')[1:6] AS w FROM benchmark),
-  edges AS (SELECT DISTINCT w[i] AS src, w[i + 1] AS dst FROM first, range(1, 6) r(i) WHERE w[i] <> '' AND w[i + 1] <> ''),
+@query("""WITH first AS (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark),
+  edges AS (SELECT DISTINCT w[i] AS src, w[i + 1] AS dst FROM (SELECT w, unnest(range(1, len(w))) AS i FROM first) WHERE w[i] <> '' AND w[i + 1] <> ''),
   both_ AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
   seeds AS (SELECT item_id AS query_id, w[1] AS seed FROM first WHERE w[1] <> ''),
   near AS (SELECT query_id, node, min(hop) AS hop FROM (
@@ -219,13 +219,13 @@ def connected_components(spark, d):
   hits AS (SELECT query_id, doc_id, count(*) AS hits FROM held JOIN sought USING (node) GROUP BY ALL)
 SELECT query_id, doc_id, hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) - 1 AS rank FROM hits QUALIFY rank < 12""")
 def graph_recall(spark, d):
-    """Neighbouring words of the benchmark's beginnings as a graph; from a query's first word to documents that contain what is near it."""
+    """Neighbouring words of the benchmark's texts as a graph; from a query's first word to documents that contain what is near it."""
     return word_graph_hits(spark, d)
 
 
 def word_graph_hits(spark, d) -> DataFrame:
-    words = benchmark(spark, d).select("query_id", F.slice(F.split(F.lower("query"), " "), 1, 6).alias("w"))
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct(F.get("w", i).alias("src"), F.get("w", i + 1).alias("dst")))
+    words = benchmark(spark, d).select("query_id", F.split(F.lower("query"), " ").alias("w"))
+    pairs = F.transform("w", lambda x, i: F.struct(x.alias("src"), F.get("w", i + 1).alias("dst")))
     edges = words.select(F.explode(pairs).alias("e")).select("e.*").where("src <> '' AND dst <> ''").distinct()
     seeds = words.select("query_id", F.get("w", F.lit(0)).alias("seed")).where("seed <> ''")
     return recall.graph_recall(seeds, edges, texts(spark, d))
@@ -234,7 +234,7 @@ def word_graph_hits(spark, d) -> DataFrame:
 @query("SELECT d.doc_id, count(*) AS hits, min(item_id) AS first_item FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text)) GROUP BY d.doc_id")
 def entity_containment(spark, d):
     items = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("name"))
-    found = recall.contained(texts(spark, d), items).join(small(items), "name")
+    found = lexical.contained(texts(spark, d), items).join(small(items), "name")
     return found.groupBy("doc_id").agg(F.count("*").alias("hits"), F.min("item_id").alias("first_item"))
 
 
@@ -332,8 +332,10 @@ SELECT query_id, round(coalesce(dcg, 0) / list_sum(list_transform(range(least(n,
 def ndcg_at_10(spark, d):
     """Relevant to a vector are all of its label."""
     hits = recall.vector_recall(vector_queries(spark, d), vectors(spark, d)).withColumnRenamed("vec_id", "doc_id")
-    relevant = vector_queries(spark, d).join(vectors(spark, d), F.col("label") == F.col("q_label")).select("query_id", F.col("vec_id").alias("doc_id"))
-    return rounded(platform.ndcg(hits, relevant), "ndcg", "recall")
+    labels = vectors(spark, d)
+    asked = vector_queries(spark, d).join(labels.groupBy(F.col("label").alias("q_label")).agg(F.count("*").alias("n")), "q_label")
+    found = hits.join(labels.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id").join(asked.select("query_id", "q_label"), "query_id").where("label = q_label")
+    return rounded(platform.ndcg(found, asked.select("query_id", "n")), "ndcg", "recall")
 
 
 @query("""WITH v AS (SELECT user_id, value FROM events), m AS (SELECT *, coalesce(value - lag(value) OVER w > 0.5, false)::INT AS new FROM v WINDOW w AS (PARTITION BY user_id ORDER BY value)),

@@ -155,13 +155,13 @@ def reading_order(spark, d):
     return layout.in_reading_order(sheets(spark, d).select("sheet", F.col("event_id").alias("box"), "x", "y"), "sheet", 30.0)
 
 
-@query("""WITH lines AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY ALL), cells AS (SELECT l_orderkey AS sheet, l_linenumber AS r, c, CASE c WHEN 1 THEN l_returnflag || '|' WHEN 2 THEN CASE WHEN l_linenumber = 2 THEN '#REF!' ELSE l_linestatus END WHEN 3 THEN '' ELSE l_linenumber::VARCHAR END AS text FROM lines, (VALUES (1), (2), (3), (4)) v(c) WHERE l_orderkey % 10 = 0),
+@query("""WITH lines AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY ALL), cells AS (SELECT l_orderkey AS sheet, l_linenumber AS r, c, CASE c WHEN 1 THEN l_returnflag || '|' WHEN 2 THEN CASE WHEN l_linenumber = 2 THEN '#REF!' ELSE l_linestatus END WHEN 3 THEN '' ELSE l_linenumber::VARCHAR END AS text FROM lines, (VALUES (1), (2), (3), (4)) v(c)),
   shown AS (SELECT * FROM cells WHERE text <> '' AND text <> '#REF!' AND NOT (r = 1 AND c = 2)), cols AS (SELECT DISTINCT sheet, c FROM shown), rws AS (SELECT DISTINCT sheet, r FROM shown),
   drawn AS (SELECT sheet, r, '| ' || string_agg(coalesce(replace(text, '|', '\\|'), ' '), ' | ' ORDER BY c) || ' |' AS line, '| ' || string_agg('---', ' | ') || ' |' AS rule FROM rws JOIN cols USING (sheet) LEFT JOIN shown USING (sheet, r, c) GROUP BY ALL)
 SELECT sheet, string_agg(CASE WHEN first THEN line || e'\\n' || rule ELSE line END, e'\\n' ORDER BY r) AS markdown FROM (SELECT *, r = min(r) OVER (PARTITION BY sheet) AS first FROM drawn) GROUP BY sheet""")
 def grid_markdown(spark, d):
-    """Lines of every tenth order as the cells of a sheet, with an error code, an empty column and two merged cells."""
-    lines = table(spark, d, "lineitem").where("l_orderkey % 10 = 0").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_linestatus").alias("l_linestatus"))
+    """Lines of each order as the cells of a sheet, with an error code, an empty column and two merged cells."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_linestatus").alias("l_linestatus"))
     texts = F.array(F.concat("l_returnflag", F.lit("|")), F.when(F.col("l_linenumber") == 2, "#REF!").otherwise(F.col("l_linestatus")), F.lit(""), F.col("l_linenumber").cast("string"))
     cells = lines.select(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("r"), F.posexplode(texts).alias("c", "text")).withColumn("c", F.col("c") + 1)
     merged = cells.where("r = 1 AND c = 1").select("sheet", F.lit(1).alias("r0"), F.lit(1).alias("c0"), F.lit(1).alias("r1"), F.lit(2).alias("c1"))

@@ -82,11 +82,11 @@ DEEP = "WITH graph AS (" + SQL["graph_recall"] + "), " + PATHS + r""",
   best AS (SELECT query_id, doc_id, round(rrf, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) - 1 AS rank FROM fused QUALIFY rank < 8)"""
 
 
-@query(f"{DEEP} SELECT query_id, doc_id, score, rank, 'deep' AS mode, source || ' / ' || lang AS citation FROM best JOIN documents USING (doc_id)")
+@query(f"{DEEP} SELECT query_id, doc_id, score, rank, 'deep' AS mode, source || ' / ' || lang AS citation FROM best LEFT JOIN documents USING (doc_id)")
 def retrieve_deep(spark, d):
     nodes, members = sections(spark, d)
     cited = retrieval.cited(deep_hits(spark, d), members, nodes)
-    return cited.select("query_id", "doc_id", "score", "rank", "mode", F.array_join("citation", " / ").alias("citation")).where("citation IS NOT NULL")
+    return cited.select("query_id", "doc_id", "score", "rank", "mode", F.array_join("citation", " / ").alias("citation"))
 
 
 @query(f"{DEEP} SELECT query_id, rank, md5(text) AS content_md5, least(1, score) AS score, CASE WHEN lang = 'en' THEN 'untitled' ELSE lang END AS title, doc_id::VARCHAR AS document, source || ' / ' || lang AS section FROM best JOIN documents USING (doc_id)")

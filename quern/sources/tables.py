@@ -48,13 +48,17 @@ def discard(spark: SparkSession, path: str) -> None:
 BROADCAST_BYTES = 32 << 20
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, marked for a broadcast if its rows take at most BROADCAST_BYTES: 16 a column, and what strings, binaries and arrays hold. It is counted first; beyond, df as it is."""
+def weight(df: DataFrame) -> int:
+    """The bytes that df's rows take, by a count: 16 a column, and what strings, binaries and arrays hold."""
     width = F.lit(16 * len(df.columns))
     for f in df.schema:
         if f.dataType.typeName() in ("string", "binary"):
             width = width + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
         elif f.dataType.typeName() == "array":
             width = width + F.coalesce(16 * F.size(f"`{f.name}`"), F.lit(0))
-    total = df.agg(F.sum(width.cast("long"))).first()[0] or 0
-    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+    return df.agg(F.sum(width.cast("long"))).first()[0] or 0
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for a broadcast if its rows take at most BROADCAST_BYTES by weight(), which is counted first; beyond, df as it is."""
+    return F.broadcast(df) if weight(df) <= BROADCAST_BYTES else df

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import graph, merging, recall
+from quern.operators import graph, lexical, merging, recall
 from quern.plans import catalog
 from quern.sources.tables import discard, materialize, scratch_dir, small, table
 from tests.compare import SMALL
@@ -76,10 +76,57 @@ def test_lexical_recall_keeps_what_only_contains_the_query(spark):
     assert [(r.query_id, r.doc_id, r.score, r["rank"]) for r in recall.lexical_recall(queries, docs).orderBy("query_id").collect()] == [(1, 1, 0.0, 0), (4, 2, 1.0, 0)]
 
 
-def test_plans_have_no_products_of_rows_and_cut_ranks_early(spark):
-    plan = catalog.lexical_recall(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
-    assert "CartesianProduct" not in catalog.vector_topk(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+def test_plans_have_no_products_of_rows_and_cut_ranks_early(spark, monkeypatch):
+    """Nor where nothing is small enough to be broadcast, and queries go in several shards."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    names = ("lexical_recall", "trigram_similarity_topk", "vector_topk", "vector_topk_filtered", "hybrid_fast", "entity_containment", "ndcg_at_10", "multi_kb_search")
+    assert "WindowGroupLimit" in plan(catalog.lexical_recall(spark, SMALL))
+    for threshold in (10 << 20, -1):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(threshold))
+        try:
+            assert not [n for n in names if "CartesianProduct" in (p := plan(catalog.QUERIES[n](spark, SMALL))) or "NestedLoop" in p]
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lexical_recall_in_shards_equals_all_pairs(spark, monkeypatch):
+    """Shards of a few queries, a bound of a few candidates, and repeated queries, against plain loops."""
+    docs, queries = catalog.texts(spark, SMALL), catalog.benchmark(spark, SMALL).union(spark.createDataFrame([(900, "the of"), (901, "the of"), (902, "")], "query_id long, query string"))
+    grams = lexical.Grams()
+    texts, asked = {r.doc_id: r.text.lower() for r in docs.collect()}, {r.query_id: r.query.strip().lower() for r in queries.collect()}
+    sets, want = {d: grams.of(t) for d, t in texts.items()}, set()
+    for q, text in asked.items():
+        own, found = grams.of(text), []
+        for d, t in texts.items():
+            score = len(own & sets[d]) / max(1, len(own | sets[d]))
+            if text and (score > 0.05 or text in t):
+                found.append((-score, d))
+        want |= {(q, d, k) for k, (_, d) in enumerate(sorted(found)[:20])}
+    got = lambda: {(r.query_id, r.doc_id, r["rank"]) for r in recall.lexical_recall(queries, docs.repartition(3)).collect()}
+    assert got() == want
+    monkeypatch.setattr(lexical, "SHARD_BYTES", 5000)
+    monkeypatch.setattr(lexical, "CANDIDATES", 30)
+    assert got() == want
+
+
+def test_vector_recall_in_shards(spark, monkeypatch):
+    want = sorted(map(tuple, catalog.vector_topk(spark, SMALL).collect()))
+    filtered = sorted(map(tuple, catalog.vector_topk_filtered(spark, SMALL).collect()))
+    monkeypatch.setattr("quern.sources.tables.BROADCAST_BYTES", 2000)
+    assert sorted(map(tuple, catalog.vector_topk(spark, SMALL).collect())) == want
+    assert sorted(map(tuple, catalog.vector_topk_filtered(spark, SMALL).collect())) == filtered
+
+
+def test_clusters_edges(spark):
+    """Null, empty, zero and odd vectors are in no cluster; an empty table has none."""
+    nan = float("nan")
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [1.0, None]), (9, [1.0, 2.0, 3.0]), (None, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, centres = recall.clusters(df, 2, 3)
+    assert {r.vec_id for r in got.collect()} == {1, 2, 3, None} and centres.shape == (2, 2)
+    for none in (df.limit(0), df.where("vec_id IN (4, 5, 6, 7, 8)")):
+        assert recall.clusters(none, 2)[0].count() == 0
+    assert recall.clusters(df.where("vec_id = 9"), 4)[1].shape == (1, 3)
 
 
 def test_small_counts_bytes(spark, monkeypatch):
@@ -93,11 +140,11 @@ def test_small_counts_bytes(spark, monkeypatch):
 def test_contained_equals_all_pairs(spark, monkeypatch):
     docs = catalog.texts(spark, SMALL)
     names = spark.createDataFrame([("the",), ("and of",), ("",), (None,), ("zzzz",)], "name string")
-    got = sorted(map(tuple, recall.contained(docs, names).collect()))
+    got = sorted(map(tuple, lexical.contained(docs, names).collect()))
     assert got == sorted((r.doc_id, n) for r in docs.collect() for n in ("the", "and of", "zzzz") if n in r.text.lower())
-    monkeypatch.setattr("quern.sources.tables.BROADCAST_BYTES", 0)
-    assert sorted(map(tuple, recall.contained(docs, names).collect())) == got
-    assert recall.contained(docs, names.limit(0)).count() == 0
+    monkeypatch.setattr(lexical, "SHARD_BYTES", 9)
+    assert sorted(map(tuple, lexical.contained(docs, names).collect())) == got
+    assert lexical.contained(docs, names.limit(0)).count() == 0
 
 
 def test_merges_with_nulls(spark):
