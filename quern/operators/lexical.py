@@ -14,16 +14,19 @@ from pyspark.sql import functions as F
 
 from quern.sources.tables import weight
 
-#: Queries and names go to tasks in shards of so many bytes, so an index or automaton takes some 200 MB at most. Each shard is one pass over the texts.
-SHARD_BYTES = 4 << 20
+#: Names go to tasks in shards of so many bytes, as do queries, of which a shard has QUERIES at most: an automaton, or a table of queries' trigrams, takes some 200 MB at most. Each shard is one pass over the texts.
+SHARD_BYTES, QUERY_BYTES, QUERIES = 4 << 20, 1 << 18, 512
+#: A product of matrices has at most so many cells of trigrams of texts.
+CELLS = 1 << 22
 #: A task holds at most about so many candidates before it keeps the best ones alone, and trigrams of so many words, in two generations.
 CANDIDATES, CACHED = 1 << 20, 1 << 16
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
-def shards(df: DataFrame, most: int | None = None) -> Iterator[list[Row]]:
-    """The rows of df on the driver, shard by shard, each of about `most` bytes (SHARD_BYTES unless given) by the count of weight(); an empty table has one empty shard."""
-    n = max(1, -(-weight(df) // (most or SHARD_BYTES)))
+def shards(df: DataFrame, most: int, rows: int) -> Iterator[list[Row]]:
+    """The rows of df on the driver, shard by shard, each of about `most` bytes by the count of weight() and so many rows; an empty table has one empty shard."""
+    size, count = weight(df), df.count()
+    n = max(1, -(-size // most), -(-count // rows))
     if n == 1:
         yield df.collect()
     else:
@@ -32,6 +35,12 @@ def shards(df: DataFrame, most: int | None = None) -> Iterator[list[Row]]:
             yield df.where(F.pmod(F.xxhash64(*names), F.lit(n)) == k).collect()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores if it comes in fewer partitions, as few large files do; else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Grams:
     """The trigrams of texts in lower case: of words of letters and digits, two blanks before and one after each."""
 
@@ -60,13 +69,11 @@ class Best:
         self.n, self.floor, self.size = n, np.full(queries, -np.inf), 0
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, query: np.ndarray, doc: int, score: np.ndarray) -> None:
-        fits = score >= self.floor[query]
-        if fits.any():
-            self.parts.append((query[fits], np.full(int(fits.sum()), doc), score[fits]))
-            self.size += len(self.parts[-1][0])
-            if self.size > CANDIDATES:
-                self.cut()
+    def add(self, query: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
+        self.parts.append((query, doc, score))
+        self.size += len(query)
+        if self.size > CANDIDATES:
+            self.cut()
 
     def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         query, doc, score = map(np.concatenate, zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
@@ -98,43 +105,50 @@ def best_matches(queries: DataFrame, docs: DataFrame, n: int, threshold: float =
     Documents count above the threshold, and, if asked, those that contain the query in any case, at whatever score. All pairs are scored, inside
     tasks; only the n best of each query and task leave them. Null ids, texts and queries match nothing; an empty query shares no trigram."""
     queries = queries.where("query_id IS NOT NULL").select("query_id", F.lower("query").alias("query"))
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
+    texts = spread(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")))
 
     def matches(rows: list[tuple[int, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams, best = Grams(), Best(len(rows), n)
             sets = [grams.of(q) for _, q in rows]
-            sizes, lists = np.array([len(s) for s in sets], np.int64), {}
+            number = {g: k for k, g in enumerate(set().union(*sets))}
+            having = np.zeros((len(number), len(rows)), np.float32)
             for k, own in enumerate(sets):
-                for g in own:
-                    lists.setdefault(g, []).append(k)
-            having = {g: np.array(x, np.int64) for g, x in lists.items()}
+                having[[number[g] for g in own], k] = 1
+            sizes = np.array([len(s) for s in sets], np.float64)
             names = automaton([q for _, q in rows if q]) if contained else None
             numbers = np.array([k for k, (_, q) in enumerate(rows) if q], np.int64)
+            step = max(1, min(256, CELLS // max(1, len(number))))
             for batch in batches:
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    own = grams.of(text)
-                    met = [having[g] for g in own & having.keys()]
-                    shared = np.bincount(np.concatenate(met), minlength=len(rows)) if met else np.zeros(len(rows), np.int64)
-                    score = shared / np.maximum(sizes + len(own) - shared, 1)
+                for first in range(0, batch.num_rows, step):
+                    part = batch.slice(first, step)
+                    listed = part.column("text").to_pylist()
+                    table, own_sizes = np.zeros((len(listed), len(number)), np.float32), np.zeros((len(listed), 1))
+                    for k, text in enumerate(listed):
+                        own = grams.of(text)
+                        own_sizes[k] = len(own)
+                        table[k, [number[g] for g in own & number.keys()]] = 1
+                    shared = (table @ having).astype(np.float64)
+                    score = shared / np.maximum(sizes + own_sizes - shared, 1)
                     fits = score > threshold
                     if names is not None and len(numbers):
-                        inside = {k for _, places in names.iter(text) for k in places}
-                        fits[numbers[list(inside)]] = True
-                    query = np.flatnonzero(fits)
-                    best.add(query, doc, score[query])
+                        for k, text in enumerate(listed):
+                            inside = {i for _, places in names.iter(text) for i in places}
+                            fits[k, numbers[list(inside)]] = True
+                    doc, query = np.nonzero(fits & (score >= best.floor))
+                    best.add(query, part.column("doc_id").to_numpy()[doc], score[doc, query])
             query, doc, score = best.cut()
             ids = np.array([i for i, _ in rows], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(doc), pa.array(score)], ["query_id", "doc_id", "score"])
 
         return texts.mapInArrow(run, "query_id long, doc_id long, score double")
 
-    return reduce(DataFrame.union, (matches([(r.query_id, r.query) for r in rows if r.query is not None]) for rows in shards(queries)))
+    return reduce(DataFrame.union, (matches([(r.query_id, r.query) for r in rows if r.query is not None]) for rows in shards(queries, QUERY_BYTES, QUERIES)))
 
 
 def contained(docs: DataFrame, names: DataFrame) -> DataFrame:
     """doc_id, name of all names (column name, in lower case) that a text contains in any case. An automaton reads each text once for each shard of names; blank and null names are in no text."""
-    texts, names = docs.select("doc_id", F.lower("text").alias("text")).where("text IS NOT NULL"), names.select("name").where("name <> ''").distinct()
+    texts, names = spread(docs.select("doc_id", F.lower("text").alias("text")).where("text IS NOT NULL")), names.select("name").where("name <> ''").distinct()
 
     def found(listed: list[str]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,4 +159,4 @@ def contained(docs: DataFrame, names: DataFrame) -> DataFrame:
 
         return texts.mapInArrow(run, "doc_id long, name string") if listed else texts.limit(0).select("doc_id", F.lit("").alias("name"))
 
-    return reduce(DataFrame.union, (found([r.name for r in rows]) for rows in shards(names)))
+    return reduce(DataFrame.union, (found([r.name for r in rows]) for rows in shards(names, SHARD_BYTES, SHARD_BYTES)))

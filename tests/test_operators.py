@@ -104,7 +104,7 @@ def test_lexical_recall_in_shards_equals_all_pairs(spark, monkeypatch):
         want |= {(q, d, k) for k, (_, d) in enumerate(sorted(found)[:20])}
     got = lambda: {(r.query_id, r.doc_id, r["rank"]) for r in recall.lexical_recall(queries, docs.repartition(3)).collect()}
     assert got() == want
-    monkeypatch.setattr(lexical, "SHARD_BYTES", 5000)
+    monkeypatch.setattr(lexical, "QUERY_BYTES", 5000)
     monkeypatch.setattr(lexical, "CANDIDATES", 30)
     assert got() == want
 
