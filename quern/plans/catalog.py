@@ -414,4 +414,4 @@ def stream_events_windowed(spark, d):
     return streams.drain_counts(spark, files.withColumn("ts", F.col("ts").cast("timestamp")), f"{folder}/table", f"{folder}/state")
 
 
-from quern.plans import documents, retrieval, services  # noqa: E402, F401  (they add their queries)
+from quern.plans import documents, pages, retrieval, services  # noqa: E402, F401  (they add their queries)
