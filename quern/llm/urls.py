@@ -30,63 +30,73 @@ def host_and_path(url: str) -> tuple[Column, Column]:
 
 
 class DigestArray:
-    """Sorted digests, offsets of the strings, verdicts (1: block), the strings; as a file, behind the number of rules."""
+    """Sorted digests of rules, offsets of their strings, verdicts (1: block); sorted digests of hosts, offsets and the lengths of their rules' paths; the strings. As a file, behind the numbers of rules, hosts and lengths."""
 
     @staticmethod
     def pack(rules: dict[str, str]) -> bytes:
         """The file for rules (host and path, with the slash between: block or allow)."""
         keys = sorted((xxhash.xxh64_intdigest(k), k.encode(), v) for k, v in rules.items())
-        ends = np.cumsum([0, *(len(k) for _, k, _ in keys)], dtype=np.uint64)
-        numbers = np.array([len(keys), *(h for h, _, _ in keys)], np.uint64)
-        return numbers.tobytes() + ends.tobytes() + bytes(v == "block" for _, _, v in keys) + b"".join(k for _, k, _ in keys)
+        hosts: dict[int, set[int]] = {}
+        for rule in rules:
+            host = rule.partition("/")[0]
+            hosts.setdefault(xxhash.xxh64_intdigest(host), set()).add(len(rule) - len(host))
+        lengths = [sorted(hosts[h]) for h in sorted(hosts)]
+        numbers = [len(keys), len(hosts), sum(map(len, lengths)), *(h for h, _, _ in keys), 0, *np.cumsum([len(k) for _, k, _ in keys], dtype=np.uint64).tolist()]
+        numbers += [*sorted(hosts), 0, *np.cumsum([len(x) for x in lengths], dtype=np.uint64).tolist(), *(n for x in lengths for n in x)]
+        return np.array(numbers, np.uint64).tobytes() + bytes(v == "block" for _, _, v in keys) + b"".join(k for _, k, _ in keys)
 
     def __init__(self, data: np.ndarray) -> None:
-        n = int(data[:8].view(np.uint64)[0])
-        self.keys = data[8 : 8 + 8 * n].view(np.uint64)
-        self.ends = data[8 + 8 * n : 16 + 16 * n].view(np.uint64)
-        self.blocks = data[16 + 16 * n : 16 + 17 * n]
-        self.text = data[16 + 17 * n :]
-
-    def find(self, names: list[str]) -> np.ndarray:
-        """The place of each name in the array, -1 if it isn't there; strings of equal digests are compared in full."""
-        digests = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
-        place = np.searchsorted(self.keys, digests)
-        found = np.full(len(names), -1, np.int64)
-        hit = np.flatnonzero((place < len(self.keys)) & (self.keys[np.minimum(place, max(len(self.keys) - 1, 0))] == digests)) if len(self.keys) else []
-        for i in hit:
-            k = int(place[i])
-            while k < len(self.keys) and self.keys[k] == digests[i]:
-                if self.name(k) == names[i]:
-                    found[i] = k
-                    break
-                k += 1
-        return found
+        n, hosts, lengths = data[:24].view(np.uint64).tolist()
+        at = 24
+
+        def take(count: int) -> np.ndarray:
+            nonlocal at
+            at += 8 * count
+            return data[at - 8 * count : at].view(np.uint64)
+
+        self.keys, self.ends, self.hosts, self.firsts, self.lengths = (take(k) for k in (n, n + 1, hosts, hosts + 1, lengths))
+        self.blocks, self.text = data[at : at + n], data[at + n :]
+
+    def lengths_of(self, host: str) -> list[int]:
+        """The lengths of the paths of a host's rules, in ascending order."""
+        digest = np.uint64(xxhash.xxh64_intdigest(host))
+        k = int(np.searchsorted(self.hosts, digest))
+        return self.lengths[int(self.firsts[k]) : int(self.firsts[k + 1])].tolist() if k < len(self.hosts) and self.hosts[k] == digest else []
+
+    def find(self, digests: np.ndarray) -> Iterator[tuple[int, int]]:
+        """The digests that the array has, from the last one on: their number, and each place of a rule of that digest, whose string is still to be compared."""
+        if len(self.keys):
+            place = np.searchsorted(self.keys, digests)
+            for i in np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] == digests)[::-1].tolist():
+                k = int(place[i])
+                while k < len(self.keys) and self.keys[k] == digests[i]:
+                    yield i, k
+                    k += 1
 
     def name(self, k: int) -> str:
         return self.text[int(self.ends[k]) : int(self.ends[k + 1])].tobytes().decode()
 
 
-def candidates(host: str, path: str, lengths: list[int], labels: int) -> Iterator[str]:
-    """The rules that could fit, the longest first: the ends of the host of up to so many labels, with the path's starts of the lengths that rules have (longest first)."""
+def ends_of(host: str, labels: int) -> list[str]:
+    """The host and what it ends with from each label on, of up to so many labels: with more, the host as a whole is no rule's."""
     parts = host.rsplit(".", labels)
-    # Beyond that many labels, the host as a whole is no rule's either.
-    ends = parts[-labels:] if len(parts) > labels else parts
-    for k in range(len(ends)):
-        end = ".".join(ends[k:])
-        for n in lengths:
-            if n <= len(path):
-                yield end + path[:n]
-
-
-def best(names: list[list[str]], places: np.ndarray) -> list[tuple[str | None, int]]:
-    """For each url's candidates, the longest rule found and its place; of rules as long, the first by code point."""
-    out, at = [], 0
-    for own in names:
-        hits = [(-len(x), x, k) for x, k in zip(own, places[at : at + len(own)].tolist()) if k >= 0]
-        at += len(own)
-        _, name, k = min(hits, default=(0, None, -1))
-        out.append((name, k))
-    return out
+    own = parts[-labels:] if len(parts) > labels else parts
+    return [".".join(own[k:]) for k in range(len(own))]
+
+
+def prefixes(end: str, path: str, lengths: list[int]) -> Iterator[tuple[int, int]]:
+    """The digest of end with each start of the path of the given lengths (ascending), and the length. The path is read once, whatever their number."""
+    digest, at = xxhash.xxh64(end), 0
+    for n in lengths:
+        if n > len(path):
+            return
+        digest.update(path[at:n])
+        at = n
+        yield digest.intdigest(), n
+
+
+#: Candidates are probed together from so many on.
+PROBED = 1 << 18
 
 
 def publish(spark: SparkSession, data: bytes) -> str:
@@ -105,10 +115,10 @@ def publish(spark: SparkSession, data: bytes) -> str:
 
 
 def shape(rules: DataFrame) -> tuple[int, int, list[int], int]:
-    """Of rules (rule, verdict): how many, their characters, the lengths of their paths (longest first), and the most labels of a host. Path lengths are few: no url is longer than some thousand characters."""
+    """Of rules (rule, verdict): how many, their characters, the lengths of their paths (ascending), and the most labels of a host. Path lengths are few: no url is longer than some thousand characters."""
     slash = F.instr("rule", "/")
     sizes = rules.agg(F.count("*"), F.coalesce(F.sum(F.length("rule")), F.lit(0)), F.collect_set((F.length("rule") - slash + 1).cast("int")), F.coalesce(F.max(F.regexp_count(F.substring_index("rule", "/", 1), F.lit(r"\."))), F.lit(0))).first()
-    return sizes[0], sizes[1], sorted(sizes[2], reverse=True), sizes[3] + 1
+    return sizes[0], sizes[1], sorted(sizes[2]), sizes[3] + 1
 
 
 def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: dict[str, str] | DataFrame | None = None, default: str = "allow", file_rules: int = FILE_RULES) -> DataFrame:
@@ -126,44 +136,73 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
     host, path = host_and_path(url_col)
     pages = df.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     if count <= file_rules and chars <= FILE_CHARS:
-        return mapped(pages, dict(map(tuple, rules.toLocalIterator())), lengths, labels, default)
-    return sharded(pages, rules, -(-count // SHARD_RULES), lengths, labels, default)
+        return mapped(pages, dict(map(tuple, rules.toLocalIterator())), labels, default)
+    return sharded(pages, rules, max(1, -(-count // SHARD_RULES)), lengths, labels, default)
 
 
-def mapped(pages: DataFrame, rules: dict[str, str], lengths: list[int], labels: int, default: str) -> DataFrame:
+def mapped(pages: DataFrame, rules: dict[str, str], labels: int, default: str) -> DataFrame:
     """pages (page_id, host, path) with rule and verdict, by one file of rules that every executor maps into memory."""
     name = publish(pages.sparkSession, DigestArray.pack(rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         array = DigestArray(np.memmap(SparkFiles.get(name), np.uint8, "r"))
+
+        def probe(asked: list[tuple[int, int, str, int]], paths: list[str], best: list[tuple[str | None, str]]) -> None:
+            """Of candidates (row, digest, end of the host, length of the path's start), the longest rule of each row goes to best."""
+            for i, k in array.find(np.array([d for _, d, _, _ in asked], np.uint64)):
+                row, _, end, n = asked[i]
+                had = best[row][0] or ""
+                if len(end) + n >= len(had) and (rule := array.name(k)) == end + paths[row][:n] and (len(rule) > len(had) or rule < had):
+                    best[row] = (rule, "block" if array.blocks[k] else "allow")
+            asked.clear()
+
         for batch in batches:
-            hosts, paths = batch.column("host"), batch.column("path")
-            names = [list(candidates(h, p, lengths, labels)) for h, p in zip(hosts.to_pylist(), paths.to_pylist())]
-            found = best(names, array.find([x for own in names for x in own]))
-            verdicts = [default if k < 0 else "block" if array.blocks[k] else "allow" for _, k in found]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), hosts, paths, pa.array([x for x, _ in found], pa.string()), pa.array(verdicts, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
+            hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
+            best: list[tuple[str | None, str]] = [(None, default)] * len(hosts)
+            asked: list[tuple[int, int, str, int]] = []
+            known: dict[str, list[int]] = {}
+            for row, (host, path) in enumerate(zip(hosts, paths, strict=True)):
+                for end in ends_of(host, labels):
+                    if (lengths := known.get(end)) is None:
+                        lengths = known[end] = array.lengths_of(end)
+                    asked += [(row, d, end, n) for d, n in prefixes(end, path, lengths)]
+                if len(asked) >= PROBED:
+                    probe(asked, paths, best)
+            probe(asked, paths, best)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path")), pa.array([r for r, _ in best], pa.string()), pa.array([v for _, v in best], pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
     return pages.mapInArrow(run, SCHEMA)
 
 
 def sharded(pages: DataFrame, rules: DataFrame, shards: int, lengths: list[int], labels: int, default: str) -> DataFrame:
-    """The same for rules of any number: each shard's task makes the array of its rules and probes it with the distinct candidates that fall to it."""
+    """The same for rules of any number: each shard's task makes the array of its rules and probes it with the distinct digests that fall to it. A candidate is a url's number, a digest and two lengths; the string is compared where a digest hits."""
+    urls = materialize(pages.select("host", "path").distinct().withColumn("url", F.monotonically_increasing_id()))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()):
-                names = list(candidates(h, p, lengths, labels))
-                yield pa.RecordBatch.from_arrays([pa.array([h] * len(names), pa.string()), pa.array([p] * len(names), pa.string()), pa.array(names, pa.string())], ["host", "path", "rule"])
+            for u, h, p in zip(*(batch.column(c).to_pylist() for c in ("url", "host", "path")), strict=True):
+                own = [(d, len(end), n) for end in ends_of(h, labels) for d, n in prefixes(end, p, lengths)]
+                digests = pa.array(np.array([d for d, _, _ in own], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([u] * len(own), pa.int64()), digests, pa.array([e for _, e, _ in own], pa.int32()), pa.array([n for _, _, n in own], pa.int32())], ["url", "digest", "end", "start"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = np.fromiter(map(xxhash.xxh64_intdigest, batch.column("rule").to_pylist()), np.uint64, batch.num_rows)
+            yield batch.append_column("digest", pa.array(digests.view(np.int64)))
 
     def probe(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         array = DigestArray(np.frombuffer(DigestArray.pack(dict(zip(own.rule, own.verdict))), np.uint8))
-        places = array.find(asked.rule.tolist())
-        return pd.DataFrame({"rule": asked.rule[places >= 0], "verdict": ["block" if array.blocks[k] else "allow" for k in places[places >= 0]]})
-
-    urls = materialize(pages.select("host", "path").distinct().mapInArrow(spread, "host string, path string, rule string"))
-    shard = F.pmod(F.xxhash64("rule"), F.lit(shards)).alias("shard")
-    hits = urls.select("rule").distinct().groupBy(shard).cogroup(rules.groupBy(shard)).applyInPandas(probe, "rule string, verdict string")
-    judged = urls.join(hits, "rule").groupBy("host", "path").agg(F.min_by(F.struct("rule", "verdict"), F.struct(-F.length("rule"), "rule")).alias("hit"))
+        digests = asked.digest.to_numpy(np.int64)
+        hits = list(array.find(digests.view(np.uint64)))
+        return pd.DataFrame({"digest": digests[[i for i, _ in hits]], "rule": [array.name(k) for _, k in hits], "verdict": ["block" if array.blocks[k] else "allow" for _, k in hits]})
+
+    candidates = materialize(urls.mapInArrow(spread, "url long, digest long, end int, start int"))
+    shard = F.pmod(F.xxhash64("digest"), F.lit(shards)).alias("shard")
+    own = rules.select("rule", "verdict").mapInArrow(keyed, "rule string, verdict string, digest long")
+    hits = candidates.select("digest").distinct().groupBy(shard).cogroup(own.groupBy(shard)).applyInPandas(probe, "digest long, rule string, verdict string")
+    met = candidates.join(hits, "digest").join(urls, "url")
+    same = F.col("rule") == F.concat(F.right("host", F.col("end")), F.substring("path", F.lit(1), F.col("start")))
+    judged = met.where(same).groupBy("host", "path").agg(F.min_by(F.struct("rule", "verdict"), F.struct(-F.length("rule"), "rule")).alias("hit"))
     return pages.join(judged, ["host", "path"], "left").select("page_id", "host", "path", "hit.rule", F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
 
 
