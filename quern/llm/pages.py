@@ -17,22 +17,25 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import mix64, window_hashes
 from quern.llm.urls import host_and_path
-from quern.sources.tables import materialize
+from quern.sources.tables import materialize, small
 
 #: A run of so many words that stands on at least MIN_PAGES pages of a host is boilerplate.
 RUN, MIN_PAGES = 8, 3
+#: In articles, a run goes that stands in this share of the different articles of a host, if it has so many; not from an article that would lose over half of its words, which is a copy of others.
+ARTICLE_SHARE, ARTICLES = 0.8, 32
 #: Pages of a host are put into suffix arrays in groups of about this size, dealt out by hash; what repeats is summed up over all groups of a host.
 GROUP_PAGES = 256
 
 # Without a < in it, a tag that never ends is given up at the next one, so broken pages take no longer than others.
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe|object)\b[^<>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9-]*+)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(?P<raw>script|style|noscript|template|textarea|title)\b[^<>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    # A quote opens a value only behind an equals sign.
+    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9-]*+)(?P<rest>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*+)>"
     r"|<[!?/][^<>]*+>",
     re.S | re.I,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|\bstyle\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
@@ -41,6 +44,7 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 ASIDES = frozenset("nav footer aside form button select option label input menu dialog head noscript template iframe object svg canvas".split())
 CONTENT = frozenset(["article", "main"])
+EMBEDDED = frozenset(["svg", "iframe", "object", "canvas"])
 #: A class, id or role marks a block as no main text if it has one of these words, and but such words and general ones.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription "
@@ -50,16 +54,28 @@ MARKS = frozenset(
 GENERAL = frozenset("site page main post posts article entry content box block area wrap wrapper container section list item items inner outer bar top bottom left right side primary secondary global form links link text group row col the and".split())
 
 
-def marked(rest: str) -> bool:
-    """Whether the attributes of a tag tell that it holds no main text: a whole class, id or role does, not a word in one (has-sidebar doesn't)."""
+#: A block is no main text if a class, id or role has one of these words, whatever the others, unless one of them says that it isn't the thing itself.
+ALWAYS = frozenset("ad ads advert adverts advertisement advertising sponsored comment comments disqus".split())
+RATHER = frozenset("no not has with without open closed free enabled disabled is allow off on policy".split())
+#: In an article, an id of one word is the name of a section to link to; only these mark it.
+PARTS = ALWAYS | frozenset("sidebar nav navbar menu breadcrumb breadcrumbs pagination pager cookie cookies newsletter footer".split())
+
+
+def marked(tag: str, rest: str, inside: bool) -> bool:
+    """Whether a tag and its attributes tell that it holds no main text: a whole class, id or role does, not a word in one (has-sidebar doesn't); inside: in an article."""
     if "=" not in rest and "hidden" not in rest:
         return False
     if _HIDDEN.search(rest):
         return True
-    for name in " ".join(a or b or c for a, b, c in _NAMES.findall(rest)).lower().split():
-        words = [w for w in _WORDS.findall(name) if not w.isdigit()]
-        if not MARKS.isdisjoint(words) and all(w in MARKS or w in GENERAL for w in words):
-            return True
+    for attribute, a, b, c in _NAMES.findall(rest):
+        for name in (a or b or c).lower().split():
+            words = [w for w in _WORDS.findall(name) if not w.isdigit()]
+            if inside and attribute.lower() == "id" and len(words) == 1 and words[0] not in PARTS:
+                continue
+            if not MARKS.isdisjoint(words) and all(w in MARKS or w in GENERAL for w in words):
+                return True
+            if tag in BLOCKS and not ALWAYS.isdisjoint(words) and RATHER.isdisjoint(words):
+                return True
     return False
 
 
@@ -69,6 +85,7 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
     text: list[str] = []
     stack: list[tuple[str, bool]] = []
     held: Counter[str] = Counter()
+    closed: dict[str, int] = {}
     asides = articles = 0
 
     def flush() -> None:
@@ -111,10 +128,16 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
             continue
         if tag in VOID:
             continue
+        if tag in EMBEDDED:
+            # One that isn't closed any more holds nothing.
+            if tag not in closed:
+                closed[tag] = max((c.start() for c in re.finditer(f"</{tag}", html, re.I)), default=-1)
+            if closed[tag] < at:
+                continue
         if stack and (tag in BLOCKS and stack[-1][0] == "p" or tag == stack[-1][0] and tag in ("li", "dt", "dd", "option", "tr", "td", "th")):
             close()
         # A page's header is none of its text; an article's own is.
-        aside = tag in ASIDES or tag == "header" and not articles or tag not in ("html", "body", "article", "main") and marked(m["rest"])
+        aside = tag in ASIDES or tag == "header" and not articles or tag not in ("html", "body", "article", "main") and marked(tag, m["rest"], articles > 0)
         if aside:
             flush()
         stack.append((tag, aside))
@@ -241,7 +264,8 @@ def open_streams(rows: pd.DataFrame) -> tuple[list[list[tuple[bool, str]]], list
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group_pages: int = GROUP_PAGES) -> DataFrame:
     """One row per input row: page_id, url, text, n_chars.
 
-    Text in an article (or main) is main text, what markup tells to be something else isn't. Of other text, which is all of it in pages without
+    Text in an article (or main) is main text, what markup tells to be something else isn't; but runs of RUN words that stand in nearly all articles of a
+    host go from them (common_runs), for pages all of whose text is in articles. Of other text, which is all of it in pages without
     an article, runs of RUN words go that stand on MIN_PAGES pages of the host or more; unique runs stay. Pages with such open text are put
     into suffix arrays in groups of a host, dealt out by hash, so a host may hold any share of them; the pages of each run are summed up
     over all groups of the host before it is judged, so the groups don't change the result.
@@ -265,9 +289,9 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(left, pa.binary())], ["page_id", "url", "host", "text", "packed"])
 
     parsed = materialize(pages.withColumn("host", host_and_path("url")[0]).mapInArrow(parse, "page_id long, url string, host string, text string, packed binary"))
-    done = parsed.where("packed IS NULL").select("page_id", "url", "text")
     page = F.when(F.col("page_id").isNotNull(), F.xxhash64("page_id", "url")).otherwise(F.xxhash64("url", "content"))
     waiting = parsed.where("packed IS NOT NULL").withColumn("content", F.sha2("packed", 256)).withColumn("page", page)
+    done = without_common_runs(parsed.where("packed IS NULL").select("page_id", "url", "host", "text"), group_pages)
     if waiting.isEmpty():
         return measured(done)
     once = waiting.dropDuplicates(["host", "page", "content"]).select("host", "page", "content", "packed")
@@ -296,6 +320,52 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     return measured(done.union(rest))
 
 
+def without_common_runs(articles: DataFrame, group_pages: int) -> DataFrame:
+    """page_id, url, text of articles (and host), without the runs that stand in ARTICLE_SHARE of the different articles of their host.
+
+    A run of that share of a host has it in one of the host's groups at least, so a first pass over suffix arrays of groups gives a few
+    candidates; only where there are some, their articles are counted over all groups of the host. Copies of a text count once."""
+    rows = articles.withColumn("key", F.xxhash64("text"))
+    sizes = rows.where("text <> ''").groupBy("host").agg(F.count_distinct("key").alias("n")).where(F.col("n") >= ARTICLES)
+    grouped = rows.where("text <> ''").join(sizes, "host").select("host", "key", "text", F.pmod("key", F.ceil(F.col("n") / group_pages)).alias("part"))
+
+    def candidates(own: pd.DataFrame) -> pd.DataFrame:
+        texts = own.drop_duplicates("key").text.tolist()
+        run, n = runs([t.split() for t in texts])
+        return pd.DataFrame({"host": own.host.iloc[0], "run": run[n >= ARTICLE_SHARE * len(texts)].view(np.int64)})
+
+    common = materialize(grouped.groupBy("host", "part").applyInPandas(candidates, "host string, run long").distinct())
+    if common.isEmpty():
+        return articles.select("page_id", "url", "text")
+    # A page's words bound the runs that most pages of its group share.
+    by_host = common.groupBy("host").agg(F.collect_list("run").alias("runs"))
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for host, text, own in zip(batch.host, batch.text, batch.runs, strict=True):
+                here = np.intersect1d(window_hashes(joined([text.split()])[0][:-1], RUN).view(np.int64), np.asarray(own, np.int64))
+                yield pd.DataFrame({"host": host, "run": here})
+
+    met = rows.where("text <> ''").dropDuplicates(["host", "key"]).join(small(by_host), "host").select("host", "text", "runs")
+    counts = met.mapInPandas(found, "host string, run long").groupBy("host", "run").agg(F.count("*").alias("pages"))
+    known = materialize(counts.join(sizes, "host").where(F.col("pages") >= ARTICLE_SHARE * F.col("n")).groupBy("host").agg(F.collect_list("run").alias("runs")))
+
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [text if own is None else kept(text, np.asarray(own, np.int64).view(np.uint64)) for text, own in zip(batch.text, batch.runs, strict=True)]
+            yield batch[["page_id", "url"]].assign(text=texts)
+
+    return rows.join(small(known), "host", "left").select("page_id", "url", "text", "runs").mapInPandas(clean, "page_id long, url string, text string")
+
+
+def kept(text: str, known: np.ndarray) -> str:
+    """An article without known runs; the whole one if they are over half of its words."""
+    mask = covered([text.split()], known)[0]
+    if 2 * mask.sum() > len(mask):
+        return text
+    return main_text([(True, block) for block in text.split("\n")], mask)
+
+
 def measured(rows: DataFrame) -> DataFrame:
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 

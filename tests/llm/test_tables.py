@@ -65,6 +65,54 @@ def test_urls_by_shards(spark):
     assert got[100] == ("example.net/en/", "allow") and got[3] == ("a.example.com/", "block") and got[101] == (None, "allow")
 
 
+def test_html_by_the_contract():
+    """Quotes in plain values, comments and adverts by any name, sections named by an id, embedded elements that aren't closed."""
+    text = lambda html: [b for _, b in pages.judged(html)]
+    assert text("<article><p title=don't>Hello</p><p title='a > b' id=x>you</p></article>") == ["Hello", "you"]
+    for name in ("comment-body", "user-comments", "ad-slot", "post-comment-list", "ads", "reader-comment-3"):
+        assert text(f'<article><p>kept</p><div class="{name}"><p>gone</p></div></article>') == ["kept"], name
+    for name in ("comments-open", "no-ads", "has-sidebar", "adventure", "commented"):
+        assert text(f'<article><div class="{name}"><p>kept</p></div></article>') == ["kept"], name
+    assert text('<article><section id="related"><p>a</p></section><div id="search"><p>b</p></div><div id="sidebar"><p>c</p></div></article>') == ["a", "b"]
+    assert text('<div id="search"><p>a</p></div><section id="related"><p>b</p></section><p>c</p>') == ["c"]
+    assert text("<article><p>a</p><object data=x>b<p>c</p></article>") == ["a", "b", "c"]
+    assert text("<article><p>a</p><object data=x>b</object><svg><text>no</text></svg><p>c</p></article>") == ["a", "c"]
+    assert text('<article><code>x <span class="comment">// y</span> ad</code></article>') != []
+    started = time.process_time()
+    pages.blocks("<object>" * 30_000 + '<p a="' * 30_000)
+    assert time.process_time() - started < 20
+
+
+def test_html_common_runs_in_articles(spark):
+    """A notice in nearly all articles of a host goes; true text, copies of one article, and small hosts stay."""
+    notice = "please read our terms before you copy any part of this fine page"
+    own = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    html = lambda k, tail: f"<html><body><article><p>{own(k)}</p><p>{tail}</p></article></body></html>"
+    rows = [(k, f"http://big.net/{k}", html(k, notice if k % 10 else "something else")) for k in range(80)]
+    rows += [(1000 + k, f"http://copies.net/{k}", html(0, f"{notice} {k}")) for k in range(60)]
+    rows += [(2000 + k, f"http://small.net/{k}", html(k, notice)) for k in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for size in (256, 16):
+        got = {r.page_id: r.text for r in pages.extract_pages(df, group_pages=size).collect()}
+        assert all(got[k] == own(k) + ("" if k % 10 else "\nsomething else") for k in range(80))
+        assert all(got[1000 + k] == f"{own(0)}\n{notice} {k}" for k in range(60)) and all(got[2000 + k] == f"{own(k)}\n{notice}" for k in range(20))
+
+
+def test_urls_of_many_path_lengths(spark, tmp_path):
+    """2,000 rules, each with a path of its own length, and urls of 2,500 characters: under a millisecond for each url in the task, and the longest rule wins."""
+    path = "/" + "ab/" * 833
+    rules = {f"example.com{path[:n]}": "block" if n % 2 else "allow" for n in range(1, 2001)} | {f"other{k}.org/": "block" for k in range(50)}
+    df = spark.range(2000).selectExpr("id AS page_id", f"concat('http://a.b.example.com{path[:1500]}', id % 7, '{path[1500:]}') AS url")
+    got = {r.rule for r in urls.filter_urls(df, rules=spark.createDataFrame(list(rules.items()), "rule string, verdict string")).collect()}
+    assert got == {f"example.com{path[:1500]}"}
+    array, start = urls.DigestArray(np.frombuffer(urls.DigestArray.pack(rules), np.uint8)), time.process_time()
+    for _ in range(200):
+        for end in urls.ends_of("a.b.example.com", 2):
+            next(array.find(np.array([d for d, _ in urls.prefixes(end, path, array.lengths_of(end))], np.uint64)), None)
+    # A millisecond on a machine of usual speed; some are a few times slower.
+    assert time.process_time() - start < 200 * 0.004
+
+
 def test_urls(spark):
     cases = [("https://A.Example.NET/en/x?y", "a.example.net", "/en/x", "example.net/en/", "allow"), ("http://x.net", "x.net", "", None, "allow"), ("http://x.net/?q", "x.net", "/", "net/", "block"), ("http://notexample.com/de/", "notexample.com", "/de/", None, "allow"), ("http://example.com/de/a#b", "example.com", "/de/a", "example.com/de/", "block"), ("no scheme", "", "", None, "allow"), (None, "", "", None, "allow")]
     df = spark.createDataFrame([(k, c[0], "h", "p") for k, c in enumerate(cases)], "page_id long, url string, host string, path string")
