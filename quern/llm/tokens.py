@@ -248,7 +248,7 @@ def encoded(batches: Iterator[pa.RecordBatch], vocabulary: str | None, end: int,
     """doc_id and ids, with the end id, of each row of batches (doc_id, text)."""
     own = words(vocabulary or public_tokenizers.path(VOCABULARY), special)
     for batch in batches:
-        for first, last in text_slices(batch, "text", 16 * SLICE_BYTES):
+        for first, last in text_slices(batch, "text", 8 * SLICE_BYTES):
             part = batch.slice(first, last - first)
             ids, at = own.encode(part.column("text"))
             for k, doc_id in enumerate(part.column("doc_id").to_pylist()):
