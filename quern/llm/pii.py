@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -28,7 +29,12 @@ TITLES = {"m": "Mr Herr Monsieur Sr Señor г-н господин κύριος".
 SUFFIXES = {"m": ["先生", "氏"], "f": ["女士", "小姐", "太太"], "n": ["さん", "様", "教授", "博士"]}
 FAMILY_HAN = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文"
 _WORD = r"\p{Lu}[\p{L}'’-]+"
-TITLED = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(sum(TITLES.values(), []))})\.?|M\.) {_WORD}(?: {_WORD})?"
+_TITLES = sum(TITLES.values(), [])
+_BEFORE = "|".join([*_TITLES, *(t.upper() for t in _TITLES)])
+# All in lower case, a title has one word behind it; a title in any case tells of a name that is known already.
+_LOWER = r"(?:mr|mrs|ms)\.? (?!(?:and|or|und|et|y)(?![\p{L}\p{N}]))\p{Ll}[\p{Ll}'’-]+"
+TITLED = rf"(?<![\p{{L}}\p{{N}}])(?:(?:(?:{_BEFORE})\.?|M\.) {_WORD}(?: {_WORD})?|{_LOWER})"
+_TOLD = rf"(?<=(?<![\p{{L}}\p{{N}}])(?iu:{'|'.join(_TITLES)})\.? (?:[\p{{L}}'’-]{{1,40}} )?)"
 _AFTER = "|".join(sum(SUFFIXES.values(), []))
 TITLED_HAN = rf"(?:[{FAMILY_HAN}]\p{{IsHan}}{{0,2}}?|(?<!\p{{IsHan}})\p{{IsHan}}{{1,4}}?)(?:{_AFTER})"
 # Syllables and endings of made-up names by script, characters of given names by gender, letters by script.
@@ -74,8 +80,8 @@ def named_parts(titled: Column) -> Column:
     after = F.regexp_extract(titled, rf"({_AFTER})$", 1)
     name = F.regexp_replace(titled, rf"(?:{_AFTER})$", "")
     gender_han = F.when(after.isin(SUFFIXES["f"]), "f").otherwise("m")
-    title, first, last = F.regexp_extract(titled, r"^([^ .]+)", 1), F.get(F.split(titled, " "), F.lit(1)), F.get(F.split(titled, " "), F.lit(2))
-    gender = F.when(title.isin(TITLES["f"]), "f").when(title.isin(TITLES["n"]) & first.rlike("[aаяαηe]$"), "f").otherwise("m")
+    title, first, last = F.lower(F.regexp_extract(titled, r"^([^ .]+)", 1)), F.get(F.split(titled, " "), F.lit(1)), F.get(F.split(titled, " "), F.lit(2))
+    gender = F.when(title.isin([t.lower() for t in TITLES["f"]]), "f").when(title.isin([t.lower() for t in TITLES["n"]]) & F.lower(first).rlike("[aаяαηe]$"), "f").otherwise("m")
     entity = lambda kind, x: F.struct(kind.alias("kind"), x.alias("entity"))
     alone = F.array(entity(F.lit("family"), first))
     both = F.array(entity(F.concat(F.lit("given-"), gender), first), entity(F.lit("family"), last))
@@ -161,23 +167,37 @@ def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
         table = materialize(table.join(clash, ["kind", "entity"], "left_anti").unionByName(draw(again)))
 
 
-def interleaved(text: Column, form: Column, found: Column) -> Column:
-    """text with each match of form replaced by its entry in the map news, if it has one; found: the matches."""
+def interleaved(text: Column, form: Column, found: Column, by: Callable[[Column], Column]) -> Column:
+    """text with each match of form replaced by what by makes of it; found: the matches."""
     parts = F.split(text, form)
-    return F.array_join(F.transform(parts, lambda part, i: F.concat(part, F.when(i < F.size(found), F.coalesce(F.element_at("news", F.get(found, i)), F.get(found, i))).otherwise(F.lit("")))), "")
+    return F.array_join(F.transform(parts, lambda part, i: F.concat(part, F.when(i < F.size(found), by(F.get(found, i))).otherwise(F.lit("")))), "")
 
 
-def mention(entity: Column, kind: Column) -> Column:
-    """A regular expression for an entity's mentions in a text: whole words; Han names of one character only before a title."""
-    word = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), entity, F.lit(r"(?![\p{L}\p{N}])"))
+def mention(entity: Column, kind: Column, words: Column) -> Column:
+    """A regular expression for an entity's mentions in a text: whole words as they were found, with a capital or all in capitals; in lower case, which common words have too, only behind a title. Han names of one character only before one."""
+    forms = F.array_join(F.array_union(F.filter(words, lambda w: w != F.lower(w)), F.array(entity, F.upper(entity))), "|")
+    word = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), forms, F.lit(rf"|{_TOLD}(?iu:"), entity, F.lit(r"))(?![\p{L}\p{N}])"))
     return F.when(kind.startswith("han-"), F.when(F.length(entity) > 1, entity).otherwise(F.concat(entity, F.lit(f"(?={_AFTER})")))).otherwise(word)
 
 
+def named(word: Column) -> Column:
+    """The key of a name in the map of surrogates: names in another case are the same name."""
+    return F.concat(F.lit("\u0001"), F.lower(word))
+
+
+def renamed(word: Column) -> Column:
+    """The surrogate of a mention, in its case."""
+    new = F.element_at("news", named(word))
+    cased = F.when((F.upper(word) == word) & (F.length(word) > 1) & (F.lower(word) != word), F.upper(new)).when((F.lower(word) == word) & (F.upper(word) != word), F.lower(new)).otherwise(new)
+    return F.coalesce(cased, word)
+
+
 def replace_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "surrogates") -> DataFrame:
     """One row per input row: doc_id, n_entities, text with surrogates.
 
     Entities are emails, phone and social security numbers, IPv4 addresses, cards (by Luhn check), IBANs, keys after a telling word, and names
-    next to a title; where a titled name stands, its words are also replaced wherever else they stand in that text. One entity has one
+    next to a title; where a titled name stands, its words are also replaced wherever else they stand in that text, as they are, with a capital or in capitals,
+    and in any case behind a title. A name has one surrogate whatever its case, which each mention keeps. One entity has one
     surrogate in all texts, and two have two: the table of distinct entities, of names too, is checked for collisions. Each word of a name is
     an entity, and each mention counts.
     The surrogates reach the texts by two 64-bit hashes of the text, so rows that repeat an id or a text, and those without an id, are treated
@@ -185,30 +205,30 @@ def replace_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     Very long texts are read whole. Other columns are not read."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit("text"), "text")})
     text = F.col("text")
-    titles = reduce(or_, (F.contains(text, F.lit(f"{t}{end}")) for t in sum(TITLES.values(), ["M"]) for end in ((". ",) if t == "M" else (" ", ". "))))
+    titles = reduce(or_, (F.contains(text, F.lit(f"{t}{end}")) for t in [*_TITLES, *(t.upper() for t in _TITLES), "mr", "mrs", "ms", "M"] for end in ((". ",) if t == "M" else (" ", ". "))))
     suffixes = reduce(or_, (F.contains(text, F.lit(t)) for t in sum(SUFFIXES.values(), [])))
     all_of = lambda form: F.array_distinct(F.regexp_extract_all("text", F.lit(form), F.lit(0)))
     # One row per text with arrays, before any filter, which would run the expressions twice.
     found = materialize(docs.select("h1", "h2", F.when(text.rlike(HINT), all_of(ENTITY)).alias("plain"), F.when(titles, all_of(TITLED)).alias("titled"), F.when(suffixes, all_of(TITLED_HAN)).alias("han")))
     plain = found.select("h1", "h2", F.explode("plain").alias("entity")).withColumn("kind", kind_of(F.col("entity"))).where("kind IS NOT NULL")
     titled = found.select("h1", "h2", F.explode("titled").alias("titled")).union(found.select("h1", "h2", F.explode("han")))
-    names = titled.select("h1", "h2", F.explode(named_parts(F.col("titled"))).alias("x")).select("h1", "h2", "x.entity", "x.kind")
-    matches = materialize(plain.union(names).distinct())
+    names = titled.select("h1", "h2", F.explode(named_parts(F.col("titled"))).alias("x")).select("h1", "h2", F.initcap(F.lower("x.entity")).alias("entity"), "x.kind", F.col("x.entity").alias("word"))
+    matches = materialize(plain.withColumn("word", F.col("entity")).union(names).distinct())
     table = distinct_surrogates(matches.select("kind", "entity").distinct(), key)
     # A word that is a given name and a family name in one text has the first one's surrogate there.
-    pairs = matches.join(table, ["kind", "entity"]).groupBy("h1", "h2", "entity").agg(F.min_by(F.struct("kind", "new"), "kind").alias("first"))
-    form = F.sort_array(F.collect_set(F.when(is_name(F.col("first.kind")), F.struct((-F.length("entity")).alias("n"), mention(F.col("entity"), F.col("first.kind")).alias("form")))))
+    pairs = matches.join(table, ["kind", "entity"]).groupBy("h1", "h2", "entity", is_name(F.col("kind")).alias("is_name")).agg(F.min_by(F.struct("kind", "new"), "kind").alias("first"), F.sort_array(F.collect_set("word")).alias("words"))
+    form = F.sort_array(F.collect_set(F.when(F.col("is_name"), F.struct((-F.length("entity")).alias("n"), mention(F.col("entity"), F.col("first.kind"), F.col("words")).alias("form")))))
     chars = F.sum(F.length("entity") + F.length("first.new"))
-    maps = materialize(pairs.groupBy("h1", "h2").agg(F.map_from_entries(F.collect_list(F.struct("entity", "first.new"))).alias("news"), F.nullif(F.array_join(F.transform(form, lambda x: x["form"]), "|"), F.lit("")).alias("form"), chars.alias("chars")))
+    maps = materialize(pairs.groupBy("h1", "h2").agg(F.map_from_entries(F.collect_list(F.struct(F.when(F.col("is_name"), named(F.col("entity"))).otherwise(F.col("entity")), "first.new"))).alias("news"), F.nullif(F.array_join(F.transform(form, lambda x: x["form"]), "|"), F.lit("")).alias("form"), chars.alias("chars")))
     n, size = maps.agg(F.count("*"), F.coalesce(F.sum("chars"), F.lit(0))).first()
     maps = maps.drop("chars")
     rows = docs.join(F.broadcast(maps) if n <= BROADCAST_TEXTS and size <= BROADCAST_CHARS else maps, ["h1", "h2"], "left")
     known = F.col("news").isNotNull()
     rows = rows.withColumn("found", F.when(known, F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))))
     n_plain = F.when(known, F.size(F.filter("found", lambda e: F.map_contains_key("news", e)))).otherwise(0)
-    rows = rows.select("doc_id", "news", "form", n_plain.alias("n_plain"), F.when(known, interleaved(text, F.lit(ENTITY), F.col("found"))).otherwise(text).alias("text"))
+    rows = rows.select("doc_id", "news", "form", n_plain.alias("n_plain"), F.when(known, interleaved(text, F.lit(ENTITY), F.col("found"), lambda e: F.coalesce(F.element_at("news", e), e))).otherwise(text).alias("text"))
     rows = rows.withColumn("mentions", F.when(F.col("form").isNotNull(), F.regexp_extract_all("text", F.col("form"), F.lit(0))))
-    replaced = F.when(F.col("form").isNotNull(), interleaved(text, F.col("form"), F.col("mentions"))).otherwise(text)
+    replaced = F.when(F.col("form").isNotNull(), interleaved(text, F.col("form"), F.col("mentions"), renamed)).otherwise(text)
     n_names = F.when(F.col("form").isNotNull(), F.size("mentions")).otherwise(0)
     return rows.select("doc_id", F.when(text.isNull(), 0).otherwise(F.col("n_plain") + n_names).cast("long").alias("n_entities"), replaced.alias("text"))
 

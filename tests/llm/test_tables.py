@@ -433,3 +433,16 @@ def test_bitmaps_bound_differences():
         y = np.unique(np.concatenate((x[n // 8 :], rng.integers(0, 1 << 63, n // 9, dtype=np.uint64))))
         apart = sum(int(v & (1 << 64) - 1).bit_count() for v in (minhash.bitmap(x) ^ minhash.bitmap(y)).tolist())
         assert apart <= len(np.setxor1d(x, y))
+
+
+def test_pii_names_in_any_case(spark):
+    """One name in capitals, in lower case behind a title, and as it is, in one text and in others; common words in lower case stay."""
+    rows = [(1, "Mr Smith came. MR SMITH left. SMITH and mr john smith met mr. smith; the smith works. Smith!", "s"), (2, "MRS SMITH, Mr McDonald and mr and mrs jones. MCDONALD", "s"), (3, "the smith and mr", "s"), (4, "Frau Müller, FRAU MÜLLER, MÜLLER", "s")]
+    got = {r.doc_id: r for r in pii.replace_pii(frame(spark, rows)).collect()}
+    one = got[1].text
+    new = re.match(r"Mr (\w+) came", one)[1]
+    assert "smith" not in one.lower().replace("the smith works", "") and "the smith works" in one and "john" not in one
+    assert f"MR {new.upper()} left. {new.upper()} and mr " in one and f"met mr. {new.lower()};" in one and one.endswith(f"{new}!")
+    assert f"MRS {new.upper()}," in got[2].text and "donald" not in got[2].text.lower() and "mr and mrs" in got[2].text and "jones" not in got[2].text
+    assert got[3].text == rows[2][1] and got[3].n_entities == 0
+    assert "müller" not in got[4].text.lower() and len({w.lower() for w in re.findall(r"\w+", got[4].text)} - {"frau"}) == 1
