@@ -17,25 +17,68 @@ BASE = {"under the mit license": "mit", "apache license version 2": "apache-2",
 # Further phrases of public licence notices, and their labels.
 NOTICES = {
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "this software is provided as is without any express or implied warranty": "zlib",
+    "boost software license version 1": "bsl-1",
     "released under the apache license": "apache-2",
+    "licensed under the apache license": "apache-2",
     "gnu general public license": "gpl",
     "gnu general public license version 2": "gpl-2",
     "gnu general public license version 3": "gpl-3",
     "gnu lesser general public license": "lgpl",
+    "gnu library general public license": "lgpl",
     "gnu affero general public license": "agpl",
+    "gnu free documentation license": "gfdl",
     "mozilla public license": "mpl",
+    "eclipse public license": "epl",
+    "european union public licence": "eupl",
+    "common development and distribution license": "cddl",
+    "microsoft public license": "ms-pl",
+    "academic free license": "afl",
+    "artistic license": "artistic",
+    "open software license": "osl",
     "redistribution and use in source and binary forms": "bsd",
     "bsd license": "bsd",
+    "isc license": "isc",
+    "zlib license": "zlib",
+    "do what the fuck you want to public license": "wtfpl",
     "creative commons attribution": "cc-by",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution share alike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution non commercial": "cc-by-nc",
+    "creative commons attribution noderivatives": "cc-by-nd",
     "cc by sa": "cc-by-sa",
     "cc by nd": "cc-by-nd",
+    "cc by nc sa": "cc-by-nc",
+    "cc by nc nd": "cc-by-nc",
+    "creative commons zero": "public-domain",
+    "cc0": "public-domain",
     "dedicated to the public domain": "public-domain",
+    "released into the public domain": "public-domain",
+    "open database license": "odbl",
+    "sil open font license": "ofl",
+    "business source license": "busl",
+    "server side public license": "sspl",
     "all rights reserved": "proprietary",
 }
-# SPDX identifiers, lower-cased, without -only, -or-later and +.
-IDENTIFIERS = {"mit": "mit", "apache-2.0": "apache-2", "cc-by-nc-4.0": "cc-by-nc", "gpl-2.0": "gpl-2", "gpl-3.0": "gpl-3", "lgpl-2.1": "lgpl", "lgpl-3.0": "lgpl", "agpl-3.0": "agpl", "mpl-2.0": "mpl", "bsd-2-clause": "bsd", "bsd-3-clause": "bsd", "cc-by-4.0": "cc-by", "cc-by-sa-4.0": "cc-by-sa", "cc-by-nd-4.0": "cc-by-nd", "cc0-1.0": "public-domain", "unlicense": "public-domain"}
+# SPDX identifiers, lower-cased, without -only, -or-later and +, by the label that they get.
+BY_LABEL = {
+    "mit": "mit mit-0 x11 expat", "isc": "isc", "zlib": "zlib libpng", "bsl-1": "bsl-1.0", "bsd": "0bsd bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-4-clause", "ncsa": "ncsa", "postgresql": "postgresql", "python": "psf-2.0 python-2.0",
+    "apache-2": "apache-2.0", "apache-1": "apache-1.0 apache-1.1", "artistic": "artistic-1.0 artistic-2.0", "wtfpl": "wtfpl", "unicode": "unicode-dfs-2016 unicode-3.0", "openssl": "openssl", "php": "php-3.0 php-3.01", "w3c": "w3c w3c-20150513",
+    "gpl": "gpl-1.0", "gpl-2": "gpl-2.0", "gpl-3": "gpl-3.0", "lgpl": "lgpl-2.0 lgpl-2.1 lgpl-3.0", "agpl": "agpl-1.0 agpl-3.0", "gfdl": "gfdl-1.1 gfdl-1.2 gfdl-1.3", "mpl": "mpl-1.0 mpl-1.1 mpl-2.0", "epl": "epl-1.0 epl-2.0", "eupl": "eupl-1.0 eupl-1.1 eupl-1.2",
+    "cddl": "cddl-1.0 cddl-1.1", "cpl": "cpl-1.0", "ms-pl": "ms-pl", "ms-rl": "ms-rl", "afl": "afl-1.1 afl-2.0 afl-2.1 afl-3.0", "osl": "osl-1.0 osl-2.0 osl-2.1 osl-3.0", "upl": "upl-1.0", "vim": "vim", "ofl": "ofl-1.0 ofl-1.1", "odbl": "odbl-1.0", "odc-by": "odc-by-1.0", "busl": "busl-1.1", "sspl": "sspl-1.0",
+    "cc-by": "cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0", "cc-by-sa": "cc-by-sa-1.0 cc-by-sa-2.0 cc-by-sa-2.5 cc-by-sa-3.0 cc-by-sa-4.0", "cc-by-nd": "cc-by-nd-1.0 cc-by-nd-2.0 cc-by-nd-2.5 cc-by-nd-3.0 cc-by-nd-4.0",
+    "cc-by-nc": "cc-by-nc-1.0 cc-by-nc-2.0 cc-by-nc-2.5 cc-by-nc-3.0 cc-by-nc-4.0 cc-by-nc-sa-2.0 cc-by-nc-sa-2.5 cc-by-nc-sa-3.0 cc-by-nc-sa-4.0 cc-by-nc-nd-2.0 cc-by-nc-nd-2.5 cc-by-nc-nd-3.0 cc-by-nc-nd-4.0",
+    "public-domain": "cc0-1.0 unlicense pddl-1.0 cc-pddc",
+}
+IDENTIFIERS = {name: label for label, names in BY_LABEL.items() for name in names.split()}
 # How free a licence leaves who uses the text, from 1 (no duty) to 0; an order of our own, for choosing where an expression leaves a choice.
-FREEDOM = {"public-domain": 1.0, "mit": 0.9, "bsd": 0.9, "apache-2": 0.9, "cc-by": 0.8, "mpl": 0.6, "lgpl": 0.5, "cc-by-sa": 0.4, "gpl": 0.3, "gpl-2": 0.3, "gpl-3": 0.3, "agpl": 0.2, "cc-by-nd": 0.1, "cc-by-nc": 0.1, "proprietary": 0.0}
+BY_FREEDOM = {
+    1.0: "public-domain", 0.95: "wtfpl", 0.9: "mit isc zlib bsl-1 bsd ncsa postgresql python apache-2 apache-1 unicode openssl php w3c upl vim", 0.8: "cc-by odc-by artistic afl ofl", 0.6: "mpl epl eupl cddl cpl ms-pl ms-rl", 0.5: "lgpl",
+    0.4: "cc-by-sa odbl gfdl", 0.3: "gpl gpl-2 gpl-3 osl", 0.2: "agpl", 0.1: "cc-by-nd cc-by-nc busl sspl", 0.0: "proprietary",
+}
+FREEDOM = {label: free for free, labels in BY_FREEDOM.items() for label in labels.split()}
 TAG = "spdx license identifier"
 _TAGGED = re.compile(r"spdx-license-identifier:[ \t]*([^\n]*)", re.I | re.A)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+", re.A)

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import time
 from collections import Counter
 
@@ -167,3 +168,53 @@ def test_license_tags():
     assert licenses.scan("SPDX-License-Identifier: " + " OR ".join(f"n{k}" for k in range(100_000)) + " OR MIT")[5] == "mit"
     assert licenses.scan("SPDX-License-Identifier: " + "(" * 300_000)[5] == ""
     assert time.time() - start < 5
+
+
+def expected_labels(text):
+    """The labels, score and freedom of a text by plain loops: notices by their words, expressions by rewriting them for Python."""
+    words = licenses._WORD.findall(licenses.lower_az(text))
+    at = lambda phrase: [k for k in range(len(words)) if words[k : k + phrase.count(" ") + 1] == phrase.split()]
+    places = [label for phrase, label in licenses.BASE.items() for _ in at(phrase)]
+    own = {label for phrase, label in licenses.NOTICES.items() if at(phrase)}
+    labels, free, n, certain = set(places) | own, [], len(places) + len(own), False
+    free += [licenses.FREEDOM[x] for x in labels]
+
+    class Side:
+        def __init__(self, names):
+            self.names = names
+
+        def free(self):
+            return min((licenses.FREEDOM[x] for x in self.names), default=0.0)
+
+        def __and__(self, other):
+            return Side(self.names | other.names)
+
+        def __or__(self, other):
+            return min(self, other, key=lambda s: (-s.free(), len(s.names), sorted(s.names)))
+
+    for line in text.split("\n"):
+        tag, found, expression = licenses.lower_az(line).partition("spdx-license-identifier:")
+        if found and at(licenses.TAG):
+            known = {"&": "&", "|": "|", "(": "(", ")": ")"}
+            tokens = expression.replace("(", " ( ").replace(")", " ) ").replace(" and ", " & ").replace(" or ", " | ").split()
+            side = eval(" ".join(known.get(t) or f"Side({{'{licenses.label_of(t)}'}})" for t in tokens), {"Side": Side})  # noqa: S307
+            labels |= side.names
+            free.append(side.free())
+            n, certain = n + 1, True
+    return ",".join(sorted(labels)), 1.0 if certain else 1.0 - 0.5**n, min(free, default=None)
+
+
+def test_license_labels_equal_loops(spark):
+    rng = random.Random(11)
+    texts = [t or "" for _, t in documents(spark)]
+    names = sorted(licenses.IDENTIFIERS)
+    for _ in range(150):
+        parts = [rng.choice(list(licenses.NOTICES)) if rng.random() < 0.5 else "some other words" for _ in range(3)]
+        own = [rng.choice(names).upper() + rng.choice(("", "+", "-only")) for _ in range(4)]
+        form = rng.choice(("{0}", "{0} OR {1}", "{0} AND {1}", "{0} AND ({1} OR {2})", "({0} OR {1}) AND ({2} OR {3})", "{0} OR {1} AND {2}"))
+        texts.append(". ".join(parts).replace(" ", rng.choice((" ", "-", "\n"))) + "\n" + (f"SPDX-License-Identifier: {form.format(*own)}\n" if rng.random() < 0.6 else ""))
+    for text in texts:
+        got = licenses.scan(text)
+        if "spdx-license-identifier" not in text.lower() or text in texts[-150:]:
+            assert (got[5], got[6], got[8]) == expected_labels(text), text[:300]
+    assert {"0bsd", "isc", "zlib", "epl-2.0"} <= set(names) and set(licenses.IDENTIFIERS.values()) | set(licenses.NOTICES.values()) | set(licenses.BASE.values()) <= set(licenses.FREEDOM)
