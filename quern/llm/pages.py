@@ -327,14 +327,24 @@ def without_common_runs(articles: DataFrame, group_pages: int) -> DataFrame:
     candidates; only where there are some, their articles are counted over all groups of the host. Copies of a text count once."""
     rows = articles.withColumn("key", F.xxhash64("text"))
     sizes = rows.where("text <> ''").groupBy("host").agg(F.count_distinct("key").alias("n")).where(F.col("n") >= ARTICLES)
-    grouped = rows.where("text <> ''").join(sizes, "host").select("host", "key", "text", F.pmod("key", F.ceil(F.col("n") / group_pages)).alias("part"))
+    sizes = materialize(sizes)
+    grouped = rows.where("text <> ''").join(small(sizes), "host").select("host", "key", F.pmod("key", F.ceil(F.col("n") / group_pages)).alias("part"), "text")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            texts = pa.array([packer.compress(t.encode("utf-8", "replace")) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "key", "part")), texts], ["host", "key", "part", "packed"])
 
     def candidates(own: pd.DataFrame) -> pd.DataFrame:
-        texts = own.drop_duplicates("key").text.tolist()
-        run, n = runs([t.split() for t in texts])
+        unpacker = zstandard.ZstdDecompressor()
+        texts = [unpacker.decompress(t) for t in own.drop_duplicates("key").packed]
+        run, n = runs([t.decode().split() for t in texts])
         return pd.DataFrame({"host": own.host.iloc[0], "run": run[n >= ARTICLE_SHARE * len(texts)].view(np.int64)})
 
-    common = materialize(grouped.groupBy("host", "part").applyInPandas(candidates, "host string, run long").distinct())
+    # Dealt out by host and part, so a host with most pages is spread; texts are packed for it.
+    dealt = grouped.mapInArrow(pack, "host string, key long, part long, packed binary").repartition("host", "part")
+    common = materialize(dealt.groupBy("host", "part").applyInPandas(candidates, "host string, run long").distinct())
     if common.isEmpty():
         return articles.select("page_id", "url", "text")
     # A page's words bound the runs that most pages of its group share.
