@@ -22,8 +22,10 @@ MATH = "∑∫√∞≤≥≠≈≅∀∃∈∉⊂⊆⊃∪∩∂∇∆∏≡∝
 
 
 def stripped(text: Column) -> Column:
-    """text without white space of any kind at its ends."""
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    """text without white space of any kind at its ends. A built-in takes off that of ASCII; only texts whose ends have other kinds are searched by an expression."""
+    plain = F.trim(text, F.lit(" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"))
+    ends = F.concat(F.left(plain, F.lit(1)), F.right(plain, F.lit(1)))
+    return F.when(ends.rlike(rf"[{SPACE}]"), F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")).otherwise(plain)
 
 
 def trigrams(text: Column) -> Column:
@@ -130,9 +132,22 @@ def password_classes(password: Column) -> Column:
 
 
 def numbering_depth(title: Column) -> Column:
-    """Depth of a numbered heading: 2.1.3 is 3; chapters, appendices and Roman numerals are 1; bullets and other titles have none."""
+    """Depth of a numbered heading: 2.1.3 is 3; chapters, appendices and Roman numerals are 1; bullets and other titles have none.
+
+    A number is what stands before the first white space, less one full stop or bracket behind it, and has words after it; of digits, its depth is the
+    number of parts between full stops. A Roman numeral must have the mark. A chapter is told by the letters and digits that a title begins with."""
     bare = stripped(title)
-    dotted = F.regexp_extract(bare, rf"^(\d+(?:\.\d+)*)[.)]?[{SPACE}]+[^{SPACE}]", 1)
-    chapter = F.regexp_like(bare, F.lit("(?iU)^(?:(?:chapter|appendix|附录|章)\\b|第[一二三四五六七八九十百\\d]+[章节]\\b)"))
-    roman = F.regexp_like(bare, F.lit(rf"^[IVXLC]+[.)][{SPACE}]+[^{SPACE}]"))
-    return F.when(dotted != "", F.size(F.split(dotted, r"\."))).when(chapter | roman, 1).cast("long")
+    # The words for chapters and appendices, and the Chinese characters of numbers.
+    chapters, ordinals = ["chapter", "appendix", "附录", "章"], "一二三四五六七八九十百0123456789"
+    parts = F.split(bare, rf"[{SPACE}]+", 2)
+    token, rest = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    closed = F.right(token, F.lit(1)).isin(".", ")")
+    core = F.when(closed, F.substr(token, F.lit(1), F.length(token) - 1)).otherwise(token)
+    steps = F.split(core, r"\.")
+    made_of = lambda c, letters: (c != "") & (F.translate(c, letters, "") == "")
+    dotted = made_of(core, "0123456789.") & F.forall(steps, lambda x: x != "")
+    lead = F.regexp_extract(bare, r"^[\p{L}\p{N}_]+", 0)
+    inner = F.substr(lead, F.lit(2), F.length(lead) - 2)
+    numbered = lead.startswith("第") & F.right(lead, F.lit(1)).isin("章", "节") & made_of(inner, ordinals)
+    titled = F.coalesce(rest != "", F.lit(False))
+    return F.when(titled & dotted, F.size(steps)).when(F.lower(lead).isin(chapters) | numbered | (titled & closed & made_of(core, "IVXLC")), 1).cast("long")
