@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import graph, merging, platform
-from quern.plans.registry import query
-from quern.sources.tables import small, table
+from quern.plans.registry import SQL, query
+from quern.sources.tables import scratch_dir, small, table
 from quern.streaming import events as streams
 
 
@@ -204,3 +204,24 @@ def edges_without_legend(spark, d):
     rows = table(spark, d, "orders").join(legend, "o_orderstatus", "left_anti")
     users = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"))
     return rows.join(users, "o_custkey", "left_semi").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+
+
+def event_stream(spark, d):
+    """The files of events as a stream."""
+    files = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "*").parquet(f"{d}/events*.parquet")
+    return files.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(f"""SELECT * FROM ({SQL["capped_sessions"]}) WHERE "end" * 1000 <= (SELECT epoch_ms(max(ts)) - 600000 FROM events)""")
+def stream_sessions(spark, d):
+    """The sessions of capped_sessions from a stream, those that the watermark has closed."""
+    folder = scratch_dir(spark)
+    return streams.as_sessions(streams.stream_runs(spark, event_stream(spark, d), f"{folder}/table", f"{folder}/state", 7200, 21_600), 7200, 21_600)
+
+
+@query(f"""SELECT * FROM ({SQL["lockouts"]}) WHERE (start + 43200) * 1000 <= (SELECT epoch_ms(max(ts)) - 600000 FROM events WHERE event_type = 'error')""")
+def stream_lockouts(spark, d):
+    """The windows of lockouts from a stream, those that the watermark has closed."""
+    folder = scratch_dir(spark)
+    found = streams.stream_runs(spark, event_stream(spark, d).where("event_type = 'error'"), f"{folder}/table", f"{folder}/state", None, 43_200)
+    return streams.as_lockouts(found, 3, 43_200)
