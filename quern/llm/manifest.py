@@ -132,3 +132,40 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     proof = F.array_join(F.transform("path", lambda s: F.concat(joined(s["left"]), joined(s["right"]))), "")
     rows = rows.select("doc_id", "leaf", "subroot", "root", F.sha2(proof, 256).alias("proof_sha256"), folded(F.col("changed_leaf"), F.col("path")).alias("folded_root"))
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE fields AS (
+  SELECT doc_id, source, lang, n_chars, text, CASE WHEN list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda k: ascii(substr(doc_id::VARCHAR, k::INT, 1))::BIGINT)),
+    lambda c, o: list_reduce(list_concat([xor(c, o)], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) % 2 = 1 THEN replace(text, e'\\n', '') ELSE text END AS other FROM documents),
+shown AS (
+  SELECT doc_id, source, [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text] AS f, other FROM fields),
+hashed AS (
+  SELECT doc_id, source, sha256(list_aggregate(list_transform(f, lambda v: coalesce(strlen(v)::VARCHAR || ':' || v, '-')), 'string_agg', '')) AS leaf,
+    sha256(list_aggregate(list_transform(list_concat(f[1:4], [other]), lambda v: coalesce(strlen(v)::VARCHAR || ':' || v, '-')), 'string_agg', '')) AS changed FROM shown),
+leaves AS (
+  SELECT *, row_number() OVER own - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM hashed WINDOW own AS (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, changed)),
+nodes AS (
+  SELECT source, 0 AS lvl, pos, n, leaf AS digest FROM leaves
+  UNION ALL SELECT source, lvl + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY source, lvl, pos // 3),
+subroots AS (
+  SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper AS (
+  SELECT 0 AS lvl, place AS pos, n, subroot AS digest FROM subroots
+  UNION ALL SELECT lvl + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY lvl, pos // 3),
+own AS (
+  SELECT source, lvl, pos, coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM nodes WHERE n > 1 WINDOW run AS (PARTITION BY source, lvl, pos // 3 ORDER BY pos)),
+above AS (
+  SELECT lvl, pos, coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM upper WHERE n > 1 WINDOW run AS (PARTITION BY lvl, pos // 3 ORDER BY pos)),
+steps AS (
+  SELECT leaves.source, leaves.pos, lvl, l, r FROM leaves JOIN own ON leaves.source IS NOT DISTINCT FROM own.source AND own.pos = leaves.pos // pow(3, lvl)::BIGINT
+  UNION ALL SELECT leaves.source, leaves.pos, 1000 + lvl, l, r FROM leaves JOIN subroots ON leaves.source IS NOT DISTINCT FROM subroots.source JOIN above ON above.pos = place // pow(3, lvl)::BIGINT),
+paths AS (
+  SELECT source, pos, list({'l': l, 'h': '', 'r': r} ORDER BY lvl) AS path FROM steps GROUP BY ALL),
+folded AS (
+  SELECT doc_id, leaf, subroot, (SELECT digest FROM upper WHERE n = 1) AS root, sha256(coalesce(list_aggregate(list_transform(path, lambda s: s.l || s.r), 'string_agg', ''), '')) AS proof_sha256,
+    list_reduce(list_concat([{'l': '', 'h': changed, 'r': ''}], coalesce(path, [])), lambda a, s: {'l': '', 'h': sha256(s.l || a.h || s.r), 'r': ''}).h AS folded_root
+  FROM leaves JOIN subroots ON leaves.source IS NOT DISTINCT FROM subroots.source LEFT JOIN paths ON leaves.source IS NOT DISTINCT FROM paths.source AND leaves.pos = paths.pos)
+SELECT *, folded_root = root AS verified FROM folded"""

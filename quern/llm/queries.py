@@ -13,4 +13,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE_SQL, "op8_url_filters": urls.ORACLE_SQL, "op9_minhash": minhash.ORACLE_SQL, "op2_cover_tree": vectors.ORACLE_SQL}
+    return {"op3_mixing": mixing.ORACLE_SQL, "op8_url_filters": urls.ORACLE_SQL, "op9_minhash": minhash.ORACLE_SQL, "op2_cover_tree": vectors.ORACLE_SQL, "op13_merkle_manifest": manifest.ORACLE_SQL}
