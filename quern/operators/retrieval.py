@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.text import similarity, trigrams
+from quern.operators.intervals import deepest
 from quern.operators.recall import rrf, top
 from quern.sources.tables import materialize, small
 
@@ -75,6 +76,21 @@ def tree_paths(nodes: DataFrame) -> DataFrame:
         done = done.union(front)
 
 
+def probed(chunks: DataFrame, docs: DataFrame, nodes: DataFrame, length: int = 60, skip: int = 0) -> DataFrame:
+    """doc_id, ord, node: the deepest section in which a chunk begins, by its first characters in the document's text; the first section (the root) where they aren't found or no section holds them.
+
+    chunks: doc_id, ord, content; docs: doc_id, text; nodes: doc_id, node, depth, char_start, char_end. skip: so many lines at a chunk's head don't
+    count, such as a breadcrumb, which no text has. Of sections as deep, the first by node. Each text meets the beginnings of all its chunks at once. Null and blank chunks belong to the root; chunks of documents without sections have none."""
+    body = F.array_join(F.slice(F.split(F.coalesce("content", F.lit("")), "\n"), skip + 1, 1_000_000_000), "\n") if skip else F.coalesce("content", F.lit(""))
+    begins = chunks.select("doc_id", F.struct("ord", F.substring(body, 1, length).alias("probe")).alias("c")).groupBy("doc_id").agg(F.collect_list("c").alias("c"))
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(begins, "doc_id").select("doc_id", F.explode(F.transform("c", lambda c: F.struct(c["ord"].alias("point"), F.when(c["probe"] != "", F.position(c["probe"], F.col("text")) - 1).otherwise(-1).cast("long").alias("pos")))).alias("p"))
+    points = materialize(found.select("doc_id", "p.*"))
+    spans = nodes.select("doc_id", "node", "depth", F.col("char_start").cast("long").alias("start"), F.col("char_end").cast("long").alias("end"))
+    held = deepest(points.where("pos >= 0"), spans, "doc_id", 4096).select("doc_id", "point", "node")
+    roots = nodes.groupBy("doc_id").agg(F.min("node").alias("root"))
+    return points.join(held, ["doc_id", "point"], "left").join(roots, "doc_id", "left").select("doc_id", F.col("point").alias("ord"), F.coalesce("node", "root").alias("node"))
+
+
 def cited(hits: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
     """hits (doc_id and others) with citation: the titles of the section a document stands in; null where it stands in none. members: doc_id, source, node; nodes: source, node, titles."""
     return hits.join(members.select("doc_id", "source", "node"), "doc_id", "left").join(nodes.select("source", "node", F.col("titles").alias("citation")), ["source", "node"], "left").drop("node")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators import geometry
+from quern.operators import chunking, geometry, retrieval
 from quern.plans.documents import MARKDOWN, sheets, talks
 from quern.plans.registry import QUERIES, query  # noqa: F401
 from quern.sources.tables import materialize, table
@@ -127,3 +127,16 @@ def figure_splices(spark, d):
     shown = turns.where("turn % 2 = 0").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page"), F.lit(0).alias("ord"), F.concat(F.lit("!["), "role", F.lit("](f"), "turn", F.lit(")")).alias("snippet"))
     last = turns.select("conv_id").distinct().select("conv_id", F.lit(999), F.lit(0), F.lit("![end](e)"))
     return geometry.spliced_figures(talks(spark, d), shown.union(last)).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query(rf"""WITH {MARKDOWN}, md AS (SELECT conv_id, '# Talk ' || conv_id || e'\n\n' || string_agg(part, '' ORDER BY turn) AS text FROM placed GROUP BY conv_id),
+  probes AS (SELECT conv_id, turn, strpos(md.text, substr(c.text, 1, 60)) - 1 AS pos, turn % 4 = 3 AS off FROM conversations c JOIN md USING (conv_id)),
+  nodes AS (SELECT conv_id, char_start, char_start + length(part) AS char_end, 1 + row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS no FROM placed)
+SELECT p.conv_id AS doc_id, turn AS ord, lpad(CASE WHEN any_value(off) THEN '0' ELSE coalesce(min(no), 1)::VARCHAR END, 4, '0') AS node
+FROM probes p LEFT JOIN nodes n ON n.conv_id = p.conv_id AND pos >= char_start AND pos < char_end GROUP BY p.conv_id, turn""")
+def probed_sections(spark, d):
+    """Turns as chunks under a breadcrumb, linked to the sections of their conversation; of every fourth one the beginning isn't in it."""
+    tree = chunking.tree_table(talks(spark, d), "title").select("doc_id", F.col("node_no").alias("node"), "depth", "char_start", "char_end")
+    body = F.when(F.col("turn") % 4 == 3, F.concat(F.lit("~ "), "text")).otherwise(F.col("text"))
+    chunks = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.concat(F.lit("Talk / turn\n"), body).alias("content"))
+    return retrieval.probed(chunks, talks(spark, d), materialize(tree), skip=1)

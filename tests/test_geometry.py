@@ -8,6 +8,7 @@ from statistics import mean, median
 import pytest
 
 from quern.operators import geometry as G
+from quern.operators import retrieval
 from quern.plans import pages as plans
 from tests.compare import SMALL
 
@@ -533,3 +534,14 @@ def test_spliced_figures(spark):
 @pytest.mark.parametrize("name", ["column_order", "text_segments", "table_markup", "figure_areas", "grid_spans", "tables_found", "style_sections", "figure_splices"])
 def test_queries_have_rows(spark, name):
     assert plans.QUERIES[name](spark, SMALL).count() > 0
+
+
+def test_probed_chunks(spark):
+    """The deepest section, a breadcrumb that hides the beginning, blank chunks, texts that aren't there, and repeated ones."""
+    docs = spark.createDataFrame([(1, "# a\none two\n## b\nthree four"), (2, None)], "doc_id long, text string")
+    nodes = spark.createDataFrame([(1, "0", 0, 0, 28), (1, "1", 1, 0, 28), (1, "2", 2, 12, 28), (2, "0", 0, 0, 0)], "doc_id long, node string, depth int, char_start int, char_end int")
+    chunks = spark.createDataFrame([(1, 0, "one two"), (1, 1, "three"), (1, 2, "crumb\nthree"), (1, 3, ""), (1, 4, None), (2, 0, "x"), (1, 5, "one"), (3, 0, "x")], "doc_id long, ord long, content string")
+    got = lambda **k: {(r.doc_id, r.ord): r.node for r in retrieval.probed(chunks, docs, nodes, **k).collect()}
+    assert got() == {(1, 0): "1", (1, 1): "2", (1, 2): "0", (1, 3): "0", (1, 4): "0", (1, 5): "1", (2, 0): "0"}
+    assert got(skip=1)[1, 2] == "2" and got(skip=1)[1, 1] == "0"
+    assert retrieval.probed(chunks.limit(0), docs, nodes).count() == 0
