@@ -357,7 +357,7 @@ def valleys(spark, d):
 @query("""WITH e AS (SELECT user_id, event_id, epoch(ts)::BIGINT AS s, event_type FROM events)
 SELECT a.user_id AS key, a.event_id AS a_id, b.event_id AS b_id FROM e a JOIN e b USING (user_id) WHERE a.event_type = 'purchase' AND b.event_type = 'error' AND b.s + 600 > a.s AND b.s < a.s + 600""")
 def overlap_join(spark, d):
-    rows = table(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", F.unix_timestamp("ts").alias("s"), "event_type")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", T.nearest_second(F.col("ts")).alias("s"), "event_type")
     side = lambda kind, x: rows.where(F.col("event_type") == kind).select("key", F.col("event_id").alias(f"{x}_id"), F.col("s").alias(f"{x}_start"), (F.col("s") + 600).alias(f"{x}_end"))
     return intervals.overlaps(side("purchase", "a"), side("error", "b"), "key", 600)
 

@@ -1,13 +1,15 @@
 """Operators that SQL doesn't express, against brute force, and edge cases."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quern.functions import text as T
 from quern.operators import graph, lexical, merging, recall
 from quern.plans import catalog
 from quern.sources.tables import discard, materialize, scratch_dir, small, table
-from tests.compare import SMALL
+from tests.compare import SMALL, TABLES, assert_same
 
 
 def union_find(edges):
@@ -165,3 +167,30 @@ def test_discarded_tables_are_gone(spark):
     assert second.count() == 5
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def folder_with(tmp_path, name, sql):
+    """The small tables, one of them replaced by the rows of SQL."""
+    for t in TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SMALL}/{t}.parquet")
+    (tmp_path / f"{name}.parquet").unlink()
+    duckdb.sql(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["points_in_boxes", "snap_edges", "swim_lanes", "reading_order", "overlap_join"])
+def test_seconds_are_the_nearest(spark, tmp_path, name):
+    """Events a half or a fraction before the end of a minute, and of a day, are those of the next one, as in SQL."""
+    kinds = "['click', 'view', 'error', 'signup', 'purchase']"
+    at = "TIMESTAMP '2024-01-01 23:49:59' + to_minutes((i * 37 % 11)::INT) + to_milliseconds(CASE i % 4 WHEN 0 THEN 500 WHEN 1 THEN 499 WHEN 2 THEN 700 ELSE 0 END)"
+    folder = folder_with(tmp_path, "events", f"SELECT i AS event_id, {at} AS ts, i % 3 AS user_id, ({kinds})[(i * 7 // 3) % 5 + 1] AS event_type, (i * 13 % 50) / 2 AS value, '' AS props FROM range(400) r(i)")
+    assert_same(spark, catalog.QUERIES[name], catalog.SQL[name], folder)
+
+
+def test_vector_literals_of_halves(spark, tmp_path):
+    """A half of the sixth decimal goes to the even digit; numbers that only look like one go by their exact value; null and odd numbers are as in SQL."""
+    folder = folder_with(tmp_path, "embeddings", "SELECT * FROM (VALUES (1, [0.0078125, 0.0234375, -0.0078125]::FLOAT[], 0), (2, [NULL, 'inf'::FLOAT, 'nan'::FLOAT, 1e-9::FLOAT, -1e-9::FLOAT], 0), (3, NULL, 0), (4, [], 0), (5, [NULL]::FLOAT[], 0)) v(vec_id, embedding, label)")
+    assert_same(spark, catalog.QUERIES["vector_literals"], catalog.SQL["vector_literals"], folder)
+    doubles = [0.1234565, 0.1234575, 0.0000005, 1.0000015, 2.5000005, 1e22]
+    got = spark.createDataFrame([(doubles,)], "v array<double>").select(T.vector_literal(F.col("v")).alias("t")).first().t
+    assert got == "[" + ",".join("%.6f" % x for x in doubles) + "]"
