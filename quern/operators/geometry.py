@@ -71,14 +71,6 @@ def running_mean(groups: list, v: float, width: float) -> int:
     return len(groups) - 1
 
 
-def spaced(groups: list, v: float, width: float) -> int:
-    """0 for a value at least width behind the last one kept, else -1."""
-    if groups and v - groups[-1] < width:
-        return -1
-    groups[:] = [v]
-    return 0
-
-
 def middle(height: Column, keys: list[str]) -> Column:
     """The median of the positive heights of a page, 10 without any."""
     return F.coalesce(F.median(F.when(height > 0, height)).over(W.partitionBy(*keys)), F.lit(10.0))
@@ -213,84 +205,122 @@ def against(points: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
     return met.select("row.*", (F.col("upto") - F.col("here")).cast("int").alias("below"), F.col("upto").cast("int").alias("upto"), near.cast("int").alias("near"))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def clusters(values: Column, width: Column) -> Column:
+    """The means of the clusters of an array of sorted values: as anchors, within a row."""
+    start = F.struct(F.array().cast("array<double>").alias("means"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(None).cast("double").alias("last"))
+    state = lambda means, total, n, last: F.struct(means.alias("means"), total.alias("sum"), n.alias("n"), last.alias("last"))
+    closed = lambda s: F.concat(s["means"], F.array(s["sum"] / s["n"]))
+    add = lambda s, v: F.when(v - s["last"] > width, state(closed(s), v, F.lit(1), v)).otherwise(state(s["means"], s["sum"] + v, s["n"] + 1, v))
+    return F.aggregate(values, start, add, lambda s: F.when(s["n"] > 0, closed(s)).otherwise(s["means"]))
+
+
+def upto(lines: Column, v: Column) -> Column:
+    return F.size(F.filter(lines, lambda at: at <= v))
+
+
+def below(lines: Column, v: Column) -> Column:
+    return F.size(F.filter(lines, lambda at: at < v))
+
+
+def nearest(lines: Column, v: Column) -> Column:
+    """The number of the line nearest to v in an array of sorted lines, the lesser of two."""
+    return let(upto(lines, v), lambda u: F.when(u == 0, 0).when((u == F.size(lines)) | (v - F.get(lines, u - 1) <= F.get(lines, u) - v), u - 1).otherwise(u))
+
+
+def middle_of(heights: Column) -> Column:
+    """The median of the positive numbers of an array, 10 without any."""
+    at = lambda h, k: F.get(h, F.floor((F.size(h) - k) / 2).cast("int"))
+    return let(F.sort_array(F.filter(heights, lambda h: h > 0)), lambda h: F.coalesce(0.5 * at(h, 1) + 0.5 * at(h, 0), F.lit(10.0)))
+
+
+def inside(cell: Column, r: Column, c: Column) -> Column:
+    return (cell["r"] <= r) & (r < cell["r"] + cell["rows"]) & (cell["c"] <= c) & (c < cell["c"] + cell["columns"])
+
+
+def cell_lists(boxes: DataFrame, table: str) -> DataFrame:
+    """table, n_rows, n_columns, cells (r, c, rows, columns, text; sorted) of table_cells: a row for each table. Its boxes meet in one shuffle, and all else is done on its own arrays."""
+    rows = boxes.select(F.col(table), "box", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), stripped(F.col("text")).alias("text")).where((F.col("text") != "") & F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col(table).isNotNull())
+    lists = rows.groupBy(table).agg(F.collect_list(F.struct("x0", "y0", "x1", "y1", "box", "text")).alias("b")).where(F.size("b") >= 2)
+    lists = lists.withColumn("med", middle_of(F.transform("b", lambda b: b["y1"] - b["y0"])))
+    line = lambda k, share: clusters(F.sort_array(F.transform("b", lambda b: b[k])), share * F.col("med"))
+    lists = lists.withColumns({"xs": line("x0", COLUMN), "ys": line("y0", ROW)}).withColumns({"n_rows": F.size("ys"), "n_columns": F.size("xs")}).where("n_rows >= 2 AND n_columns >= 2")
+    pad, xs, ys = PAD * F.col("med"), F.col("xs"), F.col("ys")
+    columns = lambda b: F.greatest(F.lit(1), upto(xs, b["x1"] + pad) - below(xs, b["x0"] - pad)).alias("columns")
+    span = lambda b: let(nearest(ys, b["y0"]), lambda r: F.struct(
+        r.alias("r"), nearest(xs, b["x0"]).alias("c"), b["x0"].alias("x0"), b["box"].alias("box"), b["text"].alias("text"),
+        F.greatest(F.lit(1), upto(ys, b["y1"] + pad) - F.greatest(below(ys, b["y0"] - pad), r)).alias("rows"), columns(b)))
+    lists = lists.withColumn("spans", F.sort_array(F.transform("b", span)))
+    spans = F.col("spans")
+    same = lambda a, b: F.coalesce((a["r"] == b["r"]) & (a["c"] == b["c"]), F.lit(False))
+    text = lambda s, k: F.when(same(F.get(spans, k + 1), s), F.array_join(F.transform(F.filter(spans, lambda o: same(o, s)), lambda o: o["text"]), " ")).otherwise(s["text"])
+    # Of the boxes of one cell, which stand side by side, the first makes it.
+    cell = lambda s, k: F.when(~same(F.get(spans, k - 1), s), F.struct(
+        s["r"].alias("r"), s["c"].alias("c"), F.least(s["rows"], F.col("n_rows") - s["r"]).alias("rows"), F.least(s["columns"], F.col("n_columns") - s["c"]).alias("columns"), text(s, k).alias("text")))
+    lists = lists.withColumn("cells", F.filter(F.transform(spans, cell), lambda c: c.isNotNull()))
+    none = F.slice("cells", 1, 0)
+    add = lambda s, x: F.when(F.exists(s["wide"], lambda a: inside(a, x["r"], x["c"])), s).otherwise(F.struct(
+        F.concat(s["seen"], F.array(x)).alias("seen"), F.when((x["rows"] > 1) | (x["columns"] > 1), F.concat(s["wide"], F.array(x))).otherwise(s["wide"]).alias("wide")))
+    shown = F.aggregate("cells", F.struct(none.alias("seen"), none.alias("wide")), add, lambda s: s["seen"])
+    return lists.select(table, "n_rows", "n_columns", shown.alias("cells"))
+
+
 def table_cells(boxes: DataFrame, table: str) -> DataFrame:
-    """table, r, c, rows, columns, n_rows, n_columns, text: the cells of each table's boxes (table, box, x0, y0, x1, y1, text), those that others cover left out.
+    """table, r, c, rows, columns, text, n_rows, n_columns: the cells of each table's boxes (table, box, x0, y0, x1, y1, text), those that others cover left out.
 
     Left edges are clustered to columns, tops to rows. A cell begins in the column and row nearest its corner and spans those whose lines lie in
     its extent; boxes of one cell are joined from left to right, the first giving the extent. In the order of rows, then columns, a cell that one
     before it covers isn't shown. Blank boxes don't count; tables of fewer than two boxes, columns or rows have none."""
-    rows = boxes.select(F.col(table).alias("t"), "box", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), stripped(F.col("text")).alias("text")).where("text <> '' AND x0 IS NOT NULL AND y0 IS NOT NULL AND t IS NOT NULL")
-    med = middle(F.col("y1") - F.col("y0"), ["t"])
-    rows = materialize(rows.withColumns({"med": med, "own": F.count("*").over(W.partitionBy("t"))}).where("own >= 2").withColumns({"wx": COLUMN * F.col("med"), "wy": ROW * F.col("med")}).drop("own"))
-    edge = lambda axis, at, end: F.struct(F.lit(axis).alias("axis"), at.alias("at"), F.lit(end).alias("end"))
-    pad = PAD * F.col("med")
-    edges = [e for k in "xy" for e in (edge(k, F.col(f"{k}0") - pad, "low"), edge(k, F.col(f"{k}0"), "start"), edge(k, F.col(f"{k}1") + pad, "high"))]
-    ends = rows.select("t", "box", F.col("x0").alias("left"), "text", F.explode(F.array(*edges)).alias("e")).select("t", "box", "left", "text", "e.*")
-    lines = anchors(rows, ["t"], "x0", "wx").withColumn("axis", F.lit("x")).unionByName(anchors(rows, ["t"], "y0", "wy").withColumn("axis", F.lit("y")))
-    lines = materialize(lines)
-    sizes = lines.groupBy("t").agg(F.count_if(F.col("axis") == "y").cast("int").alias("n_rows"), F.count_if(F.col("axis") == "x").cast("int").alias("n_columns")).where("n_rows >= 2 AND n_columns >= 2")
-    met = against(ends, lines, ["t", "axis"])
-    of = lambda axis, end, what: F.max(F.when((F.col("axis") == axis) & (F.col("end") == end), F.col(what)))
-    spans = met.groupBy("t", "box").agg(
-        F.first("left").alias("x0"), F.first("text").alias("text"), of("y", "start", "near").alias("r"), of("x", "start", "near").alias("c"), of("x", "low", "below").alias("x_low"), of("x", "high", "upto").alias("x_high"),
-        of("y", "low", "below").alias("y_low"), of("y", "high", "upto").alias("y_high"))
-    spans = spans.withColumns({"columns": F.greatest(F.lit(1), F.col("x_high") - F.col("x_low")), "rows": F.greatest(F.lit(1), F.col("y_high") - F.greatest("y_low", "r"))})
-    cells = spans.groupBy("t", "r", "c").agg(F.sort_array(F.collect_list(F.struct("x0", "box", "text", "rows", "columns"))).alias("b")).join(sizes, "t")
-    first = F.col("b")[0]
-    text = F.array_join(F.transform("b", lambda b: b["text"]), " ")
-    cells = cells.select("t", "r", "c", F.least(first["rows"], F.col("n_rows") - F.col("r")).alias("rows"), F.least(first["columns"], F.col("n_columns") - F.col("c")).alias("columns"), "n_rows", "n_columns", text.alias("text"))
-    cell = F.struct("r", "c", "rows", "columns", "text")
-    inside = lambda a, b: (a["r"] <= b["r"]) & (b["r"] < a["r"] + a["rows"]) & (a["c"] <= b["c"]) & (b["c"] < a["c"] + a["columns"])
-    listed = cells.groupBy("t", "n_rows", "n_columns").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
-    shown = F.aggregate("cells", F.slice("cells", 1, 0), lambda seen, x: F.when(F.exists(seen, lambda a: inside(a, x)), seen).otherwise(F.concat(seen, F.array(x))))
-    return listed.select("t", "n_rows", "n_columns", F.explode(shown).alias("cell")).select(F.col("t").alias(table), "cell.*", "n_rows", "n_columns")
+    return cell_lists(boxes, table).select(table, "n_rows", "n_columns", F.explode_outer("cells").alias("cell")).select(table, "cell.*", "n_rows", "n_columns")
 
 
 def table_html(boxes: DataFrame, table: str) -> DataFrame:
     """table, html of each table with two rows and columns at least: cells with their spans, empty ones where nothing stands and no cell reaches."""
-    cells = materialize(table_cells(boxes, table))
-    covered = cells.select(table, F.col("r").alias("r0"), F.col("c").alias("c0"), F.explode(F.sequence(F.col("r"), F.col("r") + F.col("rows") - 1)).alias("r"), "c", "columns")
-    covered = covered.select(table, "r0", "c0", "r", F.explode(F.sequence(F.col("c"), F.col("c") + F.col("columns") - 1)).alias("c")).where("r <> r0 OR c <> c0").select(table, "r", "c").distinct()
-    grid = cells.select(table, "n_rows", "n_columns").distinct().select(table, F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("r"), "n_columns").select(table, "r", F.explode(F.sequence(F.lit(0), F.col("n_columns") - 1)).alias("c"))
     attribute = lambda name, n: F.when(n > 1, F.concat(F.lit(f' {name}="'), n, F.lit('"'))).otherwise("")
-    text = F.col("text")
-    for mark, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
-        text = F.replace(text, F.lit(mark), F.lit(reference))
-    td = F.coalesce(F.concat(F.lit("<td"), attribute("colspan", F.col("columns")), attribute("rowspan", F.col("rows")), F.lit(">"), text, F.lit("</td>")), F.lit("<td></td>"))
-    drawn = grid.join(covered, [table, "r", "c"], "left_anti").join(cells.drop("n_rows", "n_columns"), [table, "r", "c"], "left")
-    drawn = drawn.groupBy(table, "r").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c", td.alias("td")))), lambda x: x["td"]), "").alias("tds"))
-    # A row all of whose cells are covered from above is there, and empty.
-    every = grid.select(table, "r").distinct().join(drawn, [table, "r"], "left")
-    row = F.concat(F.lit("<tr>"), F.coalesce("tds", F.lit("")), F.lit("</tr>"))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", row.alias("row")))), lambda x: x["row"]), "")
-    return every.groupBy(table).agg(F.concat(F.lit("<table>"), body, F.lit("</table>")).alias("html"))
-
-
-def separators(edges: DataFrame, key: str, tolerance: float, least: str) -> DataFrame:
-    """key, line (from 0), at: the lines of a grid from edges (key, at, and least, the smallest cell): clusters within tolerance at their mean, whole; then those behind the last one kept by less than least go, but for the outer ones."""
-    lines = anchors(edges.withColumn("tolerance", F.lit(float(tolerance))), [key, least], "at", "tolerance").withColumn("at", F.floor("at").cast("double"))
-    order = W.partitionBy(key).orderBy("at", "line")
-    lines = lines.withColumns({"n": F.row_number().over(order), "all": F.count("*").over(W.partitionBy(key))})
-    inner = labelled(lines.where("n < all"), key, ["at", "line"], "at", least, spaced).where("label = 0 OR all <= 2").drop("label")
-    kept = inner.unionByName(lines.where("n = all"))
+
+    def td(cell: Column) -> Column:
+        text = cell["text"]
+        for mark, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+            text = F.replace(text, F.lit(mark), F.lit(reference))
+        return F.concat(F.lit("<td"), attribute("colspan", cell["columns"]), attribute("rowspan", cell["rows"]), F.lit(">"), text, F.lit("</td>"))
+
+    def drawn(parts: Column) -> Column:
+        place = lambda r, c: let(F.array_position(parts["at"], r * F.col("n_columns") + c).cast("int"), lambda k: F.when(k > 0, F.get(parts["td"], k - 1)).when(F.exists(parts["wide"], lambda w: inside(w, r, c)), "").otherwise("<td></td>"))
+        # A row all of whose cells are covered from above is there, and empty.
+        row = lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(F.sequence(F.lit(0), F.col("n_columns") - 1), lambda c: place(r, c)), ""), F.lit("</tr>"))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.col("n_rows") - 1), row), "")
+
+    parts = F.struct(
+        F.transform("cells", lambda c: c["r"] * F.col("n_columns") + c["c"]).alias("at"), F.transform("cells", td).alias("td"), F.filter("cells", lambda c: (c["rows"] > 1) | (c["columns"] > 1)).alias("wide"))
+    return cell_lists(boxes, table).select(table, F.concat(F.lit("<table>"), let(parts, drawn), F.lit("</table>")).alias("html"))
+
+
+def separators(edges: Column, tolerance: float, least: Column) -> Column:
+    """The lines of a grid from an array of edges; least is the smallest cell: clusters within tolerance at their mean, whole; then those behind the last one kept by less than least go, but for the outer ones."""
+    lines = F.transform(clusters(F.sort_array(edges), F.lit(float(tolerance))), lambda at: F.floor(at).cast("double"))
+    keep = lambda kept, v: F.when((F.size(kept) == 0) | (v - F.element_at(kept, -1) >= least), F.concat(kept, F.array(v))).otherwise(kept)
     # The last line stays; the one kept before it goes if it is too near.
-    kept = kept.withColumn("next", F.lead("n").over(order)).withColumn("gap", F.lead("at").over(order) - F.col("at"))
-    kept = kept.where((F.col("all") <= 2) | F.col("next").isNull() | (F.col("next") < F.col("all")) | (F.col("gap") >= F.col(least)))
-    return kept.select(key, (F.row_number().over(order) - 1).alias("line"), "at")
+    ended = lambda last: lambda kept: F.concat(F.when(last - F.element_at(kept, -1) >= least, kept).otherwise(F.slice(kept, F.lit(1), F.size(kept) - 1)), F.array(last))
+    spaced = lambda at: F.aggregate(F.slice(at, F.lit(1), F.size(at) - 1), F.array().cast("array<double>"), keep, ended(F.element_at(at, -1)))
+    return let(lines, lambda at: F.when(F.size(at) <= 2, at).otherwise(spaced(at)))
 
 
 def grid_cells(cells: DataFrame, pages: DataFrame, page: str, tolerance: float = 6.0, share: tuple[float, float] = (0.02, 0.012)) -> DataFrame:
     """page, cell, r, c, rows, columns of drawn cells (page, cell, x0, y0, x1, y1) on pages (page, width, height): the nearest lines of the grid that all edges of a page make. Cells between equal lines, and grids of fewer than two lines on an axis, are left out.
 
-    share: of the page's width and height, the smallest cell."""
-    sized = cells.join(pages.select(page, F.floor(F.col("width") * share[0]).cast("double").alias("lx"), F.floor(F.col("height") * share[1]).cast("double").alias("ly")), page)
-    part = lambda axis, end: F.struct(F.lit(axis).alias("axis"), F.lit(end).alias("end"), F.col(f"{axis}{end}").cast("double").alias("at"), F.col(f"l{axis}").alias("least"))
-    edges = materialize(sized.select(page, "cell", F.explode(F.array(part("x", 0), part("x", 1), part("y", 0), part("y", 1))).alias("e")).select(F.concat_ws(":", F.col(page), "e.axis").alias("key"), page, "cell", "e.*").where("at IS NOT NULL"))
-    lines = materialize(separators(edges, "key", tolerance, "least"))
-    real = lines.groupBy("key").agg(F.count("*").alias("n")).where("n >= 2").select("key")
-    met = against(edges.join(real, "key", "left_semi"), lines, ["key"])
-    of = lambda axis, end: F.max(F.when((F.col("axis") == axis) & (F.col("end") == end), F.col("near")))
-    found = met.groupBy(page, "cell").agg(of("y", 0).alias("r"), of("x", 0).alias("c"), of("y", 1).alias("r1"), of("x", 1).alias("c1")).where("r1 > r AND c1 > c")
+    share: of the page's width and height, the smallest cell. A page's cells meet in one shuffle; all else is done on its own arrays."""
+    lists = cells.where(F.col(page).isNotNull()).select(page, F.struct("cell", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))).alias("b")).groupBy(page).agg(F.collect_list("b").alias("b"))
+    sized = lists.join(pages.select(page, F.floor(F.col("width") * share[0]).cast("double").alias("lx"), F.floor(F.col("height") * share[1]).cast("double").alias("ly")), page)
+    side = lambda name: F.transform("b", lambda b: b[name])
+    edges = lambda k: F.filter(F.concat(side(f"{k}0"), side(f"{k}1")), lambda at: at.isNotNull())
+    sized = sized.withColumns({f"{k}s": separators(edges(k), tolerance, F.col(f"l{k}")) for k in "xy"})
+    at = lambda k, v: F.when(v.isNotNull() & (F.size(f"{k}s") >= 2), nearest(F.col(f"{k}s"), v))
+    place = lambda b: F.struct(b["cell"].alias("cell"), at("y", b["y0"]).alias("r"), at("x", b["x0"]).alias("c"), at("y", b["y1"]).alias("r1"), at("x", b["x1"]).alias("c1"))
+    found = sized.select(page, F.explode_outer(F.transform("b", place)).alias("b")).select(page, "b.*").where("r1 > r AND c1 > c")
     return found.select(page, "cell", "r", "c", (F.col("r1") - F.col("r")).alias("rows"), (F.col("c1") - F.col("c")).alias("columns"))
 
 
