@@ -60,17 +60,6 @@ def first_anchor(groups: list, v: float, width: float) -> int:
     return len(groups) - 1
 
 
-def running_mean(groups: list, v: float, width: float) -> int:
-    """The first group whose mean so far is within width; else a new one."""
-    for k, g in enumerate(groups):
-        if abs(v - g[0] / g[1]) <= width:
-            g[0] += v
-            g[1] += 1
-            return k
-    groups.append([v, 1])
-    return len(groups) - 1
-
-
 def middle(height: Column, keys: list[str]) -> Column:
     """The median of the positive heights of a page, 10 without any."""
     return F.coalesce(F.median(F.when(height > 0, height)).over(W.partitionBy(*keys)), F.lit(10.0))
@@ -232,10 +221,15 @@ def nearest(lines: Column, v: Column) -> Column:
     return let(upto(lines, v), lambda u: F.when(u == 0, 0).when((u == F.size(lines)) | (v - F.get(lines, u - 1) <= F.get(lines, u) - v), u - 1).otherwise(u))
 
 
+def median_of(values: Column) -> Column:
+    """The median of an array, null for an empty one."""
+    at = lambda v, k: F.get(v, F.floor((F.size(v) - k) / 2).cast("int"))
+    return let(F.sort_array(values), lambda v: 0.5 * at(v, 1) + 0.5 * at(v, 0))
+
+
 def middle_of(heights: Column) -> Column:
     """The median of the positive numbers of an array, 10 without any."""
-    at = lambda h, k: F.get(h, F.floor((F.size(h) - k) / 2).cast("int"))
-    return let(F.sort_array(F.filter(heights, lambda h: h > 0)), lambda h: F.coalesce(0.5 * at(h, 1) + 0.5 * at(h, 0), F.lit(10.0)))
+    return F.coalesce(median_of(F.filter(heights, lambda h: h > 0)), F.lit(10.0))
 
 
 def inside(cell: Column, r: Column, c: Column) -> Column:
@@ -314,7 +308,7 @@ def grid_cells(cells: DataFrame, pages: DataFrame, page: str, tolerance: float =
 
     share: of the page's width and height, the smallest cell. A page's cells meet in one shuffle; all else is done on its own arrays."""
     lists = cells.where(F.col(page).isNotNull()).select(page, F.struct("cell", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))).alias("b")).groupBy(page).agg(F.collect_list("b").alias("b"))
-    sized = lists.join(pages.select(page, F.floor(F.col("width") * share[0]).cast("double").alias("lx"), F.floor(F.col("height") * share[1]).cast("double").alias("ly")), page)
+    sized = lists.join(pages.select(page, F.floor(F.col("width") * share[0]).cast("double").alias("lx"), F.floor(F.col("height") * share[1]).cast("double").alias("ly")).hint("shuffle_hash"), page)
     side = lambda name: F.transform("b", lambda b: b[name])
     edges = lambda k: F.filter(F.concat(side(f"{k}0"), side(f"{k}1")), lambda at: at.isNotNull())
     sized = sized.withColumns({f"{k}s": separators(edges(k), tolerance, F.col(f"l{k}")) for k in "xy"})
@@ -338,20 +332,37 @@ def rulings(lines: DataFrame, rects: DataFrame, page: str) -> DataFrame:
     return drawn.union(boxed).select(page, "r.*")
 
 
-def rule_levels(regions: DataFrame, rules: DataFrame, page: str) -> DataFrame:
-    """region, y_levels, x_levels: how many levels of rules (as rulings gives them) cross each region (page, region, x0, y0, x1, y1), covering COVERED of it; those within LEVEL are one."""
-    side = lambda axis, along: F.struct(F.lit(axis).alias("axis"), F.col(f"{axis}0").alias("from"), F.col(f"{axis}1").alias("to"), F.col(f"{along}0").alias("a"), F.col(f"{along}1").alias("b"))
-    sides = F.array(side("y", "x"), side("x", "y"))
-    wanted = regions.select(page, "region", F.explode(sides).alias("s")).select(page, "region", "s.*").where("b > a")
-    met = wanted.join(rules, [page, "axis"]).where(F.col("at").between(F.col("from") - LEVEL, F.col("to") + LEVEL) & (F.least("high", "b") - F.greatest("low", "a") >= COVERED * (F.col("b") - F.col("a"))))
-    lines = anchors(met.withColumn("w", F.lit(LEVEL)), ["region", "axis"], "at", "w").groupBy("region").agg(F.count_if(F.col("axis") == "y").alias("y_levels"), F.count_if(F.col("axis") == "x").alias("x_levels"))
-    return regions.select("region").join(lines, "region", "left").select("region", F.coalesce("y_levels", F.lit(0)).alias("y_levels"), F.coalesce("x_levels", F.lit(0)).alias("x_levels"))
-
-
-def row_bands(boxes: DataFrame, key: str, width: str) -> DataFrame:
-    """boxes (key, box, y0, y1, width) with band, from 0: in the order of middles, the first band whose mean middle so far is within width."""
-    rows = boxes.withColumn("cy", (F.col("y0") + F.col("y1")) / 2)
-    return labelled(rows, key, ["cy", "box"], "cy", width, running_mean).withColumnRenamed("label", "band").drop("cy")
+def bands_of(middles: Column, width: Column) -> Column:
+    """The number of the band, from 0, of each of an array of sorted middles: the last band if its mean so far is within width, else a new one. No band before can be nearer."""
+    start = F.struct(F.array().cast("array<int>").alias("bands"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    state = lambda bands, total, n: F.struct(bands.alias("bands"), total.alias("sum"), n.alias("n"))
+    last = lambda s: F.coalesce(F.try_element_at(s["bands"], F.lit(-1)), F.lit(-1))
+    add = lambda s, v: F.when((s["n"] > 0) & (F.abs(v - s["sum"] / F.greatest(s["n"], F.lit(1))) <= width), state(F.concat(s["bands"], F.array(last(s))), s["sum"] + v, s["n"] + 1)).otherwise(state(F.concat(s["bands"], F.array(last(s) + 1)), v, F.lit(1)))
+    return F.aggregate(middles, start, add, lambda s: s["bands"])
+
+
+def candidate_lists(boxes: DataFrame, page: str) -> DataFrame:
+    """page, region, med, xs, b: a row for each region of table_candidates; xs are its columns, b its boxes (band, box, x0, y0, x1, y1, text). A page's boxes meet in one shuffle, and all else is done on its own arrays."""
+    rows = boxes.select(page, "box", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), "text").where(F.col(page).isNotNull() & F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull())
+    box = F.struct(((F.col("y0") + F.col("y1")) / 2).alias("cy"), "box", "x0", "y0", "x1", "y1", "text")
+    lists = rows.groupBy(page).agg(F.collect_list(box).alias("l")).where(F.size("l") >= 4)
+    lists = lists.withColumns({"l": F.sort_array("l"), "med": middle_of(F.transform("l", lambda b: b["y1"] - b["y0"]))})
+    lists = lists.withColumn("bands", bands_of(F.transform("l", lambda b: b["cy"]), ROW * F.col("med")))
+    sizes = F.transform(F.sequence(F.lit(0), F.element_at("bands", -1)), lambda k: F.size(F.filter("bands", lambda b: b == k)))
+    lists = lists.withColumn("sizes", sizes)
+    # A band of one box parts two runs: a band's run is the last such band before it.
+    run = lambda k: F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), k), lambda j: F.get("sizes", j) < 2)), F.lit(-1))
+    placed = F.transform("l", lambda b, i: let(F.get("bands", i), lambda k: F.when(F.get("sizes", k) >= 2, F.struct(
+        F.get("runs", k).alias("run"), k.alias("band"), b["box"].alias("box"), *(b[c].alias(c) for c in ("x0", "y0", "x1", "y1")), b["text"].alias("text")))))
+    lists = lists.withColumn("runs", F.transform("sizes", lambda n, k: run(k))).withColumn("placed", F.filter(placed, lambda b: b.isNotNull()))
+    bare = lambda b: F.struct(*(b[c].alias(c) for c in ("band", "box", "x0", "y0", "x1", "y1", "text")))
+    regions = F.transform(F.array_distinct(F.transform("placed", lambda b: b["run"])), lambda r: F.struct(r.alias("run"), F.transform(F.filter("placed", lambda b: b["run"] == r), bare).alias("b")))
+    found = lists.select(page, "med", F.explode_outer(regions).alias("r")).select(page, F.concat_ws(":", page, "r.run").alias("region"), "med", F.col("r.b").alias("b")).where("b IS NOT NULL")
+    xs = clusters(F.sort_array(F.transform("b", lambda b: b["x0"])), COLUMN * F.col("med"))
+    length = median_of(F.transform("b", lambda b: F.coalesce(F.length(b["text"]), F.lit(0))))
+    # One column of all, so that no filter computes them a second time.
+    judged = found.withColumn("j", F.struct(xs.alias("xs"), F.size(F.array_distinct(F.transform("b", lambda b: b["band"]))).alias("bands"), length.alias("length")))
+    return judged.where("j.bands >= 2 AND size(j.xs) >= 2 AND (j.bands >= 3 OR size(j.xs) >= 3) AND j.length < 40").select(page, "region", "med", "j.xs", "b")
 
 
 def table_candidates(boxes: DataFrame, page: str) -> DataFrame:
@@ -359,48 +370,44 @@ def table_candidates(boxes: DataFrame, page: str) -> DataFrame:
 
     Runs of consecutive bands of two boxes or more; of two bands at least, with three bands or three columns, two columns, and a median text
     under 40 characters. Pages of fewer than four boxes have none."""
-    rows = boxes.select(F.col(page).alias("page"), "box", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), "text").where("x0 IS NOT NULL AND y0 IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL")
-    rows = rows.withColumns({"med": middle(F.col("y1") - F.col("y0"), ["page"]), "own": F.count("*").over(W.partitionBy("page"))}).where("own >= 4").drop("own").withColumn("tol", ROW * F.col("med"))
-    rows = row_bands(rows, "page", "tol").withColumn("in_band", F.count("*").over(W.partitionBy("page", "band")))
-    # A band of one box parts two runs.
-    single = F.when(F.col("in_band") < 2, F.col("band"))
-    rows = rows.withColumn("run", F.coalesce(F.max(single).over(W.partitionBy("page").orderBy("band").rangeBetween(W.unboundedPreceding, 0)), F.lit(-1))).where("in_band >= 2")
-    rows = materialize(rows.withColumns({"region": F.concat_ws(":", "page", "run"), "wide": COLUMN * F.col("med")}))
-    columns = anchors(rows, ["region"], "x0", "wide").groupBy("region").agg(F.count("*").alias("columns"))
-    runs = rows.groupBy("region").agg(F.count_distinct("band").alias("bands"), F.median(F.coalesce(F.length("text"), F.lit(0))).alias("length")).join(columns, "region")
-    fine = runs.where("bands >= 2 AND columns >= 2 AND (bands >= 3 OR columns >= 3) AND length < 40").select("region")
-    return rows.join(fine, "region", "left_semi").select(F.col("page").alias(page), "region", "box", "x0", "y0", "x1", "y1", "text", "med")
+    return of_regions(candidate_lists(boxes, page), page)
+
+
+def of_regions(regions: DataFrame, page: str) -> DataFrame:
+    return regions.select(page, "region", "med", F.explode_outer("b").alias("b")).select(page, "region", *(f"b.{c}" for c in ("box", "x0", "y0", "x1", "y1", "text")), "med")
 
 
 def real_tables(boxes: DataFrame, rules: DataFrame, curves: DataFrame, page: str) -> DataFrame:
     """The boxes of table_candidates whose region is a table: ruled, or a regular grid, without curves.
 
+    rules as rulings gives them: levels that cross a region, covering COVERED of it, count; those within LEVEL are one.
     curves (page, x0, y0, x1, y1): more than two that touch a region speak for a drawing. Ruled is a region with two levels of rules across and two
     upright, or two columns; or two upright, one across and two columns. A grid has three bands or more of several boxes, three quarters of them
     of one number of boxes, and edges within 0.6 of the height from their columns in the median; a column of marks of two characters at most
     beside one of 28 in the median is a list."""
-    rows = materialize(table_candidates(boxes, page).withColumns({"tol": ROW * F.col("med"), "wide": COLUMN * F.col("med")}))
-    regions = materialize(rows.groupBy(page, "region").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.first("med").alias("med")))
-    lines = materialize(anchors(rows, ["region"], "x0", "wide"))
-    columns = lines.groupBy("region").agg(F.count("*").alias("columns"))
-    c = curves.select(page, *(F.col(k).cast("double").alias(f"c_{k}") for k in ("x0", "y0", "x1", "y1")))
-    touching = regions.join(c, page).where("c_x1 >= x0 AND c_x0 <= x1 AND c_y1 >= y0 AND c_y0 <= y1").groupBy("region").agg(F.count("*").alias("curves"))
-    near = against(rows.withColumn("at", F.col("x0")), lines, ["region"]).select("region", "box", "x0", "text", "near").join(lines.select("region", F.col("line").alias("near"), F.col("at").alias("line_at")), ["region", "near"])
-    length = F.length(stripped(F.coalesce("text", F.lit(""))))
-    by_column = near.groupBy("region", "near").agg((F.max(length) <= 2).alias("marks"), (F.median(length) >= 28).alias("prose"))
-    lists = by_column.groupBy("region").agg((F.count("*") == 2).alias("two"), F.max("marks").alias("marks"), F.max("prose").alias("prose")).select("region", F.expr("two AND marks AND prose").alias("two_sided"))
-    lists = lists.join(columns, "region").select("region", (F.col("two_sided") & (F.col("columns") == 2)).alias("list"))
-    off = near.groupBy("region").agg(F.median(F.abs(F.col("line_at") - F.col("x0"))).alias("off"))
-    bands = row_bands(rows.select("region", "box", "y0", "y1", "tol"), "region", "tol").groupBy("region", "band").agg(F.count("*").alias("n")).where("n >= 2")
-    counts = bands.groupBy("region", "n").agg(F.count("*").alias("bands"))
-    regular = counts.groupBy("region").agg(F.sum("bands").alias("bands"), (F.max("bands") / F.sum("bands")).alias("share"))
-    judged = regions
-    for part in (rule_levels(regions, rules, page), columns, touching, lists, off, regular):
-        judged = judged.join(part, "region", "left")
-    ruled = F.expr("y_levels >= 2 AND (x_levels >= 2 OR columns >= 2) OR x_levels >= 2 AND y_levels >= 1 AND columns >= 2")
-    grid = F.expr("bands >= 3 AND share >= 0.75 AND off / med <= 0.6 AND NOT list")
-    fine = judged.where((F.coalesce("curves", F.lit(0)) <= 2) & (F.coalesce(ruled, F.lit(False)) | F.coalesce(grid, F.lit(False)))).select("region")
-    return rows.join(fine, "region", "left_semi").drop("tol", "wide")
+    ruled = rules.groupBy(F.col(page).alias("r_page")).agg(F.collect_list(F.struct("axis", "at", "low", "high")).alias("rules"))
+    drawn = curves.groupBy(F.col(page).alias("c_page")).agg(F.collect_list(F.struct(*(F.col(k).cast("double").alias(k) for k in ("x0", "y0", "x1", "y1")))).alias("curves"))
+    # Hash joins: the lists of boxes aren't sorted.
+    regions = candidate_lists(boxes, page).join(ruled.hint("shuffle_hash"), F.col(page) == F.col("r_page"), "left").join(drawn.hint("shuffle_hash"), F.col(page) == F.col("c_page"), "left")
+    side = lambda k: F.transform("b", lambda b: b[k])
+    regions = regions.withColumns({"x0": F.array_min(side("x0")), "y0": F.array_min(side("y0")), "x1": F.array_max(side("x1")), "y1": F.array_max(side("y1"))})
+    touching = F.size(F.filter("curves", lambda c: (c["x1"] >= F.col("x0")) & (c["x0"] <= F.col("x1")) & (c["y1"] >= F.col("y0")) & (c["y0"] <= F.col("y1"))))
+
+    def levels(axis: str, along: str) -> Column:
+        a, b = F.col(f"{along}0"), F.col(f"{along}1")
+        crosses = lambda r: (r["axis"] == axis) & r["at"].between(F.col(f"{axis}0") - LEVEL, F.col(f"{axis}1") + LEVEL) & (b > a) & (F.least(r["high"], b) - F.greatest(r["low"], a) >= COVERED * (b - a))
+        return F.coalesce(F.size(clusters(F.sort_array(F.transform(F.filter("rules", crosses), lambda r: r["at"])), F.lit(LEVEL))), F.lit(0))
+
+    length = F.transform("b", lambda b: F.struct(nearest(F.col("xs"), b["x0"]).alias("near"), F.length(stripped(F.coalesce(b["text"], F.lit("")))).alias("n"), b["x0"].alias("x0")))
+    regions = regions.withColumns({"near": length, "counts": let(F.transform("b", lambda b: b["band"]), lambda of: F.transform(F.array_distinct(of), lambda k: F.size(F.filter(of, lambda o: o == k))))})
+    off = median_of(F.transform("near", lambda n: F.abs(F.get("xs", n["near"]) - n["x0"])))
+    alike = F.array_max(F.transform("counts", lambda k: F.size(F.filter("counts", lambda o: o == k))))
+    own = lambda k: F.transform(F.filter("near", lambda n: n["near"] == k), lambda n: n["n"])
+    marks, prose = (lambda k: F.array_max(own(k)) <= 2), (lambda k: median_of(own(k)) >= 28)
+    is_list = (F.size("xs") == 2) & F.coalesce(F.greatest(marks(0), marks(1)), F.lit(False)) & F.coalesce(F.greatest(prose(0), prose(1)), F.lit(False)) & (F.size(F.array_distinct(F.transform("near", lambda n: n["near"]))) == 2)
+    judged = regions.withColumn("j", F.struct(F.coalesce(touching, F.lit(0)).alias("curves"), levels("y", "x").alias("y"), levels("x", "y").alias("x"), F.size("xs").alias("columns"), F.size("counts").alias("bands"), (alike / F.size("counts")).alias("share"), (off / F.col("med")).alias("off"), is_list.alias("list")))
+    fine = judged.where("j.curves <= 2 AND (j.y >= 2 AND (j.x >= 2 OR j.columns >= 2) OR j.x >= 2 AND j.y >= 1 AND j.columns >= 2 OR j.bands >= 3 AND j.share >= 0.75 AND j.off <= 0.6 AND NOT j.list)")
+    return of_regions(fine, page)
 
 
 def area(x0: str | Column, y0: str | Column, x1: str | Column, y1: str | Column) -> Column:
