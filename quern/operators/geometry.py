@@ -5,13 +5,11 @@ and downwards. Rows with a null coordinate, or without extent where one is wante
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from quern.functions.text import numbering_depth, stripped
 from quern.operators.graph import components
@@ -33,36 +31,15 @@ THICK, LONG, LEVEL, COVERED = 2.0, 8.0, 3.0, 0.55
 FIGURE, MARGIN, MARK, CELLS, STROKES, CURVES = (0.015, 0.96), 0.10, 0.06, 24, 24, 8
 
 
-def labelled(rows: DataFrame, key: str, order: list[str], value: str, width: str, join: Callable[[list, float, float], int]) -> DataFrame:
-    """rows with label: join(groups, value, width) for each row of a key in order; groups is a list of the key's own that join keeps.
-
-    Where a row belongs depends on those before, so a key's rows go by one after the other: each task reads its rows sorted, batch by batch, and
-    holds the groups of one key. The key isn't null."""
-    ordered = rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, groups = None, []
-        for batch in batches:
-            labels = []
-            for k, v, w in zip(*(batch.column(c).to_pylist() for c in (key, value, width)), strict=True):
-                if k != now:
-                    now, groups = k, []
-                labels.append(join(groups, v, w))
-            yield batch.append_column("label", pa.array(labels, pa.int32()))
-
-    return ordered.mapInArrow(run, rows.schema.add("label", IntegerType()))
-
-
-def first_anchor(groups: list, v: float, width: float) -> int:
-    """A group begins where a value is further than width from the group's first one."""
-    if not groups or abs(v - groups[-1]) > width:
-        groups.append(v)
-    return len(groups) - 1
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def middle(height: Column, keys: list[str]) -> Column:
-    """The median of the positive heights of a page, 10 without any."""
-    return F.coalesce(F.median(F.when(height > 0, height)).over(W.partitionBy(*keys)), F.lit(10.0))
+def median_of(values: Column) -> Column:
+    """The median of an array, null for an empty one."""
+    at = lambda v, k: F.get(v, F.floor((F.size(v) - k) / 2).cast("int"))
+    return let(F.sort_array(values), lambda v: 0.5 * at(v, 1) + 0.5 * at(v, 0))
 
 
 def lines_of_words(words: DataFrame, page: str) -> DataFrame:
@@ -71,18 +48,40 @@ def lines_of_words(words: DataFrame, page: str) -> DataFrame:
     Words in the order of their tops (to a tenth) and left edges are one line while they lie within LINE of its first word. A line is parted where the
     gap is over PART times the type size (that of the word, else of the one before, else 10). Blank words go; a segment is bold if more than half
     of its characters are in bold words."""
-    rows = words.select(page, "word", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "size")), "text", "bold").where((stripped(F.col("text")) != "") & F.col("x0").isNotNull() & F.col("y0").isNotNull())
-    rows = rows.withColumns({"tenth": F.round("y0", 1), "width": F.lit(LINE)})
-    lines = labelled(rows, page, ["tenth", "x0", "word"], "y0", "width", first_anchor).withColumnRenamed("label", "line")
-    order = W.partitionBy(page, "line").orderBy("x0", "tenth", "word")
-    size = F.coalesce(F.nullif("size", F.lit(0.0)), F.nullif(F.lag("size").over(order), F.lit(0.0)), F.lit(10.0))
-    apart = F.coalesce(F.col("x0") - F.lag("x1").over(order) > PART * size, F.lit(False))
-    parted = lines.withColumn("apart", apart.cast("int")).withColumn("segment", F.sum("apart").over(order.rowsBetween(W.unboundedPreceding, 0)).cast("int")).withColumn("n", F.row_number().over(order))
-    text = stripped(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda w: w["text"]), " "))
-    found = parted.groupBy(page, "line", "segment").agg(
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), text.alias("text"), F.median(F.coalesce("size", F.lit(0.0))).alias("size"),
-        F.sum(F.when(F.coalesce("bold", F.lit(False)), F.length("text")).otherwise(0)).alias("b"))
-    return found.withColumn("bold", F.col("b") > 0.5 * F.length("text")).drop("b")
+    tenth = F.round(F.col("y0").cast("double"), 1).alias("tenth")
+    rows = words.select(page, "word", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "size")), "text", F.coalesce("bold", F.lit(False)).alias("bold"), tenth)
+    rows = rows.where(F.col(page).isNotNull() & (stripped(F.col("text")) != "") & F.col("x0").isNotNull() & F.col("y0").isNotNull())
+    fields = ["x0", "tenth", "word", "y0", "x1", "y1", "size", "text", "bold"]
+    lists = rows.groupBy(page).agg(F.sort_array(F.collect_list(F.struct("tenth", "x0", "word", *fields[3:]))).alias("l"))
+    lists = lists.withColumn("lines", anchored(F.transform("l", lambda w: w["y0"]), LINE))
+    # The words by line and left edge, and where segments begin among them.
+    lists = lists.withColumn("w", F.sort_array(F.transform("l", lambda w, i: F.struct(F.get("lines", i).alias("line"), *(w[c].alias(c) for c in fields)))))
+    some = lambda size: F.nullif(size, F.lit(0.0))
+    apart = lambda a, b: (a["line"] != b["line"]) | F.coalesce(b["x0"] - a["x1"] > PART * F.coalesce(some(b["size"]), some(a["size"]), F.lit(10.0)), F.lit(False))
+    begins = F.filter(F.transform("w", lambda w, i: F.when((i == 0) | apart(F.get("w", F.greatest(i - 1, F.lit(0))), w), i)), lambda i: i.isNotNull())
+    lists = lists.withColumn("begins", begins)
+    line = lambda i: F.get("w", i)["line"]
+
+    def segment(own: Column, before: Column) -> Column:
+        of = lambda c: F.transform(own, lambda w: w[c])
+        size = median_of(F.transform(own, lambda w: F.coalesce(w["size"], F.lit(0.0))))
+        heavy = F.aggregate(own, F.lit(0), lambda n, w: n + F.when(w["bold"], F.length(w["text"])).otherwise(0))
+        return let(stripped(F.array_join(of("text"), " ")), lambda text: F.struct(
+            F.get(own, F.lit(0))["line"].alias("line"), before.alias("segment"), F.array_min(of("x0")).alias("x0"), F.array_min(of("y0")).alias("y0"), F.array_max(of("x1")).alias("x1"), F.array_max(of("y1")).alias("y1"),
+            text.alias("text"), size.alias("size"), (heavy > 0.5 * F.length(text)).alias("bold")))
+
+    before = lambda i: F.size(F.filter("begins", lambda j: (j < i) & (line(j) == line(i))))
+    segments = F.transform("begins", lambda i, k: let(F.slice("w", i + 1, F.coalesce(F.get("begins", k + 1), F.size("w")) - i), lambda own: segment(own, before(i))))
+    return lists.select(page, F.explode_outer(segments).alias("s")).select(page, "s.*")
+
+
+def anchored(values: Column, width: float) -> Column:
+    """The number of the group, from 0, of each value of an array: a group begins where a value is further than width from the group's first one."""
+    start = F.struct(F.array().cast("array<int>").alias("groups"), F.lit(None).cast("double").alias("first"))
+    last = lambda s: F.coalesce(F.try_element_at(s["groups"], F.lit(-1)), F.lit(-1))
+    state = lambda s, k, first: F.struct(F.concat(s["groups"], F.array(k)).alias("groups"), first.alias("first"))
+    add = lambda s, v: F.when(F.abs(v - s["first"]) <= width, state(s, last(s), s["first"])).otherwise(state(s, last(s) + 1, v))
+    return F.aggregate(values, start, add, lambda s: s["groups"])
 
 
 def gaps(start: str, end: str, keys: list[str]) -> tuple[Column, Column]:
@@ -170,37 +169,8 @@ def uncut_rows(rows: DataFrame) -> DataFrame:
             return done
 
 
-def anchors(rows: DataFrame, keys: list[str], value: str, width: str) -> DataFrame:
-    """keys, line (from 0), at: clusters of values along a line, a new one where the gap to the last value is over width; at is a cluster's mean."""
-    order = W.partitionBy(*keys).orderBy(value)
-    rows = rows.withColumn("fresh", F.coalesce(F.col(value) - F.lag(value).over(order) > F.col(width), F.lit(False)).cast("int"))
-    numbered = rows.withColumn("line", F.sum("fresh").over(order.rangeBetween(W.unboundedPreceding, 0)).cast("int"))
-    return numbered.groupBy(*keys, "line").agg(F.avg(value).alias("at"))
-
-
-def against(points: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
-    """points (keys, at and others) with below and upto, how many of the key's lines (keys, at) lie before it and up to it, and near, the number of the nearest line (the lesser of two).
-
-    One sort of both together, in place of a join of each point with all lines."""
-    marks = lines.select(*keys, F.col("at").cast("double").alias("at"), F.lit(1).alias("is_line"), F.lit(None).cast(points.select(F.struct("*")).schema[0].dataType).alias("row"))
-    both = marks.union(points.select(*keys, F.col("at").cast("double"), F.lit(0), F.struct("*")))
-    order = W.partitionBy(*keys).orderBy("at")
-    line = F.when(F.col("is_line") == 1, F.col("at"))
-    met = both.withColumns({
-        "upto": F.sum("is_line").over(order.rangeBetween(W.unboundedPreceding, 0)), "here": F.sum("is_line").over(order.rangeBetween(0, 0)),
-        "last": F.max(line).over(order.rangeBetween(W.unboundedPreceding, 0)), "next": F.min(line).over(order.rangeBetween(0, W.unboundedFollowing))}).where("is_line = 0")
-    lower = F.col("next").isNull() | (F.col("at") - F.col("last") <= F.col("next") - F.col("at"))
-    near = F.when(F.col("last").isNull(), 0).when(lower, F.col("upto") - 1).otherwise(F.col("upto"))
-    return met.select("row.*", (F.col("upto") - F.col("here")).cast("int").alias("below"), F.col("upto").cast("int").alias("upto"), near.cast("int").alias("near"))
-
-
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is computed once, however often f names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def clusters(values: Column, width: Column) -> Column:
-    """The means of the clusters of an array of sorted values: as anchors, within a row."""
+    """The means of the clusters of an array of sorted values, a new one where the gap to the last value is over width."""
     start = F.struct(F.array().cast("array<double>").alias("means"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(None).cast("double").alias("last"))
     state = lambda means, total, n, last: F.struct(means.alias("means"), total.alias("sum"), n.alias("n"), last.alias("last"))
     closed = lambda s: F.concat(s["means"], F.array(s["sum"] / s["n"]))
@@ -221,12 +191,6 @@ def nearest(lines: Column, v: Column) -> Column:
     return let(upto(lines, v), lambda u: F.when(u == 0, 0).when((u == F.size(lines)) | (v - F.get(lines, u - 1) <= F.get(lines, u) - v), u - 1).otherwise(u))
 
 
-def median_of(values: Column) -> Column:
-    """The median of an array, null for an empty one."""
-    at = lambda v, k: F.get(v, F.floor((F.size(v) - k) / 2).cast("int"))
-    return let(F.sort_array(values), lambda v: 0.5 * at(v, 1) + 0.5 * at(v, 0))
-
-
 def middle_of(heights: Column) -> Column:
     """The median of the positive numbers of an array, 10 without any."""
     return F.coalesce(median_of(F.filter(heights, lambda h: h > 0)), F.lit(10.0))
