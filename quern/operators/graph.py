@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import entity_name
-from quern.sources.tables import materialize
+from quern.sources.tables import discard, materialize, scratch_dir
 
 # The types of entities and relations that come without one.
 ENTITY, RELATED = "Entity", "相关"
+#: Nodes of more pairs than this are looked up in a broadcast.
+HEAVY = 1 << 20
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -39,27 +41,63 @@ def multihop(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     return reached.groupBy("seed", "node").agg(F.min("hop").alias("hop"))
 
 
-def stars_only(pairs: DataFrame) -> bool:
-    """Whether every node a of the pairs (a, b) has one b, which is nobody's a: each component is then a star around its least node."""
-    ends = pairs.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("low")).union(pairs.select("b", F.lit(0), F.lit(1)))
-    return ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("low").alias("low")).where("up > 1 OR up = 1 AND low = 1").isEmpty()
+def looked_up(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """rows with m, joined by key to found (key, m, n: a written table with one row for each key, n how many rows have it).
+
+    Keys of more than HEAVY rows meet in a broadcast, so none of them makes a large partition; there is at most one of them for every HEAVY rows."""
+    heavy = found.where(F.col("n") > HEAVY).drop("n")
+    if heavy.isEmpty():
+        return rows.join(found.drop("n"), key)
+    return rows.join(F.broadcast(heavy), key).unionByName(rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(found.drop("n"), key))
+
+
+def stars(pairs: DataFrame) -> DataFrame:
+    """a, b of pairs (a, b) of numbers, a > b, each once: every node and the one that stands for its component, which has no row.
+
+    Large-star and small-star steps in turn, each an aggregation and a join; every round is a table in the shared folder, and tables go as soon as
+    nothing reads them. Rows of a node are summed up by partial aggregation and looked up by looked_up(), so a node with very many edges is no problem.
+    It ends when every node a has one b, which is nobody's a; that is checked exactly."""
+    spark, path = pairs.sparkSession, scratch_dir(pairs.sparkSession)
+    pairs = materialize(pairs, path)
+    while True:
+        at = [scratch_dir(spark) for _ in range(4)]
+        ends = pairs.select("a", "b", F.lit(1).alias("up")).union(pairs.select("b", "a", F.lit(0)))
+        sides = materialize(ends.groupBy("a").agg(F.min("b").alias("m"), F.sum("up").alias("up"), F.min("up").alias("low"), F.count("*").alias("n")), at[0])
+        if sides.where("up > 1 OR up = 1 AND low = 0").isEmpty():
+            discard(spark, at[0])
+            return pairs
+        # What comes of a pair (a, b), a > b, at b's star is (a, least of b); it is smaller than a, so the second step needs no further check.
+        large = materialize(looked_up(pairs, "b", sides.selectExpr("a AS b", "least(a, m) AS m", "n")).select("a", F.col("m").alias("b")), at[1])
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), at[2])
+        pairs = materialize(looked_up(large, "a", least).selectExpr("b AS a", "m AS b").union(least.select("a", "m")).where("a <> b").distinct(), at[3])
+        for done in (path, *at[:3]):
+            discard(spark, done)
+        path = at[3]
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """node, component (its least node) of edges between numbers or strings; a node that only has an edge to itself, or to null, doesn't appear.
 
-    Large-star and small-star steps in turn, each an aggregation and a join; every round is a table in the shared folder. Rows of a node are
-    summed up by partial aggregation, so a node with very many edges is no problem. It ends when only stars are left, which is checked exactly."""
+    Strings are worked on as numbers of 64 bits by hash, which are checked to differ for all nodes (if not, others are drawn), and named at the end."""
     a, b = F.col(src), F.col(dst)
-    pairs = materialize(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
-    while not stars_only(pairs):
-        both = pairs.union(pairs.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m")
-        # What comes of a pair (a, b), a > b, at b's star is (a, least of b); it is smaller than a, so the second step needs no further check.
-        large = pairs.join(least.withColumnRenamed("a", "b"), "b").select("a", F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        pairs = materialize(large.join(least, "a").selectExpr("b AS a", "m AS b").union(least.select("a", "m")).where("a <> b").distinct())
-    return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(pairs.select("b", "b").distinct())
+    edges = edges.where(a != b)
+    if "string" not in dict(edges.select(a, b).dtypes).values():
+        pairs = stars(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
+        return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(pairs.select("b", "b").distinct())
+    seed = 0
+    names = materialize(edges.select(a.cast("string").alias("node")).union(edges.select(b.cast("string"))).distinct())
+    while not names.groupBy(numbered(F.col("node"), seed).alias("a")).count().where("count > 1").isEmpty():
+        seed += 1
+    a, b = (numbered(c.cast("string"), seed) for c in (a, b))
+    pairs = stars(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
+    every = pairs.select("a", F.col("b").alias("c")).union(pairs.select("b", "b").distinct())
+    named = materialize(names.select("node", numbered(F.col("node"), seed).alias("a")).join(every, "a").select("node", "c"))
+    first = materialize(named.groupBy("c").agg(F.min("node").alias("m"), F.count("*").alias("n")))
+    return looked_up(named, "c", first).select("node", F.col("m").alias("component"))
+
+
+def numbered(name: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), name)
 
 
 def bypass(edges: DataFrame, glue: DataFrame, rounds: int = 50) -> DataFrame:

@@ -204,7 +204,7 @@ def graph_multihop(spark, d):
 @query()
 def connected_components(spark, d):
     """Of all orders and suppliers by lines; tests compare it with union and find."""
-    return graph.components(supply(spark, d).distinct())
+    return graph.components(supply(spark, d))
 
 
 @query("""WITH first AS (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark),

@@ -40,6 +40,23 @@ def test_components(spark):
     assert graph.components(chain.limit(0)).count() == 0
 
 
+def test_components_of_hubs_and_of_names_with_equal_numbers(spark, monkeypatch):
+    """Rows of a node with many edges stay in their partitions, and names whose numbers are equal get others."""
+    monkeypatch.setattr(graph, "HEAVY", 20)
+    monkeypatch.setattr(graph, "numbered", lambda name, seed: F.pmod(F.xxhash64(F.lit(seed), name), F.lit(1 << 40 if seed else 16)))
+    edges = [(f"o{k % 70}", f"s{k % 3}") for k in range(210)] + [(f"p{k}", "a") for k in range(40)] + [("z", None), ("y", "y"), ("q1", "q2")]
+    got = graph.components(spark.createDataFrame(edges, "src string, dst string")).collect()
+    assert {r.node: r.component for r in got} == union_find([e for e in edges if e[1] and e[0] != e[1]]) and len(got) == len({r.node for r in got})
+    star = spark.range(1000).select(F.col("id").alias("a"), F.lit(-1).cast("long").alias("b")).repartition(4)
+    found = materialize(spark.createDataFrame([(-1, -7, 1000), (5, 6, 1)], "b long, m long, n long"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = graph.looked_up(star, "b", found).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("m").alias("m")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r.n for r in parts) == 1000 and max(r.n for r in parts) < 500 and {r.m for r in parts} == {-7}
+
+
 def test_bypass(spark):
     """graph_small: a chain of nodes to pass by, a cycle among them, and one without a way out."""
     edges = spark.createDataFrame([("a", "g1"), ("g1", "g2"), ("g2", "b"), ("a", "g3"), ("c", "g4"), ("g4", "c"), ("g1", "g1"), ("a", "d")], "src string, dst string")
