@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from quern.sources.tables import weight
+from quern.sources.tables import materialize, weight
 
 #: Names go to tasks in shards of so many bytes, as do queries, of which a shard has QUERIES at most: an automaton, or a table of queries' trigrams, takes some 200 MB at most. Each shard is one pass over the texts.
 SHARD_BYTES, QUERY_BYTES, QUERIES = 4 << 20, 1 << 18, 512
@@ -160,3 +160,51 @@ def contained(docs: DataFrame, names: DataFrame) -> DataFrame:
         return texts.mapInArrow(run, "doc_id long, name string") if listed else texts.limit(0).select("doc_id", F.lit("").alias("name"))
 
     return reduce(DataFrame.union, (found([r.name for r in rows]) for rows in shards(names, SHARD_BYTES, SHARD_BYTES)))
+
+
+def most_contained(docs: DataFrame, sought: DataFrame, n: int) -> DataFrame:
+    """query_id, doc_id, hits: for each query the n best documents (doc_id, text) of each task, by how many of its names they contain in any case, then by doc_id; sought: query_id, name in lower case.
+
+    Names of a query stay in one shard, so tasks count and rank alone, and only the n best of each query leave them. Rows without a doc_id, or
+    of one that occurs again, count as one document each id; they are counted by a shuffle. Blank and null names are in no text."""
+    sought = sought.where("query_id IS NOT NULL AND name <> ''").select("query_id", "name").distinct()
+    docs = docs.select("doc_id", "text")
+    twice = materialize(docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("id")))
+    more = None
+    if not twice.isEmpty():
+        several = contained(docs.join(twice, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"), sought)
+        more = several.join(sought, "name").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"))
+        docs = docs.join(twice, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
+    texts = spread(docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")))
+
+    def matches(rows: list[tuple[int, list[str]]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            listed, best = sorted({x for _, names in rows for x in names}), Best(len(rows), n)
+            number, found = {x: k for k, x in enumerate(listed)}, automaton(listed)
+            askers: list[list[int]] = [[] for _ in listed]
+            for k, (_, names) in enumerate(rows):
+                for x in names:
+                    askers[number[x]].append(k)
+            own = [np.array(x) for x in askers]
+            for batch in batches:
+                for first in range(0, batch.num_rows, 256):
+                    part, rows_of = batch.slice(first, 256), []
+                    for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                        if inside := {k for _, places in found.iter(text) for k in places}:
+                            hits = np.bincount(np.concatenate([own[k] for k in inside]), minlength=len(rows)).astype(np.float64)
+                            query = np.flatnonzero((hits > 0) & (hits >= best.floor))
+                            rows_of.append((query, np.full(len(query), doc), hits[query]))
+                    if rows_of:
+                        best.add(*map(np.concatenate, zip(*rows_of, strict=True)))
+            query, doc, hits = best.cut()
+            ids = np.array([i for i, _ in rows], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(doc), pa.array(hits.astype(np.int64))], ["query_id", "doc_id", "hits"])
+
+        return texts.mapInArrow(run, "query_id long, doc_id long, hits long")
+
+    asked = materialize(sought.groupBy("query_id").agg(F.collect_list("name").alias("names"), F.sum(F.octet_length("name")).alias("size")))
+    bytes_, count = asked.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    parts = max(1, -(-bytes_ // SHARD_BYTES), -(-count // QUERIES))
+    shares = (asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k).collect() for k in range(parts))
+    ranked = reduce(DataFrame.union, (matches([(r.query_id, r.names) for r in rows]) for rows in shares))
+    return ranked if more is None else ranked.unionByName(more)

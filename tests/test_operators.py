@@ -185,6 +185,27 @@ def test_contained_equals_all_pairs(spark, monkeypatch):
     assert lexical.contained(docs, names.limit(0)).count() == 0
 
 
+def test_graph_recall_ranks_in_tasks(spark, monkeypatch):
+    """In shards of few queries, with repeated and null ids, against plain loops; tasks give no more than the best of each query."""
+    rows = [(k, f"{'aa ' if k % 2 else ''}{'bb ' if k % 3 else ''}{'CC' if k % 5 == 0 else ''}") for k in range(60)] + [(7, "bb cc"), (None, "aa"), (None, "AA bb"), (70, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    asked = {q: {"aa", "bb", "cc"} - {"aa bb cc".split()[q % 3]} for q in range(7)}
+    sought = spark.createDataFrame([(q, x) for q, own in asked.items() for x in own] + [(1, ""), (1, None)], "query_id long, name string")
+    want = set()
+    for q, own in asked.items():
+        hits = {}
+        for d, t in rows:
+            if held := sum(x in (t or "").lower() for x in own):
+                hits[d] = hits.get(d, 0) + held
+        want |= {(q, d, h) for d, h in sorted(hits.items(), key=lambda x: (-x[1], x[0] is not None, x[0] or 0))[:4]}
+    for shard in (lexical.QUERIES, 2):
+        monkeypatch.setattr(lexical, "QUERIES", shard)
+        got = recall.top(lexical.most_contained(docs, sought, 4), 4, "hits", "doc_id").collect()
+        assert {(r.query_id, r.doc_id, r.hits) for r in got} == want and len(got) == len(want)
+    most = lexical.most_contained(docs.where("doc_id BETWEEN 8 AND 60").coalesce(1), sought, 4)
+    assert most.count() <= 4 * 7 * spark.sparkContext.defaultParallelism
+
+
 def test_merges_with_nulls(spark):
     rows = spark.createDataFrame([(1, "a", "fact"), (2, "b", "event"), (None, "c", None)], "id long, content string, kind string")
     changes = spark.createDataFrame([("UPDATE", 1, " x ", "nonsense", 10), ("update", 1, "y", "event", 11), ("UPDATE", 2, " ", "fact", 12), ("UPDATE", 3, "z", "fact", 13), ("ADD", None, "new", None, 14), ("DROP", 1, "q", "fact", 15)], "op string, id long, content string, kind string, at long")
