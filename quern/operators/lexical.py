@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -16,10 +18,12 @@ from quern.sources.tables import materialize, weight
 
 #: Names go to tasks in shards of so many bytes, as do queries, of which a shard has QUERIES at most: an automaton, or a table of queries' trigrams, takes some 200 MB at most. Each shard is one pass over the texts.
 SHARD_BYTES, QUERY_BYTES, QUERIES = 4 << 20, 1 << 18, 512
-#: A product of matrices has at most so many cells of trigrams of texts.
-CELLS = 1 << 22
-#: A task holds at most about so many candidates before it keeps the best ones alone, and trigrams of so many words, in two generations.
-CANDIDATES, CACHED = 1 << 20, 1 << 16
+#: A product of matrices has at most so many cells of trigrams of texts, and so many texts, of about so many bytes; trigrams are made of so many characters at a time.
+CELLS, TEXTS, TEXT_BYTES, BLOCK = 1 << 22, 256, 1 << 20, 1 << 18
+#: A task holds at most about so many candidates, or twice those that it keeps, before it keeps the best ones alone.
+CANDIDATES = 1 << 17
+#: The bits of a trigram.
+_GRAM = 54
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -41,38 +45,54 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-class Grams:
-    """The trigrams of texts in lower case: of words of letters and digits, two blanks before and one after each."""
+@cache
+def letters() -> np.ndarray:
+    """For each code point its number among letters and digits, from 1, which takes 18 bits; 0 for all others."""
+    marks = np.zeros(sys.maxunicode + 1, bool)
+    for run in _WORD.finditer("".join(map(chr, range(sys.maxunicode + 1)))):
+        marks[run.start() : run.end()] = True
+    return np.where(marks, np.cumsum(marks), 0).astype(np.int32)
+
 
-    def __init__(self) -> None:
-        self.recent: dict[str, frozenset[str]] = {}
-        self.older: dict[str, frozenset[str]] = {}
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers of x in order: by a sort, which is several times faster here than numpy's unique."""
+    x = np.sort(x)
+    return x[np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]])]
 
-    def word(self, word: str) -> frozenset[str]:
-        if (grams := self.recent.get(word)) is None:
-            if (grams := self.older.get(word)) is None:
-                padded = f"  {word} "
-                grams = frozenset(padded[k : k + 3] for k in range(len(padded) - 2))
-            if len(self.recent) >= CACHED:
-                self.older, self.recent = self.recent, {}
-            self.recent[word] = grams
-        return grams
 
-    def of(self, text: str) -> set[str]:
-        return set().union(*map(self.word, set(_WORD.findall(text))))
+class Grams:
+    """The trigrams of texts in lower case: of words of letters and digits, two blanks before and one after each. A trigram is a number of 54 bits, 18 for each character, a blank being 0."""
+
+    def keyed(self, texts: list[str]) -> np.ndarray:
+        """The distinct trigrams of each of at most TEXTS texts, in order, the text's place in the bits above 54; made of BLOCK characters at a time."""
+        starts = np.cumsum([2, *(len(t) + 1 for t in texts)])
+        data, end = "\n\n" + "\n".join([*texts, "\n"]), int(starts[-1])
+        found = [np.zeros(0, np.int64)]
+        for at in range(2, end, BLOCK):
+            n = min(BLOCK, end - at)
+            c = letters()[np.frombuffer(data[at - 2 : at + n + 1].encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+            here = np.flatnonzero(c[2 : n + 2])
+            x, y, z, after = (c[here + k] for k in range(4))
+            own = np.searchsorted(starts, here + at, "right") - 1 << _GRAM
+            last = after == 0
+            found.append(distinct(np.concatenate([own | np.where(y > 0, x, 0) << 36 | y << 18 | z, (own | y << 36 | z << 18)[last]])))
+        return found[1] if len(found) == 2 else distinct(np.concatenate(found))
+
+    def of(self, text: str) -> set[int]:
+        return set(self.keyed([text]).tolist())
 
 
 class Best:
     """The n best candidates (query, doc, score) of each query seen so far: by score, then by the lesser doc."""
 
     def __init__(self, queries: int, n: int) -> None:
-        self.n, self.floor, self.size = n, np.full(queries, -np.inf), 0
+        self.n, self.floor, self.size, self.most = n, np.full(queries, -np.inf), 0, CANDIDATES
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, query: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
         self.parts.append((query, doc, score))
         self.size += len(query)
-        if self.size > CANDIDATES:
+        if self.size > self.most:
             self.cut()
 
     def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,9 +104,21 @@ class Best:
         self.floor[query[full]] = score[full]
         kept = place < self.n
         self.parts, self.size = [(query[kept], doc[kept], score[kept])], int(kept.sum())
+        self.most = max(CANDIDATES, 2 * self.size)
         return self.parts[0]
 
 
+def slices(texts: pa.Array, rows: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts, of at most so many rows and about TEXT_BYTES together; one text is never cut."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        last = min(first + rows, max(first + 1, int(np.searchsorted(ends, before + TEXT_BYTES, "right"))))
+        yield first, last
+        first = last
+
+
 def automaton(names: list[str]) -> ahocorasick.Automaton:
     """Finds the places of names in their list; equal names share an entry."""
     found = ahocorasick.Automaton()
@@ -110,26 +142,28 @@ def best_matches(queries: DataFrame, docs: DataFrame, n: int, threshold: float =
     def matches(rows: list[tuple[int, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams, best = Grams(), Best(len(rows), n)
-            sets = [grams.of(q) for _, q in rows]
-            number = {g: k for k, g in enumerate(set().union(*sets))}
-            having = np.zeros((len(number), len(rows)), np.float32)
+            sets = [grams.keyed([q]) for _, q in rows]
+            known = distinct(np.concatenate([*sets, np.zeros(0, np.int64)]))
+            having = np.zeros((len(known), len(rows)), np.float32)
             for k, own in enumerate(sets):
-                having[[number[g] for g in own], k] = 1
+                having[np.searchsorted(known, own), k] = 1
             sizes = np.array([len(s) for s in sets], np.float64)
             names = automaton([q for _, q in rows if q]) if contained else None
             numbers = np.array([k for k, (_, q) in enumerate(rows) if q], np.int64)
-            step = max(1, min(256, CELLS // max(1, len(number))))
+            step = max(1, min(TEXTS, CELLS // max(1, len(known))))
             for batch in batches:
-                for first in range(0, batch.num_rows, step):
-                    part = batch.slice(first, step)
+                for first, last in slices(batch.column("text"), step):
+                    part = batch.slice(first, last - first)
                     listed = part.column("text").to_pylist()
-                    table, own_sizes = np.zeros((len(listed), len(number)), np.float32), np.zeros((len(listed), 1))
-                    for k, text in enumerate(listed):
-                        own = grams.of(text)
-                        own_sizes[k] = len(own)
-                        table[k, [number[g] for g in own & number.keys()]] = 1
+                    keys = grams.keyed(listed)
+                    text, gram = keys >> _GRAM, keys & (1 << _GRAM) - 1
+                    own_sizes, place = np.bincount(text, minlength=len(listed)), np.searchsorted(known, gram)
+                    place[place == len(known)] = 0
+                    held = np.flatnonzero(known[place] == gram) if len(known) else place[:0]
+                    table = np.zeros((len(listed), len(known)), np.float32)
+                    table[text[held], place[held]] = 1
                     shared = (table @ having).astype(np.float64)
-                    score = shared / np.maximum(sizes + own_sizes - shared, 1)
+                    score = shared / np.maximum(sizes + own_sizes[:, None] - shared, 1)
                     fits = score > threshold
                     if names is not None and len(numbers):
                         for k, text in enumerate(listed):

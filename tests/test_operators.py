@@ -1,5 +1,7 @@
 """Operators that SQL doesn't express, against brute force, and edge cases."""
 
+import tracemalloc
+
 import duckdb
 import numpy as np
 import pytest
@@ -147,6 +149,24 @@ def test_lexical_recall_in_shards_equals_all_pairs(spark, monkeypatch):
     assert got() == want
 
 
+def test_trigrams_of_words_and_what_a_task_keeps_of_them(spark, monkeypatch):
+    """Equal trigrams as in plain loops, in blocks of any size; nothing stays of the words that a task has seen."""
+    texts = ["", "a", "ab c", "x\ny z1", "日本語 текст_é", "a\U0001d7d8b  " * 3, "??"]
+    plain = lambda t: {f"  {w} "[k : k + 3] for w in lexical._WORD.findall(t) for k in range(len(w) + 1)}
+    grams = lexical.Grams()
+    for block in (1 << 18, 1, 3):
+        monkeypatch.setattr(lexical, "BLOCK", block)
+        assert all(len(grams.of(a)) == len(plain(a)) and len(grams.of(a) & grams.of(b)) == len(plain(a) & plain(b)) for a in texts for b in texts)
+    monkeypatch.undo()
+    tracemalloc.start()
+    try:
+        for k in range(0, 60_000, 6000):
+            grams.of(" ".join(f"w{j:x}" for j in range(k, k + 6000)))
+        assert tracemalloc.get_traced_memory()[0] < 1 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_vector_recall_in_shards(spark, monkeypatch):
     want = sorted(map(tuple, catalog.vector_topk(spark, SMALL).collect()))
     filtered = sorted(map(tuple, catalog.vector_topk_filtered(spark, SMALL).collect()))
