@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators import recall, retrieval
 from quern.plans import catalog
 from quern.plans.registry import SQL, query
-from quern.sources.tables import materialize, table
+from quern.sources.tables import materialize, small, table
 
 #: Sources as trees of two levels: a root, and a section for each language, with the beginning of its first document as summary.
 SECTIONS = r"""sections AS (SELECT source, lang AS node, lang AS title, left(arg_min(text, doc_id), 160) AS summary, row_number() OVER (PARTITION BY source ORDER BY lang) AS ord FROM documents GROUP BY source, lang),
@@ -77,6 +77,11 @@ def deep_hits(spark, d) -> DataFrame:
     return materialize(retrieval.deep(paths, recall.hybrid(lexical, by_vector)))
 
 
+def of_hits(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """The rows (doc_id and others) of documents that are hits; these are broadcast if they are few, so rows of others aren't shuffled."""
+    return rows.join(small(hits.select("doc_id").distinct()), "doc_id", "left_semi")
+
+
 DEEP = "WITH graph AS (" + SQL["graph_recall"] + "), " + PATHS + r""",
   fused AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS rrf FROM five GROUP BY ALL),
   best AS (SELECT query_id, doc_id, round(rrf, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) - 1 AS rank FROM fused QUALIFY rank < 8)"""
@@ -85,7 +90,8 @@ DEEP = "WITH graph AS (" + SQL["graph_recall"] + "), " + PATHS + r""",
 @query(f"{DEEP} SELECT query_id, doc_id, score, rank, 'deep' AS mode, source || ' / ' || lang AS citation FROM best LEFT JOIN documents USING (doc_id)")
 def retrieve_deep(spark, d):
     nodes, members = sections(spark, d)
-    cited = retrieval.cited(deep_hits(spark, d), members, nodes)
+    hits = deep_hits(spark, d)
+    cited = retrieval.cited(hits, of_hits(members, hits), nodes)
     return cited.select("query_id", "doc_id", "score", "rank", "mode", F.array_join("citation", " / ").alias("citation"))
 
 
@@ -94,8 +100,9 @@ def external_records(spark, d):
     """Deep hits in the form that other programs take; English documents have no title here."""
     nodes, members = sections(spark, d)
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.when(F.col("lang") != "en", F.col("lang")).otherwise("").alias("title"))
-    hits = retrieval.cited(deep_hits(spark, d), members, nodes).drop("source").join(docs, "doc_id").withColumn("source_id", F.col("doc_id"))
-    rows = retrieval.records(hits)
+    hits = deep_hits(spark, d)
+    cited = retrieval.cited(hits, of_hits(members, hits), nodes).drop("source")
+    rows = retrieval.records(cited.join(of_hits(docs, hits), "doc_id").withColumn("source_id", F.col("doc_id")))
     return rows.select("query_id", "rank", F.md5("content").alias("content_md5"), "score", "title", F.col("metadata.document_id").alias("document"), F.array_join("metadata.section_path", " / ").alias("section"))
 
 

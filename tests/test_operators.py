@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import graph, lexical, merging, recall
 from quern.plans import catalog
+from quern.plans import retrieval as deep
 from quern.sources.tables import discard, materialize, scratch_dir, small, table
 from tests.compare import SMALL, TABLES, assert_same
 
@@ -167,6 +168,14 @@ def test_trigrams_of_words_and_what_a_task_keeps_of_them(spark, monkeypatch):
         tracemalloc.stop()
 
 
+def test_texts_of_hits_are_not_shuffled(spark):
+    hits = spark.createDataFrame([(1,), (1,), (3,)], "doc_id long")
+    rows = deep.of_hits(catalog.texts(spark, SMALL), hits)
+    assert sorted(r.doc_id for r in rows.collect()) == [1, 3]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_vector_recall_in_shards(spark, monkeypatch):
     want = sorted(map(tuple, catalog.vector_topk(spark, SMALL).collect()))
     filtered = sorted(map(tuple, catalog.vector_topk_filtered(spark, SMALL).collect()))
