@@ -57,8 +57,10 @@ def tree_search(queries: DataFrame, candidates: DataFrame, nodes: DataFrame, mem
         front = picked.where(~leaf).select("query_id", "source", "source_rank", "share", F.col("node").alias("at"))
     order = W.partitionBy("query_id").orderBy("source_rank", "step", "place", "node")
     selected = selected.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= max_select)
-    below = descendants(tree_paths(nodes)).join(members.select("doc_id", "source", F.col("node").alias("below"), "ord"), ["source", "below"])
+    # A subtree's first documents are among the first of each section in it, so all others go before they meet the sections above theirs.
     first = W.partitionBy("source", "node").orderBy("ord", "doc_id")
+    few = members.select("doc_id", "source", "node", "ord").withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_node).drop("n")
+    below = descendants(tree_paths(nodes)).join(materialize(few).withColumnRenamed("node", "below"), ["source", "below"])
     below = below.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_node).select("source", "node", "doc_id", "n")
     rows = selected.join(below, ["source", "node"]).groupBy("query_id", "doc_id").agg(F.min(F.struct("turn", "n", "source", "node")).alias("f"))
     ranked = W.partitionBy("query_id").orderBy("f.turn", "f.n")

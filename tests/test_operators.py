@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import graph, lexical, merging, recall
+from quern.operators import graph, lexical, merging, recall, retrieval
 from quern.plans import catalog
 from quern.plans import retrieval as deep
 from quern.sources.tables import discard, materialize, scratch_dir, small, table
@@ -168,6 +168,18 @@ def test_trigrams_of_words_and_what_a_task_keeps_of_them(spark, monkeypatch):
         tracemalloc.stop()
 
 
+def test_tree_search_joins_the_first_members_of_a_section_alone(spark, monkeypatch):
+    """The first documents below a root come from two sections; no more than per_node of a section meet those above it."""
+    written, own = [], retrieval.materialize
+    monkeypatch.setattr(retrieval, "materialize", lambda df, *a: written.append(own(df, *a)) or written[-1])
+    nodes = spark.createDataFrame([("s", "root", None, "", "s", ""), ("s", "a", "root", "a", "cats", ""), ("s", "b", "root", "b", "dogs", ""), ("t", "root", None, "", "t", "")], "source string, node string, parent string, ord string, title string, summary string")
+    members = spark.createDataFrame([(k, "s", "a" if k % 3 else "b", k) for k in range(90)] + [(k, "t", "root", k) for k in range(90, 100)], "doc_id long, source string, node string, ord long")
+    queries, candidates = spark.createDataFrame([(1, "cats")], "query_id long, query string"), spark.createDataFrame([(1, "s", 0), (1, "t", 1)], "query_id long, source string, rank int")
+    got = retrieval.tree_search(queries, candidates, nodes, members, per_node=2).orderBy("rank").collect()
+    assert [(r.doc_id, r.node) for r in got] == [(1, "a"), (2, "a"), (0, "b"), (3, "b"), (90, "root"), (91, "root")]
+    assert [df.count() for df in written if "doc_id" in df.columns] == [6]
+
+
 def test_texts_of_hits_are_not_shuffled(spark):
     hits = spark.createDataFrame([(1,), (1,), (3,)], "doc_id long")
     rows = deep.of_hits(catalog.texts(spark, SMALL), hits)
