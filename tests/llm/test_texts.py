@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import sys
 import time
 from collections import Counter
 
@@ -107,6 +108,17 @@ def test_bpe_equals_library(spark):
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, r.decoded) for r in got) == want
 
 
+def test_bpe_keeps_words_in_few_bytes():
+    """Ids that are kept take 4 bytes each and a header; they stay the same when words have moved to the older ones."""
+    own = bpe.Codec(public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN)
+    text = " ".join(f"wörd{k:x},, {k}." for k in range(2000))
+    first = own.encode(text)
+    kept = own.recent
+    assert len(kept) > 4000 and all(sys.getsizeof(ids) <= sys.getsizeof(b"") + 4 * len(own.chunk(f" {word}")) for word, ids in kept.items())
+    own.older, own.recent = kept, {}
+    assert own.encode(text) == first == own.chunk(text)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=" \n\t\r'sé.9a　\x1c\x85中t", max_size=40))
 def test_bpe_splits(text):
