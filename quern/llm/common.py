@@ -80,15 +80,15 @@ def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str, rows: Callable[[pa.Array, pa.Array], dict]) -> DataFrame:
-    """Apply rows(ids, texts) to slices of df's texts, inside tasks; it returns a column of values for each field of schema.
+def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str, rows: Callable[[pa.Array, pa.Array], dict], size: int = SLICE_BYTES) -> DataFrame:
+    """Apply rows(ids, texts) to slices of df's texts, of about size bytes, inside tasks; it returns a column of values for each field of schema.
 
     Only the two columns are read, under names of their own, so other columns of df can have any name."""
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last in text_slices(batch, "text"):
+            for first, last in text_slices(batch, "text", size):
                 part = batch.slice(first, last - first)
                 out = rows(part.column("id"), part.column("text"))
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[k] for k in names)], names)

@@ -128,6 +128,22 @@ def test_bpe_splits(text):
     assert own.decode(ids).decode() == text
 
 
+def test_bpe_merges_new_words_together():
+    """Many new words are merged by one queue, bucket by bucket, to what each gives alone and the library gives."""
+    own = bpe.Codec(public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN)
+    draw = random.Random(6)
+    words = ["".join(draw.choices(["th", "an", "é", "aa", "中", "er", "x", "ing", "7", "ß", ",", "\n"], k=draw.randint(1, 9))).strip() + draw.choice(["", ".", ",\nAn", "'s"]) for _ in range(6000)]
+    texts = [" ".join(words[k : k + 60]) for k in range(0, 6000, 60)] + ["aaaa  aaaaaaa \n aaaaaa", " ", "", "x " + "ab" * 500]
+    pops, pop_all = [], own.queue.pop_all
+    own.queue.pop_all = lambda: pops.append(0) or pop_all()
+    want = [bpe.packed(encoder_once().encode_ordinary(x)) for x in texts]
+    assert own.encode_all(texts) == want
+    assert 0 < len(pops) < len(set(words)) / 4
+    assert own.encode_all(texts) == want == [bpe.packed(own.chunk(x)) for x in texts]
+    pieces = [x.encode() for x in ["aaaaaaaaa", "a", "aa", *words[:600]] if x]
+    assert own.merge_all(pieces) == [bpe.packed(own.merge(x)) for x in pieces]
+
+
 _ENCODER = []
 
 
