@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import entity_name
-from quern.sources.tables import discard, materialize, scratch_dir
+from quern.sources.tables import discard, materialize, scratch_dir, small
 
 # The types of entities and relations that come without one.
 ENTITY, RELATED = "Entity", "相关"
@@ -103,19 +103,40 @@ def numbered(name: Column, seed: int) -> Column:
 def bypass(edges: DataFrame, glue: DataFrame, rounds: int = 50) -> DataFrame:
     """Edges (src, dst) around nodes that only pass on (glue: node): p to g to s becomes p to s, until no edge ends at one, or for so many rounds.
 
-    Edges from a node to itself go; glue without a way in, or out, loses its edges."""
-    edges = materialize(edges.where("src <> dst").select("src", "dst").distinct())
-    names = glue.select(F.col("node").alias("g")).distinct()
+    Edges from a node to itself go; glue without a way in, or out, loses its edges. Ends are marked as glue once; edges without glue wait for the end, and
+    the rounds work on the others alone."""
+    names = small(materialize(glue.select(F.col("node").alias("g")).where("g IS NOT NULL").distinct()))
+    marked = edges.where("src <> dst").select("src", "dst")
+    for end in ("src", "dst"):
+        marked = marked.join(names.select(F.col("g").alias(f"{end}_g")), F.col(end) == F.col(f"{end}_g"), "left").withColumn(f"{end}_g", F.col(f"{end}_g").isNotNull())
+    done, live = marked.where("NOT src_g AND NOT dst_g").select("src", "dst"), materialize(marked.where("src_g OR dst_g").distinct())
     for _ in range(rounds):
-        into = edges.join(names, F.col("dst") == F.col("g"), "left_semi")
-        if into.isEmpty():
+        if live.where("dst_g").isEmpty():
             break
-        onward = edges.join(names, F.col("src") == F.col("g"), "left_semi").select(F.col("src").alias("via"), F.col("dst").alias("next"))
-        through = into.join(onward, F.col("dst") == F.col("via")).select("src", F.col("next").alias("dst")).where("src <> dst")
-        edges = materialize(edges.join(names, F.col("dst") == F.col("g"), "left_anti").union(through).distinct())
-    for end in ("src", "dst"):
-        edges = edges.join(names, F.col(end) == F.col("g"), "left_anti")
-    return edges
+        through = materialize(ways(live))
+        done = done.union(through.where("NOT src_g AND NOT dst_g").select("src", "dst"))
+        if through.where("dst_g").isEmpty():
+            break
+        live = materialize(live.where("NOT dst_g").union(through.where("src_g OR dst_g")).distinct())
+    return done.distinct()
+
+
+def ways(marked: DataFrame) -> DataFrame:
+    """src, dst, src_g, dst_g of distinct marked edges: from where an edge into glue starts to where one out of it ends, each once.
+
+    Nearly all ways of a dense graph repeat another, so they meet as numbers of 64 bits, which are checked to differ for all nodes, and are named in the end."""
+    into = marked.where("dst_g").select("src", F.col("dst").alias("via"), "src_g")
+    onward = marked.where("src_g").select(F.col("src").alias("via"), "dst", "dst_g")
+    names = materialize(into.select(F.col("src").cast("string").alias("node"), "src", F.col("src_g").alias("g")).union(onward.select(F.col("dst").cast("string"), "dst", "dst_g")).distinct())
+    seed = 0
+    while not names.groupBy(numbered(F.col("node"), seed).alias("a")).count().where("count > 1").isEmpty():
+        seed += 1
+    number = lambda c: numbered(F.col(c).cast("string"), seed)
+    pairs = into.select("via", number("src").alias("a")).join(onward.select("via", number("dst").alias("b")), "via").where("a <> b").select("a", "b").distinct()
+    found = small(names.select(numbered(F.col("node"), seed).alias("k"), F.col("src").alias("name"), "g"))
+    for end, k in (("src", "a"), ("dst", "b")):
+        pairs = pairs.join(found.select(F.col("k").alias(k), F.col("name").alias(end), F.col("g").alias(f"{end}_g")), k)
+    return pairs.select("src", "dst", "src_g", "dst_g")
 
 
 def export(nodes: DataFrame, edges: DataFrame, limit: int = 300) -> DataFrame:

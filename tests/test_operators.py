@@ -67,6 +67,28 @@ def test_bypass(spark):
     assert sorted(map(tuple, graph.bypass(edges, glue).collect())) == [("a", "b"), ("a", "d")]
 
 
+def test_bypass_leaves_edges_without_glue_alone(spark, monkeypatch):
+    """Rounds write edges of glue alone, and ways as numbers; rows are those of plain loops, also where rounds end early, and with ids that are numbers."""
+    rows = [(k * 7 % 40, k * k * 11 % 40) for k in range(90)] + [(1, 2), (2, 2), (100, 101), (100, 101), (None, 3), (3, None)] + [(1000 + k, 2000 + k) for k in range(500)]
+    glue = {2, 4, 9, 16, 24, 39}
+
+    def loops(rounds):
+        now = {(a, b) for a, b in rows if a is not None and b is not None and a != b}
+        for _ in range(rounds):
+            now = {x for x in now if x[1] not in glue} | {(a, d) for a, b in now for c, d in now if b == c and b in glue and a != d}
+        return sorted((a, b) for a, b in now if a not in glue and b not in glue)
+
+    written, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, *x: written.append(out := write(df, *x)) or out)
+    nodes = spark.createDataFrame([(k,) for k in [*glue, None, 2]], "node long")
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    for rounds in (1, 2, 50):
+        assert sorted(map(tuple, graph.bypass(edges, nodes, rounds).collect())) == loops(rounds)
+    assert max(x.count() for x in written) < 500
+    text = edges.select(F.col("src").cast("string"), F.col("dst").cast("string"))
+    assert sorted((int(a), int(b)) for a, b in graph.bypass(text, nodes.select(F.col("node").cast("string"))).collect()) == loops(50)
+
+
 def test_clusters_equal_numpy(spark):
     own = catalog.vectors(spark, SMALL)
     got, centres = recall.clusters(own, 7, 4)
