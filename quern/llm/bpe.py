@@ -20,7 +20,7 @@ from quern.llm.common import map_texts
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: A task keeps the ids of up to twice so many short chunks of text, of a quarter as many other matches, and of those of one slice; it only saves time.
-CACHED = 150_000
+CACHED = 100_000
 _LONG = 64
 #: Texts are handled in slices of about so many bytes; new matches of a slice are merged together, so many at once, if they are FEW or more and short.
 SLICE, TOGETHER, FEW = 3 << 19, 1 << 16, 512
