@@ -5,13 +5,17 @@ and downwards. Rows with a null coordinate, or without extent where one is wante
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from quern.functions.text import numbering_depth, stripped
+from quern.functions.text import SPACE, numbering_depth, stripped
 from quern.operators.graph import components
 from quern.sources.tables import materialize
 
@@ -23,6 +27,8 @@ DENSITY, COLUMN_HEIGHT, COLUMN_BOXES = 0.9, 0.6, 0.12
 DEPTH = 64
 #: Words of a line lie within so many points of its first one; a gap over so many times the type size parts two segments.
 LINE, PART = 3.0, 1.5
+#: Pages are taken from a batch by so many words.
+WORDS = 1 << 16
 #: Edges within these shares of the median height are one column, one row.
 COLUMN, ROW, PAD = 1.2, 0.7, 0.4
 #: A rule is at most so thick and longer than that; levels within 3 points are one, and count if they cover this share.
@@ -42,46 +48,75 @@ def median_of(values: Column) -> Column:
     return let(F.sort_array(values), lambda v: 0.5 * at(v, 1) + 0.5 * at(v, 0))
 
 
+def visible(c: Column) -> Column:
+    """Whether a text begins with a visible character of ASCII, which a comparison of bytes tells."""
+    return (c >= "!") & (c < "\x7f")
+
+
 def lines_of_words(words: DataFrame, page: str) -> DataFrame:
     """page, line, segment, x0, y0, x1, y1, text, size, bold of words (page, word, x0, y0, x1, y1, text, size, bold).
 
     Words in the order of their tops (to a tenth) and left edges are one line while they lie within LINE of its first word. A line is parted where the
     gap is over PART times the type size (that of the word, else of the one before, else 10). Blank words go; a segment is bold if more than half
     of its characters are in bold words."""
-    tenth = F.round(F.col("y0").cast("double"), 1).alias("tenth")
-    rows = words.select(page, "word", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "size")), "text", F.coalesce("bold", F.lit(False)).alias("bold"), tenth)
-    rows = rows.where(F.col(page).isNotNull() & (stripped(F.col("text")) != "") & F.col("x0").isNotNull() & F.col("y0").isNotNull())
-    fields = ["x0", "tenth", "word", "y0", "x1", "y1", "size", "text", "bold"]
-    lists = rows.groupBy(page).agg(F.sort_array(F.collect_list(F.struct("tenth", "x0", "word", *fields[3:]))).alias("l"))
-    lists = lists.withColumn("lines", anchored(F.transform("l", lambda w: w["y0"]), LINE))
-    # The words by line and left edge, and where segments begin among them.
-    lists = lists.withColumn("w", F.sort_array(F.transform("l", lambda w, i: F.struct(F.get("lines", i).alias("line"), *(w[c].alias(c) for c in fields)))))
-    some = lambda size: F.nullif(size, F.lit(0.0))
-    apart = lambda a, b: (a["line"] != b["line"]) | F.coalesce(b["x0"] - a["x1"] > PART * F.coalesce(some(b["size"]), some(a["size"]), F.lit(10.0)), F.lit(False))
-    begins = F.filter(F.transform("w", lambda w, i: F.when((i == 0) | apart(F.get("w", F.greatest(i - 1, F.lit(0))), w), i)), lambda i: i.isNotNull())
-    lists = lists.withColumn("begins", begins)
-    line = lambda i: F.get("w", i)["line"]
-
-    def segment(own: Column, before: Column) -> Column:
-        of = lambda c: F.transform(own, lambda w: w[c])
-        size = median_of(F.transform(own, lambda w: F.coalesce(w["size"], F.lit(0.0))))
-        heavy = F.aggregate(own, F.lit(0), lambda n, w: n + F.when(w["bold"], F.length(w["text"])).otherwise(0))
-        return let(stripped(F.array_join(of("text"), " ")), lambda text: F.struct(
-            F.get(own, F.lit(0))["line"].alias("line"), before.alias("segment"), F.array_min(of("x0")).alias("x0"), F.array_min(of("y0")).alias("y0"), F.array_max(of("x1")).alias("x1"), F.array_max(of("y1")).alias("y1"),
-            text.alias("text"), size.alias("size"), (heavy > 0.5 * F.length(text)).alias("bold")))
-
-    before = lambda i: F.size(F.filter("begins", lambda j: (j < i) & (line(j) == line(i))))
-    segments = F.transform("begins", lambda i, k: let(F.slice("w", i + 1, F.coalesce(F.get("begins", k + 1), F.size("w")) - i), lambda own: segment(own, before(i))))
-    return lists.select(page, F.explode_outer(segments).alias("s")).select(page, "s.*")
-
-
-def anchored(values: Column, width: float) -> Column:
-    """The number of the group, from 0, of each value of an array: a group begins where a value is further than width from the group's first one."""
-    start = F.struct(F.array().cast("array<int>").alias("groups"), F.lit(None).cast("double").alias("first"))
-    last = lambda s: F.coalesce(F.try_element_at(s["groups"], F.lit(-1)), F.lit(-1))
-    state = lambda s, k, first: F.struct(F.concat(s["groups"], F.array(k)).alias("groups"), first.alias("first"))
-    add = lambda s, v: F.when(F.abs(v - s["first"]) <= width, state(s, last(s), s["first"])).otherwise(state(s, last(s) + 1, v))
-    return F.aggregate(values, start, add, lambda s: s["groups"])
+    rows = words.select(F.col(page).alias("page"), "word", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "size")), "text", F.when(F.col("bold"), F.length("text")).otherwise(0).alias("heavy"))
+    rows = rows.where(F.col("page").isNotNull() & (visible(F.col("text")) | F.regexp_like("text", F.lit(f"[^{SPACE}]"))) & F.col("x0").isNotNull() & F.col("y0").isNotNull())
+    lists = rows.groupBy("page").agg(F.sort_array(F.collect_list(F.struct(F.round("y0", 1).alias("tenth"), "x0", "word", "y0", "x1", "y1", "size", "text", "heavy"))).alias("l"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets = batch.column("l").offsets.to_numpy()
+            cuts = np.unique(np.append(np.searchsorted(offsets[:-1], np.arange(offsets[0], offsets[-1], WORDS)), batch.num_rows))
+            for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+                yield segments_of(batch.slice(first, last - first))
+
+    kind = StructType([StructField("page", lists.schema["page"].dataType), *StructType.fromDDL("line int, segment int, x0 double, y0 double, x1 double, y1 double, text string, size double, heavy long")])
+    # Only texts whose ends may be white space of any kind are searched for it.
+    text = F.col("text")
+    found = lists.mapInArrow(run, kind).withColumn("text", F.when(visible(text) & visible(F.right(text, F.lit(1))), text).otherwise(stripped(text)))
+    return found.withColumn("bold", F.col("heavy") > 0.5 * F.length("text")).drop("heavy").withColumnRenamed("page", page)
+
+
+def segments_of(pages: pa.RecordBatch) -> pa.RecordBatch:
+    """The segments of pages (page, l), where l are a page's words by tenth and left edge. Comparisons are as in SQL, where NaN is the greatest number."""
+    lists = pages.column("l")
+    counts = np.diff(lists.offsets.to_numpy())
+    words = dict(zip((f.name for f in lists.type.value_type), lists.flatten().flatten(), strict=True))
+    x0, y0, x1, y1, heavy = (words[c].to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1", "heavy"))
+    size = words["size"].fill_null(0.0).to_numpy()
+    no_x1, no_y1 = (words[c].is_null().to_numpy(zero_copy_only=False) for c in ("x1", "y1"))
+    of = np.repeat(np.arange(len(counts)), counts)
+    fresh = np.diff(of, prepend=-1) > 0
+    begun = anchored(fresh.tolist(), y0.tolist(), LINE)
+    line = np.cumsum(begun)
+    # By line and left edge; lines and pages stay where they are.
+    order = np.lexsort((x0, line))
+    x0, y0, x1, y1, heavy, size, no_x1, no_y1 = (x[order] for x in (x0, y0, x1, y1, heavy, size, no_x1, no_y1))
+    with np.errstate(invalid="ignore"):
+        gap, limit = x0[1:] - x1[:-1], PART * np.where(size[1:] != 0, size[1:], np.where(size[:-1] != 0, size[:-1], 10.0))
+    apart = ((gap > limit) | np.isnan(gap) & ~np.isnan(limit)) & ~no_x1[:-1]
+    starts = np.flatnonzero(begun | np.append(True, apart))
+    ends = np.append(starts[1:], len(line))
+    number = np.arange(len(starts))
+    in_line = number - np.maximum.accumulate(np.where(begun[starts], number, 0))
+    in_page = (line - np.maximum.accumulate(np.where(fresh, line, 0)))[starts]
+    sizes = size[np.lexsort((size, np.repeat(number, ends - starts)))]
+    middle = 0.5 * sizes[(starts + ends - 1) // 2] + 0.5 * sizes[(starts + ends) // 2]
+    greatest = lambda x, none: pa.array(np.maximum.reduceat(np.where(none, -np.inf, x), starts), mask=np.logical_and.reduceat(none, starts))
+    texts = pa.ListArray.from_arrays(pa.array(np.append(starts, len(line)), pa.int32()), words["text"].take(pa.array(order)))
+    columns = {
+        "page": pages.column("page").take(pa.array(of[starts])), "line": pa.array(in_page, pa.int32()), "segment": pa.array(in_line, pa.int32()), "x0": pa.array(x0[starts]), "y0": pa.array(np.fmin.reduceat(y0, starts)),
+        "x1": greatest(x1, no_x1), "y1": greatest(y1, no_y1), "text": pc.binary_join(texts, " "), "size": pa.array(middle), "heavy": pa.array(np.add.reduceat(heavy, starts, dtype=np.int64))}
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def anchored(fresh: list[bool], values: list[float], width: float) -> np.ndarray:
+    """Whether a group begins at each value: at the first of a page, and where a value is further than width from its group's first one."""
+    begun, first = np.zeros(len(values), bool), 0.0
+    for k, (new, v) in enumerate(zip(fresh, values, strict=True)):
+        if new or not abs(v - first) <= width:
+            begun[k], first = True, v
+    return begun
 
 
 def gaps(start: str, end: str, keys: list[str]) -> tuple[Column, Column]:

@@ -10,17 +10,25 @@ from quern.plans.documents import MARKDOWN, sheets, talks
 from quern.plans.registry import QUERIES, query  # noqa: F401
 from quern.sources.tables import materialize, table
 
+#: A task has about so many lines of orders, as each becomes five words, which are sorted there.
+SHEET_LINES = 400_000
 
-def order_lines(spark, d) -> DataFrame:
-    """One row for each number of a line of an order: sheet, n, and fields as texts. Rows are dealt out by orders, so what goes by sheet needs no other shuffle."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_partkey", "l_suppkey", "l_quantity").repartition("l_orderkey")
+
+def order_lines(spark, d, rows_a_task: int | None = None) -> DataFrame:
+    """One row for each number of a line of an order: sheet, n, and fields as texts. Rows are dealt out by orders, so what goes by sheet needs no other shuffle.
+
+    With rows_a_task there are as many tasks, by whole numbers of the cores, as leave each at most about so many rows."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_partkey", "l_suppkey", "l_quantity")
+    cores = spark.sparkContext.defaultParallelism
+    tasks = [cores * max(1, -(-lines.count() // (cores * rows_a_task)))] if rows_a_task else []
+    lines = lines.repartition(*tasks, "l_orderkey")
     rows = lines.groupBy(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("n"))
     return rows.agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"), F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"), F.min("l_quantity").cast("int").alias("quantity"))
 
 
 def sheet_words(spark, d) -> DataFrame:
     """Each line of an order as five words, some a little lower, some far apart, some blank: sheet, word, x0, y0, x1, y1, text, size, bold."""
-    rows = order_lines(spark, d)
+    rows = order_lines(spark, d, SHEET_LINES)
     texts = F.array("flag", F.concat("status", F.lit("-"), "status"), F.col("part").cast("string"), F.when(F.col("quantity") % 5 == 0, " ").otherwise("of"), F.col("quantity").cast("string"))
     words = rows.select("sheet", "n", "part", "supp", F.posexplode(texts).alias("k", "text"))
     x0 = (F.col("k") * 30 + F.when(F.col("k") >= 3, F.col("part") % 60).otherwise(0)).cast("double")
